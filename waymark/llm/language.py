@@ -55,7 +55,7 @@ class Classifier:
         import zstandard as zstd
 
         params = zstd.ZstdCompressionParameters(
-            strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=3, window_log=17, hash_log=14, chain_log=14, target_length=16,
+            strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=3, window_log=17, hash_log=15, chain_log=15, target_length=16,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         self.encoders = []
@@ -81,7 +81,7 @@ class Classifier:
 
 def train(
     labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    dictionary_bytes: int = 16384, sample_chars: int = 512, sample_docs: int = 96, min_margin: float = 0.01,
+    dictionary_bytes: int = 32768, sample_chars: int = 512, sample_docs: int = 128, min_margin: float = 0.01,
 ) -> LanguageModel:
     """Fits on a bounded sample of the labelled rows.
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from waymark.llm import licenses, mixing
 from waymark.llm import queries as q
 
 
 def queries():
     return {
+        "op1_near_duplicates": q.op1_near_duplicates,
+        "op2_media": q.op2_media,
+        "op3_chat": q.op3_chat,
+        "op4_mix": q.op4_mix,
+        "op5_warc": q.op5_warc,
         "op6_byte_shards": q.op6_byte_shards,
+        "op7_licenses": q.op7_licenses,
         "op8_language": q.op8_language,
         "op9_token_counts": q.op9_token_counts,
+        "op10_decontaminate": q.op10_decontaminate,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_mix": mixing.oracle_sql(), "op7_licenses": licenses.oracle_sql()}
