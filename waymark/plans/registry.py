@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from waymark.plans import book, trips
+
 
 def queries():
-    return {}
+    return dict(book.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(book.SQL)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.QUERIES["E3_position_at"](spark, sf_dir)
