@@ -1,5 +1,6 @@
 """Runs a query and its SQL twin on the same tables and compares the rows."""
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
@@ -9,14 +10,18 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(v):
     if isinstance(v, float):
-        return round(v, 5)
+        return round(v, 5) + 0.0
     if isinstance(v, list | tuple):
         return tuple(map(normal, v))
     return v
 
 
+def plain(v):
+    return float(v) if isinstance(v, int | float | Decimal) and not isinstance(v, bool) else v
+
+
 def key(row):
-    return tuple((v is not None, str(type(v).__name__ if isinstance(v, bool) else ""), str(v)) for v in row)
+    return tuple((v is not None, isinstance(v, bool), str(plain(v))) for v in row)
 
 
 def rows(df):
@@ -41,4 +46,4 @@ def same(df, sql, sf):
     assert names == wanted_names
     assert len(got) == len(wanted), (len(got), len(wanted))
     for a, b in zip(got, wanted, strict=True):
-        assert [float(x) if isinstance(x, int | float) and not isinstance(x, bool) else x for x in a] == [float(x) if isinstance(x, int | float) and not isinstance(x, bool) else x for x in b], (names, a, b)
+        assert [plain(x) for x in a] == [plain(x) for x in b], (names, a, b)
