@@ -7,8 +7,8 @@ Texts and passages are normalised (lower case, every run of characters
 that are neither letters nor digits one space). The hashes of a text's
 q-grams are looked up among those of the passages; passages with too few
 hits fall out; the hits of the others are counted in overlapping diagonal
-bands of width 2k + 1 that start every k + 1 diagonals; regions that meet
-the bound are verified by banded alignment. The filter loses nothing: any
+bands of k + 1, one from each hit on, and joined bands that hold enough
+different q-grams of the passage are verified by banded alignment. The filter loses nothing: any
 occurrence within the budget is reported.
 
 k is ``max_error`` times the passage's length. Short passages use a
@@ -23,7 +23,6 @@ bytes, each against all rows.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +33,24 @@ from pyspark.sql import functions as F
 MAX_Q, MAX_ERROR = 8, 0.1
 #: Bytes of passages that are sent out at once.
 BLOCK_BYTES = 4 << 20
-_GAPS = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 22
+_ITEM = 1 << 40  # more than any place in a text
 
 
-def normalised(text: str) -> str:
-    return _GAPS.sub(" ", text.lower()).strip()
+@functools.cache
+def _letters_and_digits() -> np.ndarray:
+    return np.array([chr(i).isalnum() for i in range(0x110000)])
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def normalised(text: str) -> np.ndarray:
+    """The code points of the text in lower case, every run of other characters than letters and digits one space."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    word = _letters_and_digits()[c]
+    kept = word.copy()
+    kept[1:] |= word[:-1]
+    c = np.where(word, c, np.uint32(32))[kept]
+    return c[:-1] if len(c) and c[-1] == 32 else c
 
 
 def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
@@ -53,11 +59,12 @@ def gram_hashes(c: np.ndarray, q: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     wide = c.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(q):
-        h = (h + wide[i : i + n] + np.uint64(1)) * _MULTIPLIER
-        h ^= h >> np.uint64(29)
-    return h
+    h = wide[:n].copy()
+    for i in range(1, q):
+        h *= _MULTIPLIER
+        h += wide[i : i + n]
+    h ^= h >> np.uint64(32)
+    return h * _MULTIPLIER
 
 
 def gram_length(m: int, k: int) -> int:
@@ -69,13 +76,13 @@ class Passages:
     """The q-gram index of a block of passages, one table for each q in use."""
 
     def __init__(self, items: list[tuple[int, str]], max_error: float):
-        self.items = [(i, t, codes(t), int(max_error * len(t))) for i, raw in items if (t := normalised(raw))]
+        self.items = [(i, t, int(max_error * len(t))) for i, raw in items if len(t := normalised(raw))]
         self.tables = []
         by_q: dict[int, list[int]] = {}
-        for n, (_, t, _, k) in enumerate(self.items):
+        for n, (_, t, k) in enumerate(self.items):
             by_q.setdefault(gram_length(len(t), k), []).append(n)
         for q, members in sorted(by_q.items()):
-            hashes = [gram_hashes(self.items[n][2], q) for n in members]
+            hashes = [gram_hashes(self.items[n][1], q) for n in members]
             owner = np.repeat(np.array(members), [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h)) for h in hashes])
             flat = np.concatenate(hashes)
@@ -83,42 +90,45 @@ class Passages:
             keys, first, many = np.unique(flat[order], return_index=True, return_counts=True)
             sieve = np.zeros(1 << _SIEVE_BITS, bool)
             sieve[keys >> np.uint64(64 - _SIEVE_BITS)] = True
-            bound = np.zeros(len(self.items), np.int64)
+            bound, edits = np.zeros((2, len(self.items)), np.int64)
             for n in members:
-                m, k = len(self.items[n][1]), self.items[n][3]
-                bound[n] = m + 1 - q - k * q
-            self.tables.append((q, sieve, keys, first, many, owner[order], place[order], bound))
+                m, k = len(self.items[n][1]), self.items[n][2]
+                bound[n], edits[n] = m + 1 - q - k * q, k
+            self.tables.append((q, sieve, keys, first, many, owner[order], place[order], bound, edits))
 
     def regions(self, c: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first diagonal, last diagonal) of the bands of the text ``c`` that meet an item's bound."""
-        for q, sieve, keys, first, many, owner, place, bound in self.tables:
+        """(item, first diagonal, last diagonal) where the hits on the text ``c`` meet an item's bound."""
+        for q, sieve, keys, first, many, owner, place, bound, edits in self.tables:
             h = gram_hashes(c, q)
             at = np.flatnonzero(sieve[h >> np.uint64(64 - _SIEVE_BITS)])
-            if not len(at):
-                continue
             slot = np.searchsorted(keys, h[at])
             slot[slot == len(keys)] = 0
             real = keys[slot] == h[at]
             at, slot = at[real], slot[real]
-            if not len(at):
-                continue
             n = many[slot]
-            entry = np.repeat(first[slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            item, diagonal = owner[entry], np.repeat(at, n) - place[entry]
-            enough = np.bincount(item, minlength=len(bound)) >= bound
-            keep = enough[item]
-            if not keep.any():
-                continue
-            item, diagonal = item[keep], diagonal[keep]
-            for one in np.unique(item):
-                k, need = self.items[one][3], bound[one]
-                d = np.sort(diagonal[item == one])
-                # bands of 2k + 1 diagonals, one every k + 1: any k + 1 neighbours lie inside one of them
-                step = k + 1
-                starts = np.unique(np.concatenate((d // step, d // step - 1))) * step
-                hits = np.searchsorted(d, starts + 2 * k + 1) - np.searchsorted(d, starts)
-                for s in starts[hits >= need]:
-                    yield int(one), int(s), int(s) + 2 * k
+            entry = np.repeat(first[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, at = owner[entry], np.repeat(at, n)
+            enough = (np.bincount(item, minlength=len(bound)) >= bound)[item]
+            item, at, spot = item[enough], at[enough], place[entry[enough]]
+            # items one after another, in each the hits by diagonal
+            key = item * _ITEM + (_ITEM >> 1) + at - spot
+            order = np.argsort(key)
+            key, item, spot = key[order], item[order], spot[order]
+            # overlapping bands of k + 1 diagonals, one from each hit on
+            stop = np.searchsorted(key, key + edits[item], side="right")
+            starts = np.flatnonzero(stop - np.arange(len(key)) >= bound[item])
+            while len(starts):
+                i = starts[0]
+                one, low, high = int(item[i]), i, stop[i]
+                # bands that overlap make one region
+                for j in starts:
+                    if j >= high or item[j] != one:
+                        break
+                    high = max(high, stop[j])
+                if len(np.unique(spot[low:high])) >= bound[one]:
+                    base = one * _ITEM + (_ITEM >> 1)
+                    yield one, int(key[low] - base), int(key[high - 1] - base)
+                starts = starts[np.searchsorted(starts, high) :]
 
 
 def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
@@ -150,16 +160,14 @@ def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int)
 
 def occurrences(passages: Passages, text: str) -> list[tuple[int, int, int]]:
     """(item id, fewest edits, end in the normalised text) of each passage that occurs in the text."""
-    t = normalised(text)
-    c = codes(t)
+    c = normalised(text)
     best: dict[int, tuple[int, int]] = {}
     for n, low, high in passages.regions(c):
-        _, passage, own, k = passages.items[n]
+        _, own, k = passages.items[n]
         if best.get(n, (1, 0))[0] == 0:
             continue
-        a, b = max(0, low - k), min(len(t), high + k + len(passage) + k)
-        exact = t.find(passage, a, b)
-        found = (0, exact + len(passage)) if exact >= 0 else aligned(own, c, low, high, k)
+        same = [d for d in range(max(0, low), min(high, len(c) - len(own)) + 1) if np.array_equal(c[d : d + len(own)], own)] if high - low <= k else []
+        found = (0, same[0] + len(own)) if same else aligned(own, c, low, high, k)
         if found and found[0] <= k and found < best.get(n, (k + 1, 0)):
             best[n] = found
     return [(passages.items[n][0], *v) for n, v in sorted(best.items())]

@@ -31,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ from waymark.llm.common import discard, written
 from waymark.llm.shingles import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
+#: Texts sketched and pairs compared at a time, which bounds a worker's memory.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 500, 200
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -89,8 +90,8 @@ def signatures(slim: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 sets = shingle_sets(part.column(1), k)
                 keys = band_keys(sketches(sets, bands * rows), bands, rows) if sets else np.zeros((0, bands), np.int64)
                 offsets = pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32))
@@ -110,15 +111,16 @@ def signatures(slim: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union; ``texts`` has (doc_id, text)."""
 
-    @F.pandas_udf("boolean")
-    def close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            one, two = (shingle_sets(pa.array(x, pa.string()), k) for x in (left, right))
             good = []
-            for a, b in zip(one, two, strict=True):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
-            yield pd.Series(good, dtype=bool)
+            for at in range(0, len(left), PAIRS_AT_ONCE):
+                one, two = (shingle_sets(x.slice(at, PAIRS_AT_ONCE), k) for x in (left, right))
+                for a, b in zip(one, two, strict=True):
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    good.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
+            yield pa.array(good, pa.bool_())
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
