@@ -80,7 +80,7 @@ def _(spark, d):
     return got.select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("C8_interval_max", f"WITH {SPANS_SQL}, {POINTS_SQL} SELECT pid, greatest(1.5::DOUBLE, 1 + coalesce(max(least(1.0::DOUBLE, v / 200)), 0)) AS multiplier FROM points p LEFT JOIN spans i ON i.key = p.key AND at_min BETWEEN s AND e GROUP BY pid")
+@query("C8_interval_max", f"WITH {SPANS_SQL}, {POINTS_SQL} SELECT pid, greatest(1.5::DOUBLE, 1 + coalesce(max(CASE WHEN v > 200 THEN 1.0::DOUBLE ELSE v / 200 END), 0)) AS multiplier FROM points p LEFT JOIN spans i ON i.key = p.key AND at_min BETWEEN s AND e GROUP BY pid")
 def _(spark, d):
     got = ranges.interval_stats(points(spark, d), spans(spark, d), ["key"], "at_min", "s", "e", 120.0, sev=F.max(F.least(F.lit(1.0), F.col("v") / 200)))
     return got.select("pid", F.greatest(F.lit(1.5), 1 + F.coalesce("sev", F.lit(0.0))).alias("multiplier"))
