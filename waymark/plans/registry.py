@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import audits, book, cleaning, keyed, scores, trips  # noqa: F401
+from waymark.plans import audits, book, cleaning, feeds, keyed, scores, storage, trips  # noqa: F401
 
 
 def queries():
