@@ -10,14 +10,23 @@ bigrams, so templates are looked up by size and others are never compared.
 Null and empty texts have no match, nor have units of fewer than two
 words. Units with equal sets count once. Each row is scanned on its own,
 also rows that share an id or have none.
+
+``scan_license_windows`` has windows of words in place of units: every run
+of words of the whole text, across lines and paragraphs and inside
+sentences, at any place, also compared with the full licence wordings in
+``wordings``. A best window begins and ends with bigrams of its template,
+as others at its ends only lower the coefficient.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +115,108 @@ def scan_licenses(
     return slim.mapInPandas(scanned, "doc_id long, license_id string, dice double, n_units long")
 
 
+def full_wordings() -> list[tuple[str, str]]:
+    """(licence, wording) of the full texts beside this module."""
+    return [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("wordings").glob("*.txt"))]
+
+
+class WindowScanner:
+    """The templates by their bigrams, to find windows of words that match them."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        self.threshold = threshold
+        self.templates: list[tuple[str, frozenset[tuple[str, str]], int, int]] = []
+        self.by_gram: dict[tuple[str, str], list[int]] = {}
+        for name, wording in templates:
+            grams = frozenset(tuple(g.split(" ")) for g in bigrams(wording))
+            if grams:
+                for g in grams:
+                    self.by_gram.setdefault(g, []).append(len(self.templates))
+                # a window has at least as many common bigrams as the least size that can match
+                self.templates.append((name, grams, *size_bounds(len(grams), threshold)))
+
+    def windows(self, seq: list[tuple[str, str]], n: int) -> list[tuple[float, int, int]]:
+        """(coefficient, first bigram, last bigram) of the best window from each first bigram of template ``n``, where it matches.
+
+        From the end of the text on, keeps the places where the bigrams after a start come first, as far as the sizes that can match.
+        """
+        _, grams, low, high = self.templates[n]
+        places: list[int] = []  # below zero, as they fall
+        at: dict[tuple[str, str], int] = {}
+        sizes, common, out = np.arange(1, high + 1) + len(grams), 0, []
+        hits = np.fromiter((g in grams for g in seq), bool, len(seq))
+        for i in range(len(seq) - 1, -1, -1):
+            gram = seq[i]
+            if (old := at.get(gram)) is not None:
+                del places[bisect.bisect_left(places, -old)]
+            else:
+                common += bool(hits[i])
+            places.append(-i)
+            at[gram] = i
+            if len(places) > high:
+                last = -places.pop(0)
+                del at[seq[last]]
+                common -= bool(hits[last])
+            if hits[i] and common >= low:
+                first_at = -np.array(places[::-1])
+                dice = 2.0 * np.cumsum(hits[first_at]) / sizes[: len(first_at)]
+                best = int(np.argmax(dice))
+                if dice[best] >= self.threshold:
+                    out.append((float(dice[best]), i, int(first_at[best])))
+        return out
+
+    def scan(self, text: str) -> list[tuple[str, float, int]]:
+        """(licence, best coefficient, number of places) of one text.
+
+        Of the windows of a template, those that overlap a better or an equal earlier one are no place of their own;
+        places of several templates of a licence that overlap are one.
+        """
+        words = _NOT_WORD.sub(" ", text.lower()).split()
+        seq = list(zip(words, words[1:], strict=False))
+        count: dict[int, int] = {}
+        for g in self.by_gram.keys() & set(seq):
+            for n in self.by_gram[g]:
+                count[n] = count.get(n, 0) + 1
+        best: dict[str, float] = {}
+        places: dict[str, list[tuple[int, int]]] = {}
+        for n in sorted(count):
+            name, _, low, _ = self.templates[n]
+            if count[n] < low:
+                continue
+            taken = np.zeros(len(seq), bool)
+            for dice, a, b in sorted(self.windows(seq, n), key=lambda w: (-w[0], w[1])):
+                if not taken[a] and not taken[b] and not taken[a : b + 1].any():
+                    taken[a : b + 1] = True
+                    best[name] = max(dice, best.get(name, 0.0))
+                    places.setdefault(name, []).append((a, b))
+        return [(name, best[name], groups(found)) for name, found in sorted(places.items())]
+
+
+def groups(spans: list[tuple[int, int]]) -> int:
+    """The number of groups of spans (first, last) that overlap."""
+    n, end = 0, -1
+    for a, b in sorted(spans):
+        n, end = n + (a > end), max(end, b)
+    return n
+
+
+def scan_license_windows(
+    df: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD
+) -> DataFrame:
+    """(doc_id, license_id, dice, n_places): each licence of which a window of words of a row matches a wording."""
+    wordings = TEMPLATES + full_wordings() if templates is None else templates
+    slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+
+    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = WindowScanner(wordings, threshold)
+        for b in batches:
+            rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in scanner.scan(t)]
+            got = pd.DataFrame(rows, columns=["doc_id", "license_id", "dice", "n_places"])
+            yield got.astype({"doc_id": "Int64", "license_id": "object", "dice": "float64", "n_places": "int64"})
+
+    return slim.mapInPandas(scanned, "doc_id long, license_id string, dice double, n_places long")
+
+
 def oracle_sql() -> str:
     """DuckDB text for ``scan_licenses`` over ``documents`` with the defaults; a unit counts once by its set of bigrams."""
     values = ",\n".join(

@@ -15,6 +15,7 @@ def queries():
         "op5_warc": q.op5_warc,
         "op6_byte_shards": q.op6_byte_shards,
         "op7_licenses": q.op7_licenses,
+        "op7_license_windows": q.op7_license_windows,
         "op8_language": q.op8_language,
         "op9_token_counts": q.op9_token_counts,
         "op10_decontaminate": q.op10_decontaminate,
