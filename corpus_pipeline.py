@@ -31,17 +31,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark passage occurs."""
-    found = decontaminate.contaminated_ids(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the documents in which a benchmark passage occurs: each row by its own text, also those that share an id or have none."""
+    return decontaminate.without_passages(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents as the mix by source takes them: a row for each copy."""
-    rows = mixing.mix(docs, F.array("source"), seed=SEED).rows
-    taken = rows.where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies"))
-    kept = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return kept.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeats or drops documents as the mix by source takes them: a row for each copy; rows that share an id or have none count each on its own."""
+    rows = mixing.mix(docs, F.array("source"), seed=SEED, carry=tuple(COLUMNS)).rows.where(F.col("copies") > 0)
+    return rows.select("carried.*", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,9 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import discard, written
+
 MAX_Q, MAX_ERROR = 8, 0.1
 #: Bytes of passages that are sent out at once.
 BLOCK_BYTES = 4 << 20
@@ -214,3 +217,31 @@ def find_passages(
 def contaminated_ids(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The ids of the rows in which a passage occurs, once each."""
     return find_passages(df, benchmark, **options).select("doc_id").distinct()
+
+
+def without_passages(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, in which no passage occurs.
+
+    Each row is decided by its own text, also rows that share an id or have none; null texts stay. What one block of
+    passages leaves is written before the next one.
+    """
+    spark, place, kept, before = df.sparkSession, df.columns.index(text), None, None
+    for block in _blocks(benchmark, item, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast((block, max_error))
+
+        def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            passages = _index(shared)
+            for b in batches:
+                yield b.filter(pa.array([t is None or not occurrences(passages, t) for t in b.column(place).to_pylist()], pa.bool_()))
+
+        rows = df
+        if kept is not None:
+            rows = written(kept, "clean")
+            if before is not None:
+                discard(before)
+            before = rows
+        kept = rows.mapInArrow(cleaned, df.schema)
+    return kept

@@ -136,19 +136,21 @@ def with_selection(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     those of 24 bits inside the one that ``rest`` falls into; only rows of that last bucket are ordered one by one.
     """
     first = _edge(slim, wanted.withColumn("spent", F.lit(0).cast("long")), 12)
-    at_first = slim.join(F.broadcast(first.select("pattern", "edge")), "pattern").where(F.shiftright("order", 48) == F.col("edge"))
+    at_first = slim.select("pattern", "order", "size").join(F.broadcast(first.select("pattern", "edge")), "pattern").where(F.shiftright("order", 48) == F.col("edge"))
     last = _edge(at_first.drop("edge"), first, 24)
     rows = slim.join(F.broadcast(wanted.select("pattern", "full")), "pattern", "left").join(F.broadcast(last), "pattern", "left")
     bucket, edge = F.shiftright("order", 36), F.col("edge")
     whole = rows.where(edge.isNull() | (bucket != edge)).withColumn("extra", F.coalesce(bucket < edge, F.lit(False)))
-    one_by_one = W.partitionBy("pattern").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # carried columns settle the order of rows of one id and size, so that it is the same each time
+    ties = [F.xxhash64("carried")] if "carried" in slim.columns else []
+    one_by_one = W.partitionBy("pattern").orderBy("order", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     middle2 = 2 * (F.col("spent") + F.sum("size").over(one_by_one)) - F.col("size")
     return whole.unionByName(rows.where(bucket == edge).withColumn("extra", middle2 <= 2 * F.col("rest")))
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``rows``: (doc_id, size, pattern, copies, taken); ``sources``: (size, target) of each source."""
+    """``rows``: (doc_id, size, pattern, copies, taken, and carried where asked for), one for each row; ``sources``: (size, target) of each source."""
 
     rows: DataFrame
     sources: dict[str | None, tuple[int, float]]
@@ -160,12 +162,17 @@ def pattern_of(members: Column) -> Column:
 
 
 def mix(
-    df: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17
-) -> Mix:
-    """How often the mix takes each row; ``members`` is an array with the sources of a row."""
+    df: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17,
+    carry: tuple[str, ...] = (),
+) -> Mix:
+    """How often the mix takes each row; ``members`` is an array with the sources of a row.
+
+    The columns ``carry`` come back as the struct ``carried`` beside the decision on their row.
+    """
     spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = df.select(F.col(key).alias("doc_id"), size.alias("size"), pattern_of(members).alias("pattern"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    slim = df.select(F.col(key).alias("doc_id"), size.alias("size"), pattern_of(members).alias("pattern"), *carried)
     slim = written(slim.withColumn("order", seeded_order(F.col("doc_id"), F.col("size"), seed)), "mix-sizes")
 
     totals = slim.groupBy("pattern").agg(F.sum("size").alias("size"))
@@ -185,7 +192,7 @@ def mix(
     )
     copies = F.when(F.col("size") > 0, F.coalesce("full", F.lit(0)) + F.col("extra").cast("int")).otherwise(0)
     rows = with_selection(slim, wanted).withColumn("copies", copies)
-    rows = rows.select("doc_id", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = rows.select("doc_id", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["carried"] if carry else []))
     return Mix(rows, {s: (sizes[s], targets[s]) for s in sizes})
 
 
