@@ -106,11 +106,28 @@ def read_xing(frame: bytes, side: int) -> dict | None:
     return out
 
 
+def frames_reach(data: bytes, at: int, stop: int) -> bool:
+    """Whether whole frames from ``at`` on, one after another, end exactly at ``stop``."""
+    while at < stop:
+        head = read_header(data[at : at + 4])
+        if not head or not head[2]:
+            return False
+        at += head[2]
+    return at == stop
+
+
+def audio_end(data: bytes, at: int) -> int:
+    """Where the audio that begins at ``at`` ends: before an ID3v1 tag, but TAG inside a frame, when the frames reach the end, is none."""
+    if len(data) - at < 128 or data[-128:-125] != b"TAG":
+        return len(data)
+    return len(data) if frames_reach(data, at, len(data)) else len(data) - 128
+
+
 def read_stream(data: bytes) -> dict:
     """All that ``probe`` returns, of one value."""
     tags, at = read_id3(data)
     out = {"frames": 0, "samples": 0, "rate": None, "skipped": 0, "crc_good": 0, "crc_bad": 0, "offsets": [], "table": None, "tags": tags}
-    body, first, stop = [], True, len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    body, first, stop = [], True, audio_end(data, at)
     synced, kind = False, None
     while at + 4 <= stop:
         head = read_header(data[at : at + 4])
