@@ -150,10 +150,12 @@ def with_selection(slim: DataFrame, wanted: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """``rows``: (doc_id, size, pattern, copies, taken, and carried where asked for), one for each row; ``sources``: (size, target) of each source."""
+    """``rows``: (doc_id, size, pattern, copies, taken, and carried where asked for), one for each row; ``sources``: (size, target) of each source;
+    ``members``: the sources of each pattern, whose text is the one in ``rows``."""
 
     rows: DataFrame
     sources: dict[str | None, tuple[int, float]]
+    members: dict[str, list[str | None]]
 
 
 def pattern_of(members: Column) -> Column:
@@ -193,7 +195,7 @@ def mix(
     copies = F.when(F.col("size") > 0, F.coalesce("full", F.lit(0)) + F.col("extra").cast("int")).otherwise(0)
     rows = with_selection(slim, wanted).withColumn("copies", copies)
     rows = rows.select("doc_id", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["carried"] if carry else []))
-    return Mix(rows, {s: (sizes[s], targets[s]) for s in sizes})
+    return Mix(rows, {s: (sizes[s], targets[s]) for s in sizes}, members_of)
 
 
 def oracle_sql() -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +60,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = mixing.mix(docs, F.array("source"))
     known = spark.createDataFrame(
-        [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), size, target) for s, (size, target) in found.sources.items()],
+        [(p, *found.sources[s]) for p, (s,) in found.members.items()],
         "pattern string, source_size long, target double",
     )  # a row per source, no more than the checked patterns
-    return found.rows.join(F.broadcast(known), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+    return found.rows.join(F.broadcast(known), "pattern", "left").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
