@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import neardup, queries, shingles
 
@@ -107,8 +108,81 @@ def test_chains_groups_and_odd_rows(spark):
         check(neardup.near_duplicates(df, k=k).collect(), docs, k)
 
 
-def test_empty_table_and_null_ids(spark):
-    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "a b c"), (9, "a b c"), (9, "a b c")], "doc_id long, text string")
+def test_rows_without_an_id_and_empty_tables(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (7, "a b c"), (9, "a b c"), (9, "a b c"), (None, "x y"), (None, ""), (8, None), (9, "p q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, k=2).collect()), key=str)
-    assert got == sorted([(None, None, True)] * 2 + [(7, 7, True)] + [(9, 7, False)] * 2, key=str)
+    want = [(None, 7, False)] * 2 + [(7, 7, True)] + [(9, 7, False)] * 2 + [(None, None, True)] * 2 + [(8, 8, True), (9, 9, True)]
+    assert got == sorted(want, key=str)
     assert neardup.near_duplicates(df.where("false"), k=2).count() == 0
+    assert neardup.without_near_duplicates(df.where("false"), k=2).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(["other", *base[1:]])
+    rows = [
+        (5, " ".join(base), "a"), (3, near, "b"), (3, near, "b"), (3, "quite another text here now", "c"), (None, near.upper(), "d"),
+        (None, "no id but text", "e"), (None, "no id but text", "f"), (4, "", "g"), (4, None, "h"), (None, None, "i"), (6, "quite another text here now", "c"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _best string").withColumn("text_key", F.lit(1)).withColumn("component", F.lit("x"))
+    out = neardup.without_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r["_best"]) for r in out.collect()), key=str)
+    one_of = [r for r in got if r[1] == "no id but text"]
+    assert len(one_of) == 1
+    rest = [r for r in got if r[1] != "no id but text"]
+    assert rest == sorted([(3, near, "b"), (3, "quite another text here now", "c"), (4, "", "g"), (4, None, "h"), (None, None, "i")], key=str)
+
+
+def slow_sketch(s, t):
+    """The definition, one coordinate and shingle after another."""
+    mix = lambda v: int(shingles.mix(np.array([v & (1 << 64) - 1], np.uint64))[0])
+    out = [None] * t
+    for i in range(2 * t):
+        x = [mix(int(v) + (i + 1) * 0x9E3779B97F4A7C15) for v in s]
+        if i < t:
+            fresh = {}
+            for h in x:
+                b = (h >> 32) * t >> 32
+                fresh[b] = min(fresh.get(b, 1 << 64), mix(h))
+            for b, v in fresh.items():
+                if out[b] is None:
+                    out[b] = v + i & (1 << 64) - 1
+        elif out[i - t] is None:
+            out[i - t] = min(x) + i & (1 << 64) - 1
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 60])
+def test_sketch_equals_its_definition(size):
+    rng = np.random.default_rng(size)
+    sets = [np.sort(rng.integers(1, 2**63, size=size, dtype=np.uint64)) for _ in range(3)]
+    assert neardup.sketches([*sets, sets[0][:1]], 16).tolist() == [slow_sketch(s, 16) for s in [*sets, sets[0][:1]]]
+
+
+def test_large_group_of_near_copies_equals_brute_force(spark):
+    """1,500 copies of one text with changes that lie about the threshold, sub-families with a shared change, and shortened copies."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, docs = [word() for _ in range(80)], {}
+    families = [[(rng.randrange(80), word()) for _ in range(6)] for _ in range(5)]
+    for d in range(1500):
+        w = list(base)
+        if d % 3 == 0:
+            for at, new in families[d % 5]:
+                w[at] = new
+        for _ in range(rng.randrange(2, 8)):
+            w[rng.randrange(80)] = word()
+        if d % 7 == 0:
+            w = w[: rng.randrange(60, 80)]
+        docs[d] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    check(neardup.near_duplicates(df, k=2).collect(), docs, 2)
+
+
+def test_very_long_text():
+    text = "word " * 3_000_000 + "x" * 3_000_000 + " tail"
+    got = shingles.shingle_sets(pa.array([text, "a b", text.upper()]), 2)
+    assert [len(s) for s in got] == [3, 1, 3]
+    assert (got[0] == got[2]).all()

@@ -11,6 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 16 << 20
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once, where the session has Spark's default.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCH_BYTES`` for the session, unless it has a setting of its own: bounds a worker's memory when texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,28 +1,38 @@
 """MinHash near-duplicate detection with fast similarity sketches.
 
-Sketch: each of T coordinates is filled in rounds. In round i a hash puts
-every shingle into one bin, where the least hash stays; bins filled in an
-earlier round keep their value. From round T on, round T + b puts all
-shingles into bin b, so every coordinate is filled after 2T rounds for
-any non-empty set, and agreement of coordinates is concentrated about the
-Jaccard similarity as with T independent hashes.
-
-Banding: T coordinates make ``bands`` bands of ``rows``; texts that agree
-in a band are candidates. With 32 bands of 4 rows a pair at similarity
-0.8 is missed with probability 5e-8.
-
-Equal sets form one class and are represented by one document. In each
-bucket all members are paired with the one of smallest id, pairs are
-verified on full sets, and connected components are formed. Then only
-buckets that still hold several components are looked at again: there,
-members outside the bucket's largest component are paired with the
-members of other components, verified likewise, and joined. Hence every
-candidate pair is either verified or already known to be connected, and
-no bucket emits all pairs of its group.
-
-Documents with no words have the empty set, are linked with nothing and
-stand alone. Rows that share an id are one document for linking; rows
-with a null id are given back alone, with a null component.
+Sketch: each of T coordinates is filled in rounds. In round i < T a hash
+puts every shingle into one bin, where the least hash stays; bins filled
+in an earlier round keep their value. In round T + b all shingles go into
+bin b, so every coordinate is filled after 2T rounds for any non-empty
+set, and agreement of coordinates is concentrated about the Jaccard
+similarity as with T independent hashes.
+
+Banding: T coordinates make ``bands`` bands of ``rows``; sets that agree
+in a band share a bucket and are candidates. With 32 bands of 5 rows a
+pair at similarity 0.8 shares none with probability 3e-6.
+
+Texts of equal sets form one class, and classes are the nodes. In each
+bucket every member is compared with the one of least node, the pivot p.
+For a member x let ``dels`` be the shingles of p that x lacks and ``adds``
+those that only x has. If x is not linked with p, then x can be linked
+with another member y only if both share a deletion or an addition:
+otherwise their intersection is ``|p| - |dels x| - |dels y|``, which is
+too small already for x and p. So only members that meet in a bucket
+(p, sign, shingle) of these differences are paired, and of these only
+pairs that are not yet connected, hold such an x, and meet the size bound
+
+    |p| - max(|dels x|, |dels y|) + (shared additions, where there are
+    any) >= the intersection that sets of these sizes need.
+
+They are confirmed from their differences, which give the intersection of
+the full sets exactly. Copies with changes of their own share few
+differences, so a large group of near copies gives few pairs; what is
+paired is exact for all pairs that share a bucket, and nothing is capped.
+
+Rows are nodes by their text, not by their id: rows that share an id, or
+have none, are handled each by its own text. Documents with no words have
+the empty set, are linked with nothing and stand alone. A group without
+any id has a null component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,35 +45,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import discard, written
-from waymark.llm.shingles import mix, shingle_sets
+from waymark.llm.common import discard, free_name, small_batches, written
+from waymark.llm.shingles import mix, shingle_sets, sliced_sets
 
-BANDS, ROWS = 32, 4
-#: Texts sketched and pairs compared at a time, which bounds a worker's memory.
-TEXTS_AT_ONCE, PAIRS_AT_ONCE = 500, 200
+BANDS, ROWS = 32, 5
+#: Members that are dealt to one task together with a copy of their pivot's text.
+MEMBERS_AT_ONCE = 500
+#: Shingles sketched at a time, which bounds a worker's memory.
+SHINGLES_AT_ONCE = 1 << 17
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """The sketch of each set, a row of ``t`` values; rows of empty sets are arbitrary."""
-    n = len(sets)
-    out = np.zeros((n, t), np.uint64)
-    filled = np.zeros((n, t), bool)
+    out = np.zeros((len(sets), t), np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
+    at = 0
+    while at < len(sets):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SHINGLES_AT_ONCE, side="right")) + at)
+        _fill(out[at:stop], sets[at:stop], sizes[at:stop])
+        at = stop
+    return out
+
+
+def _fill(out: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> None:
+    n, t = out.shape
+    filled = np.zeros((n, t), bool)
     filled[sizes == 0] = True
     for i in range(2 * t):
-        todo = np.flatnonzero(~filled.all(axis=1)) if i <= t else np.flatnonzero(~filled[:, i - t])
-        if i <= t and not len(todo):
-            break
+        todo = np.flatnonzero(~filled.all(axis=1) if i < t else ~filled[:, i - t])
         if not len(todo):
+            if i < t or filled.all():
+                break
             continue
-        x = mix(np.concatenate([sets[d] for d in todo]) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        x = mix(np.concatenate([sets[d] for d in todo]) + np.uint64((i + 1) * _GOLDEN & (1 << 64) - 1))
         if i < t:
             # the high 32 bits choose the bin, all bits are the value
             bins = ((x >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64)
             cell = np.repeat(np.arange(len(todo)) * t, sizes[todo]) + bins
             least = np.full(len(todo) * t, np.iinfo(np.uint64).max, np.uint64)
-            value = mix(x)
-            np.minimum.at(least, cell, value)
+            np.minimum.at(least, cell, mix(x))
             hit = np.zeros(len(todo) * t, bool)
             hit[cell] = True
             least, new = least.reshape(-1, t), hit.reshape(-1, t) & ~filled[todo]
@@ -73,7 +94,6 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
             first = np.concatenate(([0], np.cumsum(sizes[todo])[:-1]))
             out[todo, i - t] = np.minimum.reduceat(x, first) + np.uint64(i)
             filled[todo, i - t] = True
-    return out
 
 
 def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -81,55 +101,84 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = sketch.reshape(len(sketch), bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
     for r in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+        key = mix(key * np.uint64(_GOLDEN) + parts[:, :, r])
     return key.astype(np.int64)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(text))
+
+
 def signatures(slim: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, band_keys) of (doc_id, text) rows."""
+    """(doc_id, text_key, n_shingles, set_key, band_keys) of (doc_id, text_key, text) rows."""
+    names = ["doc_id", "text_key", "n_shingles", "set_key", "band_keys"]
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                sets = shingle_sets(part.column(1), k)
-                keys = band_keys(sketches(sets, bands * rows), bands, rows) if sets else np.zeros((0, bands), np.int64)
+            at = 0
+            for sets in sliced_sets(batch.column(2), k):
+                keys = band_keys(sketches(sets, bands * rows), bands, rows)
                 offsets = pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32))
+                part = batch.slice(at, len(sets))
+                at += len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        part.column(0), part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "band_keys"],
-                )
+                    names=names,
+                )
 
-    return slim.mapInArrow(signed, "doc_id long, n_shingles long, set_key binary, band_keys array<long>")
+    return slim.mapInArrow(signed, "doc_id long, text_key binary, n_shingles long, set_key binary, band_keys array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union; ``texts`` has (doc_id, text)."""
+def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(p, x, n_p, n_x, dels, adds) of each pair (p, x): the shingles that only p has, and those that only x has.
 
-    @F.arrow_udf("boolean")
-    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            good = []
-            for at in range(0, len(left), PAIRS_AT_ONCE):
-                one, two = (shingle_sets(x.slice(at, PAIRS_AT_ONCE), k) for x in (left, right))
-                for a, b in zip(one, two, strict=True):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    good.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
-            yield pa.array(good, pa.bool_())
+    ``texts`` has (node, text). A pivot's text goes once to each task that has up to about ``MEMBERS_AT_ONCE`` of its
+    members, which follow it there one after another.
+    """
+    many = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(MEMBERS_AT_ONCE)).alias("parts"))
+    dealt = pairs.join(many, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"))
+    of = texts.select(F.col("node").alias("x"), "text")
+    heads = many.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = (
+        heads.join(texts.select(F.col("node").alias("p"), "text"), "p").select("p", "part", F.lit(None).cast("long").alias("x"), "text")
+        .unionByName(dealt.join(of, "x").select("p", "part", "x", "text"))
+    )
+    names = ["p", "x", "n_p", "n_x", "dels", "adds"]
 
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a")
-    return both.where(close("text_a", "text_b")).select("a", "b")
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, base = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ps, xs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            at = 0
+            for sets in sliced_sets(batch.column(3), k):
+                out = []
+                for p, x, s in zip(ps[at : at + len(sets)], xs[at : at + len(sets)], sets, strict=True):
+                    if x is None:
+                        pivot, base = p, s
+                    elif p == pivot:
+                        out.append((p, x, len(base), len(s), np.setdiff1d(base, s, True), np.setdiff1d(s, base, True)))
+                    else:
+                        raise ValueError(f"the text of pivot {p} did not come before its members")
+                at += len(sets)
+                if out:
+                    columns = list(zip(*out, strict=True))
+                    lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, c)]).astype(np.int32), pa.array(np.concatenate(c).astype(np.int64))) for c in columns[4:]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *lists], names=names)
+
+    dealt = rows.repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
+    return dealt.mapInArrow(compared, "p long, x long, n_p long, n_x long, dels array<long>, adds array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, component): the smallest id that is reachable over the undirected ``edges`` (a, b).
+    """(node, component): the smallest node that is reachable over the undirected ``edges`` (a, b).
 
     Alternates large-star and small-star steps, each a join and an aggregate over the edges, until the edges no
     longer change; each round is written, so that lineage stays short.
@@ -161,67 +210,138 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes reach the similarity with so many (or at most so many) shingles in common."""
+    return (common > 0) & (common * (100 + percent) >= (n_a + n_b) * percent)
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    return members.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def further_links(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links that ``found``, the components by pivots, has not connected; see the module's text.
+
+    ``compared`` has the ``differences`` of members from their pivots, ``found`` is (node, component).
+    """
+    label = lambda df, name: df.join(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp")), name, "left").withColumn(
+        f"{name}_comp", F.coalesce(f"{name}_comp", name)
+    )
+    d, a = F.size("dels").cast("long"), F.size("adds").cast("long")
+    members = label(label(compared, "x"), "p").select("*", d.alias("d"), a.alias("a"), (~_linked(F.col("n_p") - d, F.col("n_p"), F.col("n_x"), percent)).alias("stray"))
+    # the largest set that may be linked with x if no addition is shared
+    room = F.floor((F.col("n_p") - F.col("d")) * (100 + percent) / percent) - F.col("n_x")
+    groups = members.groupBy("p").agg(
+        F.max(F.col("x_comp") != F.col("p_comp")).alias("mixed"), F.count("*").alias("n_members"), F.min("n_x").alias("least"), F.max(F.when(F.col("stray"), room)).alias("most_room")
+    )
+    groups = groups.where("mixed and n_members > 1").drop("mixed", "n_members")
+    members = written(members.join(groups, "p").drop("p_comp"), "members")
+
+    near = F.greatest(F.col("least"), F.ceil(F.col("n_x") * percent / 100))
+    may_share_dels = (F.col("n_x") <= F.col("most_room")) | (F.col("stray") & (room >= near))
+    facts = ["p", "x", "n_p", "n_x", "d", "stray", "x_comp"]
+    tokens = written(
+        members.select(*facts, F.lit(True).alias("added"), F.explode("adds").alias("shingle"))
+        .unionByName(members.where(may_share_dels).select(*facts, F.lit(False).alias("added"), F.explode("dels").alias("shingle"))),
+        "differences",
+    )
+    at = ["p", "added", "shingle"]
+    meeting = tokens.groupBy(*at).agg(F.min("x_comp").alias("low"), F.max("x_comp").alias("high"), F.max("stray").alias("any")).where("low < high and any").select(*at)
+    tokens = written(tokens.join(meeting, at, "left_semi"), "meeting")
+    shared = tokens.where("added").groupBy("p", "x").agg(F.count("*").alias("n_added"))
+    tokens = tokens.join(shared, ["p", "x"], "left").withColumn("n_added", F.when(F.col("added"), F.col("n_added")).otherwise(0))
+    left = tokens.where("stray").alias("l")
+    right = tokens.select(*at, *(F.col(c).alias(f"y_{c}") for c in ("x", "n_x", "d", "stray", "x_comp", "n_added")))
+    bound = F.col("n_p") - F.greatest("d", "y_d") + F.least("n_added", "y_n_added")
+    candidates = (
+        left.join(right, at)
+        .where((F.col("x_comp") != F.col("y_x_comp")) & (~F.col("y_stray") | (F.col("x") < F.col("y_x"))) & _linked(bound, F.col("n_x"), F.col("y_n_x"), percent))
+        .select("p", "x", F.col("y_x").alias("y")).distinct()
+    )
+    candidates = written(candidates, "candidates")
+    slim = members.select("p", "x", "n_p", "n_x", "d", "dels", "adds")
+    other = slim.select("p", *(F.col(c).alias(f"y_{c}") for c in ("n_x", "d", "dels", "adds")), F.col("x").alias("y"))
+    common = F.col("n_p") - F.col("d") - F.col("y_d") + F.size(F.array_intersect("dels", "y_dels")) + F.size(F.array_intersect("adds", "y_adds"))
+    links = candidates.join(slim, ["p", "x"]).join(other, ["p", "y"]).where(_linked(common, F.col("n_x"), F.col("y_n_x"), percent))
+    out = written(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    for df in (members, tokens, candidates):
+        discard(df)
+    return out
 
 
-def _similar_sizes(percent: int) -> Column:
-    """Sets of sizes further apart can't reach the similarity."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+def classified(df: DataFrame, key: str, text: str, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (doc_id, text_key, n_shingles, set_key) of each row, and of each different non-empty set
+    (set_key, rep, rep_key, component_id): the id and text that stand for it, and its component's least id."""
+    small_batches(df.sparkSession)
+    slim = df.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    signs = written(signatures(slim, k, bands, rows), "signatures")
+    # the class is stood for by its row of least id; rows without an id come last
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = signs.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("first"), F.first("band_keys").alias("band_keys"))
+    classes = written(
+        classes.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "band_keys", F.monotonically_increasing_id().alias("node")), "classes"
+    )
+    exploded = classes.select("node", F.explode("band_keys").alias("bucket"))
+    buckets = exploded.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("top")).where("p < top").select("bucket", "p")
+    pairs = written(exploded.join(buckets, "bucket").where(F.col("node") != F.col("p")).select("p", F.col("node").alias("x")).distinct(), "pairs")
+    nodes = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct()
+    wanted = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key")).join(nodes, "node")
+    same_row = slim["doc_id"].eqNullSafe(wanted["doc_id"]) & (slim["text_key"] == wanted["text_key"])
+    texts = written(slim.join(wanted, same_row).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    compared = written(differences(pairs, texts, k), "compared")
+    discard(texts)
+    discard(pairs)
+    close = _linked(F.col("n_p") - F.size("dels"), F.col("n_p"), F.col("n_x"), percent)
+    found = components(compared.where(close).select(F.col("p").alias("a"), F.col("x").alias("b")))
+    more = further_links(compared, found, percent)
+    discard(compared)
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(more)
+
+    # the least id of each component of several classes
+    labelled = classes.select("set_key", "rep", "rep_key", "node")
+    both = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    joined = both.join(labelled.select("node", "rep"), "node")
+    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = both.join(least, "component").select("node", "component", "component_id")
+    labelled = labelled.join(named, "node", "left").select(
+        "set_key", "rep", "rep_key", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    return signs.drop("band_keys"), written(labelled, "labels")
 
 
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row; documents are linked at ``percent`` or more of Jaccard similarity."""
-    slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signs = written(signatures(slim, k, bands, rows), "signatures")
-    linked = signs.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = linked.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"))
-
-    # one row for each band of each class
-    reps = linked.join(classes.select("set_key", "rep"), "set_key").where(F.col("doc_id") == F.col("rep"))
-    exploded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("band_keys").alias("bucket"))
-    buckets = exploded.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.max("doc_id").alias("top")).where("head.doc_id < top")
-    members = written(
-        exploded.join(buckets.select("bucket", "head"), "bucket").select("bucket", "doc_id", "n", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")),
-        "buckets",
-    )
-    first = (
-        members.where(F.col("doc_id") != F.col("head"))
-        .select(F.col("head").alias("a"), F.col("doc_id").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b"))
-        .where(_similar_sizes(percent)).select("a", "b").distinct()
-    )
-    first = written(first, "pairs")
-    edges = written(verified(first, slim, k, percent), "edges")
-    found = components(edges)
-
-    # buckets in which several components meet
-    at = _labelled(members.select("bucket", "doc_id", "n"), found)
-    counts = at.groupBy("bucket", "component").agg(F.count("*").alias("n_members"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n_members", "component")).alias("main"), F.count("*").alias("n_comps")).where("n_comps > 1")
-    mixed = written(at.join(mixed.select("bucket", F.col("main.component").alias("main")), "bucket"), "mixed")
-    strays = mixed.where(F.col("component") != F.col("main")).select("bucket", F.col("doc_id").alias("x"), F.col("component").alias("x_comp"), F.col("n").alias("n_a"))
-    others = mixed.select("bucket", F.col("doc_id").alias("y"), F.col("component").alias("y_comp"), F.col("n").alias("n_b"), "main")
-    second = (
-        strays.join(others, "bucket")
-        # two strays meet once
-        .where((F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("main")) | (F.col("x") < F.col("y"))) & _similar_sizes(percent))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = written(verified(written(second, "pairs"), slim, k, percent), "edges")
-    if more.isEmpty():
-        final = found
-    else:
-        final = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    # each row by its class
-    labels = _labelled(classes.select("set_key", F.col("rep").alias("doc_id")), final).select("set_key", "component")
-    rows_in = signs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-    out = rows_in.join(labels, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    """(doc_id, n_shingles, component_id, kept) of each row; documents are linked at ``percent`` or more of Jaccard similarity.
+
+    ``kept`` tells rows whose id is their component's, rows without words, and rows of groups without any id.
+    """
+    signs, labels = classified(df, key, text, k, percent, bands, rows)
+    some = signs.where("n_shingles > 0").join(labels.select("set_key", "component_id"), "set_key").select("doc_id", "n_shingles", "component_id")
+    out = some.unionByName(signs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(
+    df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, without those that a row of their group stands for.
+
+    Of each group one row stays: that of least id (rows without an id come last), and of rows that share id and text the
+    one of least hash over all columns. Rows without words stay.
+    """
+    key_col, best_col, comp_col, row_col = (free_name(df, c) for c in ("text_key", "best", "component", "row"))
+    signs, labels = classified(df, key, text, k, percent, bands, rows)
+    sizes = signs.where("n_shingles > 0").groupBy("set_key", "text_key").agg(F.count("*").alias("n_rows"))
+    found = sizes.join(labels, "set_key")
+    # texts whose rows are in question: those of components that have several rows
+    several = found.groupBy("component").agg(F.sum("n_rows").alias("n_rows"), F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("rep_key"))).alias("best")).where("n_rows > 1")
+    best = F.coalesce(F.col("best.rep_key") == F.col("text_key"), F.lit(False))
+    asked = written(found.select("text_key", "component").join(several.select("component", "best"), "component").select("text_key", best.alias("best"), "component"), "asked")
+    asked = asked.groupBy(F.col("text_key").alias(key_col)).agg(F.max("best").alias(best_col), F.min("component").alias(comp_col))
+    marked = df.join(asked, text_key(F.col(text)) == F.col(key_col), "left")
+    alone = marked.where(F.col(key_col).isNull()).select(*df.columns)
+    order = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(*df.columns).alias("hash"))
+    least = marked.where(best_col).groupBy(comp_col).agg(F.min_by(F.struct(*df.columns), order).alias(row_col))
+    return alone.unionByName(least.select(f"{row_col}.*"))

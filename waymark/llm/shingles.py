@@ -6,13 +6,14 @@ lower-casing A-Z. A text's set holds the hashes of its distinct runs of
 text or one without words has the empty set.
 
 A word's hash is a polynomial in random values of its bytes, taken from
-prefix sums over the whole batch; a shingle's hash mixes those of its
+prefix sums over a bounded piece; a shingle's hash mixes those of its
 words in order.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow as pa
 _BASE = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at once; longer batches go in slices.
+#: Bytes hashed at once; longer batches and texts go in slices.
 SLICE = 1 << 20
 
 
@@ -46,20 +47,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first byte, hash) of each word in ``data``."""
+    """(place of the first byte, hash) of each word in ``data``, hashed in pieces of about ``SLICE`` bytes cut at gaps."""
     gap = _GAP[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
     start, stop = edge[::2], edge[1::2]
-    room = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(room)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * up[: len(data)], out=prefix[1:])
-    return start, mix((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64))
-
-
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = []
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        till = max(at + 1, int(np.searchsorted(stop, start[at] + SLICE, side="right")))
+        low, high = int(start[at]), int(stop[till - 1])
+        up, down = _powers(1 << max(16, (high - low).bit_length()))
+        prefix = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_byte_values()[data[low:high]] * up[: high - low], out=prefix[1:])
+        a, b = start[at:till] - low, stop[at:till] - low
+        out[at:till] = mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64))
+        at = till
+    return start, out
+
+
+def sliced_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
+    """The sorted distinct shingle hashes of each text, in lists for about ``SLICE`` bytes of text or one text at a time."""
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=n + 1 + texts.offset)[texts.offset :] if n else np.zeros(1, np.int32)
     body = texts.buffers()[2] if n else None
@@ -69,17 +76,21 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     while at < n:
         stop = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + SLICE, side="right")) - 1)
         stop = min(stop, n)
-        out += _sets_of(data, offsets[at : stop + 1].astype(np.int64), valid[at:stop], k)
+        yield _sets_of(data, offsets[at : stop + 1].astype(np.int64), valid[at:stop], k)
         at = stop
-    return out
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """All sets of ``sliced_sets`` in one list."""
+    return [s for part in sliced_sets(texts, k) for s in part]
 
 
 def _sets_of(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, k: int) -> list[np.ndarray]:
     # a gap before each text keeps words of neighbours apart
     lengths = np.diff(offsets)
     flat = np.full(int(lengths.sum()) + len(lengths), 32, np.uint8)
-    target = np.arange(offsets[0], offsets[-1]) - offsets[0] + np.repeat(np.arange(1, len(lengths) + 1), lengths)
-    flat[target] = data[offsets[0] : offsets[-1]]
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), 1):
+        flat[a - offsets[0] + i : b - offsets[0] + i] = data[a:b]
     begins = np.concatenate(([0], np.cumsum(lengths + 1)))
     start, word = word_hashes(flat)
     bounds = np.searchsorted(start, begins)
