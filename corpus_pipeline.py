@@ -25,9 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates on 5-word shingles."""
-    gone = neardup.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates on 5-word shingles, that of smallest id: each row is decided by its own text, also rows that share an id or have none."""
+    return neardup.without_near_duplicates(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
