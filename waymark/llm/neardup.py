@@ -12,22 +12,31 @@ in a band share a bucket and are candidates. With 32 bands of 5 rows a
 pair at similarity 0.8 shares none with probability 3e-6.
 
 Texts of equal sets form one class, and classes are the nodes. In each
-bucket every member is compared with the one of least node, the pivot p.
-For a member x let ``dels`` be the shingles of p that x lacks and ``adds``
-those that only x has. If x is not linked with p, then x can be linked
-with another member y only if both share a deletion or an addition:
-otherwise their intersection is ``|p| - |dels x| - |dels y|``, which is
-too small already for x and p. So only members that meet in a bucket
-(p, sign, shingle) of these differences are paired, and of these only
-pairs that are not yet connected, hold such an x, and meet the size bound
-
-    |p| - max(|dels x|, |dels y|) + (shared additions, where there are
+bucket every member is compared with the one of least node, the pivot;
+all that share a bucket with a pivot p are its group. Groups that still
+hold several components are looked at again, by differences from a centre:
+let c be p's set, without the shingles that most of the group lack and
+with those that most of it have beside p's. For a member x let ``dels``
+be the shingles of c that x lacks and ``adds`` those that x has beyond c.
+Two members that share no difference have ``|c| - |dels x| - |dels y|``
+shingles in common and ``|c| + |adds x| + |adds y|`` in all, so they are
+linked if and only if the sum of their costs ``100 |dels| + percent |adds|``
+is at most ``(100 - percent) |c|``; shared differences only bring them
+nearer. So those that meet this bound with the member of least cost, the
+hub, are linked with it. The others, the strays, meet it with nobody, and
+can be linked only with members with which they share a difference. So
+only members that meet in a bucket (p, sign, shingle) of differences are
+paired, and of these only pairs that are not yet connected, hold a stray,
+and meet the size bound
+
+    |c| - max(|dels x|, |dels y|) + (shared additions, where there are
     any) >= the intersection that sets of these sizes need.
 
 They are confirmed from their differences, which give the intersection of
 the full sets exactly. Copies with changes of their own share few
-differences, so a large group of near copies gives few pairs; what is
-paired is exact for all pairs that share a bucket, and nothing is capped.
+differences from what most of them have, so a large group of near copies
+gives few pairs; what is paired is exact for all pairs that share a
+bucket, and nothing is capped.
 
 Rows are nodes by their text, not by their id: rows that share an id, or
 have none, are handled each by its own text. Documents with no words have
@@ -218,27 +227,66 @@ def _linked(common: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return (common > 0) & (common * (100 + percent) >= (n_a + n_b) * percent)
 
 
-def further_links(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links that ``found``, the components by pivots, has not connected; see the module's text.
+def _joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components ``found`` after ``edges`` are added."""
+    if edges.isEmpty():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
 
-    ``compared`` has the ``differences`` of members from their pivots, ``found`` is (node, component).
+
+def _labels(df: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``df`` with the component of its node ``name``, which is the node itself where ``found`` lacks it."""
+    comp = f"{name}_comp"
+    named = found.select(F.col("node").alias(name), F.col("component").alias(comp))
+    return df.join(named, name, "left").withColumn(comp, F.coalesce(comp, name))
+
+
+def centred(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The members of groups that hold several components, with their differences from the group's centre.
+
+    ``compared`` has the ``differences`` of members from their pivots; gives (p, x, x_comp, n_x, n_c, d, a, dels, adds,
+    stray, hub, hub_comp), the hub being the member of least cost.
     """
-    label = lambda df, name: df.join(found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_comp")), name, "left").withColumn(
-        f"{name}_comp", F.coalesce(f"{name}_comp", name)
+    none = F.array().cast("array<long>")
+    pivots = compared.select("p", F.col("p").alias("x"), "n_p", F.col("n_p").alias("n_x"), none.alias("dels"), none.alias("adds")).distinct()
+    members = _labels(compared.unionByName(pivots), found, "x")
+    groups = members.groupBy("p").agg(F.count("*").alias("n_members"), F.min("x_comp").alias("low"), F.max("x_comp").alias("high"))
+    groups = groups.where("low < high AND n_members > 2").select("p", "n_members")
+    members = written(members.join(groups, "p"), "members")
+    each = members.select("p", "n_members", F.lit(False).alias("added"), F.explode("dels").alias("shingle")).unionByName(
+        members.select("p", "n_members", F.lit(True).alias("added"), F.explode("adds").alias("shingle"))
     )
-    d, a = F.size("dels").cast("long"), F.size("adds").cast("long")
-    members = label(label(compared, "x"), "p").select("*", d.alias("d"), a.alias("a"), (~_linked(F.col("n_p") - d, F.col("n_p"), F.col("n_x"), percent)).alias("stray"))
+    most = each.groupBy("p", "n_members", "added", "shingle").agg(F.count("*").alias("n")).where("2 * n > n_members")
+    most = most.groupBy("p").agg(F.collect_list(F.when(~F.col("added"), F.col("shingle"))).alias("most_lack"), F.collect_list(F.when(F.col("added"), F.col("shingle"))).alias("most_have"))
+    d = members.join(most, "p", "left").withColumns({c: F.coalesce(c, none) for c in ("most_lack", "most_have")})
+    beyond = lambda own, most, other, lost: F.concat(F.array_except(own, most), F.array_except(lost, other))
+    d = d.select(
+        "p", "x", "x_comp", "n_x", (F.col("n_p") - F.size("most_lack") + F.size("most_have")).alias("n_c"),
+        beyond("dels", "most_lack", "adds", "most_have").alias("dels"), beyond("adds", "most_have", "dels", "most_lack").alias("adds"),
+    )
+    d = d.withColumn("d", F.size("dels").cast("long")).withColumn("a", F.size("adds").cast("long")).withColumn("cost", 100 * F.col("d") + percent * F.col("a"))
+    d = written(d, "centred")
+    discard(members)
+    hubs = d.groupBy("p").agg(F.min(F.struct("cost", F.col("x").alias("hub"), F.col("x_comp").alias("hub_comp"))).alias("h")).select("p", "h.*")
+    hubs = hubs.withColumnRenamed("cost", "hub_cost")
+    out = written(d.join(hubs, "p").withColumn("stray", F.col("cost") + F.col("hub_cost") > (100 - percent) * F.col("n_c")).drop("cost", "hub_cost"), "centred")
+    discard(d)
+    return out
+
+
+def further_links(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of strays that ``found`` has not connected; ``members`` is what ``centred`` gives."""
+    members = _labels(members.drop("x_comp", "hub", "hub_comp"), found, "x")
     # the largest set that may be linked with x if no addition is shared
-    room = F.floor((F.col("n_p") - F.col("d")) * (100 + percent) / percent) - F.col("n_x")
+    room = F.floor((F.col("n_c") - F.col("d")) * (100 + percent) / percent) - F.col("n_x")
     groups = members.groupBy("p").agg(
-        F.max(F.col("x_comp") != F.col("p_comp")).alias("mixed"), F.count("*").alias("n_members"), F.min("n_x").alias("least"), F.max(F.when(F.col("stray"), room)).alias("most_room")
+        F.min("x_comp").alias("low"), F.max("x_comp").alias("high"), F.min("n_x").alias("least"), F.max(F.when(F.col("stray"), room)).alias("most_room")
     )
-    groups = groups.where("mixed and n_members > 1").drop("mixed", "n_members")
-    members = written(members.join(groups, "p").drop("p_comp"), "members")
-
+    groups = groups.where("low < high AND most_room IS NOT NULL").drop("low", "high")
+    members = written(members.join(groups, "p"), "members")
     near = F.greatest(F.col("least"), F.ceil(F.col("n_x") * percent / 100))
     may_share_dels = (F.col("n_x") <= F.col("most_room")) | (F.col("stray") & (room >= near))
-    facts = ["p", "x", "n_p", "n_x", "d", "stray", "x_comp"]
+    facts = ["p", "x", "n_c", "n_x", "d", "stray", "x_comp"]
     tokens = written(
         members.select(*facts, F.lit(True).alias("added"), F.explode("adds").alias("shingle"))
         .unionByName(members.where(may_share_dels).select(*facts, F.lit(False).alias("added"), F.explode("dels").alias("shingle"))),
@@ -246,25 +294,27 @@ def further_links(compared: DataFrame, found: DataFrame, percent: int) -> DataFr
     )
     at = ["p", "added", "shingle"]
     meeting = tokens.groupBy(*at).agg(F.min("x_comp").alias("low"), F.max("x_comp").alias("high"), F.max("stray").alias("any")).where("low < high and any").select(*at)
-    tokens = written(tokens.join(meeting, at, "left_semi"), "meeting")
-    shared = tokens.where("added").groupBy("p", "x").agg(F.count("*").alias("n_added"))
-    tokens = tokens.join(shared, ["p", "x"], "left").withColumn("n_added", F.when(F.col("added"), F.col("n_added")).otherwise(0))
-    left = tokens.where("stray").alias("l")
+    meet = written(tokens.join(meeting, at, "left_semi"), "meeting")
+    discard(tokens)
+    shared = meet.where("added").groupBy("p", "x").agg(F.count("*").alias("n_added"))
+    tokens = meet.join(shared, ["p", "x"], "left").withColumn("n_added", F.when(F.col("added"), F.col("n_added")).otherwise(0))
+    left = tokens.where("stray")
     right = tokens.select(*at, *(F.col(c).alias(f"y_{c}") for c in ("x", "n_x", "d", "stray", "x_comp", "n_added")))
-    bound = F.col("n_p") - F.greatest("d", "y_d") + F.least("n_added", "y_n_added")
+    bound = F.col("n_c") - F.greatest("d", "y_d") + F.least("n_added", "y_n_added")
     candidates = (
         left.join(right, at)
         .where((F.col("x_comp") != F.col("y_x_comp")) & (~F.col("y_stray") | (F.col("x") < F.col("y_x"))) & _linked(bound, F.col("n_x"), F.col("y_n_x"), percent))
         .select("p", "x", F.col("y_x").alias("y")).distinct()
     )
     candidates = written(candidates, "candidates")
-    slim = members.select("p", "x", "n_p", "n_x", "d", "dels", "adds")
+    discard(meet)
+    slim = members.select("p", "x", "n_c", "n_x", "d", "dels", "adds")
     other = slim.select("p", *(F.col(c).alias(f"y_{c}") for c in ("n_x", "d", "dels", "adds")), F.col("x").alias("y"))
-    common = F.col("n_p") - F.col("d") - F.col("y_d") + F.size(F.array_intersect("dels", "y_dels")) + F.size(F.array_intersect("adds", "y_adds"))
+    common = F.col("n_c") - F.col("d") - F.col("y_d") + F.size(F.array_intersect("dels", "y_dels")) + F.size(F.array_intersect("adds", "y_adds"))
     links = candidates.join(slim, ["p", "x"]).join(other, ["p", "y"]).where(_linked(common, F.col("n_x"), F.col("y_n_x"), percent))
     out = written(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-    for df in (members, tokens, candidates):
-        discard(df)
+    discard(members)
+    discard(candidates)
     return out
 
 
@@ -292,11 +342,12 @@ def classified(df: DataFrame, key: str, text: str, k: int, percent: int, bands:
     discard(pairs)
     close = _linked(F.col("n_p") - F.size("dels"), F.col("n_p"), F.col("n_x"), percent)
     found = components(compared.where(close).select(F.col("p").alias("a"), F.col("x").alias("b")))
-    more = further_links(compared, found, percent)
+    members = centred(compared, found, percent)
     discard(compared)
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    discard(more)
+    near_hub = members.where("NOT stray AND x_comp <> hub_comp").select(F.col("hub").alias("a"), F.col("x").alias("b"))
+    found = _joined(found, near_hub)
+    found = _joined(found, further_links(members, found, percent))
+    discard(members)
 
     # the least id of each component of several classes
     labelled = classes.select("set_key", "rep", "rep_key", "node")
