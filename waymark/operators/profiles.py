@@ -44,13 +44,22 @@ def newest_event(df: DataFrame, times: list[str], upto: Column) -> DataFrame:
     return df.where(at <= upto).agg(F.max(at).alias("newest"), F.count("*").alias("n"))
 
 
-def feature_audit(df: DataFrame, columns: list[str], sparse_ok: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, spread, range and zeros of each column, and a status: constant, few, saturated, empty, sparse or ok."""
-    d = _long(df, columns, lambda c: [F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"), F.count(c).alias("n"), F.count_if(F.col(c) == 0).alias("zeros")])
-    zero = F.col("zeros") / F.col("n")
+def feature_audit(df: DataFrame, columns: list[str], sparse_ok: tuple[str, ...] = (), constant_ok: tuple[str, ...] = (), few: int = 50) -> DataFrame:
+    """Mean, spread, range and zeros of each column, and a status.
+
+    In this order: constant (no spread), few (under ``few`` values that are not zero), saturated (hardly any spread
+    about a value other than zero), empty (over 98 % zero), sparse (over 90 %), else ok. Expected cases end in ``-ok``.
+    """
+    d = _long(df, columns, lambda c: [
+        F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"),
+        F.count(c).alias("n"), F.count_if(F.col(c) == 0).alias("zeros"),
+    ])
+    zero, sd = F.col("zeros") / F.col("n"), F.coalesce("sd", F.lit(0.0))
+    known = lambda names, name: F.when(F.col("column").isin(*names), f"{name}-ok").otherwise(name)
     status = (
-        F.when(F.col("least") == F.col("most"), "constant").when(F.col("n") - F.col("zeros") < 50, "few").when((zero > 0.98) & ~F.col("column").isin(*sparse_ok), "empty").when(zero > 0.5, "sparse").otherwise("ok")
-    )
+        F.when(sd < 1e-8, known(constant_ok, "constant")).when(F.col("n") - F.col("zeros") < few, F.lit("few"))
+        .when((sd < 0.01) & (F.abs("mean") > 0.01), F.lit("saturated")).when(zero > 0.98, known(sparse_ok, "empty")).when(zero > 0.90, F.lit("sparse")).otherwise("ok")
+    )
     return d.withColumn("status", status)
 
 
@@ -68,19 +77,40 @@ def calendar_coverage(days: DataFrame, split: str, day: str) -> DataFrame:
     return seen.select(split, F.explode(pairs).alias("x")).select(split, "x.*")
 
 
-def split_difficulty(df: DataFrame, split: str, trip: str, step: str, big: float = 30.0) -> DataFrame:
-    """Per split: trips, steps, their mean and spread, and the percentages of big rises and falls."""
-    s = F.col(step)
-    share = lambda c: 100 * F.count_if(c) / F.count(step)
-    return df.groupBy(split).agg(F.countDistinct(trip).alias("trips"), F.count(step).alias("n"), share(s > big).alias("rise_pct"), share(s < -big).alias("fall_pct"), F.avg(step).alias("mean"), F.stddev_pop(step).alias("sd"))
-
-
-def exposure_buckets(train: DataFrame, test: DataFrame, key: str, day: str, edges: tuple[int, ...]) -> DataFrame:
-    """Keys and test rows by the number of training days of their key."""
-    days = train.groupBy(key).agg(F.countDistinct(day).alias("days"))
-    rows = test.groupBy(key).agg(F.count("*").alias("rows")).join(days, key, "left")
-    bucket = sum(((F.coalesce("days", F.lit(0)) >= e).cast("long") for e in edges), F.lit(0).cast("long"))
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("services"), F.sum("rows").alias("test_rows"))
+def split_difficulty(stops: DataFrame, split: str, trip: str, order: str, delay: str, eligible: Column, big: float = 30.0) -> DataFrame:
+    """Per split, over eligible trips with two known delays: trips, steps between consecutive known delays, their mean and
+    spread, and the percentages of big rises and falls."""
+    known = stops.where(eligible & F.col(delay).isNotNull())
+    s = known.select(split, trip, (F.col(delay) - F.lag(delay).over(W.partitionBy(trip).orderBy(order))).alias("s")).where("s IS NOT NULL")
+    share = lambda c: 100 * F.count_if(c) / F.count("*")
+    return s.groupBy(split).agg(
+        F.countDistinct(trip).alias("trips"), F.count("*").alias("n"), share(F.col("s") > big).alias("rise_pct"), share(F.col("s") < -big).alias("fall_pct"),
+        F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"),
+    )
+
+
+def exposure_buckets(trips: DataFrame, test_rows: DataFrame, key: str, split: str, edges: tuple[int, ...]) -> DataFrame:
+    """Services and test rows by the number of training trips of their service; services without test rows count as well.
+
+    ``trips`` has a row per trip with its split, ``test_rows`` a row per test stop that counts. Buckets are numbered by
+    how many of the ascending ``edges`` are reached.
+    """
+    services = trips.groupBy(key).agg(F.count_if(F.col(split) == "train").alias("days"))
+    rows = services.join(test_rows.groupBy(key).agg(F.count("*").alias("rows")), key, "left")
+    bucket = sum(((F.col("days") >= e).cast("long") for e in edges), F.lit(0).cast("long"))
+    d = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("services"), F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("test_rows"))
+    return d.withColumn("share", F.col("test_rows") / F.nullif(F.sum("test_rows").over(W.partitionBy(F.lit(1))), F.lit(0)))  # a row per bucket
+
+
+def delay_increments(stops: DataFrame, trip: str, order: str, observed: Column, eligible: Column) -> DataFrame:
+    """The positive increments of delay of eligible trips between observed stops, with the stop they end at: ``gain`` minutes
+    standing (``hold``) at it, or running to it from the last observed stop."""
+    seen = stops.where(observed & eligible)
+    run = F.col("arr_delay") - F.lag("dep_delay").over(W.partitionBy(trip).orderBy(order))
+    one = F.array(
+        F.struct((F.col("dep_delay") - F.col("arr_delay")).alias("gain"), F.lit(True).alias("hold")), F.struct(run.alias("gain"), F.lit(False).alias("hold"))
+    )
+    return seen.withColumn("_i", one).select(*stops.columns, F.inline("_i")).where("gain > 0")
 
 
 def drop_partial_days(df: DataFrame, day: str, trip: str, least: int) -> DataFrame:
@@ -89,10 +119,19 @@ def drop_partial_days(df: DataFrame, day: str, trip: str, least: int) -> DataFra
     return df.join(full, day, "left_semi")
 
 
-def register_services(df: DataFrame, service: str, order: list[str], keep: list[str]) -> DataFrame:
-    """The first record of each service with its position among the sorted services; numbering runs over distinct services only."""
+def register_services(df: DataFrame, service: str, order: list[str], keep: list[str], parts: int = 64) -> DataFrame:
+    """The first record of each service with its position among the sorted services.
+
+    Services are dealt to ranges, numbered inside them and moved up by the services of the ranges before, so only a row
+    per range is ordered without a key.
+    """
     first = df.groupBy(service).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("_f")).select(service, "_f.*")
-    return first.withColumn("index", (F.row_number().over(W.orderBy(service)) - 1).cast("long"))
+    ranged = first.repartitionByRange(parts, service).withColumn("_part", F.spark_partition_id())
+    inside = W.partitionBy("_part").orderBy(service)
+    numbered = ranged.withColumn("_nth", F.row_number().over(inside))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(before, "_part").withColumn("index", (F.col("_before") + F.col("_nth") - 1).cast("long")).drop("_part", "_nth", "_before")
 
 
 def status_counts(df: DataFrame, **counted: Column) -> DataFrame:
@@ -100,10 +139,10 @@ def status_counts(df: DataFrame, **counted: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in counted.items()))
 
 
-def extreme_trips(stops: DataFrame, trip: str, delay: Column, over: float, k: int) -> DataFrame:
-    """The ``k`` trips whose delay exceeds ``over`` by most."""
-    worst = stops.groupBy(trip).agg(F.max(F.abs(delay)).alias("worst")).where(F.col("worst") > over)
-    return worst.orderBy(F.desc("worst"), trip).limit(k)
+def extreme_trips(stops: DataFrame, trip: str, delay: Column, eligible: Column, over: float, k: int) -> DataFrame:
+    """Of eligible trips and of the others each the ``k`` whose delay exceeds ``over`` by most."""
+    worst = stops.groupBy(trip).agg(F.max(F.abs(delay)).alias("worst"), F.bool_and(eligible).alias("eligible")).where(F.col("worst") > over)
+    return top_k_per_group(worst, ["eligible"], [F.desc("worst"), F.col(trip)], k).drop("rank")
 
 
 def provenance_mix(df: DataFrame, fields: dict[str, tuple[Column, Column]]) -> DataFrame:

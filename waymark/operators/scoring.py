@@ -45,19 +45,34 @@ def event_detection(scored: DataFrame, rules: dict[str, tuple[Column, Column]])
     )
 
 
-def journey_robust_stats(scored: DataFrame, trip: str, runaway: float, trim: float = 0.05) -> DataFrame:
-    """Per-trip MAE on a grid of 1/100 minute, then mean, rank-picked quantiles, trimmed mean and the number over ``runaway``."""
-    mae = F.floor(F.avg(F.abs(F.col("pred") - F.col("actual"))) * 100 + 0.5).cast("long")
-    hist = scored.groupBy(trip).agg(mae.alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    every = W.partitionBy(F.lit(1))
+def rollout_rules(size: float = 30.0) -> dict[str, tuple[Column, Column]]:
+    """Rises and falls over ``size`` against persistence; a forecast of half of it counts as seen."""
+    rise, told = F.col("actual") - F.col("persist"), F.col("pred") - F.col("persist")
+    return {"spike": (rise > size, told > size / 2), "recovery": (-rise > size, -told > size / 2)}
+
+
+def journey_robust_stats(scored: DataFrame, trip: str, hop: str, trim: float = 0.05) -> DataFrame:
+    """A row for the model and one for persistence: of the trips' MAEs (on a grid of 1/100 minute) the mean, rank-picked
+    quantiles and trimmed mean, and the number of runaways.
+
+    A trip of at least four forecasts runs away if, in order of hops, its last error is over 40 and more than 20 above
+    the middle one.
+    """
+    one = F.array(F.struct(F.lit("model").alias("series"), F.col("pred").alias("x")), F.struct(F.lit("persistence").alias("series"), F.col("persist").alias("x")))
+    d = scored.select(trip, hop, "actual", F.explode(one).alias("s")).select(trip, hop, "s.series", F.abs(F.col("s.x") - F.col("actual")).alias("err"))
+    errors = F.transform(F.array_sort(F.collect_list(F.struct(hop, "err"))), lambda x: x["err"])
+    d = d.groupBy("series", trip).agg(F.floor(F.avg("err") * 100 + 0.5).cast("long").alias("v"), errors.alias("e"))
+    last, middle = F.element_at("e", -1), F.get("e", F.floor(F.size("e") / 2).cast("int"))
+    d = d.withColumn("runs_away", (F.size("e") >= 4) & (last > 40) & (last > middle + 20))
+    hist = d.groupBy("series", "v").agg(F.count("*").alias("c"), F.count_if("runs_away").alias("r"))
+    every = W.partitionBy("series")
     hist = hist.withColumn("n", F.sum("c").over(every)).withColumn("cum", F.sum("c").over(every.orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
     cut = F.floor(F.col("n") * F.lit(trim))
     inside = F.greatest(F.lit(0).cast("long"), F.least(F.col("cum"), F.col("n") - cut) - F.greatest(F.col("cum") - F.col("c"), cut))
-    at = lambda q: F.min(F.when(F.col("cum") >= F.floor(F.col("n") * F.lit(q)) + 1, F.col("v"))) / 100
-    return hist.agg(
+    at = lambda q: F.min(F.when(F.col("cum") >= F.least(F.floor(F.col("n") * F.lit(q)) + 1, F.col("n")), F.col("v"))) / 100
+    return hist.groupBy("series").agg(
         F.sum("c").alias("trips"), (F.sum(F.col("v") * F.col("c")) / F.sum("c") / 100).alias("mean"), at(0.5).alias("median"),
-        (F.sum(F.col("v") * inside) / F.sum(inside) / 100).alias("trimmed"), at(0.75).alias("p75"), at(0.9).alias("p90"),
-        F.coalesce(F.sum(F.when(F.col("v") > runaway * 100, F.col("c"))), F.lit(0).cast("long")).alias("runaways"),
+        (F.sum(F.col("v") * inside) / F.sum(inside) / 100).alias("trimmed"), at(0.75).alias("p75"), at(0.9).alias("p90"), F.sum("r").alias("runaways"),
     )
 
 
@@ -76,47 +91,71 @@ def threshold_detection(scored: DataFrame, thresholds: list[float]) -> DataFrame
     return d.withColumn("recall", share("fn")).withColumn("precision", share("fp"))
 
 
-def baseline_gain(scored: DataFrame) -> DataFrame:
-    """MAE of the prediction, of zero, of the best constant (the median) and of persistence; one row."""
-    constant = ranked_quantiles(scored.withColumn("_all", F.lit(1)), ["_all"], "actual", constant=0.5).select("constant")
-    d = scored.crossJoin(F.broadcast(constant))  # one row
+def baseline_gain(scored: DataFrame, bucket: Column) -> DataFrame:
+    """Per bucket and for ``all``: MAE of the prediction, of zero, of the best constant (the bucket's median) and of persistence."""
+    d = scored.select("pred", "actual", "persist", F.explode(F.array(bucket, F.lit("all"))).alias("bucket"))
+    constant = ranked_quantiles(d, ["bucket"], "actual", constant=0.5)
     off = lambda x: F.avg(F.abs(x - F.col("actual")))
-    return d.agg(
-        off(F.col("pred")).alias("mae"), off(F.lit(0)).alias("mae_zero"), off(F.col("constant")).alias("mae_constant"), off(F.col("persist")).alias("mae_persist")
+    return d.join(constant, "bucket").groupBy("bucket").agg(
+        F.count("*").alias("n"), off(F.col("pred")).alias("mae"), off(F.lit(0)).alias("mae_zero"), off(F.col("constant")).alias("mae_constant"), off(F.col("persist")).alias("mae_persist")
     )
 
 
-def duplication_profile(at: DataFrame, keys: list[str]) -> DataFrame:
-    """How many groups of ``keys`` have how many rows, and the share of all rows they hold."""
-    sizes = at.groupBy(*keys).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
-    rows = F.col("size") * F.col("groups")
-    return sizes.withColumn("share", rows / F.sum(rows).over(W.partitionBy(F.lit(1))))
+def duplication_profile(at: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """How often a key is supervised: a row per class of group sizes (1, 2-3, 4-7, 8-15, 16+) with its groups, rows and share
+    of all rows, and the groups of several rows whose target is the same in all of them."""
+    sizes = at.groupBy(*keys).agg(F.count("*").alias("size"), (F.max(target) - F.min(target)).alias("spread"))
+    name = F.when(F.col("size") == 1, "1").when(F.col("size") <= 3, "2-3").when(F.col("size") <= 7, "4-7").when(F.col("size") <= 15, "8-15").otherwise("16+")
+    same = (F.col("size") > 1) & (F.coalesce("spread", F.lit(0)) == 0)
+    d = sizes.groupBy(name.alias("class")).agg(F.count("*").alias("groups"), F.sum("size").alias("rows"), F.count_if(same).alias("constant"))
+    return d.withColumn("share", F.col("rows") / F.sum("rows").over(W.partitionBy(F.lit(1))))  # five rows
 
 
-def position_in_stand(at: DataFrame, keys: list[str], tick: str, error: Column, cap: int = 3) -> DataFrame:
-    """Mean error by the k-th tick of a stand counted from its start and from its end; later ones count as ``cap``."""
+def group_sizes(at: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: groups, rows, and median, P90 and largest size of a group."""
+    sizes = at.groupBy(*keys).agg(F.count("*").alias("size")).withColumn("_all", F.lit(1))
+    total = sizes.groupBy("_all").agg(F.count("*").alias("groups"), F.sum("size").alias("rows"), F.max("size").alias("largest"))
+    return total.join(ranked_quantiles(sizes, ["_all"], "size", median=0.5, p90=0.9), "_all").drop("_all")
+
+
+def position_in_stand(at: DataFrame, keys: list[str], tick: str, error: Column, shortest: int = 4, cap: int = 9) -> DataFrame:
+    """Mean error by the k-th tick of a stand (from 0) counted from its start and from its end, in stands of at least
+    ``shortest`` ticks, ticks from ``cap`` on together; and of their first tick, all later ones, and all rows of any stand."""
     w = W.partitionBy(*keys)
-    k = lambda order: F.least(F.row_number().over(w.orderBy(order)), F.lit(cap)).cast("long")
-    d = at.withColumn("_e", error).withColumn("_s", k(F.col(tick))).withColumn("_t", k(F.desc(tick)))
-    ends = F.array(F.struct(F.lit("start").alias("side"), F.col("_s").alias("k")), F.struct(F.lit("end").alias("side"), F.col("_t").alias("k")))
+    k = lambda order: F.row_number().over(w.orderBy(order)).cast("long") - 1
+    d = at.withColumn("_e", error).withColumn("_s", k(F.col(tick))).withColumn("_t", k(F.desc(tick))).withColumn("_long", F.col("_s") + F.col("_t") + 1 >= shortest)
+    top = lambda c: F.least(F.col(c), F.lit(cap).cast("long"))
+    row = lambda side, k: F.struct(F.lit(side).alias("side"), k.cast("long").alias("k"))
+    none = F.lit(None)
+    in_long = F.array(row("start", top("_s")), row("end", top("_t")), F.when(F.col("_s") == 0, row("first", none)).otherwise(row("later", none)))
+    ends = F.concat(F.array(row("all", none)), F.when(F.col("_long"), in_long).otherwise(F.slice(in_long, 1, 0)))
     return d.select("_e", F.explode(ends).alias("p")).groupBy("p.side", "p.k").agg(F.count("*").alias("n"), F.avg("_e").alias("mae"))
 
 
-def lift_table(scored: DataFrame, flag: Column, size: Column, thresholds: list[float]) -> DataFrame:
-    """How often ``flag`` holds where ``size`` exceeds each threshold, where it doesn't, and the ratio."""
-    d = scored.select(flag.cast("double").alias("f"), size.alias("s"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    d = d.groupBy("threshold").agg(F.avg(F.when(F.col("s") > F.col("threshold"), F.col("f"))).alias("p_large"), F.avg(F.when(F.col("s") <= F.col("threshold"), F.col("f"))).alias("p_small"))
-    return d.withColumn("lift", F.col("p_large") / F.nullif(F.col("p_small"), F.lit(0.0)))
+def lift_table(events: DataFrame, flag: Column, size: Column, hold: Column, thresholds: list[float]) -> DataFrame:
+    """For all events and for holds only: events over each threshold, how often ``flag`` holds for them and for the others, and
+    the ratio. Thresholds that no event exceeds are left out."""
+    d = events.select(flag.cast("double").alias("f"), size.alias("s"), hold.alias("h"), F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    d = d.select("*", F.explode(F.when(F.col("h"), F.array(F.lit("all"), F.lit("holds"))).otherwise(F.array(F.lit("all")))).alias("of"))
+    big = F.col("s") > F.col("threshold")
+    d = d.groupBy("of", "threshold").agg(F.count_if(big).alias("n_large"), F.avg(F.when(big, F.col("f"))).alias("p_large"), F.avg(F.when(~big, F.col("f"))).alias("p_small"))
+    return d.where("n_large > 0").withColumn("lift", F.col("p_large") / F.nullif(F.col("p_small"), F.lit(0.0)))
 
 
-def auc_single(df: DataFrame, feature: str, label: Column) -> DataFrame:
-    """Rank AUC of one feature, ties at their average rank, whichever direction is better; counts by distinct value come first."""
-    h = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("m"))
-    below = W.partitionBy(F.lit(1)).orderBy(feature).rowsBetween(W.unboundedPreceding, -1)
-    h = h.withColumn("_below", F.coalesce(F.sum("m").over(below), F.lit(0)))
+def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12) -> DataFrame:
+    """The ``top`` features by rank AUC, ties at their average rank, whichever direction is better; constant ones are left out.
+
+    All features are counted by distinct value in one pass, so a window holds a feature's distinct values, not its rows;
+    put continuous features on a grid before.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features))
+    h = df.select(label.alias("y"), F.inline(cells)).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("m"))
+    w = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    h = h.withColumn("_below", F.coalesce(F.sum("m").over(w), F.lit(0)))
     won = F.sum(F.col("p") * (F.col("_below") + F.col("m") / 2))
     a = won / F.nullif((F.sum("p") * F.sum("m")).cast("double"), F.lit(0.0))
-    return h.agg(F.greatest(a, 1 - a).alias("auc"), F.sum("p").alias("positives"), F.sum("m").alias("negatives"))
+    found = h.groupBy("feature").agg(F.count("*").alias("_n"), F.greatest(a, 1 - a).alias("auc"), F.sum("p").alias("positives"), F.sum("m").alias("negatives"))
+    return found.where("_n > 1").drop("_n").orderBy(F.desc("auc"), "feature").limit(top)
 
 
 def precision_at_recall(df: DataFrame, score: str, label: Column, recalls: list[float]) -> DataFrame:

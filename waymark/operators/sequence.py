@@ -88,6 +88,17 @@ def delay_now(at: DataFrame, hold: bool = False) -> DataFrame:
     return at.withColumn("delay", seen)
 
 
+def departure_delay() -> Column:
+    """The delay with which a trip leaves its stop, as known at its tick; unknown delays count as none.
+
+    Under way it is the observed one. A standing trip has not left: it will leave no earlier than now, and no less late
+    than it came.
+    """
+    zero = F.lit(0).cast("long")
+    held = F.greatest(F.coalesce("arr_delay", zero), F.col("tick") - F.col("sched_dep"))
+    return F.when(F.col("mode") == "at_station", held).otherwise(F.coalesce("dep_delay", zero))
+
+
 def look_ahead(stops: DataFrame) -> DataFrame:
     """Adds the next stop's station and booked arrival, and the slack booked at the next stop and at all later ones."""
     slack = (F.col("sched_dep") - F.col("sched_arr")).cast("long")
@@ -109,15 +120,22 @@ def eta_next(at: DataFrame) -> DataFrame:
 def path_etas(at: DataFrame, stops: DataFrame, horizon: int, keys: tuple[str, ...] = ("blk", "tick")) -> DataFrame:
     """Minutes to each station ahead of a trip at its tick, cut for good at the first one over ``horizon``.
 
-    A standing trip has its own station at 0. A station that comes twice keeps the later stop's value.
+    From the departure delay known at the tick and booked times. A standing trip has its own station at 0. A station
+    that comes twice keeps the later stop's value. Each stop carries its later ones as an array, so positions are dealt
+    once, and an array is no longer than its trip.
     """
-    later = stops.select(TRIP, F.col(ORDER).alias("k"), F.col("station_id").alias("at_station_id"), F.col("sched_arr").alias("k_arr"))
-    ahead = at.join(later, TRIP).where(F.col("k") > F.col(ORDER))
-    eta = F.col("delay") + F.greatest(F.lit(0).cast("long"), F.col("k_arr") - F.col("sched_dep"))
-    ahead = ahead.withColumn("eta", eta).withColumn("top", F.max("eta").over(W.partitionBy(TRIP, *keys).orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    ahead = ahead.where(F.col("top") <= horizon).select(TRIP, *keys, F.col("at_station_id").alias("station_id"), "k", "eta")
-    own = at.where(F.col("mode") == "at_station").select(TRIP, *keys, "station_id", F.col(ORDER).alias("k"), F.lit(0).cast("long").alias("eta"))
-    return ahead.unionByName(own).groupBy(TRIP, *keys, "station_id").agg(F.max_by("eta", "k").alias("eta"))
+    zero = F.lit(0).cast("long")
+    later = F.collect_list(F.struct(F.col(ORDER).alias("k"), "station_id", "sched_arr")).over(along().rowsBetween(1, W.unboundedFollowing))
+    ahead = at.join(stops.select(TRIP, ORDER, later.alias("_later")), [TRIP, ORDER])
+    ahead = ahead.withColumn("_from", departure_delay())
+    eta = lambda x: F.col("_from") + F.greatest(zero, x["sched_arr"] - F.col("sched_dep"))
+    etas = F.transform("_later", lambda x: F.struct(x["k"].alias("k"), x["station_id"].alias("station_id"), eta(x).alias("eta")))
+    first_over = F.array_position(F.transform("_etas", lambda x: x["eta"] > horizon), F.lit(True))
+    kept = F.when(first_over > 0, F.slice("_etas", 1, F.greatest(zero, first_over - 1).cast("int"))).otherwise(F.col("_etas"))
+    own = F.struct(F.col(ORDER).alias("k"), F.col("station_id"), zero.alias("eta"))
+    listed = F.when(F.col("mode") == "at_station", F.concat(F.array(own), kept)).otherwise(kept)
+    rows = ahead.withColumn("_etas", etas).select(TRIP, *keys, F.inline(listed))
+    return rows.groupBy(TRIP, *keys, "station_id").agg(F.max_by("eta", "k").alias("eta"))
 
 
 def junction_etas(etas: DataFrame, junctions: tuple[int, ...], default: int = 90) -> DataFrame:
@@ -127,21 +145,60 @@ def junction_etas(etas: DataFrame, junctions: tuple[int, ...], default: int = 90
     return j.select(TRIP, "blk", "tick", get(0).alias("nearest"), get(1).alias("second"), F.size("_j").alias("n_junctions"))
 
 
-def horizon_targets(stops: DataFrame, n: int = 8) -> DataFrame:
-    """Arrival delays of the next ``n`` stops with a mask of which are known."""
-    leads = [F.lead("arr_delay", k).over(along()) for k in range(1, n + 1)]
-    d = stops.withColumn("targets", F.array(*(F.coalesce(x, F.lit(0).cast("long")) for x in leads)))
-    return d.withColumn("mask", F.array(*(x.isNotNull().cast("int") for x in leads)))
+def dwell_stage(edges: tuple[float, ...] = (5, 15, 30)) -> Column:
+    """The stage of a stand by the minutes stood so far; 0 while under way."""
+    from waymark.functions.columns import stage_bucket
+
+    return stage_bucket(F.when(F.col("mode") == "at_station", F.greatest(F.lit(0).cast("long"), F.col("tick") - F.col("arr"))).otherwise(0), edges)
+
+
+def with_fresh(at: DataFrame, edges: tuple[float, ...] = (5, 15, 30)) -> DataFrame:
+    """Adds ``stage`` and ``fresh``: whether a row is the first of its trip, stop, mode and stage."""
+    d = at.withColumn("stage", dwell_stage(edges))
+    first = F.row_number().over(W.partitionBy(TRIP, ORDER, "mode", "stage").orderBy("tick")) == 1
+    return d.withColumn("fresh", first)
 
 
 def first_per_stage(at: DataFrame, edges: tuple[float, ...] = (5, 15, 30)) -> DataFrame:
     """The first tick of each trip, stop, mode and dwell stage."""
-    from waymark.functions.columns import stage_bucket
+    return with_fresh(at, edges).where("fresh").drop("fresh")
 
-    since = F.when(F.col("mode") == "at_station", F.col("tick") - F.col("arr")).otherwise(F.col("tick") - F.col("dep"))
-    d = at.withColumn("stage", stage_bucket(since, edges))
-    w = W.partitionBy(TRIP, ORDER, "mode", "stage").orderBy("tick")
-    return d.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+def next_targets(stops: DataFrame, n: int, target: Column, eligible: Column) -> DataFrame:
+    """Adds ``_next``: of the next ``n`` stops the arrival and departure delay, and whether they count as targets.
+
+    That is where the stop is a ``target``, its arrival was observed, and the trip is ``eligible``.
+    """
+    ok = target & eligible & F.col("arr_delay").isNotNull()
+    item = F.struct(F.col("arr_delay"), F.coalesce("dep_delay", "arr_delay").alias("dep_delay"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return stops.withColumn("_next", F.collect_list(item).over(along().rowsBetween(1, n)))
+
+
+def horizon_targets(at: DataFrame, n: int = 8) -> DataFrame:
+    """Adds ``targets`` and ``mask``: arrival delays of the next ``n`` stops, only on ``fresh`` rows; masked ones are 0.
+
+    ``at`` has positions of ``next_targets`` with ``with_fresh``.
+    """
+    zero = F.lit(0).cast("long")
+    ok = lambda k: F.col("fresh") & F.coalesce(F.get("_next", F.lit(k))["ok"], F.lit(False))
+    d = at.withColumn("targets", F.array(*(F.when(ok(k), F.get("_next", F.lit(k))["arr_delay"]).otherwise(zero) for k in range(n))))
+    return d.withColumn("mask", F.array(*(ok(k).cast("int") for k in range(n))))
+
+
+def departure_targets(at: DataFrame, longest: int = 190) -> DataFrame:
+    """Adds the next stop's departure delay and the minutes still to stand, each with a mask; masked ones are 0.
+
+    The first counts where the next arrival is a target, the second on fresh standing rows up to ``longest`` minutes.
+    """
+    zero = F.lit(0).cast("long")
+    first = F.get("_next", F.lit(0))
+    ok = F.col("fresh") & F.coalesce(first["ok"], F.lit(False))
+    rest = F.col("dep") - F.col("tick")
+    stands = F.col("fresh") & (F.col("mode") == "at_station") & rest.between(0, longest)
+    return at.select(
+        "*", F.when(ok, first["dep_delay"]).otherwise(zero).alias("next_departure_delay"), ok.cast("int").alias("next_departure_mask"),
+        F.when(stands, rest).otherwise(zero).alias("remaining_dwell"), stands.cast("int").alias("remaining_dwell_mask"),
+    )
 
 
 def leg_plausibility(stops: DataFrame, limit: int = 180) -> DataFrame:
@@ -165,27 +222,67 @@ def anchor_time(stops: DataFrame) -> DataFrame:
     return stops.groupBy(TRIP).agg(F.coalesce(first("actual_arr"), first("sched_arr"), first("sched_dep")).alias("anchor"))
 
 
-def prefix_features(stops: DataFrame) -> DataFrame:
-    """What a trip's earlier stops tell at each stop: count, last delay, trend over three, maximum, spread and mean of steps, falls."""
-    d = stops.withColumn("_d", F.coalesce("arr_delay", "dep_delay", "prev_delay")).withColumn("_step", F.col("_d") - F.lag("_d").over(along()))
-    last5 = along().rowsBetween(-5, -1)
+def prefix_features(stops: DataFrame, km: str = "km") -> DataFrame:
+    """What a trip's earlier stops tell at each stop, from observed arrivals alone; 0 where none is observed.
+
+    Count, last delay, trend (last less fourth last, or the first), maximum, kilometres, spread of the steps between
+    observed arrivals, minutes recovered, and mean of the last five steps.
+    """
+    seen = F.col("arr_delay").isNotNull()
+    d = stops.withColumn("_step", F.when(seen, F.col("arr_delay") - F.last("arr_delay", ignorenulls=True).over(before())))
+    among = W.partitionBy(TRIP, seen).orderBy(ORDER)
+    d = d.withColumn("_three", F.when(seen, F.coalesce(F.sum("_step").over(among.rowsBetween(-2, 0)), F.lit(0))))
+    d = d.withColumn("_five", F.when(seen, F.avg("_step").over(among.rowsBetween(-4, 0))))
+    last = lambda c: F.last(c, ignorenulls=True).over(before())
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
     return d.select(
         TRIP, ORDER,
-        F.count("_d").over(before()).alias("n_prior"),
-        F.lag("_d").over(along()).alias("last_delay"),
-        (F.lag("_d", 1).over(along()) - F.lag("_d", 3).over(along())).alias("trend3"),
-        F.max("_d").over(before()).alias("max_delay"),
-        F.stddev_pop("_step").over(before()).alias("step_sd"),
-        F.coalesce(F.sum(F.when(F.col("_step") < 0, -F.col("_step"))).over(before()), F.lit(0)).alias("falls"),
-        F.avg("_step").over(last5).alias("mean_step5"),
+        F.count("arr_delay").over(before()).alias("n_prior"),
+        F.coalesce(last("arr_delay"), zero).alias("last_delay"),
+        F.coalesce(last("_three"), zero).alias("trend"),
+        F.coalesce(F.max("arr_delay").over(before()), zero).alias("max_delay"),
+        F.coalesce(F.max(km).over(before()), none).alias("km"),
+        F.coalesce(F.stddev_pop("_step").over(before()), none).alias("step_sd"),
+        F.coalesce(F.sum(F.when(F.col("_step") < 0, -F.col("_step"))).over(before()), zero).alias("recovered"),
+        F.coalesce(last("_five"), none).alias("mean_step5"),
     )
 
 
-def journey_history(stops: DataFrame, n: int = 20) -> DataFrame:
-    """The last ``n`` stops so far as an array of structs, and how many there are."""
-    frame = along().rowsBetween(-(n - 1), 0)
-    item = F.struct(F.col("station_id"), F.coalesce("arr_delay", F.lit(0).cast("long")).alias("arr_delay"), F.coalesce("dep_delay", F.lit(0).cast("long")).alias("dep_delay"))
-    d = stops.withColumn("history", F.collect_list(item).over(frame))
+HISTORY = ("delay", "step", "at_stop", "dwell", "over_run", "booked_leg", "halt", "observed")
+
+
+def with_history(timed: DataFrame, halt: Column, n: int = 20) -> DataFrame:
+    """Adds ``_history``: of the last ``n`` stops so far the values named in ``HISTORY``, in minutes, as if all were completed."""
+    zero = F.lit(0).cast("long")
+    d = timed.withColumn("_d", F.coalesce("arr_delay", "est"))
+    d = d.withColumn("_prev", F.coalesce(F.lag("_d").over(along()), F.first("est_arr").over(along())))
+    last = lambda c: F.lag(c).over(along())
+    leg = F.coalesce(F.greatest(zero, F.col("sched_arr") - last("sched_dep")), zero)
+    run = F.coalesce(F.greatest(zero, F.col("arr") - last("dep")), zero)
+    d = d.withColumn("_leg", leg).withColumn("_over", run - leg).withColumn("_halt", halt.cast("long"))
+    item = F.struct(
+        F.col("_d").alias("delay"), (F.col("_d") - F.col("_prev")).alias("step"), (F.coalesce("dep_delay", "_d") - F.col("_d")).alias("at_stop"),
+        F.greatest(zero, F.col("dep") - F.col("arr")).alias("dwell"), F.col("_over").alias("over_run"), F.col("_leg").alias("booked_leg"),
+        F.col("_halt").alias("halt"), F.col("actual_arr").isNotNull().cast("long").alias("observed"),
+    )
+    return d.withColumn("_history", F.collect_list(item).over(along().rowsBetween(-(n - 1), 0)))
+
+
+def journey_history(at: DataFrame) -> DataFrame:
+    """Adds ``history`` and ``n_history`` to positions of ``with_history``.
+
+    The stop at which a trip stands has not been left: its entry has the minutes stood so far and the delay that the
+    clock shows, and nothing of its departure.
+    """
+    zero = F.lit(0).cast("long")
+    delay = F.coalesce("arr_delay", "est_arr")
+    pending = F.struct(
+        delay.alias("delay"), (delay - F.col("_prev")).alias("step"), (F.greatest(delay, F.col("tick") - F.col("sched_dep")) - delay).alias("at_stop"),
+        F.greatest(zero, F.col("tick") - F.col("arr")).alias("dwell"), F.col("_over").alias("over_run"), F.col("_leg").alias("booked_leg"),
+        F.col("_halt").alias("halt"), F.col("actual_arr").isNotNull().cast("long").alias("observed"),
+    )
+    done = F.concat(F.slice("_history", 1, F.size("_history") - 1), F.array(pending))
+    d = at.withColumn("history", F.when(F.col("mode") == "at_station", done).otherwise(F.col("_history")))
     return d.withColumn("n_history", F.size("history"))
 
 
@@ -196,36 +293,52 @@ def collision_number(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def assign_split(df: DataFrame, day: str, n_test: int, n_val: int) -> DataFrame:
-    """The last ``n_test`` days are test, ``n_val`` before them validation, the rest train; small tables keep a training day.
+    """The last ``n_test`` days are test, ``n_val`` before them validation, the rest train.
 
-    The days are numbered on their distinct values, a handful of rows, and joined back.
+    Both shrink in small tables, in favour of training days, but never below one day; test comes first. The days are
+    numbered on their distinct values, a row a day, and joined back.
     """
     days = df.select(day).distinct()
     back = F.row_number().over(W.orderBy(F.col(day).desc()))
     n = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
-    test = F.least(F.lit(n_test), F.greatest(n - 2, F.lit(0)))
-    val = F.least(F.lit(n_val), F.greatest(n - 1 - test, F.lit(0)))
+    test = F.least(F.lit(n_test), F.greatest(n - 2, F.lit(1)))
+    val = F.least(F.lit(n_val), F.greatest(n - 1 - test, F.lit(1)))
     named = days.select(day, F.when(back <= test, "test").when(back <= test + val, "validation").otherwise("train").alias("split"))
-    return df.join(F.broadcast(named), day)
+    return df.join(named, day)
 
 
-def station_memory(dense: DataFrame, key: str, tick: str, value: str, critical: Column, mix: float = 0.7, cap: int = 20) -> DataFrame:
-    """Adds the previous tick's value, its mix with the present one, and the ticks since the last critical one before now."""
-    w = W.partitionBy(key).orderBy(tick)
+def station_memory(dense: DataFrame, key: list[str], tick: str, load: str, density: str, critical: str, mix: float = 0.7, cap: int = 20) -> DataFrame:
+    """Adds what a place remembers at each tick: the previous tick's load, its mix with the present density, and the ticks
+    since the last critical one before now, at most ``cap``; the first tick has load 0 and no ticks."""
+    w = W.partitionBy(*key).orderBy(tick)
     past = w.rowsBetween(W.unboundedPreceding, -1)
     d = dense.withColumn("_n", F.row_number().over(w))
-    d = d.withColumn("_last", F.max(F.when(critical, F.col("_n"))).over(past))
+    d = d.withColumn("_last", F.max(F.when(F.col(critical), F.col("_n"))).over(past))
+    since = F.when(F.col("_last").isNotNull(), F.col("_n") - F.col("_last") - 1).otherwise(F.col("_n") - 1)
     return (
-        d.withColumn("previous", F.coalesce(F.lag(value).over(w), F.lit(0.0)))
-        .withColumn("mixed", F.lit(mix) * F.col(value) + F.lit(1 - mix) * F.col("previous"))
-        .withColumn("since_critical", F.least(F.lit(cap), F.coalesce(F.col("_n") - F.col("_last") - 1, F.col("_n") - 1)))
+        d.withColumn("congestion", F.coalesce(F.lag(load).over(w), F.lit(0.0)))
+        .withColumn("mixed", F.lit(mix) * F.col("congestion") + F.lit(1 - mix) * F.col(density))
+        .withColumn("since_critical", F.least(F.lit(cap), since))
         .drop("_n", "_last")
     )
 
 
-def implied_speed(stops: DataFrame, km: Column, top: float = 160.0) -> DataFrame:
-    """Speed between consecutive stops and whether it is too high or time runs backwards."""
-    minutes = F.lead("arr").over(along()) - F.col("dep")
-    d = stops.withColumn("minutes", minutes).where("minutes IS NOT NULL").withColumn("km", km)
-    d = d.withColumn("kmh", F.when(F.col("minutes") > 0, F.col("km") * 60.0 / F.col("minutes")))
-    return d.withColumn("flag", F.when(F.col("minutes") < 0, "backwards").when(F.col("kmh") > top, "too fast").otherwise("ok"))
+def leg_checks(stops: DataFrame, km: str, top: float = 160.0) -> DataFrame:
+    """A row per stop with its observed times checked: departure before arrival, next arrival before departure, and the
+    speed to the next stop (null without both times, or where it can't be told) with whether it is over ``top``."""
+    nxt = lambda c: F.lead(c).over(along())
+    d = stops.withColumn("minutes", nxt("actual_arr") - F.col("actual_dep")).withColumn("_km", F.abs(nxt(km) - F.col(km)))
+    d = d.withColumn("kmh", F.when((F.col("minutes") > 0) & (F.col("_km") > 0), F.col("_km") / (F.col("minutes") / 60.0)))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return d.select(
+        TRIP, ORDER, flag(F.col("actual_dep") < F.col("actual_arr")).alias("leaves_before_arrival"), flag(F.col("minutes") < 0).alias("runs_backwards"),
+        "kmh", flag(F.col("kmh") > top).alias("too_fast"),
+    )
+
+
+def delay_arithmetic(stops: DataFrame, fields: dict[str, tuple[str, str, str]], tolerance: float = 1e-6) -> DataFrame:
+    """For each named (stored delay, actual time, booked time): how many delays are stored, and how many of those that can be
+    checked differ from actual less booked."""
+    one = [F.struct(F.lit(n).alias("field"), F.col(d).alias("d"), (F.col(a) - F.col(s)).alias("x")) for n, (d, a, s) in fields.items()]
+    rows = stops.select(F.inline(F.array(*one)))
+    return rows.groupBy("field").agg(F.count("d").alias("n"), F.count_if(F.abs(F.col("d") - F.col("x")) > tolerance).alias("n_wrong"))

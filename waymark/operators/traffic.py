@@ -40,13 +40,27 @@ def path_conflicts(
     )
 
 
-def occupancy(at: DataFrame, keys: tuple[str, ...] = ("blk", "tick"), late: int = 8, near: int = 25) -> DataFrame:
-    """Per tick and station: trips standing, delayed ones among them, their largest delay, and trips due within ``near`` minutes."""
-    standing = F.col("mode") == "at_station"
-    here = F.struct(F.col("station_id"), standing.cast("long").alias("halting"), (standing & (F.col("delay") >= late)).cast("long").alias("delayed"), F.when(standing, F.col("delay")).alias("delay"), _zero().alias("approaching"))
-    ahead = F.struct(F.col("next_station").alias("station_id"), _zero().alias("halting"), _zero().alias("delayed"), F.lit(None).cast("long").alias("delay"), (F.col("eta_next") <= near).cast("long").alias("approaching"))
-    d = at.select(*keys, F.explode(F.array(F.when(standing, here), F.when(F.col("next_station").isNotNull(), ahead))).alias("s")).where("s IS NOT NULL").select(*keys, "s.*")
-    return d.groupBy(*keys, "station_id").agg(F.sum("halting").alias("halting"), F.sum("delayed").alias("delayed"), F.max("delay").alias("max_delay"), F.sum("approaching").alias("approaching"))
+def occupancy(at: DataFrame, halt: Column, keys: tuple[str, ...] = ("blk", "tick"), late: int = 8, near: int = 25) -> DataFrame:
+    """Per tick and station: trips standing at a booked halt, others standing, delayed ones, the largest delay, and trips due
+    within ``near`` minutes.
+
+    Delays are those of all trips located at the station: standing at it, or under way with it as their last stop.
+    """
+    standing, none = F.col("mode") == "at_station", F.lit(None).cast("long")
+    one = lambda c: c.cast("long")
+    here = F.struct(
+        F.col("station_id"), one(standing & halt).alias("halting"), one(standing & ~halt).alias("passing"), one(F.col("delay") >= late).alias("delayed"),
+        F.col("delay").alias("delay"), _zero().alias("approaching"),
+    )
+    ahead = F.struct(
+        F.col("next_station").alias("station_id"), _zero().alias("halting"), _zero().alias("passing"), _zero().alias("delayed"), none.alias("delay"),
+        one(F.col("eta_next") <= near).alias("approaching"),
+    )
+    d = at.select(*keys, F.explode(F.array(here, F.when(F.col("next_station").isNotNull(), ahead))).alias("s")).where("s IS NOT NULL").select(*keys, "s.*")
+    total = lambda c: F.sum(c).alias(c)
+    return d.groupBy(*keys, "station_id").agg(
+        total("halting"), total("passing"), total("delayed"), F.greatest(_zero(), F.max("delay")).alias("max_delay"), total("approaching")
+    )
 
 
 def decay_pressure(etas: DataFrame, junctions: tuple[int, ...], scale: float = 35.0, limit: float = 150.0, keys: tuple[str, ...] = ("blk", "tick")) -> DataFrame:
@@ -55,21 +69,52 @@ def decay_pressure(etas: DataFrame, junctions: tuple[int, ...], scale: float = 3
     return due.groupBy(*keys, "station_id").agg(F.sum(F.exp(-F.col("eta") / scale)).alias("pressure"))
 
 
-def station_state_rows(occupied: DataFrame, stations: DataFrame, keys: tuple[str, ...] = ("blk", "tick"), full: float = 0.85, worst: int = 30) -> DataFrame:
-    """A row for every station at every tick, empty ones included: halting trips over platforms and whether it is critical.
+def station_state_rows(
+    occupied: DataFrame, stations: DataFrame, pressure: DataFrame, freight: DataFrame, keys: tuple[str, ...] = ("blk", "tick"), full: float = 0.85, worst: int = 30, busy: float = 5.0
+) -> DataFrame:
+    """A row for every station at every tick of ``occupied``, empty ones included.
 
-    ``stations`` (station_id, platforms) is the network's dimension, so the grid grows with the ticks only.
+    ``stations`` (station_id, platforms, capacity) is the network's dimension, so the grid grows with the ticks only;
+    ``pressure`` (keys, station_id, pressure) and ``freight`` (keys, station_id, freight, freight_due) may lack rows.
+    Ratios end at 1. A station is critical by its trips and freight over capacity, or by its largest delay.
     """
-    grid = occupied.select(*keys).distinct().crossJoin(F.broadcast(stations))
-    d = grid.join(occupied, [*keys, "station_id"], "left")
-    load = F.coalesce("halting", _zero()) / F.col("platforms")
-    return d.select(*keys, "station_id", F.coalesce("halting", _zero()).alias("halting"), load.alias("load"), ((load > full) | (F.coalesce("max_delay", _zero()) > worst)).alias("critical"))
+    grid = occupied.select(*keys).distinct().crossJoin(stations)
+    d = grid.join(occupied, [*keys, "station_id"], "left").join(pressure, [*keys, "station_id"], "left").join(freight, [*keys, "station_id"], "left")
+    n = lambda c: F.coalesce(F.col(c), _zero())
+    cap = F.greatest(F.col("capacity"), F.lit(1))
+    total = n("halting") + n("passing") + n("freight")
+    upto1 = lambda x: F.least(F.lit(1.0), x)
+    d = d.withColumn("capacity_ratio", upto1(total / cap)).withColumn("incoming", upto1(F.coalesce("pressure", F.lit(0.0)) / busy))
+    return d.select(
+        *keys, "station_id",
+        F.when(F.col("platforms") > 0, upto1(n("halting") / F.col("platforms"))).otherwise(0.0).alias("platform_ratio"), "capacity_ratio",
+        F.greatest(F.lit(0.0), (cap - total) / cap).alias("available_ratio"), n("freight").alias("freight"), n("passing").alias("passing"), "incoming",
+        n("max_delay").alias("max_delay"), upto1(n("delayed") / cap).alias("delayed_density"),
+        upto1((n("approaching") + n("freight_due")) / busy).alias("approach_density"), ((F.col("capacity_ratio") > full) | (n("max_delay") > worst)).alias("critical"),
+    )
 
 
-def section_state_rows(at: DataFrame, sections: DataFrame, keys: tuple[str, ...] = ("blk", "tick"), lines: int = 2) -> DataFrame:
-    """A row for every section at every tick: trips under way on it per line; a leg over several sections is on all of them."""
+def section_occupancy(at: DataFrame, keys: tuple[str, ...] = ("blk", "tick")) -> DataFrame:
+    """Trips under way per tick and unordered pair (a, b) of last and next station."""
+    on = at.where("mode = 'in_transit' AND next_station IS NOT NULL")
+    return on.groupBy(*keys, F.least("station_id", "next_station").alias("a"), F.greatest("station_id", "next_station").alias("b")).agg(F.count("*").alias("trips"))
+
+
+def section_state_rows(at: DataFrame, sections: DataFrame, freight: DataFrame, disrupted: DataFrame, keys: tuple[str, ...] = ("blk", "tick")) -> DataFrame:
+    """A row for every section at every tick: its load by trips and freight per line, disruption and booked values on a scale.
+
+    A leg over several sections is on all of them. ``sections`` has (a, b, lines, run_min, loss_min), ``freight`` (keys, a,
+    freight) and ``disrupted`` (keys, a, severity, multiplier) may lack rows.
+    """
     on = at.where("mode = 'in_transit' AND next_station IS NOT NULL AND next_station <> station_id")
     on = on.select(*keys, F.explode(F.sequence(F.least("station_id", "next_station"), F.greatest("station_id", "next_station") - 1)).alias("a"))
-    grid = at.select(*keys).distinct().crossJoin(F.broadcast(sections.select("a", "b")))
-    d = grid.join(on.groupBy(*keys, "a").agg(F.count("*").alias("trips")), [*keys, "a"], "left")
-    return d.select(*keys, "a", "b", F.coalesce("trips", _zero()).alias("trips"), (F.coalesce("trips", _zero()) / lines).alias("load"))
+    place = [*keys, "a"]
+    d = at.select(*keys).distinct().crossJoin(sections).join(on.groupBy(*place).agg(F.count("*").alias("trips")), place, "left").join(freight, place, "left").join(disrupted, place, "left")
+    n = lambda c: F.coalesce(F.col(c), _zero())
+    lines = F.greatest(F.col("lines"), F.lit(1))
+    upto = lambda top, x: F.least(F.lit(top), x)
+    return d.select(
+        *keys, "a", "b", n("trips").alias("trips"), upto(1.5, (n("trips") + n("freight")) / lines).alias("load"), upto(1.5, n("freight") / lines).alias("freight_load"),
+        F.coalesce("severity", F.lit(0.0)).alias("severity"), F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
+        upto(1.0, F.col("run_min") / 20.0).alias("run_norm"), upto(1.0, F.coalesce("loss_min", F.lit(0.0)) / 60.0).alias("loss_norm"),
+    )

@@ -50,14 +50,27 @@ def _(spark, d):
 
 
 def _audit_sql(c):
-    z = f"count(*) FILTER ({c} = 0)"
+    z, sd = f"count(*) FILTER ({c} = 0)", f"coalesce(stddev_samp({c}), 0)"
     return f"""SELECT '{c}' AS "column", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most, count({c}) AS n, {z} AS zeros,
-    CASE WHEN min({c}) = max({c}) THEN 'constant' WHEN count({c}) - {z} < 50 THEN 'few' WHEN {z} / count({c}) > 0.98 THEN 'empty' WHEN {z} / count({c}) > 0.5 THEN 'sparse' ELSE 'ok' END AS status FROM scored"""
+    CASE WHEN {sd} < 1e-8 THEN 'constant' WHEN count({c}) - {z} < 50 THEN 'few' WHEN {sd} < 0.01 AND abs(avg({c})) > 0.01 THEN 'saturated'
+    WHEN {z} / count({c}) > 0.98 THEN CASE WHEN '{c}' = 'rare' THEN 'empty-ok' ELSE 'empty' END WHEN {z} / count({c}) > 0.9 THEN 'sparse' ELSE 'ok' END AS status FROM au"""
 
 
-@query("D24_feature_audit", f"{SCORED_SQL} " + " UNION ALL ".join(map(_audit_sql, ["pred", "persist", "lead_min", "station_id"])))
+AUDITED = ["pred", "persist", "lead_min", "station_id", "one", "pinned", "few", "rare", "sparse"]
+
+
+@query(
+    "D24_feature_audit",
+    f"""{SCORED_SQL}, au AS (SELECT *, 1 AS one, 5 + (stop_idx % 2) / 1000 AS pinned, (stop_idx = 0)::INT AS few, (stop_idx % 13 = 7 AND station_id < 8)::INT AS rare, (station_id = 4 OR stop_idx = 12)::INT AS sparse FROM scored) """
+    + " UNION ALL ".join(map(_audit_sql, AUDITED)),
+)
 def _(spark, d):
-    return rounded(p.feature_audit(scored(spark, d), ["pred", "persist", "lead_min", "station_id"]), "mean", "sd")
+    more = {
+        "one": "1", "pinned": "5 + (stop_idx % 2) / 1000", "few": "cast(stop_idx = 0 as int)", "rare": "cast(stop_idx % 13 = 7 and station_id < 8 as int)",
+        "sparse": "cast(station_id = 4 or stop_idx = 12 as int)",
+    }
+    df = scored(spark, d).withColumns({k: F.expr(v) for k, v in more.items()})
+    return rounded(p.feature_audit(df, AUDITED, sparse_ok=("rare",)), "mean", "sd")
 
 
 def _leak_sql(c):
@@ -70,19 +83,6 @@ def _(spark, d):
     return rounded(p.leak_correlation(scored(spark, d), ["pred", "persist", "lead_min"], "actual"), "r", "identical")
 
 
-@query(
-    "D27_delay_creation_split",
-    f"""{FILLED_SQL}, ds AS (SELECT dep_delay - arr_delay AS stand, lead(arr_delay) OVER (PARTITION BY instance_id ORDER BY stop_idx) - dep_delay AS run FROM filled),
-    dt AS (SELECT coalesce(sum(greatest(stand, 0)) FILTER (stand > 0), 0)::BIGINT AS standing, coalesce(sum(run) FILTER (run > 0), 0)::BIGINT AS running FROM ds) SELECT *, round(standing / (standing + running), 6) AS standing_share FROM dt""",
-)
-def _(spark, d):
-    f = seq.carry_forward(fx.stops(spark, d))
-    f = f.select((F.col("dep_delay") - F.col("arr_delay")).alias("stand"), (F.lead("arr_delay").over(seq.along()) - F.col("dep_delay")).alias("run"))
-    gain = lambda c: F.coalesce(F.sum(F.when(F.col(c) > 0, F.col(c))), F.lit(0).cast("long"))
-    t = f.agg(gain("stand").alias("standing"), gain("run").alias("running"))
-    return t.withColumn("standing_share", F.round(F.col("standing") / F.nullif(F.col("standing") + F.col("running"), F.lit(0)), 6))
-
-
 SPLIT_SQL = "ed AS (SELECT event_id, user_id, ts::DATE AS day, value FROM events), er AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS back FROM ed), es AS (SELECT *, CASE WHEN back <= 5 THEN 'test' WHEN back <= 9 THEN 'validation' ELSE 'train' END AS split FROM er)"
 
 
@@ -95,24 +95,29 @@ def _(spark, d):
     return p.calendar_coverage(split_events(spark, d), "split", "day")
 
 
+# blocks from the fourth on are test, users that end in 0 are not eligible
 @query(
     "D29_split_difficulty",
-    f"""{SCORED_SQL}, sp AS (SELECT *, CASE WHEN blk >= 4 THEN 'test' ELSE 'train' END AS split, actual - persist AS step FROM scored)
-    SELECT split, count(DISTINCT instance_id) AS trips, count(step) AS n, round(100 * count(*) FILTER (step > 30) / count(step), 6) AS rise_pct, round(100 * count(*) FILTER (step < -30) / count(step), 6) AS fall_pct, round(avg(step), 6) AS mean, round(stddev_pop(step), 6) AS sd FROM sp GROUP BY split""",
+    f"""{FILLED_SQL}, kn AS (SELECT *, CASE WHEN blk >= 4 THEN 'test' ELSE 'train' END AS split FROM filled WHERE arr_delay IS NOT NULL AND user_id % 10 <> 0),
+    ls AS (SELECT split, instance_id, list(arr_delay ORDER BY stop_idx) AS l FROM kn GROUP BY ALL HAVING count(*) > 1),
+    sp AS (SELECT split, instance_id, unnest(list_transform(range(2, len(l) + 1), lambda i: l[i] - l[i - 1])) AS step FROM ls)
+    SELECT split, count(DISTINCT instance_id) AS trips, count(*) AS n, round(100 * count(*) FILTER (step > 30) / count(*), 6) AS rise_pct, round(100 * count(*) FILTER (step < -30) / count(*), 6) AS fall_pct,
+    round(avg(step), 6) AS mean, round(stddev_pop(step), 6) AS sd FROM sp GROUP BY split""",
 )
 def _(spark, d):
-    s = scored(spark, d).withColumn("split", F.when(F.col("blk") >= 4, "test").otherwise("train")).withColumn("step", F.col("actual") - F.col("persist"))
-    return rounded(p.split_difficulty(s, "split", "instance_id", "step"), "rise_pct", "fall_pct", "mean", "sd")
+    s = seq.carry_forward(fx.stops(spark, d)).withColumn("split", F.when(F.col("blk") >= 4, "test").otherwise("train"))
+    return rounded(p.split_difficulty(s, "split", "instance_id", "stop_idx", "arr_delay", F.col("user_id") % 10 != 0), "rise_pct", "fall_pct", "mean", "sd")
 
 
 @query(
     "D30_exposure_buckets",
-    f"""WITH {SPLIT_SQL}, td AS (SELECT user_id, count(DISTINCT day) AS days FROM es WHERE split = 'train' GROUP BY 1), tr AS (SELECT user_id, count(*) AS n FROM es WHERE split = 'test' GROUP BY 1)
-    SELECT ((coalesce(days, 0) >= 1)::INT + (coalesce(days, 0) >= 10)::INT + (coalesce(days, 0) >= 18)::INT)::BIGINT AS bucket, count(*) AS services, sum(n)::BIGINT AS test_rows FROM tr LEFT JOIN td USING (user_id) GROUP BY 1""",
+    f"""WITH {STOPS_SQL}, ex AS (SELECT user_id, count(DISTINCT instance_id) FILTER (blk < 4) AS days, count(*) FILTER (blk >= 4 AND actual_arr IS NOT NULL AND user_id % 10 <> 0) AS n FROM stops GROUP BY user_id)
+    SELECT ((days >= 1)::INT + (days >= 3)::INT + (days >= 4)::INT)::BIGINT AS bucket, count(*) AS services, sum(n)::BIGINT AS test_rows, round(sum(n) / nullif((SELECT sum(n) FROM ex), 0), 6) AS share FROM ex GROUP BY 1""",
 )
 def _(spark, d):
-    s = split_events(spark, d)
-    return p.exposure_buckets(s.where("split = 'train'"), s.where("split = 'test'"), "user_id", "day", (1, 10, 18))
+    s = fx.stops(spark, d).withColumn("split", F.when(F.col("blk") >= 4, "test").otherwise("train"))
+    tests = s.where("split = 'test' AND actual_arr IS NOT NULL AND user_id % 10 <> 0")
+    return rounded(p.exposure_buckets(s.select("instance_id", "user_id", "split").distinct(), tests, "user_id", "split", (1, 3, 4)), "share")
 
 
 @query("D34_drop_partial_days", "WITH ed AS (SELECT event_id, user_id, ts::DATE AS day FROM events) SELECT * FROM ed WHERE day IN (SELECT day FROM ed GROUP BY day HAVING count(DISTINCT user_id) >= 10)")
@@ -132,9 +137,13 @@ def _(spark, d):
     return p.status_counts(fx.stops(spark, d), with_arrival=F.col("actual_arr").isNotNull(), unseen=none, at_junction=F.col("station_id").isin(*fx.JUNCTIONS))
 
 
-@query("D41_extreme_trips", f"{FILLED_SQL} SELECT instance_id, max(abs(arr_delay)) AS worst FROM filled GROUP BY 1 HAVING max(abs(arr_delay)) > 30 ORDER BY worst DESC, instance_id LIMIT 12")
+@query(
+    "D41_extreme_trips",
+    f"""{FILLED_SQL}, w AS (SELECT instance_id, max(abs(arr_delay)) AS worst, user_id % 10 <> 0 AS eligible FROM filled GROUP BY instance_id, user_id HAVING max(abs(arr_delay)) > 30)
+    SELECT instance_id, worst, eligible FROM w QUALIFY row_number() OVER (PARTITION BY eligible ORDER BY worst DESC, instance_id) <= 12""",
+)
 def _(spark, d):
-    return p.extreme_trips(seq.carry_forward(fx.stops(spark, d)), "instance_id", F.col("arr_delay"), 30, 12)
+    return p.extreme_trips(seq.carry_forward(fx.stops(spark, d)), "instance_id", F.col("arr_delay"), F.col("user_id") % 10 != 0, 30, 12)
 
 
 @query(

@@ -149,9 +149,9 @@ def _(spark, d):
     return stops(spark, d).select("instance_id", "stop_idx", c.hhmm(F.col("sched_arr")).alias("hhmm"))
 
 
-@query("B23_sched_direction", f"WITH {STOPS_SQL} SELECT instance_id, CASE WHEN arg_max(station_id, stop_idx) >= arg_min(station_id, stop_idx) THEN 'DN' ELSE 'UP' END AS direction FROM stops GROUP BY instance_id")
+@query("B23_sched_direction", f"WITH {STOPS_SQL} SELECT instance_id, CASE WHEN arg_max(station_id, stop_idx) > arg_min(station_id, stop_idx) THEN 'DN' ELSE 'UP' END AS direction FROM stops GROUP BY instance_id")
 def _(spark, d):
-    return stops(spark, d).groupBy("instance_id").agg(F.when(F.max_by("station_id", "stop_idx") >= F.min_by("station_id", "stop_idx"), "DN").otherwise("UP").alias("direction"))
+    return stops(spark, d).groupBy("instance_id").agg(F.when(F.max_by("station_id", "stop_idx") > F.min_by("station_id", "stop_idx"), "DN").otherwise("UP").alias("direction"))
 
 
 @query(
