@@ -114,7 +114,7 @@ def eta_next(at: DataFrame) -> DataFrame:
     """Adds minutes to the next stop: expected departure plus the booked leg, less now; never negative, null at the last stop."""
     leg = F.greatest(F.lit(0).cast("long"), F.col("next_sched_arr") - F.col("sched_dep"))
     leaves = F.when(F.col("mode") == "at_station", F.greatest(F.col("sched_dep") + F.col("delay"), F.col("tick"))).otherwise(F.col("dep"))
-    return at.withColumn("eta_next", F.greatest(F.lit(0).cast("long"), leaves + leg - F.col("tick")))
+    return at.withColumn("eta_next", F.when(F.col("next_sched_arr").isNotNull(), F.greatest(F.lit(0).cast("long"), leaves + leg - F.col("tick"))))
 
 
 def path_etas(at: DataFrame, stops: DataFrame, horizon: int, keys: tuple[str, ...] = ("blk", "tick")) -> DataFrame:

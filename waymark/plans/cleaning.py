@@ -152,17 +152,3 @@ def _(spark, d):
 @query("B23_sched_direction", f"WITH {STOPS_SQL} SELECT instance_id, CASE WHEN arg_max(station_id, stop_idx) > arg_min(station_id, stop_idx) THEN 'DN' ELSE 'UP' END AS direction FROM stops GROUP BY instance_id")
 def _(spark, d):
     return stops(spark, d).groupBy("instance_id").agg(F.when(F.max_by("station_id", "stop_idx") > F.min_by("station_id", "stop_idx"), "DN").otherwise("UP").alias("direction"))
-
-
-@query(
-    "B24_forecast_projection",
-    f"""{FILLED_SQL}, l AS (SELECT *, arr_lead - min(arr_lead) OVER (PARTITION BY instance_id) AS lead_min FROM (SELECT *, sched_arr + est AS arr_lead FROM filled)),
-    c AS (SELECT *, max(lead_min) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS UNBOUNDED PRECEDING) AS top, lag(station_id) OVER (PARTITION BY instance_id ORDER BY stop_idx) AS prev FROM l)
-    SELECT instance_id, stop_idx, lead_min, est AS delay, prev::VARCHAR || '-' || station_id::VARCHAR AS block_section FROM c WHERE top <= 2880""",
-)
-def _(spark, d):
-    f = seq.carry_forward(stops(spark, d)).withColumn("arr_lead", F.col("sched_arr") + F.col("est"))
-    f = f.withColumn("lead_min", F.col("arr_lead") - F.min("arr_lead").over(seq.W.partitionBy("instance_id")))
-    f = f.withColumn("top", F.max("lead_min").over(seq.upto())).withColumn("prev", F.lag("station_id").over(seq.along()))
-    section = F.concat(F.col("prev").cast("string"), F.lit("-"), F.col("station_id").cast("string"))
-    return f.where("top <= 2880").select("instance_id", "stop_idx", "lead_min", F.col("est").alias("delay"), section.alias("block_section"))

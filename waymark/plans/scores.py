@@ -195,21 +195,25 @@ def _(spark, d):
     return rounded(scoring.weighted_huber(scored(spark, d), w, 20.0), "loss")
 
 
-@query(
-    "C11_path_conflicts",
-    f"""{ETAS_SQL}, u2 AS (SELECT *, split_part(instance_id, '_', 1)::BIGINT AS usr FROM etas),
+CONFLICTS_SQL = f"""{ETAS_SQL}, u2 AS (SELECT *, split_part(instance_id, '_', 1)::BIGINT AS usr FROM etas),
     pairs AS (SELECT a.instance_id, a.blk, a.tick, a.station_id, a.eta AS x, y.eta AS y, a.usr % 3 = y.usr % 3 AS same, y.usr % 10 > a.usr % 10 AS higher, y.instance_id IS NOT NULL AS met, abs(a.eta - y.eta) AS gap
-      FROM u2 a LEFT JOIN u2 y ON y.blk = a.blk AND y.tick = a.tick AND y.station_id = a.station_id AND y.instance_id <> a.instance_id)
-    SELECT instance_id, blk, tick, count(*) FILTER (met AND gap <= 120) AS overlaps, count(*) FILTER (met AND gap <= 120 AND same) AS same_group, count(*) FILTER (met AND gap <= 120 AND higher) AS higher_priority,
+      FROM u2 a LEFT JOIN u2 y ON y.blk = a.blk AND y.tick = a.tick AND y.station_id = a.station_id AND y.instance_id <> a.instance_id),
+    conf AS (SELECT instance_id, blk, tick, count(*) FILTER (met AND gap <= 120) AS n_overlaps, count(*) FILTER (met AND gap <= 120 AND same) AS same_group, count(*) FILTER (met AND gap <= 120 AND higher) AS higher_priority,
     count(*) FILTER (met AND y - x BETWEEN 0 AND 60) AS queue, least(90, coalesce(min(gap) FILTER (met AND station_id IN {JUNCTIONS}), 90)) AS junction_gap,
     least(75, coalesce(min(x - y) FILTER (met AND y < x), 75)) AS headway_ahead, least(75, coalesce(min(y - x) FILTER (met AND y >= x), 75)) AS headway_behind,
-    least(75, coalesce(min(x) FILTER (met AND gap <= 120 AND higher), 75)) AS precedence_eta FROM pairs GROUP BY instance_id, blk, tick""",
-)
-def _(spark, d):
+    least(75, coalesce(min(x) FILTER (met AND gap <= 120 AND higher), 75)) AS precedence_eta FROM pairs GROUP BY instance_id, blk, tick)"""
+
+
+def conflicts(spark, d):
     user = F.split_part("instance_id", F.lit("_"), F.lit(1)).cast("long")
     return traffic.path_conflicts(etas(spark, d), user % 3, user % 10, 10, JUNCTIONS, window=120, queue=60)
 
 
+@query("C11_path_conflicts", f"""{CONFLICTS_SQL} SELECT * EXCLUDE (n_overlaps), n_overlaps AS "overlaps" FROM conf""")
+def _(spark, d):
+    return conflicts(spark, d)
+
+
 # a stop is a booked halt if it has a booked dwell
 D7_SQL = f"""{ETAS_SQL}, en AS (SELECT *, CASE WHEN next_station IS NOT NULL THEN greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0, next_sched_arr - sched_dep) - tick) END AS eta_next FROM seen),
     occ AS (SELECT blk, tick, station_id, count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep > sched_arr) AS halting, count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep <= sched_arr) AS passing,

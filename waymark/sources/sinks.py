@@ -11,18 +11,39 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a fresh local one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; in local mode below a fresh local one where that is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             known = sc._jsc.sc().getCheckpointDir()
         root = known.get()
     return f"{root.rstrip('/')}/waymark/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back, which cuts its lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._waymark_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that no later step reads."""
+    remove_folder(df.sparkSession, df._waymark_path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """One folder per value of ``by``; the whole output is replaced, so no stale partition survives.
 
