@@ -20,8 +20,11 @@ def observations_as_of_many(log: DataFrame, instants: DataFrame, keys: list[str]
     """Per key and instant the largest value known by then.
 
     Reveals and instants of a key are put in one order and a running maximum does the rest: one shuffle on the key, no
-    join of each instant with all earlier reveals. ``instants`` has (keys, now).
+    join of each instant with all earlier reveals. ``instants`` has (keys, now). A log without reveal times can't tell
+    what was known when, and is refused.
     """
+    if reveal not in log.columns:
+        raise ValueError(f"the log has no column {reveal}: it can't be replayed")
     a = log.select(*keys, F.col(reveal).alias("_t"), F.col(value).alias("_v"), F.lit(0).alias("_kind"))
     b = instants.select(*keys, F.col(now).alias("_t"), F.lit(None).cast(log.schema[value].dataType).alias("_v"), F.lit(1).alias("_kind"))
     w = W.partitionBy(*keys).orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -61,16 +64,27 @@ def source_coverage(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(two, keys, "full_outer").groupBy(where.alias("found_in")).agg(F.count("*").alias("n"))
 
 
-def crosscheck_sources(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str], tolerance: float = 0.0) -> DataFrame:
-    """Per field how many rows agree, differ, or are known to one source or neither."""
-    both = a.select(*keys, *(F.col(f).alias(f"{f}_a") for f in fields)).join(b.select(*keys, *(F.col(f).alias(f"{f}_b") for f in fields)), keys)
+def crosscheck_sources(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str], tolerance: float = 0.0, place: str | None = None) -> DataFrame:
+    """Per field how many rows agree, differ, or are known to one source or neither.
+
+    With ``place``, rows of the same keys must also be of the same place: those that are not are left out of the fields,
+    and the field ``place`` tells how many agree and differ in it.
+    """
+    side = lambda df, s: df.select(*keys, *(F.col(f).alias(f"{f}_{s}") for f in fields), F.col(place).alias(f"_at_{s}") if place else F.lit(0).alias(f"_at_{s}"))
+    joined = side(a, "a").join(side(b, "b"), keys)
+    both = joined.where("_at_a = _at_b")
     stacked = both.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_a").cast("double").alias("x"), F.col(f"{f}_b").cast("double").alias("y")) for f in fields))).alias("r")).select("r.*")
     x, y = F.col("x"), F.col("y")
-    return stacked.groupBy("field").agg(
+    found = stacked.groupBy("field").agg(
         F.count_if(F.abs(x - y) <= tolerance).alias("agree"), F.count_if(F.abs(x - y) > tolerance).alias("differ"),
         F.count_if(x.isNotNull() & y.isNull()).alias("only_a"), F.count_if(x.isNull() & y.isNotNull()).alias("only_b"),
         F.count_if(x.isNull() & y.isNull()).alias("neither"),
     )
+    if place is None:
+        return found
+    zero = F.lit(0).cast("long")
+    places = joined.agg(F.lit("place").alias("field"), F.count_if(F.expr("_at_a = _at_b")).alias("agree"), F.count_if(F.expr("_at_a <> _at_b")).alias("differ"), zero.alias("only_a"), zero.alias("only_b"), zero.alias("neither"))
+    return found.unionByName(places)
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], moment: Column, low: Column, high: Column) -> DataFrame:

@@ -39,9 +39,15 @@ def _(spark, d):
     return p.column_profile(fx.stops(spark, d), ["actual_arr", "actual_dep", "sched_arr", "station_id"])
 
 
-@query("D22_length_histogram", "SELECT length(p_name) AS length, count(*) AS n FROM part GROUP BY 1")
+@query("D19_duplicate_totals", "SELECT count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 def _(spark, d):
-    return p.length_histogram(table(spark, d, "part"), "p_name")
+    return p.duplicate_keys(table(spark, d, "lineitem"), LINE).agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+@query("D22_length_histogram", "SELECT length(x) AS length, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN event_id::VARCHAR || '_' || event_type END AS x FROM events) GROUP BY 1")
+def _(spark, d):
+    key = F.when(F.col("event_id") % 9 != 0, F.concat_ws("_", F.col("event_id").cast("string"), "event_type"))
+    return p.length_histogram(table(spark, d, "events").select(key.alias("key")), "key")
 
 
 @query("D23_newest_event", f"WITH {STOPS_SQL} SELECT max(greatest(actual_arr, actual_dep)) AS newest, count(*) AS n FROM stops WHERE greatest(actual_arr, actual_dep) <= 5000")

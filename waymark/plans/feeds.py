@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from waymark.operators import joins
 from waymark.plans.book import query
 from waymark.sources import fixtures as fx
-from waymark.sources.fixtures import REVEAL_SQL, table
+from waymark.sources import sinks
+from waymark.sources.fixtures import REVEAL_SQL, STOPS_SQL, table
 from waymark.streaming import feeds
 
 START = 28423440  # 2024-01-16 in minutes since 1970
@@ -62,9 +63,52 @@ def _(spark, d):
     return joins.observations_as_of_many(log, log.select("user_id").distinct().select("user_id", ticks), ["user_id"], "reveal_min", "value", "now")
 
 
-@query("H11_late_corrections", f"WITH {REVEAL_SQL} SELECT user_id, count(*) AS n, count(*) FILTER (reveal_min - event_min > 10) AS late FROM reveal_log GROUP BY user_id")
+# the events come in as four files, by the minute in which they were written; every ninth is written two days late
+PARTS, DELAY = 4, "cast((event_id % 9 = 0) as int) * 2880"
+
+
+@query(
+    "H11_late_corrections",
+    f"""WITH ar AS (SELECT event_id, event_type, ts, epoch_us(ts) // 60000000 + (event_id % 9 = 0)::INT * 2880 AS seen FROM events),
+    sz AS (SELECT min(seen) AS lo, max(seen) - min(seen) + 1 AS span FROM ar), pt AS (SELECT *, (seen - lo) * {PARTS} // span AS part FROM ar, sz),
+    wm AS (SELECT p.part, (SELECT max(ts) FROM pt q WHERE q.part < p.part - 1) - INTERVAL 720 MINUTE AS mark FROM (SELECT DISTINCT part FROM pt) p),
+    lw AS (SELECT p.*, mark IS NULL OR make_timestamp(((epoch_us(ts) // 10800000000) + 1) * 10800000000) > mark AS taken FROM pt p JOIN wm USING (part))
+    SELECT event_type, (epoch_us(ts) // 10800000000) * 180 AS tick_min, count(*) AS n, count(*) FILTER (taken) AS streamed, count(*) FILTER (NOT taken) AS lost FROM lw GROUP BY ALL""",
+)
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", "ts").withColumn("seen", F.expr(f"CAST(floor({fx.micros('ts')} / 60000000D) AS BIGINT) + {DELAY}"))
+    span = e.agg(F.min("seen").alias("lo"), (F.max("seen") - F.min("seen") + 1).alias("span"))
+    dealt = e.join(span, how="left").withColumn("part", F.expr(f"CAST(floor((seen - lo) * {PARTS} / span) AS INT)"))  # one row
+    folder = sinks.shared_folder(spark, "arrivals")
+    for part in range(PARTS):  # one after another, as the source takes files by their age
+        dealt.where(F.col("part") == part).select("event_id", "event_type", "ts").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    stream = feeds.event_stream(spark, folder, maxFilesPerTrigger="1")
+    return feeds.late_corrections(stream, e, "ts", ["event_type"], 180, "720 minutes")
+
+
+# records of trips as known at a moment, brought up to date for those that changed after it
+REBUILT = 4000
+
+
+def build_trips(stops):
+    """A record per trip of at least three observed stops."""
+    seen = F.coalesce("actual_arr", "actual_dep")
+    trips = stops.groupBy("instance_id").agg(F.count("*").alias("n"), F.count(seen).alias("observed"), F.max(seen).alias("newest"), F.max_by("station_id", F.when(seen.isNotNull(), F.col("stop_idx"))).alias("place"))
+    return trips.where("observed >= 3")
+
+
+@query(
+    "H6_incremental_rebuild",
+    f"""WITH {STOPS_SQL}, ob AS (SELECT *, coalesce(actual_arr, actual_dep) AS seen FROM stops)
+    SELECT instance_id, count(*) AS n, count(seen) AS observed, max(seen) AS newest, arg_max(station_id, stop_idx) FILTER (seen IS NOT NULL) AS place FROM ob GROUP BY 1 HAVING count(seen) >= 3""",
+)
 def _(spark, d):
-    return fx.reveal_log(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("reveal_min") - F.col("event_min") > 10).alias("late"))
+    now = fx.stops(spark, d)
+    known = lambda c: F.when(F.col(c) <= REBUILT, F.col(c)).alias(c)
+    before = now.select(*(c for c in now.columns if c not in ("actual_arr", "actual_dep")), known("actual_arr"), known("actual_dep"))
+    cache = sinks.written(build_trips(before), "trips")
+    changed = now.where(f"actual_arr > {REBUILT} OR actual_dep > {REBUILT}").select("instance_id")
+    return feeds.incremental_rebuild(cache, changed, now, build_trips, ["instance_id"])
 
 
 @query("H12_forecast_sink", "SELECT user_id, epoch_us(ts) // 43200000000 AS tick, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, tick ORDER BY event_id) = 1")

@@ -47,7 +47,7 @@ def _(spark, d):
 def _(spark, d):
     log = fx.reveal_log(spark, d)
     ticks = spark.range(10).select((F.lit(NOW) + F.col("id") * 720.0).alias("now"))
-    instants = log.select("user_id").distinct().crossJoin(F.broadcast(ticks))
+    instants = log.select("user_id").distinct().crossJoin(ticks)
     return joins.observations_as_of_many(log, instants, ["user_id"], "reveal_min", "value", "now")
 
 
@@ -121,24 +121,26 @@ def forecast_truth(spark, d):
     return forecast.where("lead_min IS NOT NULL").join(truth, ["instance_id", "stop_idx"]).select("instance_id", "stop_idx", "lead_min", "pred", "truth")
 
 
-SECOND_SQL = "second AS (SELECT instance_id, stop_idx, station_id, coalesce(actual_arr, sched_arr) + CASE WHEN event_id % 97 = 0 THEN 5 ELSE 0 END AS actual_arr, CASE WHEN event_id % 4 = 0 THEN NULL ELSE actual_dep END AS actual_dep FROM stops WHERE event_id % 10 <> 3)"
+SECOND_SQL = "second AS (SELECT instance_id, stop_idx, CASE WHEN event_id % 61 = 0 THEN 99 ELSE station_id END AS station_id, coalesce(actual_arr, sched_arr) + CASE WHEN event_id % 97 = 0 THEN 5 ELSE 0 END AS actual_arr, CASE WHEN event_id % 4 = 0 THEN NULL ELSE actual_dep END AS actual_dep FROM stops WHERE event_id % 10 <> 3)"
 
 
 def second(spark, d):
     return fx.stops(spark, d).where("event_id % 10 <> 3").selectExpr(
-        "instance_id", "stop_idx", "station_id", "coalesce(actual_arr, sched_arr) + CASE WHEN event_id % 97 = 0 THEN 5 ELSE 0 END AS actual_arr", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE actual_dep END AS actual_dep"
+        "instance_id", "stop_idx", "CASE WHEN event_id % 61 = 0 THEN 99 ELSE station_id END AS station_id", "coalesce(actual_arr, sched_arr) + CASE WHEN event_id % 97 = 0 THEN 5 ELSE 0 END AS actual_arr", "CASE WHEN event_id % 4 = 0 THEN NULL ELSE actual_dep END AS actual_dep"
     )
 
 
 @query(
     "C15_crosscheck_sources",
-    f"""WITH {STOPS_SQL}, {SECOND_SQL}, j AS (SELECT a.actual_arr AS x1, b.actual_arr AS y1, a.actual_dep AS x2, b.actual_dep AS y2 FROM stops a JOIN second b USING (instance_id, stop_idx, station_id)),
+    f"""WITH {STOPS_SQL}, {SECOND_SQL}, j AS (SELECT a.actual_arr AS x1, b.actual_arr AS y1, a.actual_dep AS x2, b.actual_dep AS y2 FROM stops a JOIN second b USING (instance_id, stop_idx) WHERE a.station_id = b.station_id),
+    ps AS (SELECT a.station_id = b.station_id AS same FROM stops a JOIN second b USING (instance_id, stop_idx)),
     s AS (SELECT 'actual_arr' AS field, x1 AS x, y1 AS y FROM j UNION ALL SELECT 'actual_dep', x2, y2 FROM j)
     SELECT field, count(*) FILTER (abs(x - y) <= 0) AS agree, count(*) FILTER (abs(x - y) > 0) AS differ, count(*) FILTER (x IS NOT NULL AND y IS NULL) AS only_a,
-    count(*) FILTER (x IS NULL AND y IS NOT NULL) AS only_b, count(*) FILTER (x IS NULL AND y IS NULL) AS neither FROM s GROUP BY field""",
+    count(*) FILTER (x IS NULL AND y IS NOT NULL) AS only_b, count(*) FILTER (x IS NULL AND y IS NULL) AS neither FROM s GROUP BY field
+    UNION ALL SELECT 'place', count(*) FILTER (same), count(*) FILTER (NOT same), 0, 0, 0 FROM ps""",
 )
 def _(spark, d):
-    return joins.crosscheck_sources(fx.stops(spark, d), second(spark, d), ["instance_id", "stop_idx", "station_id"], ["actual_arr", "actual_dep"])
+    return joins.crosscheck_sources(fx.stops(spark, d), second(spark, d), ["instance_id", "stop_idx"], ["actual_arr", "actual_dep"], place="station_id")
 
 
 @query("C16_source_coverage", "SELECT found_in, count(*) AS n FROM (SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS found_in FROM (SELECT k, bool_or(s = 1) AS a, bool_or(s = 2) AS b FROM (SELECT l_partkey AS k, 1 AS s FROM lineitem WHERE l_quantity < 5 UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size < 25) GROUP BY k)) GROUP BY found_in")
@@ -220,7 +222,7 @@ def _(spark, d):
 def split_legs(t, sections):
     """Movements over several sections cut at their cumulative share of the distance, in the direction of travel."""
     legs = t.select("instance_id", "stop_idx", F.col("station_id").alias("f"), "dep", F.lead("arr").over(seq.along()).alias("na"), F.lead("station_id").over(seq.along()).alias("g")).where("na > dep AND f <> g")
-    parts = legs.withColumn("a", F.explode(F.sequence(F.least("f", "g"), F.greatest("f", "g") - 1))).join(F.broadcast(sections), "a")
+    parts = legs.withColumn("a", F.explode(F.sequence(F.least("f", "g"), F.greatest("f", "g") - 1))).join(sections, "a")
     leg = seq.W.partitionBy("instance_id", "stop_idx")
     way = leg.orderBy(F.when(F.col("g") > F.col("f"), F.col("a")).otherwise(-F.col("a"))).rowsBetween(seq.W.unboundedPreceding, 0)
     parts = parts.withColumn("upto", F.sum("km").over(way)).withColumn("total", F.sum("km").over(leg))

@@ -12,18 +12,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from waymark.sources.sinks import insert_ignore, shared_folder
+from waymark.sources.sinks import insert_into, read_keyed, shared_folder, upsert_into
 
 
-def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", moment: str = "ts") -> DataFrame:
-    """The table's files as a stream; ``moment`` becomes a TIMESTAMP, which watermarks need."""
+def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", moment: str = "ts", **options: str) -> DataFrame:
+    """The table's files as a stream; ``moment`` becomes a TIMESTAMP, which watermarks need. ``options`` are the file source's."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # as a pattern the path may be a file as well as a folder
-    return spark.readStream.schema(schema).parquet(path[:-1] + "[t]").withColumn(moment, F.col(moment).cast("timestamp"))
+    return spark.readStream.schema(schema).options(**options).parquet(path[:-1] + "[t]").withColumn(moment, F.col(moment).cast("timestamp"))
 
 
 def _run(df: DataFrame, mode: str, folder: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -70,19 +71,58 @@ def read_with_overlap(stream: DataFrame, moment: str, keys: list[str], overlap:
 
 
 def forecast_sink(stream: DataFrame, keys: list[str], order: list[Column], folder: str | None = None) -> DataFrame:
-    """Appends each batch's first row per key unless an earlier batch had the key: repeated issues change nothing."""
-    spark, schema = stream.sparkSession, stream.schema
+    """Appends each batch's first row per key unless the table has the key: repeated issues and batches change nothing."""
+    folder = folder or shared_folder(stream.sparkSession, "stream")
+    _run(stream, "append", folder, lambda b, i: insert_into(f"{folder}/rows", b, keys, order))
+    return read_keyed(stream.sparkSession, f"{folder}/rows", stream.schema)
+
+
+def upsert_sink(stream: DataFrame, keys: list[str], order: list[Column], folder: str | None = None) -> DataFrame:
+    """Each batch's first row per key replaces the table's row of that key."""
+    folder = folder or shared_folder(stream.sparkSession, "stream")
+    _run(stream, "append", folder, lambda b, i: upsert_into(f"{folder}/rows", b, keys, order))
+    return read_keyed(stream.sparkSession, f"{folder}/rows", stream.schema)
+
+
+def incremental_rebuild(cache: DataFrame, changed: DataFrame, history: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """``cache`` with the records of ``changed`` keys built anew from all their rows in ``history``.
+
+    ``build`` makes a record per key and leaves out what is no valid record; such a key is dropped even if the cache had
+    it. Other records stay as they are. Only the history of changed keys is read by ``build``.
+    """
+    touched = changed.select(*keys).distinct()
+    anew = build(history.join(touched, keys, "left_semi"))
+    return cache.join(touched, keys, "left_anti").unionByName(anew.select(*cache.columns))
+
+
+def rebuild_sink(stream: DataFrame, history: Callable[[], DataFrame], build: Callable[[DataFrame], DataFrame], keys: list[str], folder: str | None = None) -> DataFrame:
+    """Keeps the table of built records up to date: each batch names changed keys, whose records are replaced or, where no valid
+    one results, marked as gone. ``history`` gives all rows at the moment of a batch."""
+    spark = stream.sparkSession
     folder = folder or shared_folder(spark, "stream")
+    schema = build(history()).withColumn("_gone", F.lit(False)).schema
 
-    def append(batch: DataFrame, i: int) -> None:
-        session = batch.sparkSession
-        known = session.createDataFrame([], schema)
-        for j in range(i):  # earlier batches; a repeated batch doesn't see its own rows
-            known = known.unionByName(session.read.schema(schema).parquet(f"{folder}/rows/batch={j}"))
-        insert_ignore(known, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/rows/batch={i}")
+    def replace(batch: DataFrame, i: int) -> None:
+        touched = batch.select(*keys).distinct()
+        anew = build(history().join(touched, keys, "left_semi")).withColumn("_gone", F.lit(False))
+        lost = touched.join(anew.select(*keys), keys, "left_anti").withColumn("_gone", F.lit(True))
+        upsert_into(f"{folder}/rows", anew.unionByName(lost, allowMissingColumns=True).select(*schema.names), keys, [F.col("_gone")])
 
-    _run(stream, "append", folder, append)
-    return _batches(spark, folder, schema)
+    _run(stream.select(*keys), "append", folder, replace)
+    return read_keyed(spark, f"{folder}/rows", schema).where("NOT _gone").drop("_gone")
+
+
+def late_corrections(stream: DataFrame, log: DataFrame, moment: str, keys: list[str], minutes: int, late: str, folder: str | None = None) -> DataFrame:
+    """Per key and window the rows that a stream has counted, all that the log holds (``n``), and those ``lost`` to the watermark.
+
+    A stream passes over corrections that come later than ``late`` behind the newest row, and does not rewind what it has
+    taken in; counting the log anew heals that.
+    """
+    counted = tick_windows(stream, moment, keys, minutes, late, folder, streamed=F.count("*"))
+    start = F.floor(F.unix_seconds(F.col(moment).cast("timestamp")) / (60 * minutes)).cast("long") * minutes
+    whole = log.groupBy(*keys, start.alias("tick_min")).agg(F.count("*").alias("n"))
+    d = whole.join(counted, [*keys, "tick_min"], "left").withColumn("streamed", F.coalesce("streamed", F.lit(0).cast("long")))
+    return d.withColumn("lost", F.col("n") - F.col("streamed"))
 
 
 def auto_clock(log: DataFrame, event: str, write: str, limit: float) -> DataFrame:
@@ -94,11 +134,13 @@ def auto_clock(log: DataFrame, event: str, write: str, limit: float) -> DataFram
 def staleness(log: DataFrame, minute: Column, warn: float, critical: float) -> DataFrame:
     """Gaps between minutes with arrivals that reach ``warn``, with their level.
 
-    Arrivals are counted by minute first, so the one ordered window holds minutes, whose number is bounded by the time spanned.
+    Arrivals are counted by minute first. Minutes are ordered inside their day, and a day's first minute follows the last
+    one of the day before, so only a row per day is ordered without a key.
     """
-    from pyspark.sql import Window as W
-
-    minutes = log.groupBy(minute.cast("long").alias("minute")).agg(F.count("*").alias("n"))
-    gaps = minutes.withColumn("gap", F.col("minute") - F.lag("minute").over(W.orderBy("minute")))
+    minutes = log.groupBy(minute.cast("long").alias("minute")).agg(F.count("*").alias("n")).withColumn("_day", F.floor(F.col("minute") / 1440))
+    days = minutes.groupBy("_day").agg(F.max("minute").alias("_newest"))
+    before = days.select("_day", F.lag("_newest").over(W.orderBy("_day")).alias("_before"))
+    previous = F.coalesce(F.lag("minute").over(W.partitionBy("_day").orderBy("minute")), "_before")
+    gaps = minutes.join(before, "_day").withColumn("gap", F.col("minute") - previous)
     level = F.when(F.col("gap") >= critical, "critical").otherwise("warn")
     return gaps.where(F.col("gap") >= warn).select("minute", "gap", "n", level.alias("level"))
