@@ -15,8 +15,9 @@ BROADCAST_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession | None = None) -> None:
     """Sets ``BATCH_BYTES`` for the session, unless it has a setting of its own: bounds a worker's memory when texts are long."""
+    spark = spark or SparkSession.active()
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, str(BATCH_BYTES))
@@ -36,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode a fresh local one where it is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if root:
@@ -44,6 +45,8 @@ def shared_root(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -20,7 +20,6 @@ words differ from its flow by less than one document.
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.llm.common import written
+from waymark.llm.common import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Patterns above this are refused: the flow is solved on the driver.
@@ -55,56 +54,84 @@ def source_targets(
 
 
 def min_cost_flow(capacity: dict[str, int], members: dict[str, list], quota: dict, repeats: int) -> dict[str, int]:
-    """Words that each pattern gives, by successive shortest paths with potentials.
+    """Words that each pattern gives: the most that the quotas take, at the least cost.
 
-    Level r of a pattern holds its capacity again at cost r, which makes the cost convex.
+    Level r of a pattern holds its capacity again at cost r, which makes the cost convex. All costs lie on the arcs out of
+    the start, so shortest paths of cost r are those through a pattern whose levels below r are used up: the flow is found
+    as one maximum flow per level, each going on from the one before.
     """
-    nodes: dict = {}
-    node = lambda x: nodes.setdefault(x, len(nodes))
-    start, sink = node("start"), node("sink")
-    head, room, cost, out = [], [], [], []
-
-    def arc(a: int, b: int, c: int, w: int) -> int:
-        while len(out) <= max(a, b):
-            out.append([])
-        for x, y, z, v in ((a, b, c, w), (b, a, 0, -w)):
-            out[x].append(len(head))
-            head.append(y)
-            room.append(z)
-            cost.append(v)
-        return len(head) - 2
-
-    levels = {p: [arc(start, node(("p", p)), c, r) for r in range(repeats)] for p, c in sorted(capacity.items()) if c > 0}
-    for p in levels:
+    patterns = [p for p in sorted(capacity) if capacity[p] > 0]
+    sources = {s: len(patterns) + i for i, s in enumerate(quota)}
+    network = _Network(len(patterns) + len(sources))
+    for n, p in enumerate(patterns):
         for s in members[p]:
-            arc(node(("p", p)), node(("s", s)), 1 << 62, 0)
+            network.arc(n, sources[s], 1 << 62)
     for s, q in quota.items():
-        if ("s", s) in nodes:
-            arc(node(("s", s)), sink, q, 0)
-    potential = [0] * len(nodes)
-    while True:
-        dist, via, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > dist[a]:
-                continue
-            for e in out[a] if a < len(out) else ():
-                b = head[e]
-                if room[e] > 0 and (w := d + cost[e] + potential[a] - potential[b]) < dist.get(b, 1 << 62):
-                    dist[b], via[b] = w, e
-                    heapq.heappush(heap, (w, b))
-        if sink not in dist:
-            return {p: sum(room[e ^ 1] for e in arcs) for p, arcs in levels.items()}
-        far = max(dist.values())
-        potential = [v + dist.get(i, far) for i, v in enumerate(potential)]
-        path, b = [], sink
-        while b != start:
-            path.append(via[b])
-            b = head[via[b] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+        network.arc(sources[s], network.sink, q)
+    given = [network.arc(network.start, n, 0) for n in range(len(patterns))]
+    for _ in range(repeats):
+        for n, p in enumerate(patterns):
+            network.room[given[n]] += capacity[p]
+        network.fill()
+    return {p: network.room[given[n] ^ 1] for n, p in enumerate(patterns)}
+
+
+class _Network:
+    """A flow network between ``start`` and ``sink``; arcs are numbered in pairs with their reverse."""
+
+    def __init__(self, nodes: int):
+        self.start, self.sink = nodes, nodes + 1
+        self.head: list[int] = []
+        self.room: list[int] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes + 2)]
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[x].append(len(self.head))
+            self.head.append(y)
+            self.room.append(r)
+        return len(self.head) - 2
+
+    def fill(self) -> None:
+        """Adds a maximum flow: blocking flows over shortest paths, until the sink is cut off."""
+        while (depth := self._depths())[self.sink] >= 0:
+            nxt = [0] * len(self.out)
+            path: list[int] = []
+            at = self.start
+            while True:
+                if at == self.sink:
+                    push = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    # back to where the first full arc leaves
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    at = self.head[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while nxt[at] < len(self.out[at]):
+                    e = self.out[at][nxt[at]]
+                    if self.room[e] and depth[self.head[e]] == depth[at] + 1:
+                        break
+                    nxt[at] += 1
+                if nxt[at] < len(self.out[at]):
+                    path.append(self.out[at][nxt[at]])
+                    at = self.head[path[-1]]
+                elif path:
+                    at = self.head[path.pop() ^ 1]
+                    nxt[at] += 1
+                else:
+                    break
+
+    def _depths(self) -> list[int]:
+        depth = [-1] * len(self.out)
+        depth[self.start], line = 0, [self.start]
+        for a in line:
+            for e in self.out[a]:
+                if self.room[e] and depth[self.head[e]] < 0:
+                    depth[self.head[e]] = depth[a] + 1
+                    line.append(self.head[e])
+        return depth
 
 
 def seeded_order(key: Column, size: Column, seed: int) -> Column:
@@ -129,8 +156,8 @@ def _edge(rows: DataFrame, known: DataFrame, bits: int) -> DataFrame:
     return written(found, f"mix-edge-{bits}")
 
 
-def with_selection(slim: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``slim`` with ``extra``: whether a row's middle lies within the ``rest`` words of its pattern, in seeded order.
+def with_selection(slim: DataFrame, wanted: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows ``of``, those of ``slim`` with more columns, with ``extra``: whether a row's middle lies within the ``rest`` words of its pattern, in seeded order.
 
     ``wanted`` has (pattern, full, rest), a row per pattern. Buckets of the leading 12 bits of the order are summed, then
     those of 24 bits inside the one that ``rest`` falls into; only rows of that last bucket are ordered one by one.
@@ -138,11 +165,11 @@ def with_selection(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     first = _edge(slim, wanted.withColumn("spent", F.lit(0).cast("long")), 12)
     at_first = slim.select("pattern", "order", "size").join(F.broadcast(first.select("pattern", "edge")), "pattern").where(F.shiftright("order", 48) == F.col("edge"))
     last = _edge(at_first.drop("edge"), first, 24)
-    rows = slim.join(F.broadcast(wanted.select("pattern", "full")), "pattern", "left").join(F.broadcast(last), "pattern", "left")
+    rows = of.join(F.broadcast(wanted.select("pattern", "full")), "pattern", "left").join(F.broadcast(last), "pattern", "left")
     bucket, edge = F.shiftright("order", 36), F.col("edge")
     whole = rows.where(edge.isNull() | (bucket != edge)).withColumn("extra", F.coalesce(bucket < edge, F.lit(False)))
     # carried columns settle the order of rows of one id and size, so that it is the same each time
-    ties = [F.xxhash64("carried")] if "carried" in slim.columns else []
+    ties = [F.xxhash64("carried")] if "carried" in of.columns else []
     one_by_one = W.partitionBy("pattern").orderBy("order", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     middle2 = 2 * (F.col("spent") + F.sum("size").over(one_by_one)) - F.col("size")
     return whole.unionByName(rows.where(bucket == edge).withColumn("extra", middle2 <= 2 * F.col("rest")))
@@ -173,9 +200,9 @@ def mix(
     """
     spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    carried = [F.struct(*carry).alias("carried")] if carry else []
-    slim = df.select(F.col(key).alias("doc_id"), size.alias("size"), pattern_of(members).alias("pattern"), *carried)
-    slim = written(slim.withColumn("order", seeded_order(F.col("doc_id"), F.col("size"), seed)), "mix-sizes")
+    sized = df.select(F.col(key).alias("doc_id"), size.alias("size"), pattern_of(members).alias("pattern"), *([F.struct(*carry).alias("carried")] if carry else []))
+    sized = sized.withColumn("order", seeded_order(F.col("doc_id"), F.col("size"), seed))
+    slim = written(sized.drop("carried"), "mix-sizes")
 
     totals = slim.groupBy("pattern").agg(F.sum("size").alias("size"))
     got = totals.limit(MAX_PATTERNS + 1).collect()
@@ -193,7 +220,10 @@ def mix(
         [(p, n // capacity[p], n % capacity[p]) for p, n in sorted(flow.items())], "pattern string, full int, rest long"
     )
     copies = F.when(F.col("size") > 0, F.coalesce("full", F.lit(0)) + F.col("extra").cast("int")).otherwise(0)
-    rows = with_selection(slim, wanted).withColumn("copies", copies)
+    # rows with all that they carry are read again rather than kept a second time
+    rows = with_selection(slim, wanted, sized if carry else slim).withColumn("copies", copies)
+    if carry:
+        discard(slim)
     rows = rows.select("doc_id", "size", "pattern", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["carried"] if carry else []))
     return Mix(rows, {s: (sizes[s], targets[s]) for s in sizes}, members_of)
 

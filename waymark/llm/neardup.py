@@ -323,20 +323,25 @@ def classified(df: DataFrame, key: str, text: str, k: int, percent: int, bands:
     (set_key, rep, rep_key, component_id): the id and text that stand for it, and its component's least id."""
     small_batches(df.sparkSession)
     slim = df.select(F.col(key).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    signs = written(signatures(slim, k, bands, rows), "signatures")
+    full = written(signatures(slim, k, bands, rows), "signatures")
     # the class is stood for by its row of least id; rows without an id come last
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    classes = signs.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("first"), F.first("band_keys").alias("band_keys"))
-    classes = written(
-        classes.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "band_keys", F.monotonically_increasing_id().alias("node")), "classes"
+    banded = full.where("n_shingles > 0").groupBy("set_key").agg(F.min(first).alias("first"), F.first("band_keys").alias("band_keys"))
+    banded = written(
+        banded.select("set_key", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"), "band_keys", F.monotonically_increasing_id().alias("node")), "classes"
     )
-    exploded = classes.select("node", F.explode("band_keys").alias("bucket"))
+    signs = written(full.drop("band_keys"), "signatures")
+    discard(full)
+    exploded = banded.select("node", F.explode("band_keys").alias("bucket"))
     buckets = exploded.groupBy("bucket").agg(F.min("node").alias("p"), F.max("node").alias("top")).where("p < top").select("bucket", "p")
     pairs = written(exploded.join(buckets, "bucket").where(F.col("node") != F.col("p")).select("p", F.col("node").alias("x")).distinct(), "pairs")
+    classes = written(banded.drop("band_keys"), "classes")
+    discard(banded)
     nodes = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("x").alias("node"))).distinct()
     wanted = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("text_key")).join(nodes, "node")
     same_row = slim["doc_id"].eqNullSafe(wanted["doc_id"]) & (slim["text_key"] == wanted["text_key"])
-    texts = written(slim.join(wanted, same_row).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # what is wanted grows with the corpus, so it is never broadcast
+    texts = written(slim.join(wanted.hint("merge"), same_row).groupBy("node").agg(F.first("text").alias("text")), "texts")
     compared = written(differences(pairs, texts, k), "compared")
     discard(texts)
     discard(pairs)
@@ -358,7 +363,9 @@ def classified(df: DataFrame, key: str, text: str, k: int, percent: int, bands:
     labelled = labelled.join(named, "node", "left").select(
         "set_key", "rep", "rep_key", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return signs.drop("band_keys"), written(labelled, "labels")
+    labels = written(labelled, "labels")
+    discard(classes)
+    return signs, labels
 
 
 def near_duplicates(
@@ -391,7 +398,7 @@ def without_near_duplicates(
     best = F.coalesce(F.col("best.rep_key") == F.col("text_key"), F.lit(False))
     asked = written(found.select("text_key", "component").join(several.select("component", "best"), "component").select("text_key", best.alias("best"), "component"), "asked")
     asked = asked.groupBy(F.col("text_key").alias(key_col)).agg(F.max("best").alias(best_col), F.min("component").alias(comp_col))
-    marked = df.join(asked, text_key(F.col(text)) == F.col(key_col), "left")
+    marked = df.join(asked.hint("merge"), text_key(F.col(text)) == F.col(key_col), "left")
     alone = marked.where(F.col(key_col).isNull()).select(*df.columns)
     order = F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("id"), F.xxhash64(*df.columns).alias("hash"))
     least = marked.where(best_col).groupBy(comp_col).agg(F.min_by(F.struct(*df.columns), order).alias(row_col))
