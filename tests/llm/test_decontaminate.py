@@ -90,3 +90,30 @@ def test_odd_tables_and_blocks(spark):
         assert {(r.doc_id, r.item_id) for r in d.find_passages(docs, bench, block_bytes=size).collect()} == want
     assert d.find_passages(docs.where("false"), bench).count() == 0
     assert d.find_passages(docs, bench.where("false")).count() == 0
+
+
+def test_segments_of_long_and_repetitive_texts_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    items = [("p", prose(rng, 12)), ("q", "ab " * 40), ("r", prose(rng, 3))]
+    passages = d.Passages(items, 0.1)
+    text = prose(rng, 400)
+    for _ in range(12):
+        text += " " + edited(rng, items[rng.randrange(3)][1], 2) + " " + prose(rng, 60)
+    text += " " + "ab " * 300
+    whole = d.occurrences(passages, text)
+    monkeypatch.setattr(d, "SEGMENT", 300)
+    assert d.occurrences(passages, text) == whole
+    assert {i for i, e, _ in whole if e == 0} >= {"q"}
+    monkeypatch.undo()
+    assert d.occurrences(passages, "ab " * 200_000)[0][:2] == ("q", 0)
+
+
+def test_repeated_passages_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "see the quick brown fox jumps", 7), (1, "see the quick brown fox jumps", 7), (2, "other words", 8)], "doc_id long, text string, item_id long")
+    docs = docs.selectExpr("*", "1 AS passage", "2 AS edits")
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps"), (1, "The quick brown fox jumps"), (5, "The quick brown fox jumps"), (None, "The quick brown fox jumps")], "item_id long, text string")
+    for size in (1 << 20, 10):
+        got = sorted(((r.doc_id, r.item_id) for r in d.find_passages(docs, bench, block_bytes=size).collect()), key=str)
+        assert got == sorted([(1, 1)] * 4 + [(1, 5)] * 2 + [(1, None)] * 2, key=str)
+        left = d.without_passages(docs, bench, block_bytes=size)
+        assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]

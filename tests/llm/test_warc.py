@@ -51,7 +51,9 @@ def test_odd_pages_and_index_order(spark, tmp_path):
     rows += [(100 + i, f"http://h{i % 7}.com/{i % 3}", f"page {i % 40} " * 20) for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).selectExpr("*", "1 as digest", "2 as ts")
     index, root = warc.archive_pages(df, F.lit("20240101000000"), root=str(tmp_path / "w"))
-    got = sorted((tuple(r) for r in warc.read_archives(index, root).collect()), key=str)
+    read = warc.with_position(warc.read_archives(index, root), index).collect()
+    got = sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in read), key=str)
+    assert sorted(r.position for r in read) == list(range(len(rows)))
     assert got == brute([(p, h) for p, _, h in rows])
     order = index.orderBy("part", "pos").select("url_key", "ts", "order_id").collect()
     assert order == sorted(order) and len(order) == len(rows)

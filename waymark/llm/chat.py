@@ -11,6 +11,10 @@ Control strings inside texts are escaped reversibly: ``<|`` gets a
 backslash between its two characters, one more for each that is there
 already. In roles, ``%`` and line breaks are percent-encoded as well.
 
+Batches above ``SLICE_BYTES`` are assembled in slices of turns, so that
+offsets stay within 32 bits; a turn of more than ``TURN_BYTES`` is refused,
+as its formatted form need not fit in Spark's own strings.
+
 Rows are ordered by (turn, role, text); nulls first. Null texts and roles
 are empty, a null conversation id is a conversation of its own, repeated
 turns are kept. A conversation may exceed a batch: it then continues in
@@ -31,6 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import small_batches
+
+#: Text bytes assembled at once, and the most that a turn may have.
+SLICE_BYTES, TURN_BYTES = 128 << 20, 1 << 30
 START, END = "<|im_start|>", "<|im_end|>"
 FORMATTED = "conv_id long, piece int, n_turns int, formatted string, loss_starts array<long>, loss_ends array<long>"
 _CLOSED = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -91,12 +99,11 @@ def format_conversations(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    small_batches(turns.sparkSession)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, piece = object(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0)
             keys, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
             changed = np.flatnonzero((keys[1:] != keys[:-1]) | (known[1:] != known[:-1])) + 1
@@ -126,6 +133,19 @@ def format_conversations(
     return ordered.mapInArrow(assembled, FORMATTED)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The turns (conv_id, role, text) of a batch in slices of about ``SLICE_BYTES``, or of one turn."""
+    sizes = (pc.binary_length(batch.column(1)).cast(pa.int64()).to_numpy() + pc.binary_length(batch.column(2)).cast(pa.int64()).to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+    if len(sizes) and sizes.max() > TURN_BYTES:
+        raise ValueError(f"a turn has {sizes.max()} bytes; at most {TURN_BYTES} are formatted")
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + SLICE_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
     """The (role, text) of each turn of a formatted piece."""
     for m in _CLOSED.finditer(formatted):
@@ -135,12 +155,15 @@ def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, as_dealt: bool = False) -> DataFrame:
     """Digests of each conversation as read from the output of ``format_conversations``; see ``DIGESTS``.
 
-    Takes that output as it is dealt: the pieces of a conversation are
-    consecutive, and are hashed one after another.
+    The pieces of a conversation are brought together in order and hashed one after another. ``as_dealt`` takes the very
+    output of ``format_conversations``, in which they are so already, without dealing it again.
     """
+    small_batches(formatted.sparkSession)
+    if not as_dealt:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGESTS.split(", ")]

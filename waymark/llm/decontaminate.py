@@ -17,7 +17,8 @@ digit are never found. Null and empty texts have no match. Whole texts
 are searched. Repeated passages and rows are reported each on its own.
 
 The passages are the stated query set: they go out in blocks of bounded
-bytes, each against all rows.
+bytes, each against all rows. Extra columns are ignored, whatever their
+names, and kept by ``without_passages``.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import discard, written
+from waymark.llm.common import discard, small_batches, written
 
 MAX_Q, MAX_ERROR = 8, 0.1
-#: Bytes of passages that are sent out at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of passages that are sent out at once, and characters of a text that are searched at once.
+BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 14
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 22
 _ITEM = 1 << 40  # more than any place in a text
@@ -78,7 +79,7 @@ def gram_length(m: int, k: int) -> int:
 class Passages:
     """The q-gram index of a block of passages, one table for each q in use."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error: float):
+    def __init__(self, items: list[tuple[str, str]], max_error: float):
         self.items = [(i, t, int(max_error * len(t))) for i, raw in items if len(t := normalised(raw))]
         self.tables = []
         by_q: dict[int, list[int]] = {}
@@ -161,29 +162,49 @@ def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, k: int)
     return int(row[best]), low + m + best
 
 
-def occurrences(passages: Passages, text: str) -> list[tuple[int, int, int]]:
-    """(item id, fewest edits, end in the normalised text) of each passage that occurs in the text."""
-    c = normalised(text)
-    best: dict[int, tuple[int, int]] = {}
+def _best_of(passages: Passages, c: np.ndarray, shift: int, best: dict[int, tuple[int, int]]) -> None:
+    """Puts into ``best`` the (fewest edits, end) of each passage that occurs in ``c``, which begins at ``shift`` of its text."""
     for n, low, high in passages.regions(c):
         _, own, k = passages.items[n]
         if best.get(n, (1, 0))[0] == 0:
             continue
         same = [d for d in range(max(0, low), min(high, len(c) - len(own)) + 1) if np.array_equal(c[d : d + len(own)], own)] if high - low <= k else []
         found = (0, same[0] + len(own)) if same else aligned(own, c, low, high, k)
-        if found and found[0] <= k and found < best.get(n, (k + 1, 0)):
+        if found and found[0] <= k and (found := (found[0], found[1] + shift)) < best.get(n, (k + 1, 0)):
             best[n] = found
+
+
+def occurrences(passages: Passages, text: str) -> list[tuple]:
+    """(passage, fewest edits, end in the normalised text) of each passage that occurs in the text.
+
+    Long texts are searched in segments that overlap by the longest passage and its edits, so that every occurrence lies
+    in one; this bounds the hits held at once, also where text and passages repeat themselves.
+    """
+    c = normalised(text)
+    best: dict[int, tuple[int, int]] = {}
+    overlap = max((len(t) + k for _, t, k in passages.items), default=0)
+    length = max(SEGMENT, 2 * overlap)
+    for at in range(0, max(1, len(c) - overlap), length - overlap):
+        _best_of(passages, c[at : at + length], at, best)
     return [(passages.items[n][0], *v) for n, v in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The passages in blocks of about ``block_bytes``, dealt by hash; only one block is in the driver at a time."""
-    rows = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+def _different(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(passage, item_id, text): the key of each passage's text, under which repeated passages are one."""
+    return benchmark.select(F.md5(text).alias("passage"), F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+
+
+def _blocks(named: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], int]]:
+    """The different texts of ``named`` in blocks of about ``block_bytes``, dealt by their key; one block is in the driver at a time.
+
+    Gives each block with the number of blocks.
+    """
+    texts = named.groupBy("passage").agg(F.first("text").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-2 * size // block_bytes) if size > block_bytes else 1
     for i in range(n):
-        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else rows
-        yield [(r.item_id, r.text) for r in block.collect()]
+        block = texts.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == i) if n > 1 else texts
+        yield [(r.passage, r.text) for r in block.collect()], n
 
 
 @functools.lru_cache(maxsize=1)
@@ -195,23 +216,32 @@ def find_passages(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(doc_id, item_id, edits, end_char): each passage that occurs in each row with at most ``max_error`` edits a character."""
+    """(doc_id, item_id, edits, end_char): each passage that occurs in each row with at most ``max_error`` edits a character.
+
+    Passages above one block are searched block by block, each against all rows; a block's hits are written and its
+    broadcast is taken back before the next one.
+    """
     spark = df.sparkSession
+    small_batches(spark)
     slim = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    out = None
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    named = _different(benchmark, item, item_text)
+    hits = None
+    for block, n in _blocks(named, block_bytes):
         shared = spark.sparkContext.broadcast((block, max_error))
 
         def searched(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             passages = _index(shared)
             for b in batches:
                 rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in occurrences(passages, t)]
-                got = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "end_char"])
-                yield got.astype({"doc_id": "Int64", "item_id": "Int64", "edits": "int64", "end_char": "int64"})
+                got = pd.DataFrame(rows, columns=["doc_id", "passage", "edits", "end_char"])
+                yield got.astype({"doc_id": "Int64", "passage": "object", "edits": "int64", "end_char": "int64"})
 
-        part = slim.mapInPandas(searched, "doc_id long, item_id long, edits long, end_char long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = slim.mapInPandas(searched, "doc_id long, passage string, edits long, end_char long")
+        if n > 1:
+            part = written(part, "passages")
+            shared.unpersist(blocking=True)
+        hits = part if hits is None else hits.unionByName(part)
+    return hits.join(named.select("passage", "item_id"), "passage").select("doc_id", "item_id", "edits", "end_char")
 
 
 def contaminated_ids(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -228,8 +258,9 @@ def without_passages(
     Each row is decided by its own text, also rows that share an id or have none; null texts stay. What one block of
     passages leaves is written before the next one.
     """
-    spark, place, kept, before = df.sparkSession, df.columns.index(text), None, None
-    for block in _blocks(benchmark, item, item_text, block_bytes):
+    spark, place, kept, before = df.sparkSession, df.columns.index(text), df, None
+    small_batches(spark)
+    for block, n in _blocks(_different(benchmark, item, item_text), block_bytes):
         shared = spark.sparkContext.broadcast((block, max_error))
 
         def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -237,11 +268,11 @@ def without_passages(
             for b in batches:
                 yield b.filter(pa.array([t is None or not occurrences(passages, t) for t in b.column(place).to_pylist()], pa.bool_()))
 
-        rows = df
-        if kept is not None:
-            rows = written(kept, "clean")
+        kept = kept.mapInArrow(cleaned, df.schema)
+        if n > 1:
+            kept = written(kept, "clean")
+            shared.unpersist(blocking=True)
             if before is not None:
                 discard(before)
-            before = rows
-        kept = rows.mapInArrow(cleaned, df.schema)
+            before = kept
     return kept

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import free_name, small_batches
+
 UNKNOWN = "und"
 SEGMENT, SHORT = 1024, 192
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -80,45 +82,46 @@ class Classifier:
 
 
 def train(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    dictionary_bytes: int = 32768, sample_chars: int = 512, sample_docs: int = 128, min_margin: float = 0.01,
+    labelled: DataFrame, text: str = "text", lang: str = "lang",
+    dictionary_bytes: int = 32768, sample_docs: int = 128, max_languages: int = 256, min_margin: float = 0.01,
 ) -> LanguageModel:
     """Fits on a bounded sample of the labelled rows.
 
-    The label counts cover all rows. Of each language about ``2 *
-    sample_docs`` rows with the lowest hashes are taken, at most
-    ``sample_chars`` characters of each, until the dictionary is full;
-    that bounds what reaches the driver. Rows without a label or text are
-    passed over.
+    The label counts cover all rows; of more than ``max_languages`` labels those with most rows are learnt. Of each label
+    about ``2 * sample_docs`` different texts with the lowest hashes are taken, whole, one after another until the
+    dictionary is full. The hash is the text's own, so the sample depends neither on ids nor on the order of rows, and
+    repeated texts count once. Dictionaries are made where the sample lies; only they reach the driver. Rows without a
+    label or text are passed over.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.col(key), F.length(text))
-    # the hash is uniform over 64 bits, so this threshold passes about 2 * sample_docs rows of a language
-    share = {k: min(1.0, 2 * sample_docs / n) for k, n in counts.items()}
+    small_batches(labelled.sparkSession)
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts"))
+    known = per.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # hashes are uniform over 64 bits, so this threshold passes about 2 * sample_docs texts of a language
     span, low = float(2**64 - 2048), -(2**63)
     passes = F.lit(False)
-    for k, p in share.items():
-        passes |= (F.col(lang) == F.lit(k)) & (order <= F.lit(low + int(span * p)))
-    picked = rows.where(passes).select(F.col(lang).alias("lang"), order.alias("o"), F.substring(text, 1, sample_chars).alias("t"))
-    by_lang: dict[str, list] = {}
-    for r in picked.limit(4 * sample_docs * max(1, len(counts))).collect():
-        by_lang.setdefault(r["lang"], []).append((r["o"], r["t"]))
-    out = []
-    for k in sorted(counts, key=lambda k: (-counts[k], k)):
+    for r in known:
+        passes |= (F.col("lang") == F.lit(r["lang"])) & (F.col("hash") <= F.lit(low + int(span * min(1.0, 2 * sample_docs / max(1, r["texts"])))))
+    picked = rows.where(passes).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+
+    def learnt(sample: pd.DataFrame) -> pd.DataFrame:
         content = b""
-        for _, t in sorted(by_lang.get(k, [])):
+        for t in sample.sort_values("hash")["text"]:
             content += letters_only(t)
             if len(content) >= dictionary_bytes:
                 break
-        if content:
-            out.append((k, content[:dictionary_bytes].rjust(8)))
-    return LanguageModel(tuple(out), min_margin)
+        return pd.DataFrame({"lang": [sample["lang"].iloc[0]], "content": [content[:dictionary_bytes]]})
+
+    contents = {r["lang"]: bytes(r["content"]) for r in picked.groupBy("lang").applyInPandas(learnt, "lang string, content binary").collect()}
+    ranked = sorted(known, key=lambda r: (-r["n"], r["lang"]))
+    return LanguageModel(tuple((r["lang"], contents[r["lang"]].rjust(8)) for r in ranked if contents.get(r["lang"])), min_margin)
 
 
 def language_of(model: LanguageModel, text: Column) -> Column:
     """A struct (lang, margin) of each whole text."""
 
+    small_batches()
+
     @F.pandas_udf("lang string, margin double")
     def classified(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         classifier = Classifier(model)
@@ -129,11 +132,14 @@ def language_of(model: LanguageModel, text: Column) -> Column:
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``rejected`` (no letter, or a margin under the model's)."""
-    found = df.withColumn("_language", language_of(model, F.col(text)))
-    return (
-        found.withColumn("lang_pred", F.col("_language.lang"))
-        .withColumn("score", F.col("_language.margin"))
-        .withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < F.lit(model.min_margin)))
-        .drop("_language")
-    )
+    """``df`` with ``lang_pred``, ``score`` (the margin, 0 to 1) and ``rejected`` (no letter, or a margin under the model's).
+
+    Columns of these names are replaced, others of ``df`` stay, whatever they are called.
+    """
+    names = ("lang_pred", "score", "rejected")
+    found = free_name(df, "language")
+    kept = [c for c in df.columns if c.lower() not in names]
+    told = df.withColumn(found, language_of(model, F.col(text)))
+    lang, margin = F.col(f"{found}.lang"), F.col(f"{found}.margin")
+    rejected = (lang == UNKNOWN) | (margin < F.lit(model.min_margin))
+    return told.select(*kept, lang.alias("lang_pred"), margin.alias("score"), rejected.alias("rejected"))

@@ -29,7 +29,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload, p = F.col("probe.payload"), "probe."
     feature = F.concat_ws(
         ";",
-        F.format_string("frames=%d", p + "frames"), F.format_string("samples=%d", p + "samples"), F.format_string("rate=%d", p + "rate"),
+        F.format_string("frames=%d", p + "frames"), F.format_string("samples=%d", p + "samples"), F.format_string("rate=%d", p + "rate"), F.concat(F.lit("seconds="), F.round(p + "duration_s", 6).cast("string")),
         F.format_string("crc=%d/%d", p + "crc_good", F.col(p + "crc_good") + F.col(p + "crc_bad")), F.format_string("skipped=%d", p + "skipped_bytes"),
         F.format_string("table=%d/%d", p + "table_frames", p + "table_bytes"),
         F.concat(F.lit("seek="), F.crc32(F.concat_ws(",", F.col(p + "seek_offsets").cast("array<string>"))).cast("string")),
@@ -52,7 +52,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, and of conversation -1, whose texts imitate the template."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", PROBE_TEXT), (-1, 1, "assistant", PROBE_TEXT)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_conversations(turns.unionByName(own)))
+    return chat.read_back(chat.format_conversations(turns.unionByName(own)), as_dealt=True)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,13 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and read back through their merged index; a page's time is its id in seconds."""
+    """All pages written to archives and read back through their merged index; a page's time is its id in seconds.
+
+    ``position`` is the capture's place in the whole index.
+    """
     moment = F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0)))
     index, root = warc.archive_pages(table(spark, sf_dir, "pages"), F.date_format(moment, "yyyyMMddHHmmss"))
-    return warc.read_archives(index, root)
+    return warc.with_position(warc.read_archives(index, root), index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +102,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = language.train(docs.where(~F.coalesce(held, F.lit(False))))
     found = language.identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), model)
-    return found.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+    return found.select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"), "rejected")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

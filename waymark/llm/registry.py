@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import licenses, mixing
+from waymark.llm import licenses, mixing, twins
 from waymark.llm import queries as q
 
 
@@ -23,4 +23,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_mix": mixing.oracle_sql(), "op7_licenses": licenses.oracle_sql()}
+    return {
+        "op1_near_duplicates": twins.near_duplicates(),
+        "op3_chat": twins.chat(),
+        "op4_mix": mixing.oracle_sql(),
+        "op5_warc": twins.warc(),
+        "op7_licenses": licenses.oracle_sql(),
+    }

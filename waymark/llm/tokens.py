@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import small_batches
+
 MARK = "▁"
 #: A model file above this is refused, as it is broadcast whole.
 MAX_MODEL_BYTES = 64 << 20
@@ -103,6 +105,7 @@ def token_count(spark: SparkSession, text: Column, model_path: str) -> Column:
     model = Path(model_path).read_bytes()
     if len(model) > MAX_MODEL_BYTES:
         raise ValueError(f"{model_path} has {len(model)} bytes; at most {MAX_MODEL_BYTES} are broadcast")
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model, frequent_lengths(model) if splits_at_marks(model) else None))
 
     @F.pandas_udf("long")

@@ -29,16 +29,17 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.llm.common import new_folder, written
+from waymark.llm.common import new_folder, small_batches, written
 
 MIN_BYTES = 100
 #: A new file, and with it a new run, begins above so many bytes; so many captures make a range; so many bytes of a file are read by one task.
 ROLL_BYTES, RANGE_ROWS, READ_BYTES = 256 << 20, 200_000, 64 << 20
 NO_ID = (1 << 63) - 1
 RUNS = "url_key string, ts string, order_id long, run string, file string, offset long, length long"
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, part int, pos long"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -127,21 +128,27 @@ def merged(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
 
 
 def decide(pages: DataFrame, page_id: str, url: str, html: str, ts: Column, min_bytes: int) -> DataFrame:
-    """(page_id, url, ts, html, digest, refers_to): each page with the page it revisits, or null."""
+    """(page_id, url, ts, html, digest, refers_to): each page with the page it revisits, or null.
+
+    What is a revisit is found on ids and digests alone. Payloads are dealt once, by id and digest, so that pages of equal
+    payload don't meet in one task.
+    """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), ts.alias("ts"), F.coalesce(F.col(html), F.lit("")).alias("html")
     ).withColumn("digest", F.sha2(F.col("html"), 256))
-    shared = (
-        rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n_pages"))
-        .where("n_pages > 1 and first_id is not null").select("digest", "first_id")
-    )
+    small = written(rows.where(F.octet_length("html") >= min_bytes).groupBy("page_id", "digest").agg(F.count("*").alias("n_rows")), "digests")
+    shared = small.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.sum("n_rows").alias("n_pages")).where("n_pages > 1 and first_id is not null").select("digest", "first_id")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))
-    return rows.join(shared, "digest", "left").withColumn("refers_to", F.when(other, F.col("first_id"))).select("page_id", "url", "ts", "html", "digest", "refers_to")
+    revisits = small.join(shared, "digest").where(other).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first_id").alias("refers_to"))
+    same = rows["page_id"].eqNullSafe(revisits["_id"]) & (rows["digest"] == revisits["_digest"]) & (F.octet_length(rows["html"]) >= min_bytes)
+    return rows.join(revisits, same, "left").select("page_id", "url", "ts", "html", "digest", "refers_to")
 
 
 def write_archives(decided: DataFrame, root: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the records below ``root``; gives the committed runs (see ``RUNS``)."""
 
+    small_batches(decided.sparkSession)
+
     def wrote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -206,7 +213,8 @@ def merge_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def read_archives(index: DataFrame, root: str) -> DataFrame:
-    """The records that the index names, see ``RECORDS``; a response's digest and size are those of the payload read."""
+    """The records that the index names, see ``RECORDS``, each with its place (part, pos) in the index; a response's digest and
+    size are those of the payload read."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -226,16 +234,23 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
                 if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{name} at {r['offset']}: the payload differs from its digest")
                 refers = x.get("warc-refers-to")
-                rows.append((page_of(x["warc-record-id"]), x["full_length"], digest, x["warc-type"], page_of(refers) if refers else None))
+                rows.append((page_of(x["warc-record-id"]), x["full_length"], digest, x["warc-type"], page_of(refers) if refers else None, r["part"], r["pos"]))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
     block = F.floor(F.col("offset") / READ_BYTES)
-    dealt = index.select("file", "offset", "length").repartition(F.col("file"), block).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length", "part", "pos").repartition(F.col("file"), block).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, RECORDS)
 
 
+def with_position(records: DataFrame, index: DataFrame) -> DataFrame:
+    """``records`` with ``position``, their place in the whole index: the rows of earlier ranges and the place in their own."""
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    sizes = index.groupBy("part").agg(F.count("*").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return records.join(sizes, "part").withColumn("position", F.col("_before") + F.col("pos")).drop("_before")
+
+
 def archive_pages(
     pages: DataFrame, ts: Column, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, root: str | None = None
 ) -> tuple[DataFrame, str]:
