@@ -142,13 +142,14 @@ def lift_table(events: DataFrame, flag: Column, size: Column, hold: Column, thre
     return d.where("n_large > 0").withColumn("lift", F.col("p_large") / F.nullif(F.col("p_small"), F.lit(0.0)))
 
 
-def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12) -> DataFrame:
+def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12, digits: int | None = None) -> DataFrame:
     """The ``top`` features by rank AUC, ties at their average rank, whichever direction is better; constant ones are left out.
 
     All features are counted by distinct value in one pass, so a window holds a feature's distinct values, not its rows;
-    put continuous features on a grid before.
+    ``digits`` puts continuous ones on a grid of that many decimals.
     """
-    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features))
+    value = lambda c: F.col(c).cast("double") if digits is None else F.round(F.col(c).cast("double"), digits)
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features))
     h = df.select(label.alias("y"), F.inline(cells)).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("m"))
     w = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     h = h.withColumn("_below", F.coalesce(F.sum("m").over(w), F.lit(0)))
@@ -158,8 +159,13 @@ def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12)
     return found.where("_n > 1").drop("_n").orderBy(F.desc("auc"), "feature").limit(top)
 
 
-def precision_at_recall(df: DataFrame, score: str, label: Column, recalls: list[float]) -> DataFrame:
-    """The highest threshold that reaches each recall, and the precision there."""
+def precision_at_recall(df: DataFrame, score: str, label: Column, recalls: list[float], digits: int | None = None) -> DataFrame:
+    """The highest threshold that reaches each recall, and the precision there.
+
+    One window holds the distinct scores; ``digits`` puts continuous ones on a grid of that many decimals.
+    """
+    if digits is not None:
+        df = df.withColumn(score, F.round(score, digits))
     h = df.groupBy(score).agg(F.count_if(label).alias("p"), F.count("*").alias("c"))
     down = W.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
     h = h.withColumn("tp", F.sum("p").over(down)).withColumn("told", F.sum("c").over(down)).withColumn("all_p", F.sum("p").over(W.partitionBy(F.lit(1))))

@@ -18,6 +18,8 @@ def path_conflicts(
 
     ``etas`` has a row per trip, tick and station with whole minutes in ``eta``; ``level`` is the priority as 0 to
     ``levels`` - 1. Range frames over the etas at a station count the neighbours, so no pair of trips is ever a row.
+    Frames reach no further than the windows and caps: a gap beyond its cap counts as the cap. A window's partition is one
+    station at one tick, which grows with the traffic there and not with the days.
     """
     place = [*keys, "station_id"]
     d = etas.withColumn("_g", group).withColumn("_l", level)
@@ -26,9 +28,9 @@ def path_conflicts(
     d = d.withColumn("_overlap", F.count("*").over(near) - 1)
     d = d.withColumn("_same", F.count("*").over(W.partitionBy(*place, "_g").orderBy("eta").rangeBetween(-window, window)) - 1)
     d = d.withColumn("_queue", F.count("*").over(behind) - 1)
-    d = d.withColumn("_ahead", F.col("eta") - F.max("eta").over(by_eta.rangeBetween(W.unboundedPreceding, -1)))
+    d = d.withColumn("_ahead", F.col("eta") - F.max("eta").over(by_eta.rangeBetween(-max(gap_cap, headway_cap), -1)))
     tied = F.count("*").over(by_eta.rangeBetween(0, 0)) > 1
-    d = d.withColumn("_behind", F.when(tied, _zero()).otherwise(F.min("eta").over(by_eta.rangeBetween(1, W.unboundedFollowing)) - F.col("eta")))
+    d = d.withColumn("_behind", F.when(tied, _zero()).otherwise(F.min("eta").over(by_eta.rangeBetween(1, max(gap_cap, headway_cap))) - F.col("eta")))
     above = [F.when(F.lit(k) > F.col("_l"), F.count_if(F.col("_l") == k).over(near)).otherwise(_zero()) for k in range(1, levels)]
     d = d.withColumn("_higher", sum(above, _zero()))
     gap = F.when(F.col("station_id").isin(*junctions), F.least("_ahead", "_behind"))
