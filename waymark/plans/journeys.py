@@ -10,7 +10,7 @@ from waymark.operators import contracts, learned
 from waymark.operators import journeys as j
 from waymark.operators import sequence as seq
 from waymark.plans.book import query
-from waymark.plans.scores import CONFLICTS_SQL, D9_SQL, conflicts, rounded, station_states
+from waymark.plans.scores import CONFLICTS_SQL, D9_SQL, D10_SQL, conflicts, rounded, section_states, station_states
 from waymark.plans.trips import FILLED_SQL, TICK, etas, positions_sql, seen, timed
 from waymark.sources.fixtures import JUNCTIONS, STOPS_SQL, stops, table
 
@@ -137,6 +137,17 @@ def _(spark, d):
     return v.select("blk", "tick", "station_id", F.posexplode("vector").alias("dim", "value")).select("blk", "tick", "station_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
+@query(
+    "E32_section_vectors",
+    f"""{D10_SQL}, xv AS (SELECT blk, tick, a, [run_norm, load, freight_load, multiplier - 1, severity, loss_norm, (a IN {JUNCTIONS})::INT, (b IN {JUNCTIONS})::INT, 0, 1]::DOUBLE[] AS v FROM sec)
+    SELECT blk, tick, a, unnest(range(10)) AS dim, round(unnest(v), 6) AS value FROM xv""",
+)
+def _(spark, d):
+    sec = section_states(spark, d).withColumns({"a_junction": F.col("a").isin(*JUNCTIONS), "b_junction": F.col("b").isin(*JUNCTIONS)})
+    v = j.place_vectors(sec, j.SECTION_VECTOR)
+    return v.select("blk", "tick", "a", F.posexplode("vector").alias("dim", "value")).select("blk", "tick", "a", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
 # trips of every seventh user are there twice at one tick; the manifest leaves out the first block
 @query(
     "D40_integrity_check",

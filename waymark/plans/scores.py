@@ -292,20 +292,23 @@ def _(spark, d):
     return rounded(kept, "congestion", "mixed").select("blk", "tick", "station_id", "congestion", "mixed", F.col("since_critical").cast("long").alias("since_critical"))
 
 
-@query(
-    "D10_section_state_rows",
-    f"""{D7_SQL}, {SECTIONS_SQL}, grid AS (SELECT blk, tick, a, b, 1 + a % 2 AS lines, km * 0.9 AS run_min, CASE WHEN a % 5 = 0 THEN km * 4 END AS loss_min FROM (SELECT DISTINCT blk, tick FROM seen) CROSS JOIN sections),
+D10_SQL = f"""{D7_SQL}, {SECTIONS_SQL}, grid AS (SELECT blk, tick, a, b, 1 + a % 2 AS lines, km * 0.9 AS run_min, CASE WHEN a % 5 = 0 THEN km * 4 END AS loss_min FROM (SELECT DISTINCT blk, tick FROM seen) CROSS JOIN sections),
     tr AS (SELECT g.blk, g.tick, a, count(s.instance_id) AS trips FROM grid g LEFT JOIN seen s ON s.blk = g.blk AND s.tick = g.tick AND s.mode = 'in_transit' AND a >= least(s.station_id, s.next_station) AND a < greatest(s.station_id, s.next_station)
-      AND s.next_station IS NOT NULL GROUP BY g.blk, g.tick, a)
-    SELECT g.blk, g.tick, g.a, g.b, trips, round(least(1.5::DOUBLE, (trips + coalesce(freight, 0)) / lines), 6) AS load, round(least(1.5::DOUBLE, coalesce(freight, 0) / lines), 6) AS freight_load,
-    CASE WHEN freight > 0 THEN least(1, 0.4 + 0.1 * freight)::DOUBLE ELSE 0 END AS severity, CASE WHEN freight > 0 AND worst > 0 THEN round(least(4, 100 / worst), 6)::DOUBLE ELSE 1 END AS multiplier,
-    round(least(1, run_min / 20), 6) AS run_norm, round(least(1, coalesce(loss_min, 0) / 60), 6) AS loss_norm
-    FROM grid g JOIN tr USING (blk, tick, a) LEFT JOIN fr ON fr.blk = g.blk AND fr.tick = g.tick AND fr.station_id = g.a""",
-)
-def _(spark, d):
+      AND s.next_station IS NOT NULL GROUP BY g.blk, g.tick, a),
+    sec AS (SELECT g.blk, g.tick, g.a, g.b, trips, least(1.5::DOUBLE, (trips + coalesce(freight, 0)) / lines) AS load, least(1.5::DOUBLE, coalesce(freight, 0) / lines) AS freight_load,
+      CASE WHEN freight > 0 THEN least(1, 0.4 + 0.1 * freight)::DOUBLE ELSE 0 END AS severity, CASE WHEN freight > 0 AND worst > 0 THEN least(4, 100 / worst)::DOUBLE ELSE 1 END AS multiplier,
+      least(1, run_min / 20) AS run_norm, least(1, coalesce(loss_min, 0) / 60) AS loss_norm FROM grid g JOIN tr USING (blk, tick, a) LEFT JOIN fr ON fr.blk = g.blk AND fr.tick = g.tick AND fr.station_id = g.a)"""
+SCALED = ["load", "freight_load", "severity", "multiplier", "run_norm", "loss_norm"]
+
+
+def section_states(spark, d):
     at = seen(spark, d)
     at_sections = stands(spark, d, at).withColumnRenamed("station_id", "a")
     disrupted = at_sections.where("freight > 0").select("blk", "tick", "a", severity(F.col("freight")).alias("severity"), speed_multiplier(F.col("worst")).alias("multiplier"))
     sections = fx.sections(spark).withColumns({"lines": 1 + F.col("a") % 2, "run_min": F.col("km") * 0.9, "loss_min": F.when(F.col("a") % 5 == 0, F.col("km") * 4)})
-    got = traffic.section_state_rows(at, sections.drop("km"), at_sections.select("blk", "tick", "a", "freight"), disrupted)
-    return rounded(got, "load", "freight_load", "severity", "multiplier", "run_norm", "loss_norm")
+    return traffic.section_state_rows(at, sections.drop("km"), at_sections.select("blk", "tick", "a", "freight"), disrupted)
+
+
+@query("D10_section_state_rows", f"{D10_SQL} SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in SCALED) + ") FROM sec")
+def _(spark, d):
+    return rounded(section_states(spark, d), *SCALED)
