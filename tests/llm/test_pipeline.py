@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import corpus_pipeline as p
 from tests.llm.test_neardup import brute
 from waymark.llm import decontaminate, language
@@ -5,6 +8,33 @@ from waymark.llm import decontaminate, language
 SF = "/root/testdata/sf0.01"
 
 
+def mixed(docs, seed):
+    """How often each document of one source is taken: whole passes over the source and, in seeded order, as much as is left."""
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in docs.items()}
+    names = sorted({r.source for r in docs.values()}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[d] for d, r in docs.items() if r.source == s) for s in names}
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, free, left = {}, set(names), sum(total.values())
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * total[s]]:
+        for s in over:
+            target[s] = 3 * total[s]
+        free -= set(over)
+        left = sum(total.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    out = {}
+    for s in names:
+        own = [d for d, r in docs.items() if r.source == s]
+        own.sort(key=lambda d: (int(hashlib.md5(f"{seed}:{d}:{size[d]}".encode()).hexdigest()[:15], 16), d))
+        passes, rest = divmod(int(target[s]), total[s]) if total[s] else (0, 0)
+        before = 0
+        for d in own:
+            n = (passes + (2 * before + size[d] <= 2 * rest)) if size[d] else 0
+            before += size[d]
+            if n:
+                out[d] = n
+    return out
+
+
 def test_each_stage_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = {r.doc_id: r for r in docs.collect()}
@@ -28,6 +58,7 @@ def test_each_stage_against_brute_force(spark):
     for r in rows:
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert max(times.values()) <= 3 and set(times) <= {r.doc_id for r in three.collect()}
+    assert times == mixed({r.doc_id: r for r in three.collect()}, p.SEED)
     assert four.columns == p.COLUMNS
 
     five = p.shard(spark, four, SF).collect()

@@ -40,8 +40,11 @@ def balanced_shards(
     parts = max(1, -(-slim.count() // rows_per_partition))
     slim = slim.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int"))
 
+    # rows that are alike are interchangeable: those of one input partition are one row until they are placed
+    alike = slim.groupBy("part", "doc_id", "size", "text_crc32", F.spark_partition_id().alias("src")).agg(F.count("*").alias("n"))
+
     # a row per partition: the only window without a key runs on these
-    totals = slim.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
+    totals = alike.groupBy("part").agg(F.sum(F.col("size") * F.col("n")).alias("part_bytes"), F.sum("n").alias("part_rows"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     prefixes = totals.select(
         "part",
@@ -49,10 +52,12 @@ def balanced_shards(
         F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("part_bytes").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all_bytes"),
     )
-    inside = W.partitionBy("part").orderBy("doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("part").orderBy("doc_id", "size", "text_crc32", "src").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = alike.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(inside)).withColumn("nth", F.sum("n").over(inside))
     placed = (
-        slim.withColumn("upto", F.sum("size").over(inside))
-        .withColumn("nth", F.count(F.lit(1)).over(inside))
+        ordered.withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+        .withColumn("upto", F.col("upto") - F.col("left") * F.col("size"))
+        .withColumn("nth", F.col("nth") - F.col("left"))
         .join(prefixes, "part")
         .select(
             "doc_id", "size", "text_crc32",

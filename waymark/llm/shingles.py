@@ -22,7 +22,7 @@ _BASE = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed at once; longer batches and texts go in slices.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
