@@ -39,12 +39,18 @@ def _(spark, d):
     return p.column_profile(fx.stops(spark, d), ["actual_arr", "actual_dep", "sched_arr", "station_id"])
 
 
-@query("D19_duplicate_totals", "SELECT count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+@query(
+    "D19_duplicate_totals",
+    """SELECT count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",
+)
 def _(spark, d):
     return p.duplicate_keys(table(spark, d, "lineitem"), LINE).agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
-@query("D22_length_histogram", "SELECT length(x) AS length, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN event_id::VARCHAR || '_' || event_type END AS x FROM events) GROUP BY 1")
+@query(
+    "D22_length_histogram",
+    """SELECT length(x) AS length, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN event_id::VARCHAR || '_' || event_type END AS x FROM events) GROUP BY 1""",
+)
 def _(spark, d):
     key = F.when(F.col("event_id") % 9 != 0, F.concat_ws("_", F.col("event_id").cast("string"), "event_type"))
     return p.length_histogram(table(spark, d, "events").select(key.alias("key")), "key")
@@ -96,7 +102,10 @@ def split_events(spark, d):
     return seq.assign_split(table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "value"), "day", 5, 4)
 
 
-@query("D28_calendar_coverage", f"WITH {SPLIT_SQL} SELECT split, w AS weekday, count(DISTINCT day) FILTER (isodow(day) - 1 = w) AS n FROM es CROSS JOIN range(7) t(w) GROUP BY split, w")
+@query(
+    "D28_calendar_coverage",
+    f"""WITH {SPLIT_SQL} SELECT split, w AS weekday, count(DISTINCT day) FILTER (isodow(day) - 1 = w) AS n FROM es CROSS JOIN range(7) t(w) GROUP BY split, w""",
+)
 def _(spark, d):
     return p.calendar_coverage(split_events(spark, d), "split", "day")
 
@@ -107,7 +116,8 @@ def _(spark, d):
     f"""{FILLED_SQL}, kn AS (SELECT *, CASE WHEN blk >= 4 THEN 'test' ELSE 'train' END AS split FROM filled WHERE arr_delay IS NOT NULL AND user_id % 10 <> 0),
     ls AS (SELECT split, instance_id, list(arr_delay ORDER BY stop_idx) AS l FROM kn GROUP BY ALL HAVING count(*) > 1),
     sp AS (SELECT split, instance_id, unnest(list_transform(range(2, len(l) + 1), lambda i: l[i] - l[i - 1])) AS step FROM ls)
-    SELECT split, count(DISTINCT instance_id) AS trips, count(*) AS n, round(100 * count(*) FILTER (step > 30) / count(*), 6) AS rise_pct, round(100 * count(*) FILTER (step < -30) / count(*), 6) AS fall_pct,
+    SELECT split, count(DISTINCT instance_id) AS trips, count(*) AS n, round(100 * count(*) FILTER (step > 30) / count(*), 6) AS rise_pct,
+      round(100 * count(*) FILTER (step < -30) / count(*), 6) AS fall_pct,
     round(avg(step), 6) AS mean, round(stddev_pop(step), 6) AS sd FROM sp GROUP BY split""",
 )
 def _(spark, d):
@@ -118,7 +128,8 @@ def _(spark, d):
 @query(
     "D30_exposure_buckets",
     f"""WITH {STOPS_SQL}, ex AS (SELECT user_id, count(DISTINCT instance_id) FILTER (blk < 4) AS days, count(*) FILTER (blk >= 4 AND actual_arr IS NOT NULL AND user_id % 10 <> 0) AS n FROM stops GROUP BY user_id)
-    SELECT ((days >= 1)::INT + (days >= 3)::INT + (days >= 4)::INT)::BIGINT AS bucket, count(*) AS services, sum(n)::BIGINT AS test_rows, round(sum(n) / nullif((SELECT sum(n) FROM ex), 0), 6) AS share FROM ex GROUP BY 1""",
+    SELECT ((days >= 1)::INT + (days >= 3)::INT + (days >= 4)::INT)::BIGINT AS bucket, count(*) AS services, sum(n)::BIGINT AS test_rows, round(sum(n) / nullif((SELECT sum(n)
+      FROM ex), 0), 6) AS share FROM ex GROUP BY 1""",
 )
 def _(spark, d):
     s = fx.stops(spark, d).withColumn("split", F.when(F.col("blk") >= 4, "test").otherwise("train"))
@@ -126,18 +137,30 @@ def _(spark, d):
     return rounded(p.exposure_buckets(s.select("instance_id", "user_id", "split").distinct(), tests, "user_id", "split", (1, 3, 4)), "share")
 
 
-@query("D34_drop_partial_days", "WITH ed AS (SELECT event_id, user_id, ts::DATE AS day FROM events) SELECT * FROM ed WHERE day IN (SELECT day FROM ed GROUP BY day HAVING count(DISTINCT user_id) >= 10)")
+@query(
+    "D34_drop_partial_days",
+    """WITH ed AS (SELECT event_id, user_id, ts::DATE AS day FROM events) SELECT * FROM ed WHERE day IN (SELECT day FROM ed GROUP BY day HAVING count(DISTINCT user_id) >= 10)""",
+)
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
     return p.drop_partial_days(e, "day", "user_id", 10)
 
 
-@query("D38_register_services", "WITH f AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS \"index\" FROM f")
+@query(
+    "D38_register_services",
+    """WITH f AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id
+    ORDER BY ts, event_id) = 1) SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS "index" FROM f""",
+)
 def _(spark, d):
     return p.register_services(table(spark, d, "events"), "user_id", ["ts", "event_id"], ["event_type"])
 
 
-@query("D39_build_stats", f"WITH {STOPS_SQL} SELECT count(*) AS n, count(*) FILTER (actual_arr IS NOT NULL) AS with_arrival, count(*) FILTER (actual_arr IS NULL AND actual_dep IS NULL) AS unseen, count(*) FILTER (station_id IN {fx.JUNCTIONS}) AS at_junction FROM stops")
+@query(
+    "D39_build_stats",
+    f"""WITH {STOPS_SQL} SELECT count(*) AS n, count(*) FILTER (actual_arr IS NOT NULL) AS with_arrival, count(*) FILTER (actual_arr IS NULL AND actual_dep IS NULL) AS unseen,
+    count(*) FILTER (station_id IN {fx.JUNCTIONS}) AS at_junction
+    FROM stops""",
+)
 def _(spark, d):
     none = F.col("actual_arr").isNull() & F.col("actual_dep").isNull()
     return p.status_counts(fx.stops(spark, d), with_arrival=F.col("actual_arr").isNotNull(), unseen=none, at_junction=F.col("station_id").isin(*fx.JUNCTIONS))
@@ -155,7 +178,9 @@ def _(spark, d):
 @query(
     "D42_provenance_mix",
     f"""{FILLED_SQL}, pv AS (SELECT 'arrival' AS field, actual_arr AS x, a0 AS y FROM filled UNION ALL SELECT 'departure', actual_dep, d0 FROM filled)
-    SELECT field, count(x) AS observed, count(*) FILTER (x IS NULL AND y IS NOT NULL) AS filled, count(*) AS n, count(*) FILTER (x IS NULL AND y IS NULL) AS missing, round(count(x) / count(*), 6) AS share FROM pv GROUP BY field""",
+    SELECT field, count(x) AS observed, count(*) FILTER (x IS NULL AND y IS NOT NULL) AS filled, count(*) AS n, count(*) FILTER (x IS NULL AND y IS NULL) AS missing,
+      round(count(x) / count(*), 6) AS share
+      FROM pv GROUP BY field""",
 )
 def _(spark, d):
     f = seq.carry_forward(fx.stops(spark, d))
@@ -167,7 +192,10 @@ def _(spark, d):
     return p.duplicate_keys(table(spark, d, "lineitem"), LINE).orderBy(F.desc("n"), *LINE).limit(5)
 
 
-@query("F3_top_k_per_group", "SELECT event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3")
+@query(
+    "F3_top_k_per_group",
+    """SELECT event_type, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 3""",
+)
 def _(spark, d):
     return p.top_k_per_group(table(spark, d, "events"), ["event_type"], [F.desc("value"), F.col("event_id")], 3).select("event_type", "event_id", "value", "rank")
 
@@ -177,7 +205,11 @@ def _(spark, d):
     return fx.stops(spark, d).where("pmod(stop_idx, 4) = 0").select("instance_id", "stop_idx")
 
 
-@query("G1_union_sources", f"WITH {INTERVALS_SQL} SELECT event_id, key, start_min, 'timed' AS origin FROM intervals UNION ALL SELECT event_id, event_id % 22, epoch_us(ts) / 60000000.0::DOUBLE, 'click' FROM events WHERE event_type = 'click'")
+@query(
+    "G1_union_sources",
+    f"""WITH {INTERVALS_SQL} SELECT event_id, key, start_min, 'timed' AS origin FROM intervals
+    UNION ALL SELECT event_id, event_id % 22, epoch_us(ts) / 60000000.0::DOUBLE, 'click' FROM events WHERE event_type = 'click'""",
+)
 def _(spark, d):
     timed = fx.intervals(spark, d).select("event_id", "key", "start_min", F.lit("timed").alias("origin"))
     other = table(spark, d, "events").where("event_type = 'click'").selectExpr("event_id", "event_id % 22 AS key", f"{fx.micros('ts')} / 60000000D AS start_min", "'click' AS origin")
@@ -189,13 +221,22 @@ def _(spark, d):
     return table(spark, d, "events").where("ts > TIMESTAMP_NTZ'2024-01-20' AND ts <= TIMESTAMP_NTZ'2024-01-21'").select("user_id").distinct()
 
 
-@query("G3_key_sets", "SELECT 'both' AS found, count(*) AS n FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size < 25) UNION ALL SELECT 'only_a', count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size < 25)")
+@query(
+    "G3_key_sets",
+    """SELECT 'both' AS found, count(*) AS n FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part WHERE p_size < 25) UNION ALL SELECT 'only_a', count(*)
+    FROM (SELECT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size < 25)""",
+)
 def _(spark, d):
     a, b = table(spark, d, "lineitem").select("l_partkey"), table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("l_partkey"))
     n = lambda name, x: x.agg(F.lit(name).alias("found"), F.count("*").alias("n"))
     return n("both", a.intersect(b)).unionByName(n("only_a", a.subtract(b)))
 
 
-@query("Q4_window_sanity", f"WITH {INTERVALS_SQL} SELECT count(*) AS n, count(*) FILTER (end_min < start_min) AS reversed, count(*) FILTER (end_min IS NULL) AS open, count(*) FILTER (start_min < 28423440 OR start_min > 28460000 OR end_min > 28460000) AS outside FROM intervals")
+@query(
+    "Q4_window_sanity",
+    f"""WITH {INTERVALS_SQL} SELECT count(*) AS n, count(*) FILTER (end_min < start_min) AS reversed, count(*) FILTER (end_min IS NULL) AS open,
+    count(*) FILTER (start_min < 28423440 OR start_min > 28460000 OR end_min > 28460000) AS outside
+    FROM intervals""",
+)
 def _(spark, d):
     return p.window_sanity(fx.intervals(spark, d), "start_min", "end_min", F.lit(28423440.0), F.lit(28460000.0))

@@ -69,7 +69,8 @@ def _(spark, d):
     "Q3_contract_check",
     """WITH k AS (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)
     SELECT 'events' AS "table", "check", value FROM (SELECT 'missing_columns' AS "check", 1::BIGINT AS value UNION ALL SELECT 'rows', count(*) FROM events
-    UNION ALL SELECT 'longest_key', max(length(user_id::VARCHAR || '|' || event_type)) FROM events UNION ALL SELECT 'not_numeric', count(*) FILTER (TRY_CAST(event_type AS DOUBLE) IS NULL AND event_type IS NOT NULL) FROM events
+    UNION ALL SELECT 'longest_key', max(length(user_id::VARCHAR || '|' || event_type)) FROM events
+      UNION ALL SELECT 'not_numeric', count(*) FILTER (TRY_CAST(event_type AS DOUBLE) IS NULL AND event_type IS NOT NULL) FROM events
     UNION ALL SELECT 'newest_write', max(epoch_us(ts)) FROM events UNION ALL SELECT 'repeated_keys', count(*) FILTER (n > 1) FROM k)""",
 )
 def _(spark, d):

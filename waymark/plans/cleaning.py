@@ -11,7 +11,10 @@ from waymark.plans.trips import FILLED_SQL
 from waymark.sources.fixtures import STOPS_SQL, stops, table
 
 
-@query("B1_normalize_code", "SELECT event_id, CASE WHEN length((user_id * 977)::VARCHAR) < 5 THEN lpad((user_id * 977)::VARCHAR, 5, '0') ELSE (user_id * 977)::VARCHAR END AS code FROM events")
+@query(
+    "B1_normalize_code",
+    """SELECT event_id, CASE WHEN length((user_id * 977)::VARCHAR) < 5 THEN lpad((user_id * 977)::VARCHAR, 5, '0') ELSE (user_id * 977)::VARCHAR END AS code FROM events""",
+)
 def _(spark, d):
     return table(spark, d, "events").select("event_id", c.normalize_code(F.col("user_id") * 977).alias("code"))
 
@@ -25,7 +28,10 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", c.parse_ts(text, ["yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm"]).cast("timestamp_ntz").alias("moment"))
 
 
-@query("B3_delay_minutes", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch(l_shipdate - o_orderdate) / 60.0::DOUBLE AS delay FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+@query(
+    "B3_delay_minutes",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch(l_shipdate - o_orderdate) / 60.0::DOUBLE AS delay FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+)
 def _(spark, d):
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.delay_minutes(F.col("l_shipdate"), F.col("o_orderdate")).alias("delay"))
@@ -36,13 +42,20 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", c.rel_minutes(F.col("ts"), F.expr("TIMESTAMP_NTZ'2024-01-05 11:00:00'")).alias("minute"))
 
 
-@query("B5_fill_sched_pair", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, coalesce(actual_arr, actual_dep) AS arr, coalesce(actual_dep, actual_arr) AS dep FROM stops WHERE actual_arr IS NOT NULL OR actual_dep IS NOT NULL")
+@query(
+    "B5_fill_sched_pair",
+    f"""WITH {STOPS_SQL} SELECT instance_id, stop_idx, coalesce(actual_arr, actual_dep) AS arr, coalesce(actual_dep, actual_arr) AS dep FROM stops
+    WHERE actual_arr IS NOT NULL OR actual_dep IS NOT NULL""",
+)
 def _(spark, d):
     arr, dep = c.fill_pair(F.col("actual_arr"), F.col("actual_dep"))
     return stops(spark, d).select("instance_id", "stop_idx", arr.alias("arr"), dep.alias("dep")).where("arr IS NOT NULL")
 
 
-@query("B6_domain_filter", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query(
+    "B6_domain_filter",
+    """SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+)
 def _(spark, d):
     members = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
     return table(spark, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(members, "c_nationkey", "left_semi").select("c_custkey", "c_nationkey")
@@ -51,13 +64,20 @@ def _(spark, d):
 PAIR_TEXT = "replace(p_name, ' ', ' - ') || CASE WHEN p_partkey % 5 = 0 THEN '-x' ELSE '' END"
 
 
-@query("B7_parse_pair", f"SELECT p_partkey, CASE WHEN len(s) = 2 THEN upper(trim(s[1])) END AS a, CASE WHEN len(s) = 2 THEN upper(trim(s[2])) END AS b FROM (SELECT p_partkey, string_split({PAIR_TEXT}, '-') AS s FROM part)")
+@query(
+    "B7_parse_pair",
+    f"""SELECT p_partkey, CASE WHEN len(s) = 2 THEN upper(trim(s[1])) END AS a, CASE WHEN len(s) = 2 THEN upper(trim(s[2])) END AS b
+    FROM (SELECT p_partkey, string_split({PAIR_TEXT}, '-') AS s FROM part)""",
+)
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", c.parse_pair(F.expr(PAIR_TEXT)).alias("p"))
     return p.select("p_partkey", "p.a", "p.b")
 
 
-@query("B8_pair_key", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(l_partkey, l_suppkey)::VARCHAR || '|' || greatest(l_partkey, l_suppkey)::VARCHAR AS key FROM lineitem")
+@query(
+    "B8_pair_key",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, least(l_partkey, l_suppkey)::VARCHAR || '|' || greatest(l_partkey, l_suppkey)::VARCHAR AS key FROM lineitem""",
+)
 def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.pair_key(F.col("l_partkey"), F.col("l_suppkey")).alias("key"))
 
@@ -65,7 +85,12 @@ def _(spark, d):
 CLASSES = {"error": (0.9, "alarm"), "purchase": (0.5, "money"), "signup": (0.5, "people")}
 
 
-@query("B9_map_category", "SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'purchase' THEN 0.5 WHEN 'signup' THEN 0.5 ELSE 0.1 END::DOUBLE AS priority, CASE event_type WHEN 'error' THEN 'alarm' WHEN 'purchase' THEN 'money' WHEN 'signup' THEN 'people' ELSE 'other' END AS class FROM events")
+@query(
+    "B9_map_category",
+    """SELECT event_id, CASE event_type WHEN 'error' THEN 0.9 WHEN 'purchase' THEN 0.5 WHEN 'signup' THEN 0.5 ELSE 0.1 END::DOUBLE AS priority,
+    CASE event_type WHEN 'error' THEN 'alarm' WHEN 'purchase' THEN 'money' WHEN 'signup' THEN 'people' ELSE 'other' END AS class
+    FROM events""",
+)
 def _(spark, d):
     got = c.map_category(F.col("event_type"), CLASSES, (0.1, "other"), ["priority", "class"])
     return table(spark, d, "events").select("event_id", *(v.alias(k) for k, v in got.items()))
@@ -105,7 +130,11 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(c.signed_exp(c.signed_log(x)), 4).alias("from_log"), F.round(c.unsquash(c.squash(y, 80.0), 80.0), 4).alias("from_tanh"))
 
 
-@query("B14_safe_number", "SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 7 = 0 THEN 'x' WHEN event_id % 11 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS DOUBLE), -1.0) AS n FROM events")
+@query(
+    "B14_safe_number",
+    """SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 7 = 0 THEN 'x' WHEN event_id % 11 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS DOUBLE), -1.0) AS n
+    FROM events""",
+)
 def _(spark, d):
     text = F.when(F.col("event_id") % 7 == 0, "x").when(F.col("event_id") % 11 == 0, None).otherwise(F.get_json_object("props", "$.k"))
     return table(spark, d, "events").select("event_id", c.safe_number(text, -1.0).alias("n"))
@@ -116,13 +145,19 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", c.allowance_minutes(F.col("value"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 50)).alias("minutes"))
 
 
-@query("B16_instance_key", "SELECT event_id, user_id::VARCHAR || '_' || ts::DATE::VARCHAR AS key, split_part(user_id::VARCHAR || '_' || ts::DATE::VARCHAR, '_', 2)::DATE AS day FROM events")
+@query(
+    "B16_instance_key",
+    """SELECT event_id, user_id::VARCHAR || '_' || ts::DATE::VARCHAR AS key, split_part(user_id::VARCHAR || '_' || ts::DATE::VARCHAR, '_', 2)::DATE AS day FROM events""",
+)
 def _(spark, d):
     e = table(spark, d, "events").select("event_id", c.instance_key(F.col("user_id"), F.to_date("ts")).alias("key"))
     return e.withColumn("day", F.to_date(F.split_part("key", F.lit("_"), F.lit(2))))
 
 
-@query("B17_severity", "SELECT event_id, round(least(1.0, 0.4 + 0.1 * coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 13 END, 0))::DOUBLE, 6) AS severity FROM events")
+@query(
+    "B17_severity",
+    """SELECT event_id, round(least(1.0, 0.4 + 0.1 * coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 13 END, 0))::DOUBLE, 6) AS severity FROM events""",
+)
 def _(spark, d):
     n = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 13)
     return table(spark, d, "events").select("event_id", F.round(c.severity(n), 6).alias("severity"))
@@ -143,11 +178,20 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", c.stage_bucket(F.col("value"), (5, 15, 30)).alias("stage"))
 
 
-@query("B21_hhmm", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, lpad(((sched_arr % 1440 + 1440) % 1440 // 60)::VARCHAR, 2, '0') || ':' || lpad((((sched_arr % 1440 + 1440) % 1440) % 60)::VARCHAR, 2, '0') AS hhmm FROM stops")
+@query(
+    "B21_hhmm",
+    f"""WITH {STOPS_SQL} SELECT instance_id, stop_idx, lpad(((sched_arr % 1440 + 1440) % 1440 // 60)::VARCHAR, 2,
+    '0') || ':' || lpad((((sched_arr % 1440 + 1440) % 1440) % 60)::VARCHAR, 2, '0') AS hhmm
+    FROM stops""",
+)
 def _(spark, d):
     return stops(spark, d).select("instance_id", "stop_idx", c.hhmm(F.col("sched_arr")).alias("hhmm"))
 
 
-@query("B23_sched_direction", f"WITH {STOPS_SQL} SELECT instance_id, CASE WHEN arg_max(station_id, stop_idx) > arg_min(station_id, stop_idx) THEN 'DN' ELSE 'UP' END AS direction FROM stops GROUP BY instance_id")
+@query(
+    "B23_sched_direction",
+    f"""WITH {STOPS_SQL} SELECT instance_id, CASE WHEN arg_max(station_id, stop_idx) > arg_min(station_id, stop_idx) THEN 'DN' ELSE 'UP' END AS direction FROM stops
+    GROUP BY instance_id""",
+)
 def _(spark, d):
     return stops(spark, d).groupBy("instance_id").agg(F.when(F.max_by("station_id", "stop_idx") > F.min_by("station_id", "stop_idx"), "DN").otherwise("UP").alias("direction"))

@@ -14,7 +14,11 @@ from waymark.streaming import feeds
 START = 28423440  # 2024-01-16 in minutes since 1970
 
 
-@query("H2_changed_keys", f"WITH {REVEAL_SQL} SELECT 'event' AS clock, user_id FROM reveal_log WHERE event_min > {START} AND event_min <= {START + 60} UNION SELECT 'write', user_id FROM reveal_log WHERE reveal_min > {START} AND reveal_min <= {START + 60}")
+@query(
+    "H2_changed_keys",
+    f"""WITH {REVEAL_SQL} SELECT 'event' AS clock, user_id FROM reveal_log WHERE event_min > {START} AND event_min <= {START + 60} UNION SELECT 'write', user_id FROM reveal_log
+    WHERE reveal_min > {START} AND reveal_min <= {START + 60}""",
+)
 def _(spark, d):
     log = fx.reveal_log(spark, d)
     keys = lambda name, c: log.where(f"{c} > {START} AND {c} <= {START + 60}").select(F.lit(name).alias("clock"), "user_id").distinct()
@@ -28,7 +32,11 @@ def _(spark, d):
     return feeds.read_with_overlap(one.union(two), "ts", ["event_id"], "15 minutes").select("event_id", "user_id", "value")
 
 
-@query("H4_auto_clock", f"WITH {REVEAL_SQL}, t AS (SELECT max(event_min) AS newest_event, max(reveal_min) AS newest_write FROM reveal_log) SELECT *, CASE WHEN newest_write - newest_event > 1440 THEN 'event' ELSE 'write' END AS clock FROM t")
+@query(
+    "H4_auto_clock",
+    f"""WITH {REVEAL_SQL}, t AS (SELECT max(event_min) AS newest_event, max(reveal_min) AS newest_write
+    FROM reveal_log) SELECT *, CASE WHEN newest_write - newest_event > 1440 THEN 'event' ELSE 'write' END AS clock FROM t""",
+)
 def _(spark, d):
     return feeds.auto_clock(fx.reveal_log(spark, d), "event_min", "reveal_min", 1440.0)
 
@@ -100,7 +108,8 @@ def build_trips(stops):
 @query(
     "H6_incremental_rebuild",
     f"""WITH {STOPS_SQL}, ob AS (SELECT *, coalesce(actual_arr, actual_dep) AS seen FROM stops)
-    SELECT instance_id, count(*) AS n, count(seen) AS observed, max(seen) AS newest, arg_max(station_id, stop_idx) FILTER (seen IS NOT NULL) AS place FROM ob GROUP BY 1 HAVING count(seen) >= 3""",
+    SELECT instance_id, count(*) AS n, count(seen) AS observed, max(seen) AS newest, arg_max(station_id, stop_idx) FILTER (seen IS NOT NULL) AS place FROM ob GROUP BY 1
+      HAVING count(seen) >= 3""",
 )
 def _(spark, d):
     now = fx.stops(spark, d)
@@ -111,7 +120,10 @@ def _(spark, d):
     return feeds.incremental_rebuild(cache, changed, now, build_trips, ["instance_id"])
 
 
-@query("H12_forecast_sink", "SELECT user_id, epoch_us(ts) // 43200000000 AS tick, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, tick ORDER BY event_id) = 1")
+@query(
+    "H12_forecast_sink",
+    """SELECT user_id, epoch_us(ts) // 43200000000 AS tick, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, tick ORDER BY event_id) = 1""",
+)
 def _(spark, d):
     stream = feeds.event_stream(spark, d).select("user_id", F.floor(F.unix_micros("ts") / 43200000000).cast("long").alias("tick"), "event_id", "value")
     return feeds.forecast_sink(stream, ["user_id", "tick"], [F.col("event_id")])
@@ -120,7 +132,9 @@ def _(spark, d):
 @query(
     "Q5_reveal_mask_audit",
     f"""WITH {REVEAL_SQL}, t AS (SELECT {START} + i * 360.0::DOUBLE AS now FROM range(8) r(i))
-    SELECT now, count(*) FILTER (reveal_min <= now) AS known, count(*) FILTER (event_min <= now AND reveal_min > now) AS masked, max(reveal_min) FILTER (reveal_min <= now) <= now AS clean FROM reveal_log CROSS JOIN t GROUP BY now""",
+    SELECT now, count(*) FILTER (reveal_min <= now) AS known, count(*) FILTER (event_min <= now AND reveal_min > now) AS masked,
+      max(reveal_min) FILTER (reveal_min <= now) <= now AS clean
+      FROM reveal_log CROSS JOIN t GROUP BY now""",
 )
 def _(spark, d):
     # every row is counted at the first instant that knows it, then the few instants are summed up

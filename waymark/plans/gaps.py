@@ -58,7 +58,8 @@ nb AS (SELECT t.*, lo, hi, (SELECT max(x.stop_idx) FROM two x WHERE x.instance_i
        FROM two t JOIN sp USING (instance_id)),
 nv AS (SELECT n.*, a.own AS pv, b.own AS nxv, c.other AS prv, e.other AS nrv FROM nb n
        LEFT JOIN two a ON a.instance_id = n.instance_id AND a.field = n.field AND a.stop_idx = pk LEFT JOIN two b ON b.instance_id = n.instance_id AND b.field = n.field AND b.stop_idx = nk
-       LEFT JOIN two c ON c.instance_id = n.instance_id AND c.field = n.field AND c.stop_idx = pr LEFT JOIN two e ON e.instance_id = n.instance_id AND e.field = n.field AND e.stop_idx = nr)"""
+       LEFT JOIN two c ON c.instance_id = n.instance_id AND c.field = n.field AND c.stop_idx = pr LEFT
+         JOIN two e ON e.instance_id = n.instance_id AND e.field = n.field AND e.stop_idx = nr)"""
 CHECKED_SQL = f"""WITH {TWO_SQL},
 ck AS (SELECT instance_id, stop_idx, user_id, field, CASE WHEN other > latest THEN 'after_latest' WHEN other < lo OR other > hi THEN 'outside_span' WHEN other < pv THEN 'before_previous' WHEN other > nxv THEN 'after_next'
          WHEN abs(epoch(other - pv)) / 60 > {PACE} * (stop_idx - pk) OR abs(epoch(other - nxv)) / 60 > {PACE} * (nk - stop_idx) THEN 'implausible_pace'
@@ -78,7 +79,8 @@ def _(spark, d):
 @query(
     "D31_rejection_summary",
     f"""{CHECKED_SQL}, na AS (SELECT field, coalesce(reason, 'accepted') AS reason FROM ck)
-    SELECT coalesce(field, 'all') AS field, coalesce(reason, 'all') AS reason, count(*) AS n, round(count(*) FILTER (reason = 'accepted') / count(*), 6) AS accepted_share FROM na GROUP BY ROLLUP (field, reason)""",
+    SELECT coalesce(field, 'all') AS field, coalesce(reason, 'all') AS reason, count(*) AS n, round(count(*) FILTER (reason = 'accepted') / count(*), 6) AS accepted_share
+      FROM na GROUP BY ROLLUP (field, reason)""",
 )
 def _(spark, d):
     return rounded(fills.rejection_summary(checked(spark, d), "field"), "accepted_share")
@@ -91,13 +93,15 @@ def _(spark, d):
 
 def _fits(v):
     return f"""({v} BETWEEN TIMESTAMP '{EARLIEST}' AND TIMESTAMP '{LATEST}' AND {v} BETWEEN lo AND hi AND coalesce({v} >= last, true) AND coalesce({v} <= nxv, true)
-      AND coalesce({v} >= prv, true) AND coalesce({v} <= nrv, true) AND coalesce(abs(epoch({v} - last)) / 60 <= {PACE} * hops, true) AND coalesce(abs(epoch({v} - nxv)) / 60 <= {PACE} * (nk - s.stop_idx), true))"""
+      AND coalesce({v} >= prv, true) AND coalesce({v} <= nrv, true) AND coalesce(abs(epoch({v} - last)) / 60 <= {PACE} * hops,
+        true) AND coalesce(abs(epoch({v} - nxv)) / 60 <= {PACE} * (nk - s.stop_idx), true))"""
 
 
 @query(
     "E19_fill_from_reference",
     f"""WITH RECURSIVE {TWO_SQL}, sw AS (SELECT *, {_swap('other')} AS swapped FROM nv),
-    go AS (SELECT instance_id, field, -1::BIGINT AS stop_idx, NULL::TIMESTAMP AS last, 1 AS hops, NULL::TIMESTAMP AS filled, ''::VARCHAR AS origin FROM (SELECT DISTINCT instance_id, field FROM sw)
+    go AS (SELECT instance_id, field, -1::BIGINT AS stop_idx, NULL::TIMESTAMP AS last, 1 AS hops, NULL::TIMESTAMP AS filled, ''::VARCHAR AS origin
+      FROM (SELECT DISTINCT instance_id, field FROM sw)
       UNION ALL
       SELECT instance_id, field, stop_idx, CASE WHEN filled IS NOT NULL THEN filled ELSE last END, CASE WHEN filled IS NOT NULL THEN 1 ELSE hops + 1 END, filled, origin FROM (
         SELECT *, CASE origin WHEN 'own' THEN own WHEN 'other' THEN other WHEN 'repaired' THEN swapped END AS filled FROM (

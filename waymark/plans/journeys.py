@@ -35,7 +35,8 @@ def _(spark, d):
 GROUPS = ("ERR", "PURCH", "SIGN", "OTHER")
 CAUSES_SQL = f"""WITH {STOPS_SQL}, dt AS (SELECT s.user_id, s.blk, upper(e.event_type || CASE WHEN e.event_id % 5 = 0 THEN ' error' ELSE '' END) AS txt, CASE WHEN e.event_id % 8 <> 0 THEN e.value END AS m FROM stops s JOIN events e USING (event_id) WHERE s.user_id % 4 <> 1),
 dc AS (SELECT *, CASE WHEN contains(txt, 'ERR') THEN 'err' WHEN contains(txt, 'PURCH') THEN 'purch' WHEN contains(txt, 'SIGN') THEN 'sign' ELSE 'other' END AS cause FROM dt),
-cp AS (SELECT user_id, blk, round(coalesce(sum(m) FILTER (cause = 'err'), 0), 4) AS err, round(coalesce(sum(m) FILTER (cause = 'purch'), 0), 4) AS purch, round(coalesce(sum(m) FILTER (cause = 'sign'), 0), 4) AS sign,
+cp AS (SELECT user_id, blk, round(coalesce(sum(m) FILTER (cause = 'err'), 0), 4) AS err, round(coalesce(sum(m) FILTER (cause = 'purch'), 0), 4) AS purch,
+  round(coalesce(sum(m) FILTER (cause = 'sign'), 0), 4) AS sign,
   round(coalesce(sum(m) FILTER (cause = 'other'), 0), 4) AS other, round(coalesce(sum(m), 0), 4) AS total FROM dc GROUP BY ALL)"""
 
 
@@ -55,7 +56,8 @@ def _(spark, d):
 @query(
     "C22_attach_causes",
     f"""{CAUSES_SQL}, tr AS (SELECT instance_id, user_id, blk, count(*) AS n FROM stops GROUP BY ALL)
-    SELECT t.*, coalesce(err, 0) AS err, coalesce(purch, 0) AS purch, coalesce(sign, 0) AS sign, coalesce(other, 0) AS other, coalesce(total, 0) AS total FROM tr t LEFT JOIN cp USING (user_id, blk)""",
+    SELECT t.*, coalesce(err, 0) AS err, coalesce(purch, 0) AS purch, coalesce(sign, 0) AS sign, coalesce(other, 0) AS other, coalesce(total, 0) AS total FROM tr t LEFT
+      JOIN cp USING (user_id, blk)""",
 )
 def _(spark, d):
     trips = stops(spark, d).groupBy("instance_id", "user_id", "blk").agg(F.count("*").alias("n"))
@@ -97,24 +99,34 @@ VECTOR_SQL = {
 }
 NODES_SQL = f"""{CONFLICTS_SQL},
 la AS (SELECT instance_id AS i, stop_idx AS s, coalesce(lead(sched_dep - sched_arr) OVER t, 0) AS next_slack,
-  coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
+  coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead
+    FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
 jl AS (SELECT instance_id, blk, tick, list_sort(coalesce(list(eta) FILTER (station_id IN {JUNCTIONS}), [])) AS l FROM etas GROUP BY ALL),
-ve AS (SELECT s.*, next_slack, slack_ahead, coalesce(delay - lag(delay) OVER (PARTITION BY instance_id ORDER BY tick), 0) AS velocity, user_id % 10 / 10 AS priority, (mode = 'in_transit')::INT AS moving,
+ve AS (SELECT s.*, next_slack, slack_ahead, coalesce(delay - lag(delay) OVER (PARTITION BY instance_id
+  ORDER BY tick), 0) AS velocity, user_id % 10 / 10 AS priority, (mode = 'in_transit')::INT AS moving,
   CASE WHEN mode = 'at_station' THEN tick - arr ELSE 0 END AS at_stop, CASE WHEN mode = 'in_transit' THEN greatest(0, tick - dep) ELSE 0 END AS since,
-  CASE WHEN next_sched_arr IS NULL THEN 0 ELSE greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0, next_sched_arr - sched_dep) - tick) END AS eta_next
+  CASE WHEN next_sched_arr IS NULL THEN 0 ELSE greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0,
+    next_sched_arr - sched_dep) - tick) END AS eta_next
   FROM seen s JOIN la ON i = instance_id AND s.stop_idx = la.s),
-vn AS (SELECT v.*, CASE WHEN moving = 1 AND next_sched_arr IS NOT NULL THEN greatest(0, since - greatest(0, next_sched_arr - sched_dep)) ELSE 0 END AS over_run, coalesce(l[1], 90) AS l1, coalesce(l[2], 90) AS l2, coalesce(len(l), 0) AS nj,
+vn AS (SELECT v.*, CASE WHEN moving = 1 AND next_sched_arr IS NOT NULL THEN greatest(0, since - greatest(0, next_sched_arr - sched_dep)) ELSE 0 END AS over_run,
+  coalesce(l[1], 90) AS l1, coalesce(l[2], 90) AS l2, coalesce(len(l), 0) AS nj,
   n_overlaps, same_group, higher_priority, queue, junction_gap, precedence_eta FROM ve v LEFT JOIN jl USING (instance_id, blk, tick) LEFT JOIN conf USING (instance_id, blk, tick)),
 vl AS (SELECT instance_id, tick, [{", ".join(f"({VECTOR_SQL[i]})::DOUBLE" for i in range(38))}] AS v FROM vn)"""
 
 
-@query("E32_assemble_vectors", f"{NODES_SQL} SELECT instance_id, tick, unnest(range(46)) AS dim, round(unnest(v || list_transform(range(8), lambda i: 0::DOUBLE)), 6) AS value FROM vl")
+@query(
+    "E32_assemble_vectors",
+    f"""{NODES_SQL} SELECT instance_id, tick, unnest(range(46)) AS dim, round(unnest(v || list_transform(range(8), lambda i: 0::DOUBLE)), 6) AS value FROM vl""",
+)
 def _(spark, d):
     v = j.assemble_vectors(nodes(spark, d))
     return v.select("instance_id", "tick", F.posexplode("vector").alias("dim", "value")).select("instance_id", "tick", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query("B22_select_feature_set", f"{positions_sql(TICK)} SELECT unnest(['full', 'no_slack']) AS version, unnest([46, 44]) AS width, count(*) AS n, 0 AS wrong_width FROM seen GROUP BY 1, 2")
+@query(
+    "B22_select_feature_set",
+    f"""{positions_sql(TICK)} SELECT unnest(['full', 'no_slack']) AS version, unnest([46, 44]) AS width, count(*) AS n, 0 AS wrong_width FROM seen GROUP BY 1, 2""",
+)
 def _(spark, d):
     at = seen(spark, d).select("instance_id", "tick", "delay")
     one = lambda v: j.check_width(j.assemble_vectors(at, v), "vector", v).select(F.lit(v).alias("version"), F.lit(len(j.select_feature_set(v))).alias("width"), "n", "wrong_width")
@@ -124,7 +136,9 @@ def _(spark, d):
 @query(
     "E32_station_vectors",
     f"""{D9_SQL}, sv AS (SELECT blk, tick, station_id, [platform_ratio, capacity_ratio, available_ratio, least(freight / (1 + station_id % 3), 1.5), incoming, least(max_delay / 120, 2), delayed_density, approach_density, 0, 0, 0, critical::INT,
-      sin(tick % 1440 * {2 * math.pi / 1440!r}), cos(tick % 1440 * {2 * math.pi / 1440!r}), (station_id IN {JUNCTIONS})::INT, least(station_id % 4 / 7, 1), least((1 + station_id % 3) / 11, 1), 0, 0, 0]::DOUBLE[] AS v FROM st)
+      sin(tick % 1440 * {2 * math.pi / 1440!r}), cos(tick % 1440 * {2 * math.pi / 1440!r}), (station_id IN {JUNCTIONS})::INT, least(station_id % 4 / 7, 1),
+        least((1 + station_id % 3) / 11, 1), 0, 0, 0]::DOUBLE[] AS v
+        FROM st)
     SELECT blk, tick, station_id, unnest(range(20)) AS dim, round(unnest(v), 6) AS value FROM sv""",
 )
 def _(spark, d):
@@ -152,9 +166,11 @@ def _(spark, d):
 @query(
     "D40_integrity_check",
     f"""{positions_sql(TICK)}, bd AS (SELECT blk, tick, instance_id FROM seen UNION ALL SELECT blk, tick, instance_id FROM seen WHERE user_id % 7 = 0 AND tick = 1440),
-    mf AS (SELECT min(blk) + 1 AS lo, max(blk) AS hi, count(DISTINCT blk) - 1 AS n FROM seen), rp AS (SELECT coalesce(sum(c - 1), 0)::BIGINT AS r FROM (SELECT count(*) AS c FROM bd GROUP BY blk, tick, instance_id)),
+    mf AS (SELECT min(blk) + 1 AS lo, max(blk) AS hi, count(DISTINCT blk) - 1 AS n FROM seen), rp AS (SELECT coalesce(sum(c - 1), 0)::BIGINT AS r FROM (SELECT count(*) AS c
+      FROM bd GROUP BY blk, tick, instance_id)),
     dd AS (SELECT count(*) AS days, count(*) FILTER (blk < lo OR blk > hi) AS off FROM (SELECT DISTINCT blk FROM bd), mf)
-    SELECT 'repeated_trips' AS "check", r AS value, r > 0 AS failed FROM rp UNION ALL SELECT 'days', days, false FROM dd UNION ALL SELECT 'days_told', n, n <> days FROM dd, mf UNION ALL SELECT 'days_outside', off, off > 0 FROM dd""",
+    SELECT 'repeated_trips' AS "check", r AS value, r > 0 AS failed FROM rp UNION ALL SELECT 'days', days, false FROM dd UNION ALL SELECT 'days_told', n, n <> days
+      FROM dd, mf UNION ALL SELECT 'days_outside', off, off > 0 FROM dd""",
 )
 def _(spark, d):
     at = seen(spark, d).select("blk", "tick", "instance_id", "user_id")

@@ -51,7 +51,11 @@ def _(spark, d):
     return joins.observations_as_of_many(log, instants, ["user_id"], "reveal_min", "value", "now")
 
 
-@query("C3_latest_per_key", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1")
+@query(
+    "C3_latest_per_key",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_shipdate DESC NULLS LAST, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1""",
+)
 def _(spark, d):
     order = [F.desc_nulls_last("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey")]
     return joins.latest_per_key(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
@@ -63,7 +67,10 @@ def _(spark, d):
     return joins.lookup_default(table(spark, d, "customer"), dim, "c_custkey", "s_name", "none").select("c_custkey", "s_name")
 
 
-@query("C5_restrict_to_keys", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 49)")
+@query(
+    "C5_restrict_to_keys",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 49)""",
+)
 def _(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return joins.restrict_to_keys(li, li.where("l_quantity >= 49").select("l_partkey", "l_suppkey")).drop("l_quantity")
@@ -80,26 +87,43 @@ def _(spark, d):
     return got.select("pid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("C8_interval_max", f"WITH {SPANS_SQL}, {POINTS_SQL} SELECT pid, greatest(1.5::DOUBLE, 1 + coalesce(max(CASE WHEN v > 200 THEN 1.0::DOUBLE ELSE v / 200 END), 0)) AS multiplier FROM points p LEFT JOIN spans i ON i.key = p.key AND at_min BETWEEN s AND e GROUP BY pid")
+@query(
+    "C8_interval_max",
+    f"""WITH {SPANS_SQL}, {POINTS_SQL} SELECT pid, greatest(1.5::DOUBLE, 1 + coalesce(max(CASE WHEN v > 200 THEN 1.0::DOUBLE ELSE v / 200 END), 0)) AS multiplier FROM points p
+    LEFT JOIN spans i ON i.key = p.key AND at_min BETWEEN s AND e GROUP BY pid""",
+)
 def _(spark, d):
     got = ranges.interval_stats(points(spark, d), spans(spark, d), ["key"], "at_min", "s", "e", 120.0, sev=F.max(F.least(F.lit(1.0), F.col("v") / 200)))
     return got.select("pid", F.greatest(F.lit(1.5), 1 + F.coalesce("sev", F.lit(0.0))).alias("multiplier"))
 
 
-@query("C9_spread_to_incident", f"WITH {SECTIONS_SQL}, n AS (SELECT event_id % 22 AS node, max(value) AS value FROM events WHERE event_id % 22 % 3 = 0 GROUP BY 1) SELECT a, b, max(value) AS value FROM sections JOIN n ON node IN (a, b) GROUP BY a, b")
+@query(
+    "C9_spread_to_incident",
+    f"""WITH {SECTIONS_SQL}, n AS (SELECT event_id % 22 AS node, max(value) AS value FROM events WHERE event_id % 22 % 3 = 0 GROUP BY 1) SELECT a, b, max(value) AS value
+    FROM sections JOIN n ON node IN (a, b) GROUP BY a, b""",
+)
 def _(spark, d):
     n = table(spark, d, "events").selectExpr("event_id % 22 AS node", "value").where("node % 3 = 0").groupBy("node").agg(F.max("value").alias("value"))
     return ranges.spread_to_incident(n, fx.sections(spark), "node", "value")
 
 
-@query("C10_expand_aggregate", "SELECT event_id, least(x, y) + i AS a, least(x, y) + i + 1 AS b FROM (SELECT event_id, event_id % 22 AS x, user_id % 22 AS y FROM events) CROSS JOIN range(22) t(i) WHERE i < greatest(x, y) - least(x, y)")
+@query(
+    "C10_expand_aggregate",
+    """SELECT event_id, least(x, y) + i AS a, least(x, y) + i + 1 AS b FROM (SELECT event_id, event_id % 22 AS x, user_id % 22 AS y FROM events) CROSS JOIN range(22) t(i)
+    WHERE i < greatest(x, y) - least(x, y)""",
+)
 def _(spark, d):
     pairs = table(spark, d, "events").selectExpr("event_id", "event_id % 22 AS a", "user_id % 22 AS b")
     order = spark.range(22).selectExpr("id AS node", "id AS position")
     return ranges.expand_aggregate(pairs, order)
 
 
-@query("C13_exists_near", f"WITH {POINTS_SQL}, e2 AS (SELECT event_id AS oid, event_id % 22 AS key, epoch_us(ts) / 60000000.0::DOUBLE AS t FROM events WHERE event_type = 'error') SELECT pid, bool_or(oid IS NOT NULL) AS near FROM points p LEFT JOIN e2 o ON o.key = p.key AND abs(o.t - p.at_min) <= 90 AND oid <> pid GROUP BY pid")
+@query(
+    "C13_exists_near",
+    f"""WITH {POINTS_SQL}, e2 AS (SELECT event_id AS oid, event_id % 22 AS key, epoch_us(ts) / 60000000.0::DOUBLE AS t FROM events
+    WHERE event_type = 'error') SELECT pid, bool_or(oid IS NOT NULL) AS near FROM points p LEFT JOIN e2 o ON o.key = p.key AND abs(o.t - p.at_min) <= 90 AND oid <> pid
+    GROUP BY pid""",
+)
 def _(spark, d):
     other = table(spark, d, "events").where("event_type = 'error'").selectExpr("event_id AS oid", "event_id % 22 AS key", f"{fx.micros('ts')} / 60000000D AS t")
     return ranges.exists_near(points(spark, d), other, ["key"], "at_min", "t", 90.0, F.col("oid") != F.col("pid")).select("pid", "near")
@@ -143,13 +167,22 @@ def _(spark, d):
     return joins.crosscheck_sources(fx.stops(spark, d), second(spark, d), ["instance_id", "stop_idx"], ["actual_arr", "actual_dep"], place="station_id")
 
 
-@query("C16_source_coverage", "SELECT found_in, count(*) AS n FROM (SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS found_in FROM (SELECT k, bool_or(s = 1) AS a, bool_or(s = 2) AS b FROM (SELECT l_partkey AS k, 1 AS s FROM lineitem WHERE l_quantity < 5 UNION ALL SELECT p_partkey, 2 FROM part WHERE p_size < 25) GROUP BY k)) GROUP BY found_in")
+@query(
+    "C16_source_coverage",
+    """SELECT found_in, count(*) AS n FROM (SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_a' ELSE 'only_b' END AS found_in
+    FROM (SELECT k, bool_or(s = 1) AS a, bool_or(s = 2) AS b FROM (SELECT l_partkey AS k, 1 AS s FROM lineitem WHERE l_quantity < 5 UNION ALL SELECT p_partkey, 2 FROM part
+    WHERE p_size < 25) GROUP BY k)) GROUP BY found_in""",
+)
 def _(spark, d):
     a = table(spark, d, "lineitem").where("l_quantity < 5").select(F.col("l_partkey").alias("k"))
     return joins.source_coverage(a, table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("k")), ["k"])
 
 
-@query("C17_join_booked_path", f"WITH {STOPS_SQL}, s2 AS (SELECT instance_id, stop_idx, sched_arr, sched_dep FROM stops) SELECT r.instance_id, r.stop_idx, r.actual_arr, s2.sched_dep FROM stops r LEFT JOIN s2 USING (instance_id, stop_idx) WHERE r.actual_arr BETWEEN 2000 AND 4000 OR r.actual_dep BETWEEN 2000 AND 4000 OR s2.sched_dep BETWEEN 2000 AND 4000")
+@query(
+    "C17_join_booked_path",
+    f"""WITH {STOPS_SQL}, s2 AS (SELECT instance_id, stop_idx, sched_arr, sched_dep FROM stops) SELECT r.instance_id, r.stop_idx, r.actual_arr, s2.sched_dep FROM stops r LEFT
+    JOIN s2 USING (instance_id, stop_idx) WHERE r.actual_arr BETWEEN 2000 AND 4000 OR r.actual_dep BETWEEN 2000 AND 4000 OR s2.sched_dep BETWEEN 2000 AND 4000""",
+)
 def _(spark, d):
     s = fx.stops(spark, d)
     r = s.select("instance_id", "stop_idx", "actual_arr", "actual_dep").join(s.select("instance_id", "stop_idx", "sched_dep"), ["instance_id", "stop_idx"], "left")
@@ -161,7 +194,13 @@ def _(spark, d):
     return joins.unseen_keys(table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
-@query("C19_update_from", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, CASE WHEN greatest(actual_arr, actual_dep) > 1000 AND greatest(actual_arr, actual_dep) <= 5000 THEN actual_arr END AS actual_arr, CASE WHEN greatest(actual_arr, actual_dep) > 1000 AND greatest(actual_arr, actual_dep) <= 5000 THEN actual_dep END AS actual_dep FROM stops")
+@query(
+    "C19_update_from",
+    f"""WITH {STOPS_SQL} SELECT instance_id, stop_idx, CASE WHEN greatest(actual_arr, actual_dep) > 1000 AND greatest(actual_arr,
+    actual_dep) <= 5000 THEN actual_arr END AS actual_arr, CASE WHEN greatest(actual_arr, actual_dep) > 1000 AND greatest(actual_arr,
+    actual_dep) <= 5000 THEN actual_dep END AS actual_dep
+    FROM stops""",
+)
 def _(spark, d):
     s = fx.stops(spark, d).select("instance_id", "stop_idx", "actual_arr", "actual_dep")
     blank = s.select("instance_id", "stop_idx", F.lit(None).cast("long").alias("actual_arr"), F.lit(None).cast("long").alias("actual_dep"))
@@ -202,7 +241,12 @@ def movement_intervals(t):
     return nxt.select("instance_id", F.explode(three).alias("m")).select("instance_id", "m.*").where("e > s")
 
 
-@query("E22_split_interval_daily", f"WITH {INTERVALS_SQL}, i AS (SELECT event_id, start_min AS s, end_min + 2000.0 AS e FROM intervals WHERE end_min IS NOT NULL), x AS (SELECT *, unnest(range(floor(s / 1440)::BIGINT, floor(e / 1440)::BIGINT + 1)) AS day FROM i) SELECT event_id, day, round(greatest(s, day * 1440.0), 4) AS piece_start, round(least(e, (day + 1) * 1440.0 - 1.0::DOUBLE / 60), 4) AS piece_end FROM x")
+@query(
+    "E22_split_interval_daily",
+    f"""WITH {INTERVALS_SQL}, i AS (SELECT event_id, start_min AS s, end_min + 2000.0 AS e FROM intervals
+    WHERE end_min IS NOT NULL), x AS (SELECT *, unnest(range(floor(s / 1440)::BIGINT, floor(e / 1440)::BIGINT + 1)) AS day
+    FROM i) SELECT event_id, day, round(greatest(s, day * 1440.0), 4) AS piece_start, round(least(e, (day + 1) * 1440.0 - 1.0::DOUBLE / 60), 4) AS piece_end FROM x""",
+)
 def _(spark, d):
     i = fx.intervals(spark, d).where("end_min IS NOT NULL").withColumn("end_min", F.col("end_min") + 2000.0)
     return ranges.split_daily(i, "start_min", "end_min").select("event_id", "day", F.round("piece_start", 4).alias("piece_start"), F.round("piece_end", 4).alias("piece_end"))
@@ -211,7 +255,8 @@ def _(spark, d):
 @query(
     "E23_split_leg_by_distance",
     f"""{TIMED_SQL}, {SECTIONS_SQL}, w AS (SELECT instance_id, stop_idx, station_id AS f, dep, lead(arr) OVER t AS na, lead(station_id) OVER t AS g FROM timed WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
-    parts AS (SELECT instance_id, stop_idx, dep, na, f, g, a, km, sum(km) OVER (PARTITION BY instance_id, stop_idx ORDER BY CASE WHEN g > f THEN a ELSE -a END ROWS UNBOUNDED PRECEDING) AS upto, sum(km) OVER (PARTITION BY instance_id, stop_idx) AS total
+    parts AS (SELECT instance_id, stop_idx, dep, na, f, g, a, km, sum(km) OVER (PARTITION BY instance_id, stop_idx
+      ORDER BY CASE WHEN g > f THEN a ELSE -a END ROWS UNBOUNDED PRECEDING) AS upto, sum(km) OVER (PARTITION BY instance_id, stop_idx) AS total
       FROM w JOIN sections ON a >= least(f, g) AND b <= greatest(f, g) WHERE na > dep AND f <> g)
     SELECT instance_id, stop_idx, a, round(dep + (na - dep) * (upto - km) / total, 4) AS s, round(dep + (na - dep) * upto / total, 4) AS e FROM parts""",
 )
@@ -230,7 +275,11 @@ def split_legs(t, sections):
     return parts.withColumn("s", at(F.col("upto") - F.col("km"))).withColumn("e", at(F.col("upto")))
 
 
-@query("E24_open_intervals_as_of", f"WITH {INTERVALS_SQL} SELECT event_id, coalesce(CASE WHEN end_min <= {NOW} THEN end_min END, least({NOW}, start_min + 300)) AS known_end FROM intervals WHERE start_min <= {NOW}")
+@query(
+    "E24_open_intervals_as_of",
+    f"""WITH {INTERVALS_SQL} SELECT event_id, coalesce(CASE WHEN end_min <= {NOW} THEN end_min END, least({NOW}, start_min + 300)) AS known_end FROM intervals
+    WHERE start_min <= {NOW}""",
+)
 def _(spark, d):
     return ranges.open_as_of(fx.intervals(spark, d), F.lit(NOW), "start_min", "end_min", 300.0).select("event_id", "known_end")
 
@@ -254,7 +303,11 @@ def known_or_planned(stops, now, ahead, carry):
     return d.withColumn("e", F.when(F.col("kd").isNotNull(), F.col("kd")).when(F.col("ka").isNotNull(), carried).otherwise(F.greatest("sched_dep", "s")))
 
 
-@query("E26_restriction_in_force", f"WITH {INTERVALS_SQL}, {SECTIONS_SQL}, f AS (SELECT key, max(least(4.0::DOUBLE, 100 / value)) AS m FROM intervals WHERE start_min <= {NOW} AND (end_min IS NULL OR end_min >= {NOW}) GROUP BY key) SELECT a, b, max(m) AS m FROM sections JOIN f ON key IN (a, b) GROUP BY a, b")
+@query(
+    "E26_restriction_in_force",
+    f"""WITH {INTERVALS_SQL}, {SECTIONS_SQL}, f AS (SELECT key, max(least(4.0::DOUBLE, 100 / value)) AS m FROM intervals
+    WHERE start_min <= {NOW} AND (end_min IS NULL OR end_min >= {NOW}) GROUP BY key) SELECT a, b, max(m) AS m FROM sections JOIN f ON key IN (a, b) GROUP BY a, b""",
+)
 def _(spark, d):
     from waymark.functions.columns import speed_multiplier
 

@@ -15,7 +15,8 @@ T0, HORIZON = 2880, 2880
 
 PERSIST_SQL = f"""{positions_sql(TICK)},
 f1 AS (SELECT instance_id, arg_min(delay, tick * 1000 + stop_idx) AS persist, arg_min(stop_idx, tick * 1000 + stop_idx) AS takeover FROM seen WHERE tick >= {T0} GROUP BY instance_id),
-held AS (SELECT f1.instance_id, t.stop_idx AS k, persist, takeover, t.stop_idx - takeover AS hop, arr_delay AS actual FROM f1 JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL)"""
+held AS (SELECT f1.instance_id, t.stop_idx AS k, persist, takeover, t.stop_idx - takeover AS hop, arr_delay AS actual FROM f1
+  JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL)"""
 
 
 def persisted(spark, d):
@@ -30,8 +31,11 @@ def _(spark, d):
 # arrivals from a list of all that lies before them
 PROJECTED_SQL = f"""{PERSIST_SQL},
 p0 AS (SELECT *, greatest(arr + greatest(0, sched_dep - sched_arr), {T0}) AS leaves FROM seen WHERE tick = {T0}),
-w0 AS (SELECT instance_id, stop_idx AS k0, CASE WHEN mode = 'at_station' THEN leaves - sched_dep ELSE delay END AS held, CASE WHEN mode = 'at_station' THEN leaves ELSE dep END AS gone FROM p0),
-pk AS (SELECT s.instance_id, s.stop_idx AS k, k0, held, gone, s.sched_arr, s.station_id, (SELECT x.station_id FROM stops x WHERE x.instance_id = s.instance_id AND x.stop_idx = s.stop_idx - 1) AS prev_station,
+w0 AS (SELECT instance_id, stop_idx AS k0, CASE WHEN mode = 'at_station' THEN leaves - sched_dep ELSE delay END AS held,
+  CASE WHEN mode = 'at_station' THEN leaves ELSE dep END AS gone
+  FROM p0),
+pk AS (SELECT s.instance_id, s.stop_idx AS k, k0, held, gone, s.sched_arr, s.station_id, (SELECT x.station_id FROM stops x
+  WHERE x.instance_id = s.instance_id AND x.stop_idx = s.stop_idx - 1) AS prev_station,
          (SELECT list(greatest(x.sched_arr, x.sched_dep) + held) FROM stops x WHERE x.instance_id = s.instance_id AND x.stop_idx > k0 AND x.stop_idx < s.stop_idx) AS before
        FROM stops s JOIN w0 ON w0.instance_id = s.instance_id AND s.stop_idx > k0),
 pa AS (SELECT *, greatest(sched_arr + held, gone, coalesce(list_max(before), gone)) AS arr FROM pk),
@@ -95,13 +99,19 @@ def _clock(x):
     SELECT b.instance_id, b.k, station_id, 'observed' AS part, booked, seen, arr_delay AS delay, NULL::BIGINT AS pred, NULL::BIGINT AS error,
       trim(CASE WHEN actual_arr IS NULL THEN 'not reported ' ELSE '' END || CASE WHEN k = t THEN '<== NOW' ELSE '' END) AS note FROM bs b JOIN tk USING (instance_id) WHERE k <= t
     UNION ALL SELECT j.instance_id, j.k, station_id, 'forecast', booked, seen, actual, pred, pred - actual,
-      CASE WHEN actual - persist > 30 AND pred - actual > -15 THEN 'SPIKE' WHEN actual - persist > 30 THEN 'SPIKE MISSED' WHEN persist - actual > 30 THEN 'recovery' ELSE '' END FROM js j JOIN bs USING (instance_id, k)""",
+      CASE WHEN actual - persist > 30 AND pred - actual > -15 THEN 'SPIKE' WHEN actual - persist > 30 THEN 'SPIKE MISSED' WHEN persist - actual > 30 THEN 'recovery' ELSE '' END
+        FROM js j JOIN bs USING (instance_id, k)""",
 )
 def _(spark, d):
     return o.journey_report(seq.carry_forward(stops(spark, d)), compared(spark, d))
 
 
-@query("E36_journey_summary", f"{REPORT_SQL} SELECT instance_id, count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(avg(abs(persist - actual)), 6) AS persist_mae, round(avg(abs(persist - actual)) - avg(abs(pred - actual)), 6) AS gain FROM js GROUP BY 1")
+@query(
+    "E36_journey_summary",
+    f"""{REPORT_SQL} SELECT instance_id, count(*) AS n, round(avg(abs(pred - actual)), 6) AS mae, round(avg(abs(persist - actual)), 6) AS persist_mae,
+    round(avg(abs(persist - actual)) - avg(abs(pred - actual)), 6) AS gain
+    FROM js GROUP BY 1""",
+)
 def _(spark, d):
     return rounded(o.journey_summary(compared(spark, d)), "mae", "persist_mae", "gain")
 
@@ -112,12 +122,15 @@ FIDELITY = ["delay", "next_slack", "slack_ahead", "stop_idx"]
 @query(
     "D32_state_fidelity",
     f"""{positions_sql(TICK)}, la AS (SELECT instance_id AS i, stop_idx AS s, coalesce(lead(sched_dep - sched_arr) OVER t, 0) AS next_slack,
-      coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
-    wa AS (SELECT CASE WHEN mode = 'at_station' THEN greatest(delay, tick - sched_dep) ELSE delay END AS held, delay, next_slack, slack_ahead, stop_idx FROM seen JOIN la ON i = instance_id AND s = stop_idx),
+      coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead
+        FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
+    wa AS (SELECT CASE WHEN mode = 'at_station' THEN greatest(delay, tick - sched_dep) ELSE delay END AS held, delay, next_slack, slack_ahead, stop_idx FROM seen
+      JOIN la ON i = instance_id AND s = stop_idx),
     dm AS (SELECT 'delay' AS "column", avg(delay) AS mean_a, avg(held) AS mean_b FROM wa UNION ALL """
     + " UNION ALL ".join(f"SELECT '{c}', avg({c}), avg({c}) FROM wa" for c in FIDELITY[1:])
     + """), dr AS (SELECT *, CASE WHEN abs(mean_b) > 1e-6 THEN mean_a / mean_b WHEN abs(mean_a) < 1e-6 THEN 1 ELSE 99 END AS ratio FROM dm)
-    SELECT "column", round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(ratio, 6) AS ratio, abs(ratio - 1) > 0.25 AS drift FROM dr ORDER BY abs(ratio - 1) DESC, "column" DESC LIMIT 3""",
+    SELECT "column", round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(ratio, 6) AS ratio, abs(ratio - 1) > 0.25 AS drift FROM dr
+      ORDER BY abs(ratio - 1) DESC, "column" DESC LIMIT 3""",
 )
 def _(spark, d):
     at = seq.position_at(seq.look_ahead(timed(spark, d)), TICK)

@@ -66,7 +66,9 @@ def _(spark, d):
     "D13_journey_robust_stats",
     f"""{SCORED_SQL}, two AS (SELECT 'model' AS series, instance_id, stop_idx, abs(pred - actual) AS err FROM scored UNION ALL SELECT 'persistence', instance_id, stop_idx, abs(persist - actual) FROM scored),
     t AS (SELECT series, instance_id, floor(avg(err) * 100 + 0.5::DOUBLE)::BIGINT AS v, list(err ORDER BY stop_idx) AS e FROM two GROUP BY 1, 2),
-    l AS (SELECT series, list_sort(list(v)) AS l, count(*) AS n, floor(count(*) * 0.05::DOUBLE)::BIGINT AS k, count(*) FILTER (len(e) >= 4 AND e[-1] > 40 AND e[-1] > e[len(e) // 2 + 1] + 20) AS runaways FROM t GROUP BY series)
+    l AS (SELECT series, list_sort(list(v)) AS l, count(*) AS n, floor(count(*) * 0.05::DOUBLE)::BIGINT AS k,
+      count(*) FILTER (len(e) >= 4 AND e[-1] > 40 AND e[-1] > e[len(e) // 2 + 1] + 20) AS runaways
+      FROM t GROUP BY series)
     SELECT series, n AS trips, round(list_avg(l) / 100, 6) AS mean, l[floor(n * 0.5::DOUBLE)::BIGINT + 1] / 100 AS median, round(list_avg(l[k + 1:n - k]) / 100, 6) AS trimmed,
     l[floor(n * 0.75::DOUBLE)::BIGINT + 1] / 100 AS p75, l[floor(n * 0.9::DOUBLE)::BIGINT + 1] / 100 AS p90, runaways FROM l""",
 )
@@ -108,7 +110,8 @@ def _(spark, d):
     "D17_duplication_profile",
     f"""{positions_sql(POSITION_TICK)}, gs AS (SELECT count(*) AS size, max(delay) - min(delay) AS spread FROM seen GROUP BY instance_id, stop_idx),
     h AS (SELECT *, CASE WHEN size = 1 THEN '1' WHEN size <= 3 THEN '2-3' WHEN size <= 7 THEN '4-7' WHEN size <= 15 THEN '8-15' ELSE '16+' END AS class FROM gs)
-    SELECT class, count(*) AS groups, sum(size)::BIGINT AS rows, count(*) FILTER (size > 1 AND spread = 0) AS constant, round(sum(size) / (SELECT sum(size) FROM gs), 6) AS share FROM h GROUP BY class""",
+    SELECT class, count(*) AS groups, sum(size)::BIGINT AS rows, count(*) FILTER (size > 1 AND spread = 0) AS constant, round(sum(size) / (SELECT sum(size)
+      FROM gs), 6) AS share FROM h GROUP BY class""",
 )
 def _(spark, d):
     return rounded(scoring.duplication_profile(seen(spark, d, POSITION_TICK), ["instance_id", "stop_idx"], "delay"), "share")
@@ -127,8 +130,10 @@ def _(spark, d):
     "D18_position_in_stand",
     f"""{positions_sql(POSITION_TICK)}, kk AS (SELECT abs(tick - sched_arr) AS e, row_number() OVER (g ORDER BY tick) - 1 AS s, row_number() OVER (g ORDER BY tick DESC) - 1 AS t, count(*) OVER g AS n
       FROM seen WINDOW g AS (PARTITION BY instance_id, stop_idx, mode))
-    SELECT 'start' AS side, least(9, s)::BIGINT AS k, count(*) AS n, round(avg(e), 6) AS mae FROM kk WHERE n >= 4 GROUP BY ALL UNION ALL SELECT 'end', least(9, t)::BIGINT, count(*), round(avg(e), 6) FROM kk WHERE n >= 4 GROUP BY ALL
-    UNION ALL SELECT CASE WHEN s = 0 THEN 'first' ELSE 'later' END, NULL, count(*), round(avg(e), 6) FROM kk WHERE n >= 4 GROUP BY ALL UNION ALL SELECT 'all', NULL, count(*), round(avg(e), 6) FROM kk""",
+    SELECT 'start' AS side, least(9, s)::BIGINT AS k, count(*) AS n, round(avg(e), 6) AS mae FROM kk WHERE n >= 4 GROUP BY ALL
+      UNION ALL SELECT 'end', least(9, t)::BIGINT, count(*), round(avg(e), 6) FROM kk WHERE n >= 4 GROUP BY ALL
+    UNION ALL SELECT CASE WHEN s = 0 THEN 'first' ELSE 'later' END, NULL, count(*), round(avg(e), 6) FROM kk WHERE n >= 4 GROUP BY ALL
+      UNION ALL SELECT 'all', NULL, count(*), round(avg(e), 6) FROM kk""",
 )
 def _(spark, d):
     at = seen(spark, d, POSITION_TICK)
@@ -145,7 +150,10 @@ def increments(spark, d):
     return profiles.delay_increments(f, "instance_id", "stop_idx", F.col("actual_arr").isNotNull(), F.col("user_id") % 10 != 0)
 
 
-@query("D27_delay_creation_split", f"{INCREMENTS_SQL} SELECT hold, sum(gain)::BIGINT AS minutes, count(*) AS n, round(sum(gain) / (SELECT sum(gain) FROM inc), 6) AS share FROM inc GROUP BY hold")
+@query(
+    "D27_delay_creation_split",
+    f"""{INCREMENTS_SQL} SELECT hold, sum(gain)::BIGINT AS minutes, count(*) AS n, round(sum(gain) / (SELECT sum(gain) FROM inc), 6) AS share FROM inc GROUP BY hold""",
+)
 def _(spark, d):
     total = F.sum("minutes").over(seq.W.partitionBy(F.lit(1)))  # two rows
     split = increments(spark, d).groupBy("hold").agg(F.sum("gain").alias("minutes"), F.count("*").alias("n"))
@@ -154,7 +162,8 @@ def _(spark, d):
 
 def _lift_sql(of, where):
     return f"""SELECT '{of}' AS "of", t::DOUBLE AS threshold, count(*) FILTER (gain > t) AS n_large, round(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain > t), 6) AS p_large,
-    round(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain <= t), 6) AS p_small, round(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain > t) / nullif(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain <= t), 0), 6) AS lift
+    round(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain <= t), 6) AS p_small,
+      round(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain > t) / nullif(avg((station_id IN {JUNCTIONS})::INT) FILTER (gain <= t), 0), 6) AS lift
     FROM inc CROSS JOIN (VALUES (2), (5), (10), (20)) v(t) WHERE {where} GROUP BY t HAVING count(*) FILTER (gain > t) > 0"""
 
 
@@ -178,7 +187,8 @@ def _(spark, d):
 @query(
     "D36_precision_at_recall",
     f"""{SCORED_SQL}, t AS (SELECT DISTINCT pred AS threshold FROM scored), x AS (SELECT threshold, count(*) FILTER (actual >= 30) AS tp, count(*) AS told FROM t JOIN scored ON pred >= threshold GROUP BY threshold),
-    rr AS (SELECT r::DOUBLE AS recall, max(threshold) AS threshold FROM x CROSS JOIN (VALUES (0.5), (0.7), (0.8), (0.9)) v(r) WHERE tp >= r::DOUBLE * (SELECT count(*) FROM scored WHERE actual >= 30) GROUP BY r)
+    rr AS (SELECT r::DOUBLE AS recall, max(threshold) AS threshold FROM x CROSS JOIN (VALUES (0.5), (0.7), (0.8), (0.9)) v(r) WHERE tp >= r::DOUBLE * (SELECT count(*)
+      FROM scored WHERE actual >= 30) GROUP BY r)
     SELECT recall, threshold, round(tp / told, 6) AS precision FROM rr JOIN x USING (threshold)""",
 )
 def _(spark, d):
@@ -196,9 +206,11 @@ def _(spark, d):
 
 
 CONFLICTS_SQL = f"""{ETAS_SQL}, u2 AS (SELECT *, split_part(instance_id, '_', 1)::BIGINT AS usr FROM etas),
-    pairs AS (SELECT a.instance_id, a.blk, a.tick, a.station_id, a.eta AS x, y.eta AS y, a.usr % 3 = y.usr % 3 AS same, y.usr % 10 > a.usr % 10 AS higher, y.instance_id IS NOT NULL AS met, abs(a.eta - y.eta) AS gap
+    pairs AS (SELECT a.instance_id, a.blk, a.tick, a.station_id, a.eta AS x, y.eta AS y, a.usr % 3 = y.usr % 3 AS same, y.usr % 10 > a.usr % 10 AS higher,
+      y.instance_id IS NOT NULL AS met, abs(a.eta - y.eta) AS gap
       FROM u2 a LEFT JOIN u2 y ON y.blk = a.blk AND y.tick = a.tick AND y.station_id = a.station_id AND y.instance_id <> a.instance_id),
-    conf AS (SELECT instance_id, blk, tick, count(*) FILTER (met AND gap <= 120) AS n_overlaps, count(*) FILTER (met AND gap <= 120 AND same) AS same_group, count(*) FILTER (met AND gap <= 120 AND higher) AS higher_priority,
+    conf AS (SELECT instance_id, blk, tick, count(*) FILTER (met AND gap <= 120) AS n_overlaps, count(*) FILTER (met AND gap <= 120 AND same) AS same_group,
+      count(*) FILTER (met AND gap <= 120 AND higher) AS higher_priority,
     count(*) FILTER (met AND y - x BETWEEN 0 AND 60) AS queue, least(90, coalesce(min(gap) FILTER (met AND station_id IN {JUNCTIONS}), 90)) AS junction_gap,
     least(75, coalesce(min(x - y) FILTER (met AND y < x), 75)) AS headway_ahead, least(75, coalesce(min(y - x) FILTER (met AND y >= x), 75)) AS headway_behind,
     least(75, coalesce(min(x) FILTER (met AND gap <= 120 AND higher), 75)) AS precedence_eta FROM pairs GROUP BY instance_id, blk, tick)"""
@@ -216,13 +228,16 @@ def _(spark, d):
 
 # a stop is a booked halt if it has a booked dwell
 D7_SQL = f"""{ETAS_SQL}, en AS (SELECT *, CASE WHEN next_station IS NOT NULL THEN greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0, next_sched_arr - sched_dep) - tick) END AS eta_next FROM seen),
-    occ AS (SELECT blk, tick, station_id, count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep > sched_arr) AS halting, count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep <= sched_arr) AS passing,
+    occ AS (SELECT blk, tick, station_id, count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep > sched_arr) AS halting,
+      count(*) FILTER (k = 1 AND mode = 'at_station' AND sched_dep <= sched_arr) AS passing,
       count(*) FILTER (k = 1 AND delay >= 8) AS delayed, greatest(0, max(delay) FILTER (k = 1)) AS max_delay, count(*) FILTER (k = 2 AND eta_next <= 25) AS approaching FROM (
-      SELECT 1 AS k, blk, tick, mode, sched_arr, sched_dep, station_id, delay, eta_next FROM en UNION ALL SELECT 2, blk, tick, mode, sched_arr, sched_dep, next_station, delay, eta_next FROM en WHERE next_station IS NOT NULL) GROUP BY blk, tick, station_id),
+      SELECT 1 AS k, blk, tick, mode, sched_arr, sched_dep, station_id, delay, eta_next FROM en
+        UNION ALL SELECT 2, blk, tick, mode, sched_arr, sched_dep, next_station, delay, eta_next FROM en WHERE next_station IS NOT NULL) GROUP BY blk, tick, station_id),
     pr AS (SELECT blk, tick, station_id, sum(exp(-eta / 350)) AS pressure FROM etas WHERE station_id IN {JUNCTIONS} AND eta < 1000 GROUP BY blk, tick, station_id),
     ticks AS (SELECT DISTINCT blk, tick, ({fx.FIRST_DAY} + blk * {fx.BLOCK_DAYS}) * 1440.0::DOUBLE + tick AS at_min FROM occ), {INTERVALS_SQL},
     stands AS (SELECT event_id, key, start_min - 60 AS due_min, start_min, coalesce(end_min, start_min + 240) AS end_min, value FROM intervals),
-    fr AS (SELECT blk, tick, key AS station_id, count(*) FILTER (at_min >= start_min) AS freight, count(*) FILTER (at_min < start_min) AS freight_due, max(value) FILTER (at_min >= start_min) AS worst
+    fr AS (SELECT blk, tick, key AS station_id, count(*) FILTER (at_min >= start_min) AS freight, count(*) FILTER (at_min < start_min) AS freight_due,
+      max(value) FILTER (at_min >= start_min) AS worst
       FROM ticks JOIN stands ON at_min BETWEEN due_min AND end_min GROUP BY ALL)"""
 
 
@@ -250,7 +265,11 @@ def _(spark, d):
     return occupied(spark, d)
 
 
-@query("D7_section_occupancy", f"{positions_sql(TICK)} SELECT blk, tick, least(station_id, next_station) AS a, greatest(station_id, next_station) AS b, count(*) AS trips FROM seen WHERE mode = 'in_transit' AND next_station IS NOT NULL GROUP BY ALL")
+@query(
+    "D7_section_occupancy",
+    f"""{positions_sql(TICK)} SELECT blk, tick, least(station_id, next_station) AS a, greatest(station_id, next_station) AS b, count(*) AS trips FROM seen
+    WHERE mode = 'in_transit' AND next_station IS NOT NULL GROUP BY ALL""",
+)
 def _(spark, d):
     return traffic.section_occupancy(seen(spark, d))
 
@@ -261,11 +280,15 @@ def _(spark, d):
 
 
 D9_SQL = f"""{D7_SQL}, grid AS (SELECT blk, tick, s AS station_id, s % 4 AS platforms, 1 + s % 3 AS cap FROM (SELECT DISTINCT blk, tick FROM occ) CROSS JOIN range({fx.STATIONS}) r(s)),
-    st0 AS (SELECT g.*, coalesce(halting, 0) AS halting, coalesce(passing, 0) AS passing, coalesce(freight, 0) AS freight, coalesce(halting, 0) + coalesce(passing, 0) + coalesce(freight, 0) AS total,
+    st0 AS (SELECT g.*, coalesce(halting, 0) AS halting, coalesce(passing, 0) AS passing, coalesce(freight, 0) AS freight, coalesce(halting, 0) + coalesce(passing,
+      0) + coalesce(freight, 0) AS total,
       coalesce(delayed, 0) AS delayed, coalesce(max_delay, 0) AS max_delay, coalesce(approaching, 0) + coalesce(freight_due, 0) AS near, coalesce(pressure, 0) AS pressure
       FROM grid g LEFT JOIN occ USING (blk, tick, station_id) LEFT JOIN pr USING (blk, tick, station_id) LEFT JOIN fr USING (blk, tick, station_id)),
-    st AS (SELECT blk, tick, station_id, CASE WHEN platforms > 0 THEN least(1, halting / platforms) ELSE 0 END AS platform_ratio, least(1, total / cap) AS capacity_ratio, greatest(0, (cap - total) / cap) AS available_ratio,
-      freight, passing, least(1, pressure / 5) AS incoming, max_delay, least(1, delayed / cap) AS delayed_density, least(1, near / 5) AS approach_density, least(1, total / cap) > 0.85 OR max_delay > 30 AS critical FROM st0)"""
+    st AS (SELECT blk, tick, station_id, CASE WHEN platforms > 0 THEN least(1, halting / platforms) ELSE 0 END AS platform_ratio, least(1, total / cap) AS capacity_ratio,
+      greatest(0, (cap - total) / cap) AS available_ratio,
+      freight, passing, least(1, pressure / 5) AS incoming, max_delay, least(1, delayed / cap) AS delayed_density, least(1, near / 5) AS approach_density, least(1,
+        total / cap) > 0.85 OR max_delay > 30 AS critical
+        FROM st0)"""
 RATIOS = ["platform_ratio", "capacity_ratio", "available_ratio", "incoming", "delayed_density", "approach_density"]
 
 
@@ -283,8 +306,11 @@ def _(spark, d):
 @query(
     "E15_station_memory",
     f"""{D9_SQL}, nn AS (SELECT *, capacity_ratio * 0.5 + incoming * 0.5 AS load, row_number() OVER (PARTITION BY blk, station_id ORDER BY tick) - 1 AS n FROM st),
-    lastc AS (SELECT a.*, (SELECT max(c.n) FROM nn c WHERE c.blk = a.blk AND c.station_id = a.station_id AND c.critical AND c.n < a.n) AS hit, lag(load) OVER (PARTITION BY blk, station_id ORDER BY tick) AS before FROM nn a)
-    SELECT blk, tick, station_id, round(coalesce(before, 0), 6) AS congestion, round(coalesce(before, 0) * 0.7 + delayed_density * 0.3, 6) AS mixed, least(20, coalesce(n - hit - 1, n)) AS since_critical FROM lastc""",
+    lastc AS (SELECT a.*, (SELECT max(c.n) FROM nn c
+      WHERE c.blk = a.blk AND c.station_id = a.station_id AND c.critical AND c.n < a.n) AS hit, lag(load) OVER (PARTITION BY blk, station_id ORDER BY tick) AS before FROM nn a)
+    SELECT blk, tick, station_id, round(coalesce(before, 0), 6) AS congestion, round(coalesce(before, 0) * 0.7 + delayed_density * 0.3, 6) AS mixed, least(20,
+      coalesce(n - hit - 1, n)) AS since_critical
+      FROM lastc""",
 )
 def _(spark, d):
     dense = station_states(spark, d).withColumn("load", F.col("capacity_ratio") * 0.5 + F.col("incoming") * 0.5)
@@ -293,11 +319,14 @@ def _(spark, d):
 
 
 D10_SQL = f"""{D7_SQL}, {SECTIONS_SQL}, grid AS (SELECT blk, tick, a, b, 1 + a % 2 AS lines, km * 0.9 AS run_min, CASE WHEN a % 5 = 0 THEN km * 4 END AS loss_min FROM (SELECT DISTINCT blk, tick FROM seen) CROSS JOIN sections),
-    tr AS (SELECT g.blk, g.tick, a, count(s.instance_id) AS trips FROM grid g LEFT JOIN seen s ON s.blk = g.blk AND s.tick = g.tick AND s.mode = 'in_transit' AND a >= least(s.station_id, s.next_station) AND a < greatest(s.station_id, s.next_station)
+    tr AS (SELECT g.blk, g.tick, a, count(s.instance_id) AS trips FROM grid g LEFT
+      JOIN seen s ON s.blk = g.blk AND s.tick = g.tick AND s.mode = 'in_transit' AND a >= least(s.station_id, s.next_station) AND a < greatest(s.station_id, s.next_station)
       AND s.next_station IS NOT NULL GROUP BY g.blk, g.tick, a),
     sec AS (SELECT g.blk, g.tick, g.a, g.b, trips, least(1.5::DOUBLE, (trips + coalesce(freight, 0)) / lines) AS load, least(1.5::DOUBLE, coalesce(freight, 0) / lines) AS freight_load,
-      CASE WHEN freight > 0 THEN least(1, 0.4 + 0.1 * freight)::DOUBLE ELSE 0 END AS severity, CASE WHEN freight > 0 AND worst > 0 THEN least(4, 100 / worst)::DOUBLE ELSE 1 END AS multiplier,
-      least(1, run_min / 20) AS run_norm, least(1, coalesce(loss_min, 0) / 60) AS loss_norm FROM grid g JOIN tr USING (blk, tick, a) LEFT JOIN fr ON fr.blk = g.blk AND fr.tick = g.tick AND fr.station_id = g.a)"""
+      CASE WHEN freight > 0 THEN least(1, 0.4 + 0.1 * freight)::DOUBLE ELSE 0 END AS severity, CASE WHEN freight > 0 AND worst > 0 THEN least(4,
+        100 / worst)::DOUBLE ELSE 1 END AS multiplier,
+      least(1, run_min / 20) AS run_norm, least(1, coalesce(loss_min, 0) / 60) AS loss_norm FROM grid g JOIN tr USING (blk, tick, a) LEFT
+        JOIN fr ON fr.blk = g.blk AND fr.tick = g.tick AND fr.station_id = g.a)"""
 SCALED = ["load", "freight_load", "severity", "multiplier", "run_norm", "loss_norm"]
 
 

@@ -80,7 +80,11 @@ def target(spark, d):
     return latest_per_key(lines(spark, d).where("l_quantity < 25"), LINE, newest_first())
 
 
-@query("A7_insert_ignore", f"WITH {TARGET_SQL} SELECT {', '.join(LINE_COLUMNS)} FROM t UNION ALL SELECT {', '.join(LINE_COLUMNS)} FROM s WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM t)")
+@query(
+    "A7_insert_ignore",
+    f"""WITH {TARGET_SQL} SELECT {', '.join(LINE_COLUMNS)} FROM t UNION ALL SELECT {', '.join(LINE_COLUMNS)} FROM s
+    WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM t)""",
+)
 def _(spark, d):
     path = sinks.shared_folder(spark, "inserted")
     target(spark, d).write.parquet(path)
@@ -90,7 +94,11 @@ def _(spark, d):
     return spark.read.parquet(path).select(*LINE_COLUMNS)
 
 
-@query("A8_upsert", f"WITH {TARGET_SQL} SELECT {', '.join(LINE_COLUMNS)} FROM s UNION ALL SELECT {', '.join(LINE_COLUMNS)} FROM t WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM s)")
+@query(
+    "A8_upsert",
+    f"""WITH {TARGET_SQL} SELECT {', '.join(LINE_COLUMNS)} FROM s UNION ALL SELECT {', '.join(LINE_COLUMNS)} FROM t
+    WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM s)""",
+)
 def _(spark, d):
     path = sinks.shared_folder(spark, "keyed")
     sinks.upsert_into(path, target(spark, d), LINE, newest_first())
@@ -128,8 +136,11 @@ def _(spark, d):
 
 
 FORECAST_SQL = f"""WITH {STOPS_SQL}, fc AS (SELECT instance_id, station_id, floor(sched_arr / 720.0)::BIGINT * 720 AS issued_at, CASE WHEN event_id % 11 > 0 THEN sched_arr END AS sched_arr,
-sched_arr - floor(sched_arr / 720.0)::BIGINT * 720 AS lead_min, (actual_arr - sched_arr) * 0.5::DOUBLE AS delay FROM stops), dim AS (SELECT i AS station_id, concat('S', i) AS code FROM range(20) t(i))
-SELECT issued_at, instance_id, coalesce(code, station_id::VARCHAR) AS code, round(delay, 1) AS delay, round(coalesce(sched_arr + delay, issued_at + lead_min), 1) AS predicted_arr FROM fc LEFT JOIN dim USING (station_id)"""
+sched_arr - floor(sched_arr / 720.0)::BIGINT * 720 AS lead_min, (actual_arr - sched_arr) * 0.5::DOUBLE AS delay
+  FROM stops), dim AS (SELECT i AS station_id, concat('S', i) AS code FROM range(20) t(i))
+SELECT issued_at, instance_id, coalesce(code, station_id::VARCHAR) AS code, round(delay, 1) AS delay, round(coalesce(sched_arr + delay, issued_at + lead_min),
+  1) AS predicted_arr
+  FROM fc LEFT JOIN dim USING (station_id)"""
 
 
 def forecasts(spark, d):
@@ -153,7 +164,10 @@ def _(spark, d):
     return sinks.view_forecast(forecasts(spark, d), codes(spark), latest=True)
 
 
-@query("A14_evolve_schema", "SELECT event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type = 'error'")
+@query(
+    "A14_evolve_schema",
+    """SELECT event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type = 'error'""",
+)
 def _(spark, d):
     e = table(spark, d, "events")
     return sinks.evolve_schema(e.where("event_type = 'click'").select("event_id", "value"), e.where("event_type = 'error'").select("event_id", "user_id"))
@@ -163,12 +177,20 @@ def _days_sql(s):
     return f"count(DISTINCT day) FILTER (split = '{s}') AS {s}_days"
 
 
-@query("A15_build_manifest", f"WITH {SPLIT_SQL} SELECT count(*) AS n, min(day) AS first_day, max(day) AS last_day, count(DISTINCT user_id) AS n_groups, {_days_sql('train')}, {_days_sql('validation')}, {_days_sql('test')}, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM es")
+@query(
+    "A15_build_manifest",
+    f"""WITH {SPLIT_SQL} SELECT count(*) AS n, min(day) AS first_day, max(day) AS last_day, count(DISTINCT user_id) AS n_groups, {_days_sql('train')}, {_days_sql('validation')},
+    {_days_sql('test')}, string_agg(DISTINCT day::VARCHAR, ','
+    ORDER BY day::VARCHAR) AS days FROM es""",
+)
 def _(spark, d):
     return sinks.build_manifest(split_events(spark, d), "day", "split", "user_id")
 
 
-@query("A16_load_timetable", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, user_id::VARCHAR AS code, sched_arr, NULL::BIGINT AS actual_arr, NULL::BIGINT AS actual_dep FROM stops")
+@query(
+    "A16_load_timetable",
+    f"""WITH {STOPS_SQL} SELECT instance_id, stop_idx, user_id::VARCHAR AS code, sched_arr, NULL::BIGINT AS actual_arr, NULL::BIGINT AS actual_dep FROM stops""",
+)
 def _(spark, d):
     s = fx.stops(spark, d).select("instance_id", "stop_idx", F.lpad(F.col("user_id").cast("string"), 8, "0").alias("code"), "sched_arr", "actual_arr", "actual_dep")
     return readers.load_timetable(s, "code", ["actual_arr", "actual_dep"])

@@ -12,19 +12,22 @@ TICK, POSITION_TICK, HORIZON = 720, 180, 1440
 
 FILLED_SQL = f"""WITH {STOPS_SQL},
 k AS (SELECT *, actual_arr - sched_arr AS arr_delay, actual_dep - sched_dep AS dep_delay FROM stops),
-p AS (SELECT *, coalesce(last_value(coalesce(arr_delay, dep_delay) IGNORE NULLS) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_delay FROM k),
+p AS (SELECT *, coalesce(last_value(coalesce(arr_delay, dep_delay) IGNORE NULLS) OVER (PARTITION BY instance_id
+  ORDER BY stop_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_delay FROM k),
 q AS (SELECT *, coalesce(arr_delay, prev_delay) AS est_arr, coalesce(arr_delay, dep_delay, prev_delay) AS est FROM p),
 a AS (SELECT *, coalesce(actual_arr, sched_arr + est_arr) AS a0 FROM q),
 filled AS (SELECT *, coalesce(actual_dep, greatest(sched_dep + est, a0)) AS d0 FROM a)"""
 TIMED_SQL = f"""{FILLED_SQL},
 x AS (SELECT *, CASE WHEN stop_idx = 0 THEN d0 ELSE greatest(a0, d0) END AS latest FROM filled),
-timed AS (SELECT *, CASE WHEN stop_idx = 0 THEN a0 ELSE greatest(a0, max(latest) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS arr,
+timed AS (SELECT *, CASE WHEN stop_idx = 0 THEN a0 ELSE greatest(a0, max(latest) OVER (PARTITION BY instance_id
+  ORDER BY stop_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) END AS arr,
              max(latest) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS UNBOUNDED PRECEDING) AS dep FROM x)"""
 
 
 def positions_sql(tick: int) -> str:
     return f"""{TIMED_SQL},
-n AS (SELECT *, lead(arr) OVER t AS next_arr, lead(sched_arr) OVER t AS next_sched_arr, lead(station_id) OVER t AS next_station FROM timed WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
+n AS (SELECT *, lead(arr) OVER t AS next_arr, lead(sched_arr) OVER t AS next_sched_arr, lead(station_id) OVER t AS next_station
+  FROM timed WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
 g AS (SELECT *, 'in_transit' AS mode, arr - 1 AS lo, arr AS hi FROM n WHERE stop_idx = 0
       UNION ALL SELECT *, 'at_station', arr, dep FROM n WHERE dep > arr
       UNION ALL SELECT *, 'in_transit', dep, next_arr FROM n WHERE next_arr > dep),
@@ -89,7 +92,8 @@ def _(spark, d):
 @query(
     "E6_eta_next",
     f"""{positions_sql(TICK)} SELECT instance_id, tick,
-    CASE WHEN next_sched_arr IS NULL THEN 0 ELSE greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0, next_sched_arr - sched_dep) - tick) END AS eta_next
+    CASE WHEN next_sched_arr IS NULL THEN 0 ELSE greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0,
+      next_sched_arr - sched_dep) - tick) END AS eta_next
     FROM seen WHERE next_sched_arr IS NOT NULL""",
 )
 def _(spark, d):
