@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, sharding, tokens, warc
+from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, periodic, sharding, tokens, warc
 from waymark.llm.common import table
 
 
@@ -116,3 +116,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that occur in documents with at most a tenth of their characters edited."""
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "edits")
+
+
+def with_planted_period(text: Column, doc_id: Column) -> Column:
+    """The text as it stands, or for a tenth of the ids with a tail of words that repeats with a period, words joined by spaces.
+
+    With h the CRC-32 of the id and g = h // 10, the rows with h % 10 = 0 and n > 0 words repeat, from word a = g % n on, the p =
+    1 + (n - a) // (3 + g % 8) words that stand there. Rows without an id stay as they are.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = F.when(n > 0, g % n).otherwise(0).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    return F.when(F.coalesce(h % 10 == 0, F.lit(False)), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of repeated words in every whole text, the run of most repeats, and digests of the runs and of the text without the repeats."""
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.find_runs(docs.select("doc_id", with_planted_period(F.col("text"), F.col("doc_id")).alias("text")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    better = lambda best, run: F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    best = F.aggregate("runs", none, better).alias("best")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(listed, 256).alias("runs_sha256"), "collapsed_sha256")
+    return rows.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )

@@ -19,6 +19,7 @@ def queries():
         "op8_language": q.op8_language,
         "op9_token_counts": q.op9_token_counts,
         "op10_decontaminate": q.op10_decontaminate,
+        "op11_periodic_runs": q.op11_periodic_runs,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql():
         "op4_mix": mixing.oracle_sql(),
         "op5_warc": twins.warc(),
         "op7_licenses": licenses.oracle_sql(),
+        "op11_periodic_runs": twins.periodic_runs(),
     }

@@ -45,3 +45,27 @@ def warc(min_bytes: int = 100) -> str:
     r AS (SELECT k.*, CASE WHEN n >= {min_bytes} AND page_id <> first_id THEN first_id END AS refers_to FROM k LEFT JOIN f USING (digest))
     SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
     row_number() OVER (ORDER BY url_key, page_id) - 1 AS "position" FROM r"""
+
+
+#: The CRC-32 of an ASCII text, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii({s}[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, bit: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def periodic_runs(min_words: int = 24, min_repeats: int = 3) -> str:
+    """Runs of words of ``documents``: equal words at each distance, as islands of neighbouring places."""
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {CRC32.format(s="(doc_id::VARCHAR)")} AS h FROM documents),
+    a AS (SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) ELSE 0 END AS a FROM d),
+    p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+    w AS (SELECT rid, n, i, words[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM p, unnest(range(n)) AS t(i)),
+    pairs AS (SELECT x.rid, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND {min_repeats} * (y.i - x.i) <= x.n),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs),
+    stretches AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY rid, q, island HAVING count(*) + q >= greatest({min_words}, {min_repeats} * q)),
+    runs AS (SELECT rid, s, len, min(q) AS q FROM stretches GROUP BY rid, s, len),
+    best AS (SELECT rid, count(*) AS n_runs, arg_min(struct_pack(s := s, l := len, q := q), (-1000000000000 * len // q, s, q)) AS b, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM runs GROUP BY rid),
+    dropped AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM runs),
+    kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS left_over FROM w ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+    FROM d LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
