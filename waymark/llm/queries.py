@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, periodic, sharding, tokens, warc
+from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, negatives, periodic, sharding, tokens, warc
 from waymark.llm.common import table
 
 
@@ -149,3 +149,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", "best.start", "best.length", "best.period",
         F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor (ids divisible by 100) and each of its five positives the ten best rows of other labels scoring 30 to 90 percent of it.
+
+    Every seventh id counts under the next label.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(rows, anchor=F.col("vec_id") % 100 == 0, label=label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

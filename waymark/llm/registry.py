@@ -20,6 +20,7 @@ def queries():
         "op9_token_counts": q.op9_token_counts,
         "op10_decontaminate": q.op10_decontaminate,
         "op11_periodic_runs": q.op11_periodic_runs,
+        "op13_hard_negatives": q.op13_hard_negatives,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql():
         "op5_warc": twins.warc(),
         "op7_licenses": licenses.oracle_sql(),
         "op11_periodic_runs": twins.periodic_runs(),
+        "op13_hard_negatives": twins.hard_negatives(),
     }
