@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, negatives, periodic, sharding, tokens, warc
+from waymark.llm import chat, decontaminate, language, licenses, mixing, mpeg, neardup, negatives, periodic, sharding, tokens, toxicity, warc
 from waymark.llm.common import table
 
 
@@ -151,6 +151,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text by a lexicon learnt from the labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    lexicon = toxicity.train(docs.where(~held), labels.where(~held))
+    found = toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), lexicon)
+    return found.select("doc_id", "held_out", F.round("score", 6).alias("score"), (F.round("score", 6) >= 0.5).cast("int").alias("predicted"), "n_matches")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each anchor (ids divisible by 100) and each of its five positives the ten best rows of other labels scoring 30 to 90 percent of it.
 

@@ -20,6 +20,7 @@ def queries():
         "op9_token_counts": q.op9_token_counts,
         "op10_decontaminate": q.op10_decontaminate,
         "op11_periodic_runs": q.op11_periodic_runs,
+        "op12_toxicity": q.op12_toxicity,
         "op13_hard_negatives": q.op13_hard_negatives,
     }
 
