@@ -1,11 +1,12 @@
 """Hand-made cases of the rules: ties, single days, long stands, nulls, and what must not be known yet."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import fills, journeys, network, outlook, profiles, ranges, scoring
+from waymark.operators import fills, journeys, network, outlook, profiles, ranges, scoring, traffic
 from waymark.operators import sequence as seq
 from waymark.streaming import feeds
 
@@ -237,3 +238,46 @@ def test_upserts_and_rebuilds_over_a_restart(spark, tmp_path):
     arrive(("a", -4, 1), ("c", 5, 1), ("c", 4, 1))
     assert got(feeds.upsert_sink(stream(), ["k"], [F.col("v")], folder + "1")) == [("a", -4), ("b", 2), ("c", 4)]
     assert got(feeds.rebuild_sink(stream(), history, build, ["k"], folder + "2")) == [("b", 2), ("c", 9)]
+
+
+CONFLICT = "blk long, tick long, instance_id string, junction long, branch long, eta long, priority double, overlaps long, queue long"
+
+
+def test_conflicts_of_trips_of_which_little_is_known(spark):
+    rows = [(0, 0, "a", 5, 4, None, 0.9, 12, 1), (0, 0, "b", 5, None, None, None, None, None), (0, 0, "c", 5, 4, 30, 0.2, None, 2), (0, 0, "d", None, 4, 30, 0.2, 1, 1)]
+    trips = spark.createDataFrame(rows, CONFLICT)
+    edges = network.junction_conflicts(trips, 60.0)
+    found = got(edges.select("src", "dst", "gap", F.round("priority_delta", 6), "other_first", "cross_branch", F.round("stored_overlap", 6)))
+    # both trips without an eta are 999 minutes away, an unknown priority is the middle one, unknown overlaps are none
+    assert found == [("a", "b", 0, -0.4, 0, 0, 1.5), ("b", "a", 0, 0.4, 0, 0, 0.0)]
+    events = network.event_features(network.junction_events(trips, edges))
+    assert got(events.select("instance_id", "f0", "f3", "f4", "y3")) == [("a", 1 / 6, 1 / 6, 1.0, 1), ("b", 1 / 6, 0.0, 1.0, 0), ("c", 0.0, 2 / 6, 0.0, 1), ("d", 0.0, 1 / 6, 0.0, 1)]
+
+
+def test_conflict_pairs_equal_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = [(0, i % 2, f"t{i}", i % 3, i % 4, rng.randrange(0, 400), rng.random(), 1, 1) for i in range(150)]
+    edges = got(network.junction_conflicts(spark.createDataFrame(rows, CONFLICT), 45.0).select("src", "dst", "gap"))
+    wanted = [(a[2], b[2], abs(a[5] - b[5])) for a in rows for b in rows if a[1] == b[1] and a[3] == b[3] and a[2] != b[2] and abs(a[5] - b[5]) <= 45]
+    assert edges == sorted(wanted, key=str)
+
+
+def test_an_unknown_run_stays_unknown(spark):
+    at = spark.createDataFrame([(0, 0, "in_transit", 1, 2)], "blk long, tick long, mode string, station_id long, next_station long")
+    sections = spark.createDataFrame([(1, 2, None, None, None), (2, 3, 2, 10.0, 30.0)], "a long, b long, lines long, run_min double, loss_min double")
+    none = spark.createDataFrame([], "blk long, tick long, a long, freight long, severity double, multiplier double")
+    rows = traffic.section_state_rows(at, sections, none.drop("severity", "multiplier"), none.drop("freight"))
+    assert got(rows.select("a", "trips", "load", "run_norm", "loss_norm")) == [(1, 1, 1.0, None, 0.0), (2, 0, 0.0, 0.5, 0.5)]
+
+
+def test_memory_goes_on_over_ticks_at_which_nothing_runs(spark):
+    ticks = traffic.tick_spine(spark.createDataFrame([(7,)], "blk long"), 3, 30)
+    busy = spark.createDataFrame([(7, 3, 0, 4, 0, 9, 0)], "blk long, tick long, station_id long, halting long, passing long, max_delay long, delayed long").withColumn("approaching", F.lit(0).cast("long"))
+    busy = busy.unionByName(busy.withColumn("tick", F.lit(21).cast("long")).withColumn("halting", F.lit(0).cast("long")))
+    stations = spark.createDataFrame([(0, 2, 4)], "station_id long, platforms long, capacity long")
+    none = spark.createDataFrame([], "blk long, tick long, station_id long, pressure double, freight long, freight_due long")
+    dense = traffic.station_state_rows(busy, stations, none.drop("freight", "freight_due"), none.drop("pressure"), ticks)
+    kept = seq.station_memory(dense, ["blk", "station_id"], "tick", "capacity_ratio", "delayed_density", "critical")
+    at = {r["tick"]: (r["congestion"], r["since_critical"]) for r in kept.collect()}
+    # one empty tick before the first trip; five between the two, at which load and count go on
+    assert [at[t] for t in range(0, 31, 3)] == [(0.0, 0), (0.0, 1), (1.0, 0), (0.0, 1), (0.0, 2), (0.0, 3), (0.0, 4), (0.0, 5), (0.0, 6), (0.0, 7), (0.0, 8)]

@@ -71,16 +71,24 @@ def decay_pressure(etas: DataFrame, junctions: tuple[int, ...], scale: float = 3
     return due.groupBy(*keys, "station_id").agg(F.sum(F.exp(-F.col("eta") / scale)).alias("pressure"))
 
 
+def tick_spine(blocks: DataFrame, tick: int, length: int, block: str = "blk") -> DataFrame:
+    """Every tick from 0 to ``length`` minutes of each distinct ``block``, whether anything runs then or not."""
+    ticks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length).cast("long"), F.lit(tick).cast("long")))
+    return blocks.select(block).distinct().select(block, ticks.alias("tick"))
+
+
 def station_state_rows(
-    occupied: DataFrame, stations: DataFrame, pressure: DataFrame, freight: DataFrame, keys: tuple[str, ...] = ("blk", "tick"), full: float = 0.85, worst: int = 30, busy: float = 5.0
-) -> DataFrame:
-    """A row for every station at every tick of ``occupied``, empty ones included.
+    occupied: DataFrame, stations: DataFrame, pressure: DataFrame, freight: DataFrame, ticks: DataFrame | None = None,
+    keys: tuple[str, ...] = ("blk", "tick"), full: float = 0.85, worst: int = 30, busy: float = 5.0,
+) -> DataFrame:
+    """A row for every station at every tick of ``ticks``, or else of ``occupied``, empty stations included.
 
     ``stations`` (station_id, platforms, capacity) is the network's dimension, so the grid grows with the ticks only;
     ``pressure`` (keys, station_id, pressure) and ``freight`` (keys, station_id, freight, freight_due) may lack rows.
-    Ratios end at 1. A station is critical by its trips and freight over capacity, or by its largest delay.
+    Ratios end at 1. A station is critical by its trips and freight over capacity, or by its largest delay. Unknown
+    platforms count as none, an unknown capacity as 1.
     """
-    grid = occupied.select(*keys).distinct().crossJoin(stations)
+    grid = (occupied if ticks is None else ticks).select(*keys).distinct().crossJoin(stations)
     d = grid.join(occupied, [*keys, "station_id"], "left").join(pressure, [*keys, "station_id"], "left").join(freight, [*keys, "station_id"], "left")
     n = lambda c: F.coalesce(F.col(c), _zero())
     cap = F.greatest(F.col("capacity"), F.lit(1))
@@ -106,7 +114,8 @@ def section_state_rows(at: DataFrame, sections: DataFrame, freight: DataFrame, d
     """A row for every section at every tick: its load by trips and freight per line, disruption and booked values on a scale.
 
     A leg over several sections is on all of them. ``sections`` has (a, b, lines, run_min, loss_min), ``freight`` (keys, a,
-    freight) and ``disrupted`` (keys, a, severity, multiplier) may lack rows.
+    freight) and ``disrupted`` (keys, a, severity, multiplier) may lack rows. Unknown lines count as one, an unknown loss as
+    none; an unknown run stays null, as ``least`` would pass it over.
     """
     on = at.where("mode = 'in_transit' AND next_station IS NOT NULL AND next_station <> station_id")
     on = on.select(*keys, F.explode(F.sequence(F.least("station_id", "next_station"), F.greatest("station_id", "next_station") - 1)).alias("a"))
@@ -118,5 +127,5 @@ def section_state_rows(at: DataFrame, sections: DataFrame, freight: DataFrame, d
     return d.select(
         *keys, "a", "b", n("trips").alias("trips"), upto(1.5, (n("trips") + n("freight")) / lines).alias("load"), upto(1.5, n("freight") / lines).alias("freight_load"),
         F.coalesce("severity", F.lit(0.0)).alias("severity"), F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"),
-        upto(1.0, F.col("run_min") / 20.0).alias("run_norm"), upto(1.0, F.coalesce("loss_min", F.lit(0.0)) / 60.0).alias("loss_norm"),
+        F.when(F.col("run_min").isNotNull(), upto(1.0, F.col("run_min") / 20.0)).alias("run_norm"), upto(1.0, F.coalesce("loss_min", F.lit(0.0)) / 60.0).alias("loss_norm"),
     )

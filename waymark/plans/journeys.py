@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
+from waymark.functions.columns import severity, speed_multiplier
 from waymark.operators import contracts, learned
 from waymark.operators import journeys as j
 from waymark.operators import sequence as seq
 from waymark.plans.book import query
-from waymark.plans.scores import CONFLICTS_SQL, D9_SQL, D10_SQL, conflicts, rounded, section_states, station_states
-from waymark.plans.trips import FILLED_SQL, TICK, etas, positions_sql, seen, timed
+from waymark.plans.lines import EVENTS_SQL, junction_event_features
+from waymark.plans.scores import CONFLICTS_SQL, D7_SQL, D10_SQL, E15_SQL, conflicts, occupied, remembered, rounded, section_states, stands
+from waymark.plans.trips import ETAS_SQL, FILLED_SQL, TICK, etas, positions_sql, seen, timed
 from waymark.sources.fixtures import JUNCTIONS, STOPS_SQL, stops, table
 
 
@@ -64,23 +66,53 @@ def _(spark, d):
     return j.attach_causes(trips, causes(spark, d), ["user_id", "blk"])
 
 
+def entered(spark, d):
+    """Per trip that comes into the region (stations 5 to 9): delay and trend observed before, and whether anything was."""
+    far = seq.carry_forward(stops(spark, d)).withColumn("km", F.lit(0.0))
+    first = seq.region_slice(stops(spark, d), F.col("station_id").between(5, 9)).groupBy("instance_id").agg(F.min("stop_idx").alias("stop_idx"))
+    f = seq.prefix_features(far).join(first, ["instance_id", "stop_idx"])
+    return f.select("instance_id", F.col("last_delay").alias("entry_delay"), F.col("trend").alias("entry_trend"), (F.col("n_prior") > 0).cast("int").alias("has_upstream"))
+
+
+def beside(spark, d, at):
+    """What stands beside each trip at its tick: in its section, at its station, and due at its next one."""
+    here = stands(spark, d, at)
+    leg = F.when(F.col("next_station") != F.col("station_id"), F.least("station_id", "next_station"))
+    d2 = at.select("instance_id", "blk", "tick", "station_id", "next_station", leg.alias("leg"))
+    on = here.where("freight > 0").select("blk", "tick", F.col("station_id").alias("leg"), F.col("freight").alias("freight_in_section"), severity(F.col("freight")).alias("section_disrupted"), speed_multiplier(F.col("worst")).alias("section_multiplier"))
+    there = here.select("blk", "tick", F.col("station_id").alias("next_station"), F.col("freight_due").alias("freight_due_next"))
+    own = here.select("blk", "tick", "station_id", F.col("freight").alias("freight_at_station"))
+    d2 = d2.join(on, ["blk", "tick", "leg"], "left").join(own, ["blk", "tick", "station_id"], "left").join(there, ["blk", "tick", "next_station"], "left")
+    return d2.drop("station_id", "next_station", "leg")
+
+
 def nodes(spark, d):
     """A row per trip and tick with the columns from which its vector is made."""
     w = seq.along(order="tick")
     at = seq.eta_next(seen(spark, d))
     moving, zero = F.col("mode") == "in_transit", F.lit(0).cast("long")
     since = F.greatest(zero, F.col("tick") - F.col("dep"))
-    at = at.select(
-        "instance_id", "blk", "tick", "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
+    under_way = moving & F.col("next_sched_arr").isNotNull()
+    turn = F.col("tick") % 1440 * (2 * math.pi / 1440)
+    key = ["instance_id", "blk", "tick"]
+    beside_it = beside(spark, d, at)
+    sizes = stops(spark, d).groupBy("instance_id").agg(F.count("*").alias("n_stops"))
+    at = at.join(sizes, "instance_id").select(
+        *key, "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
         (F.col("user_id") % 10 / 10).alias("priority"), moving.cast("int").alias("in_transit"), F.when(moving, zero).otherwise(F.col("tick") - F.col("arr")).alias("at_stop"),
         F.when(moving, since).otherwise(zero).alias("since_departure"),
         F.coalesce(F.when(moving, F.greatest(zero, since - F.greatest(zero, F.col("next_sched_arr") - F.col("sched_dep")))), zero).alias("over_run"),
         F.col("next_slack").alias("next_allowance"), "slack_ahead",
+        (F.col("n_stops") - 1 - F.col("stop_idx")).alias("stops_left"), F.round(F.col("stop_idx") / F.greatest(F.col("n_stops") - 1, F.lit(1)), 4).alias("progress"),
+        (F.col("sched_dep") > F.col("sched_arr")).cast("int").alias("at_halt"), F.when(under_way, F.col("tick") - F.col("next_sched_arr")).otherwise(zero).alias("least_next_delay"),
+        F.sin(turn).alias("day_sin"), F.cos(turn).alias("day_cos"),
+        F.when(moving, F.coalesce("dep_delay", "arr_delay")).otherwise(F.col("arr_delay")).isNotNull().cast("int").alias("delay_observed"),
+        (F.col("next_slack") > 0).cast("int").alias("next_halt"), F.greatest(zero, F.col("next_slack")).alias("next_dwell"),
     )
-    near = seq.junction_etas(etas(spark, d), JUNCTIONS).select("instance_id", "blk", "tick", F.col("nearest").alias("eta_nearest"), F.col("second").alias("eta_second"), F.col("n_junctions").alias("junctions_ahead"))
+    near = seq.junction_etas(etas(spark, d), JUNCTIONS).select(*key, F.col("nearest").alias("eta_nearest"), F.col("second").alias("eta_second"), F.col("n_junctions").alias("junctions_ahead"))
     met = conflicts(spark, d).drop("headway_ahead", "headway_behind")
-    key = ["instance_id", "blk", "tick"]
-    return at.join(near, key, "left").join(met, key, "left")
+    events = junction_event_features(spark, d).select(*key, *(f"f{i}" for i in range(8)))
+    return at.join(near, key, "left").join(met, key, "left").join(beside_it, key, "left").join(events, key, "left").join(entered(spark, d), "instance_id", "left")
 
 
 def _eta(c):
@@ -92,12 +124,18 @@ def _share(c, scale, cap):
 
 
 VECTOR_SQL = {
-    0: "sign(delay) * ln(1 + abs(delay)) / ln(241)", 1: "tanh(velocity / 5.0)", 2: _eta("eta_next"), 3: _eta("l1"), 4: _eta("l2"), 5: _share("nj", 4, 1), 6: "coalesce(priority, 0.5)", 7: "0", 8: "0", 9: "0",
-    10: "moving", 11: "0", 12: _share("at_stop", 30, 1.5), 13: _share("since", 60, 1.5), 14: _share("over_run", 30, 1.5), 15: "0", 16: "0", 17: _share("n_overlaps", 6, 1.5), 18: _share("same_group", 6, 1.5),
-    19: _share("higher_priority", 6, 1.5), 20: _share("queue", 6, 1.5), 21: "1 - least(coalesce(junction_gap, 90) / 90, 1)", 22: "0", 23: "0", 24: "0", 25: "0", 26: "0", 27: "0", 28: "0", 29: "0", 30: "0", 31: "1", 32: "1",
-    33: "1 - least(coalesce(precedence_eta, 75) / 75, 1)", 34: "0", 35: "0", 36: _share("next_slack", 10, 1.5), 37: _share("slack_ahead", 30, 1.5),
+    0: "sign(delay) * ln(1 + abs(delay)) / ln(241)", 1: "tanh(velocity / 5.0)", 2: _eta("eta_next"), 3: _eta("l1"), 4: _eta("l2"), 5: _share("nj", 4, 1), 6: "coalesce(priority, 0.5)", 7: "0", 8: _share("n_stops - 1 - stop_idx", 19, 1), 9: "round(stop_idx / greatest(n_stops - 1, 1), 4)",
+    10: "moving", 11: "(sched_dep > sched_arr)::INT", 12: _share("at_stop", 30, 1.5), 13: _share("since", 60, 1.5), 14: _share("over_run", 30, 1.5), 15: "tanh(least_next / 30.0)", 16: "0", 17: _share("n_overlaps", 6, 1.5), 18: _share("same_group", 6, 1.5),
+    19: _share("higher_priority", 6, 1.5), 20: _share("queue", 6, 1.5), 21: "1 - least(coalesce(junction_gap, 90) / 90, 1)", 22: _share("leg_freight", 2, 1.5), 23: _share("own_freight", 3, 1.5), 24: _share("due_next", 3, 1.5), 25: "CASE WHEN leg_freight > 0 THEN least(1, 0.4 + 0.1 * leg_freight) ELSE 0 END", 26: "CASE WHEN leg_freight > 0 AND leg_worst > 0 THEN least(least(4, 100 / leg_worst) - 1, 2) ELSE 0 END", 27: "sign(coalesce(entry_delay, 0)) * ln(1 + abs(coalesce(entry_delay, 0))) / ln(241)", 28: "tanh(coalesce(entry_trend, 0) / 15.0)", 29: "coalesce(n_prior > 0, false)::INT", 30: f"sin(tick % 1440 * {2 * math.pi / 1440!r})", 31: f"cos(tick % 1440 * {2 * math.pi / 1440!r})", 32: "(CASE WHEN moving = 1 THEN coalesce(dep_delay, arr_delay) ELSE arr_delay END IS NOT NULL)::INT",
+    33: "1 - least(coalesce(precedence_eta, 75) / 75, 1)", 34: "(next_slack > 0)::INT", 35: _share("greatest(0, next_slack)", 10, 1.5), 36: _share("next_slack", 10, 1.5), 37: _share("slack_ahead", 30, 1.5),
 }
-NODES_SQL = f"""{CONFLICTS_SQL},
+# the positions at ticks with all that stands beside them; the parts that both start from are stated once
+NODES_SQL = f"""{D7_SQL}{CONFLICTS_SQL.removeprefix(ETAS_SQL)}{EVENTS_SQL.removeprefix(ETAS_SQL)},
+fx AS (SELECT blk AS fb, tick AS ft, station_id AS fs, freight, freight_due, worst FROM fr),
+sz AS (SELECT instance_id, count(*) AS n_stops FROM stops GROUP BY 1),
+en5 AS (SELECT instance_id, min(stop_idx) AS k FROM stops WHERE station_id BETWEEN 5 AND 9 GROUP BY 1),
+en6 AS (SELECT instance_id, list(arr_delay ORDER BY stop_idx) FILTER (stop_idx < k AND arr_delay IS NOT NULL) AS l FROM filled JOIN en5 USING (instance_id) GROUP BY 1),
+ent AS (SELECT instance_id, coalesce(len(l), 0) AS n_prior, coalesce(l[-1], 0) AS entry_delay, coalesce(l[-1] - l[greatest(1, len(l) - 3)], 0) AS entry_trend FROM en6),
 la AS (SELECT instance_id AS i, stop_idx AS s, coalesce(lead(sched_dep - sched_arr) OVER t, 0) AS next_slack,
   coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead
     FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
@@ -107,16 +145,20 @@ ve AS (SELECT s.*, next_slack, slack_ahead, coalesce(delay - lag(delay) OVER (PA
   CASE WHEN mode = 'at_station' THEN tick - arr ELSE 0 END AS at_stop, CASE WHEN mode = 'in_transit' THEN greatest(0, tick - dep) ELSE 0 END AS since,
   CASE WHEN next_sched_arr IS NULL THEN 0 ELSE greatest(0, (CASE WHEN mode = 'at_station' THEN greatest(sched_dep + delay, tick) ELSE dep END) + greatest(0,
     next_sched_arr - sched_dep) - tick) END AS eta_next
-  FROM seen s JOIN la ON i = instance_id AND s.stop_idx = la.s),
+  , CASE WHEN mode = 'in_transit' AND next_sched_arr IS NOT NULL THEN tick - next_sched_arr ELSE 0 END AS least_next,
+  lf.freight AS leg_freight, lf.worst AS leg_worst, ow.freight AS own_freight, nf.freight_due AS due_next, n_stops, entry_delay, entry_trend, n_prior
+  FROM seen s JOIN la ON i = instance_id AND s.stop_idx = la.s JOIN sz USING (instance_id) LEFT JOIN ent USING (instance_id)
+  LEFT JOIN fx lf ON lf.fb = s.blk AND lf.ft = s.tick AND s.next_station <> s.station_id AND lf.fs = least(s.station_id, s.next_station)
+  LEFT JOIN fx ow ON ow.fb = s.blk AND ow.ft = s.tick AND ow.fs = s.station_id LEFT JOIN fx nf ON nf.fb = s.blk AND nf.ft = s.tick AND nf.fs = s.next_station),
 vn AS (SELECT v.*, CASE WHEN moving = 1 AND next_sched_arr IS NOT NULL THEN greatest(0, since - greatest(0, next_sched_arr - sched_dep)) ELSE 0 END AS over_run,
   coalesce(l[1], 90) AS l1, coalesce(l[2], 90) AS l2, coalesce(len(l), 0) AS nj,
   n_overlaps, same_group, higher_priority, queue, junction_gap, precedence_eta FROM ve v LEFT JOIN jl USING (instance_id, blk, tick) LEFT JOIN conf USING (instance_id, blk, tick)),
-vl AS (SELECT instance_id, tick, [{", ".join(f"({VECTOR_SQL[i]})::DOUBLE" for i in range(38))}] AS v FROM vn)"""
+vl AS (SELECT instance_id, blk, tick, [{", ".join(f"({VECTOR_SQL[i]})::DOUBLE" for i in range(38))}] AS v FROM vn)"""
 
 
 @query(
     "E32_assemble_vectors",
-    f"""{NODES_SQL} SELECT instance_id, tick, unnest(range(46)) AS dim, round(unnest(v || list_transform(range(8), lambda i: 0::DOUBLE)), 6) AS value FROM vl""",
+    f"""{NODES_SQL} SELECT instance_id, tick, unnest(range(46)) AS dim, round(unnest(v || [f0, f1, f2, f3, f4, f5, f6, f7]::DOUBLE[]), 6) AS value FROM vl JOIN ef USING (instance_id, blk, tick)""",
 )
 def _(spark, d):
     v = j.assemble_vectors(nodes(spark, d))
@@ -135,15 +177,16 @@ def _(spark, d):
 
 @query(
     "E32_station_vectors",
-    f"""{D9_SQL}, sv AS (SELECT blk, tick, station_id, [platform_ratio, capacity_ratio, available_ratio, least(freight / (1 + station_id % 3), 1.5), incoming, least(max_delay / 120, 2), delayed_density, approach_density, 0, 0, 0, critical::INT,
+    f"""{E15_SQL}, sv AS (SELECT blk, tick, station_id, [platform_ratio, capacity_ratio, available_ratio, least(freight / (1 + station_id % 3), 1.5), incoming, least(max_delay / 120, 2), delayed_density, approach_density,
+      congestion, mixed, least(since_critical / 20, 1), critical::INT,
       sin(tick % 1440 * {2 * math.pi / 1440!r}), cos(tick % 1440 * {2 * math.pi / 1440!r}), (station_id IN {JUNCTIONS})::INT, least(station_id % 4 / 7, 1),
         least((1 + station_id % 3) / 11, 1), 0, 0, 0]::DOUBLE[] AS v
-        FROM st)
+        FROM st JOIN memory USING (blk, tick, station_id))
     SELECT blk, tick, station_id, unnest(range(20)) AS dim, round(unnest(v), 6) AS value FROM sv""",
 )
 def _(spark, d):
     turn = F.col("tick") % 1440 * (2 * math.pi / 1440)
-    st = station_states(spark, d).withColumns({
+    st = remembered(spark, d, occupied(spark, d)).withColumns({
         "capacity": 1 + F.col("station_id") % 3, "platforms": F.col("station_id") % 4, "freight_ratio": F.col("freight") / (1 + F.col("station_id") % 3),
         "is_junction": F.col("station_id").isin(*JUNCTIONS), "day_sin": F.sin(turn), "day_cos": F.cos(turn),
     })
@@ -153,7 +196,7 @@ def _(spark, d):
 
 @query(
     "E32_section_vectors",
-    f"""{D10_SQL}, xv AS (SELECT blk, tick, a, [run_norm, load, freight_load, multiplier - 1, severity, loss_norm, (a IN {JUNCTIONS})::INT, (b IN {JUNCTIONS})::INT, 0, 1]::DOUBLE[] AS v FROM sec)
+    f"""{D10_SQL}, xv AS (SELECT blk, tick, a, [coalesce(run_norm, 0.3), load, freight_load, multiplier - 1, severity, loss_norm, (a IN {JUNCTIONS})::INT, (b IN {JUNCTIONS})::INT, 0, 1]::DOUBLE[] AS v FROM sec)
     SELECT blk, tick, a, unnest(range(10)) AS dim, round(unnest(v), 6) AS value FROM xv""",
 )
 def _(spark, d):

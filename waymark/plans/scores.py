@@ -292,40 +292,51 @@ D9_SQL = f"""{D7_SQL}, grid AS (SELECT blk, tick, s AS station_id, s % 4 AS plat
 RATIOS = ["platform_ratio", "capacity_ratio", "available_ratio", "incoming", "delayed_density", "approach_density"]
 
 
-def station_states(spark, d):
+def station_states(spark, d, occ, ticks=None):
     dim = spark.range(fx.STATIONS).selectExpr("id AS station_id", "id % 4 AS platforms", "1 + id % 3 AS capacity")
-    occ = occupied(spark, d)
-    return traffic.station_state_rows(occ, dim, pressure(spark, d), stands(spark, d, occ).drop("worst"))
+    return traffic.station_state_rows(occ, dim, pressure(spark, d), stands(spark, d, occ if ticks is None else ticks).drop("worst"), ticks)
 
 
 @query("D9_station_state_rows", f"{D9_SQL} SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in RATIOS) + ") FROM st")
 def _(spark, d):
-    return rounded(station_states(spark, d), *RATIOS)
+    return rounded(station_states(spark, d, occupied(spark, d)), *RATIOS)
 
 
-@query(
-    "E15_station_memory",
-    f"""{D9_SQL}, nn AS (SELECT *, capacity_ratio * 0.5 + incoming * 0.5 AS load, row_number() OVER (PARTITION BY blk, station_id ORDER BY tick) - 1 AS n FROM st),
+# memory goes on at the ticks of a block at which nothing runs; the rows of these are left out afterwards
+BLOCK_MIN = fx.BLOCK_DAYS * 1440
+E15_SQL = D9_SQL.replace(
+    "ticks AS (SELECT DISTINCT blk, tick,", f"spine AS (SELECT blk, i * {TICK} AS tick FROM (SELECT DISTINCT blk FROM occ), range({BLOCK_MIN // TICK + 1}) r(i)), ticks AS (SELECT blk, tick,"
+).replace("AS at_min FROM occ)", "AS at_min FROM spine)").replace("FROM (SELECT DISTINCT blk, tick FROM occ) CROSS JOIN", "FROM spine CROSS JOIN")
+
+
+E15_SQL = f"""{E15_SQL}, nn AS (SELECT *, capacity_ratio * 0.5 + incoming * 0.5 AS load, row_number() OVER (PARTITION BY blk, station_id ORDER BY tick) - 1 AS n FROM st),
     lastc AS (SELECT a.*, (SELECT max(c.n) FROM nn c
-      WHERE c.blk = a.blk AND c.station_id = a.station_id AND c.critical AND c.n < a.n) AS hit, lag(load) OVER (PARTITION BY blk, station_id ORDER BY tick) AS before FROM nn a)
-    SELECT blk, tick, station_id, round(coalesce(before, 0), 6) AS congestion, round(coalesce(before, 0) * 0.7 + delayed_density * 0.3, 6) AS mixed, least(20,
-      coalesce(n - hit - 1, n)) AS since_critical
-      FROM lastc""",
-)
-def _(spark, d):
-    dense = station_states(spark, d).withColumn("load", F.col("capacity_ratio") * 0.5 + F.col("incoming") * 0.5)
+      WHERE c.blk = a.blk AND c.station_id = a.station_id AND c.critical AND c.n < a.n) AS hit, lag(load) OVER (PARTITION BY blk, station_id ORDER BY tick) AS before FROM nn a),
+    memory AS (SELECT blk, tick, station_id, coalesce(before, 0) AS congestion, coalesce(before, 0) * 0.7 + delayed_density * 0.3 AS mixed, least(20, coalesce(n - hit - 1, n)) AS since_critical
+      FROM lastc WHERE (blk, tick) IN (SELECT (blk, tick) FROM occ))"""
+
+
+def remembered(spark, d, occ):
+    """State rows of the ticks at which trips run, with what the stations remember of all ticks before."""
+    dense = station_states(spark, d, occ, traffic.tick_spine(occ, TICK, BLOCK_MIN)).withColumn("load", F.col("capacity_ratio") * 0.5 + F.col("incoming") * 0.5)
     kept = seq.station_memory(dense, ["blk", "station_id"], "tick", "load", "delayed_density", "critical")
-    return rounded(kept, "congestion", "mixed").select("blk", "tick", "station_id", "congestion", "mixed", F.col("since_critical").cast("long").alias("since_critical"))
+    return kept.join(occ.select("blk", "tick").distinct(), ["blk", "tick"], "left_semi")
+
+
+@query("E15_station_memory", f"{E15_SQL} SELECT blk, tick, station_id, round(congestion, 6) AS congestion, round(mixed, 6) AS mixed, since_critical FROM memory")
+def _(spark, d):
+    kept = rounded(remembered(spark, d, occupied(spark, d)), "congestion", "mixed")
+    return kept.select("blk", "tick", "station_id", "congestion", "mixed", F.col("since_critical").cast("long").alias("since_critical"))
 
 
-D10_SQL = f"""{D7_SQL}, {SECTIONS_SQL}, grid AS (SELECT blk, tick, a, b, 1 + a % 2 AS lines, km * 0.9 AS run_min, CASE WHEN a % 5 = 0 THEN km * 4 END AS loss_min FROM (SELECT DISTINCT blk, tick FROM seen) CROSS JOIN sections),
+D10_SQL = f"""{D7_SQL}, {SECTIONS_SQL}, grid AS (SELECT blk, tick, a, b, 1 + a % 2 AS lines, CASE WHEN a % 7 <> 3 THEN km * 0.9 END AS run_min, CASE WHEN a % 5 = 0 THEN km * 4 END AS loss_min FROM (SELECT DISTINCT blk, tick FROM seen) CROSS JOIN sections),
     tr AS (SELECT g.blk, g.tick, a, count(s.instance_id) AS trips FROM grid g LEFT
       JOIN seen s ON s.blk = g.blk AND s.tick = g.tick AND s.mode = 'in_transit' AND a >= least(s.station_id, s.next_station) AND a < greatest(s.station_id, s.next_station)
       AND s.next_station IS NOT NULL GROUP BY g.blk, g.tick, a),
     sec AS (SELECT g.blk, g.tick, g.a, g.b, trips, least(1.5::DOUBLE, (trips + coalesce(freight, 0)) / lines) AS load, least(1.5::DOUBLE, coalesce(freight, 0) / lines) AS freight_load,
       CASE WHEN freight > 0 THEN least(1, 0.4 + 0.1 * freight)::DOUBLE ELSE 0 END AS severity, CASE WHEN freight > 0 AND worst > 0 THEN least(4,
         100 / worst)::DOUBLE ELSE 1 END AS multiplier,
-      least(1, run_min / 20) AS run_norm, least(1, coalesce(loss_min, 0) / 60) AS loss_norm FROM grid g JOIN tr USING (blk, tick, a) LEFT
+      CASE WHEN run_min IS NOT NULL THEN least(1, run_min / 20) END AS run_norm, least(1, coalesce(loss_min, 0) / 60) AS loss_norm FROM grid g JOIN tr USING (blk, tick, a) LEFT
         JOIN fr ON fr.blk = g.blk AND fr.tick = g.tick AND fr.station_id = g.a)"""
 SCALED = ["load", "freight_load", "severity", "multiplier", "run_norm", "loss_norm"]
 
@@ -334,7 +345,7 @@ def section_states(spark, d):
     at = seen(spark, d)
     at_sections = stands(spark, d, at).withColumnRenamed("station_id", "a")
     disrupted = at_sections.where("freight > 0").select("blk", "tick", "a", severity(F.col("freight")).alias("severity"), speed_multiplier(F.col("worst")).alias("multiplier"))
-    sections = fx.sections(spark).withColumns({"lines": 1 + F.col("a") % 2, "run_min": F.col("km") * 0.9, "loss_min": F.when(F.col("a") % 5 == 0, F.col("km") * 4)})
+    sections = fx.sections(spark).withColumns({"lines": 1 + F.col("a") % 2, "run_min": F.when(F.col("a") % 7 != 3, F.col("km") * 0.9), "loss_min": F.when(F.col("a") % 5 == 0, F.col("km") * 4)})
     return traffic.section_state_rows(at, sections.drop("km"), at_sections.select("blk", "tick", "a", "freight"), disrupted)
 
 
