@@ -9,7 +9,7 @@ from waymark.plans.book import query
 from waymark.sources import fixtures as fx
 from waymark.sources import sinks
 from waymark.sources.fixtures import REVEAL_SQL, STOPS_SQL, table
-from waymark.streaming import feeds
+from waymark.streaming import feeds, timers
 
 START = 28423440  # 2024-01-16 in minutes since 1970
 
@@ -51,6 +51,40 @@ def _(spark, d):
     return feeds.keyed_memory(feeds.event_stream(spark, d), ["user_id"], n=F.count("*"), most=F.max("value"), last_value=F.max_by("value", "ts"))
 
 
+# a station's load in three hours is its events over three; memory begins anew each day and moves on where no event is
+TICK_MIN, CAPACITY = 180, 3.0
+
+
+@query(
+    "H7_advancing_memory",
+    f"""WITH e AS (SELECT event_id % {fx.STATIONS} AS station_id, epoch_us(ts) // 1000 AS ms FROM events), c AS (SELECT station_id, ms // {TICK_MIN * 60000} AS tick, count(*) AS n FROM e GROUP BY ALL),
+    k AS (SELECT station_id, min(tick) * {TICK_MIN} // 1440 * 1440 // {TICK_MIN} AS first_tick FROM c GROUP BY 1), w AS (SELECT max(ms) // {TICK_MIN * 60000} AS open_tick FROM e),
+    sp AS (SELECT station_id, unnest(range(first_tick, open_tick)) AS tick FROM k, w),
+    s AS (SELECT station_id, tick, n IS NOT NULL AS seen, least(1, coalesce(n, 0) / {CAPACITY}) AS load, coalesce(n, 0) / {CAPACITY} > 0.85 AS critical, tick * {TICK_MIN} // 1440 AS day
+      FROM sp LEFT JOIN c USING (station_id, tick)),
+    m AS (SELECT *, coalesce(lag(load) OVER d, 0) AS congestion, row_number() OVER d - 1 AS i, max(tick) FILTER (critical) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM s
+      WINDOW d AS (PARTITION BY station_id, day ORDER BY tick))
+    SELECT station_id, tick, round(congestion, 6) AS congestion, round(0.7 * congestion + 0.3 * load, 6) AS mixed, least(20, coalesce(tick - hit - 1, i)) AS since_critical, seen FROM m""",
+)
+def _(spark, d):
+    stream = feeds.event_stream(spark, d).withColumn("station_id", F.col("event_id") % fx.STATIONS)
+    kept = timers.advancing_memory(stream, ["station_id"], "ts", F.lit(1.0), TICK_MIN, capacity=CAPACITY)
+    return kept.select("station_id", "tick", F.round("congestion", 6).alias("congestion"), F.round("mixed", 6).alias("mixed"), "since_critical", "seen")
+
+
+WARN, CRITICAL = 60, 120
+
+
+@query(
+    "H9_silence_alarm",
+    f"""WITH e AS (SELECT DISTINCT event_type, epoch_us(ts) // 1000 AS ms FROM events), w AS (SELECT max(ms) AS now FROM e),
+    g AS (SELECT event_type, ms, coalesce(lead(ms) OVER (PARTITION BY event_type ORDER BY ms), now) - ms AS gap FROM e, w), l AS (SELECT * FROM (VALUES ('warn', {WARN}), ('critical', {CRITICAL})) v(level, minutes))
+    SELECT event_type, ms AS newest_ms, level, ms + minutes * 60000 AS alarm_ms FROM g JOIN l ON gap >= minutes * 60000""",
+)
+def _(spark, d):
+    return timers.silence_log(feeds.event_stream(spark, d), ["event_type"], "ts", {"warn": WARN, "critical": CRITICAL})
+
+
 @query(
     "H9_staleness",
     """WITH m AS (SELECT epoch_us(ts) // 60000000 AS minute, count(*) AS n FROM events GROUP BY 1), g AS (SELECT *, minute - lag(minute) OVER (ORDER BY minute) AS gap FROM m)
