@@ -60,6 +60,17 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     assert got(readers.scan_csv(spark, str(tmp_path / "x.csv"), "code string, n int").fillna(-1)) == [("A", 1), ("B", -1)]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/x.csv").write_text("n,more,code\n1,x,A\n2,y,B\n")
+    assert got(readers.scan_csv(spark, str(tmp_path / "one"), "code string, n int")) == [("A", 1), ("B", 2)]
+    with pytest.raises(ValueError, match="no column speed"):
+        readers.scan_csv(spark, str(tmp_path / "one"), "code string, speed int")
+    (tmp_path / "one/y.csv").write_text("code,more,n\nC,z,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.scan_csv(spark, str(tmp_path / "one"), "code string, n int").collect()
+
+
 def test_fallback(spark):
     none, some = spark.range(0), spark.range(2)
     assert readers.scan_or_fallback(none, some).count() == 2 and readers.scan_or_fallback(some, none).count() == 2

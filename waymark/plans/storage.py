@@ -9,6 +9,7 @@ from waymark.plans.book import query
 from waymark.sources import fixtures as fx
 from waymark.sources import readers, sinks
 from waymark.sources.fixtures import STOPS_SQL, table
+from waymark.sources.keyed import KeyedTable
 
 LINE = ["l_orderkey", "l_linenumber"]
 LINE_COLUMNS = [*LINE, "l_partkey", "l_suppkey", "l_quantity"]
@@ -26,7 +27,7 @@ def lines(spark, d):
 @query("A1_scan_csv", "SELECT p_partkey, p_name, p_size FROM part")
 def _(spark, d):
     path = sinks.shared_folder(spark, "csv")
-    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.csv(path, header=True)
+    table(spark, d, "part").select("p_size", "p_name", "p_type", "p_partkey").write.csv(path, header=True)  # in another order
     return readers.scan_csv(spark, path, "p_partkey long, p_name string, p_size int")
 
 
@@ -62,12 +63,12 @@ def _(spark, d):
     return readers.scan_or_fallback(e.where("event_type = 'no such'"), e.where("event_type = 'error'")).select("event_id", "value")
 
 
-@query("A6_write_partitioned", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, station_id, blk FROM stops WHERE blk > 0")
+@query("A6_write_partitioned", f"WITH {STOPS_SQL} SELECT instance_id, stop_idx, station_id, blk FROM stops")
 def _(spark, d):
     path = sinks.shared_folder(spark, "partitioned")
     s = fx.stops(spark, d).select("instance_id", "stop_idx", "station_id", "blk")
-    sinks.write_partitioned(s, path, ["blk"], ["instance_id", "stop_idx"])
-    sinks.write_partitioned(s.where("blk > 0"), path, ["blk"], ["instance_id", "stop_idx"])  # block 0 must not survive
+    sinks.write_partitioned(s.withColumn("blk", F.col("blk") + 1000), path, ["blk"], ["instance_id", "stop_idx"])
+    sinks.write_partitioned(s, path, ["blk"], ["instance_id", "stop_idx"])  # none of the first folders must survive
     return spark.read.schema(s.schema).parquet(path)
 
 
@@ -80,18 +81,22 @@ def target(spark, d):
     return latest_per_key(lines(spark, d).where("l_quantity < 25"), LINE, newest_first())
 
 
+def keyed_table(spark, df, label):
+    # small buckets, so that the table splits at the sizes tested too
+    return KeyedTable(spark, sinks.shared_folder(spark, label), df.schema, LINE, bucket_rows=20_000)
+
+
 @query(
     "A7_insert_ignore",
     f"""WITH {TARGET_SQL} SELECT {', '.join(LINE_COLUMNS)} FROM t UNION ALL SELECT {', '.join(LINE_COLUMNS)} FROM s
     WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM t)""",
 )
 def _(spark, d):
-    path = sinks.shared_folder(spark, "inserted")
-    target(spark, d).write.parquet(path)
+    kept = keyed_table(spark, lines(spark, d), "inserted")
+    kept.insert(target(spark, d), newest_first())
     for _ in range(2):  # the second insert finds nothing new
-        known = spark.read.parquet(path)
-        sinks.insert_ignore(known, lines(spark, d).where("l_quantity >= 20"), LINE, newest_first()).write.mode("append").parquet(path)
-    return spark.read.parquet(path).select(*LINE_COLUMNS)
+        kept.insert(lines(spark, d).where("l_quantity >= 20"), newest_first())
+    return kept.read().select(*LINE_COLUMNS)
 
 
 @query(
@@ -100,12 +105,11 @@ def _(spark, d):
     WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM s)""",
 )
 def _(spark, d):
-    path = sinks.shared_folder(spark, "keyed")
-    sinks.upsert_into(path, target(spark, d), LINE, newest_first())
-    new = lines(spark, d).where("l_quantity >= 20")
+    kept = keyed_table(spark, lines(spark, d), "keyed")
+    kept.upsert(target(spark, d), newest_first())
     for _ in range(2):  # a repeated write changes nothing
-        sinks.upsert_into(path, new, LINE, newest_first())
-    return sinks.read_keyed(spark, path, new.schema).select(*LINE_COLUMNS)
+        kept.upsert(lines(spark, d).where("l_quantity >= 20"), newest_first())
+    return kept.read().select(*LINE_COLUMNS)
 
 
 @query("A9_export_days", f"WITH {STOPS_SQL} SELECT blk, count(*) AS n, count(actual_arr) AS observed, count(DISTINCT user_id) AS vehicles FROM stops GROUP BY blk")
@@ -166,11 +170,12 @@ def _(spark, d):
 
 @query(
     "A14_evolve_schema",
-    """SELECT event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type = 'error'""",
+    """SELECT event_id, value, NULL::BIGINT AS user_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, NULL, user_id FROM events WHERE event_type IS DISTINCT FROM 'click'""",
 )
 def _(spark, d):
     e = table(spark, d, "events")
-    return sinks.evolve_schema(e.where("event_type = 'click'").select("event_id", "value"), e.where("event_type = 'error'").select("event_id", "user_id"))
+    click = F.col("event_type").eqNullSafe("click")
+    return sinks.evolve_schema(e.where(click).select("event_id", "value"), e.where(~click).select("event_id", "user_id"))
 
 
 def _days_sql(s):

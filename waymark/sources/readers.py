@@ -11,8 +11,22 @@ from pyspark.sql import types as T
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
-    """A CSV file or folder with header lines, also gzipped; columns go by place, values that don't parse become null."""
-    return spark.read.schema(schema).options(**{"header": True, "mode": "PERMISSIVE", **options}).csv(path)
+    """A CSV file or folder with header lines, also gzipped; columns go by name, in whatever order and case the header has them.
+
+    Columns beyond those of ``schema`` are passed over, missing ones and files whose headers differ are errors, values that
+    don't parse become null. With ``header=False`` columns go by place.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    options = {"header": True, "mode": "PERMISSIVE", **options}
+    if str(options["header"]).lower() != "true":
+        return spark.read.schema(wanted).options(**options).csv(path)
+    named = [c.removeprefix("\ufeff") for c in spark.read.options(**options).csv(path).columns]
+    types = {f.name.lower(): f.dataType for f in wanted}
+    missing = types.keys() - {c.lower() for c in named}
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}; its header is {', '.join(named)}")
+    found = T.StructType([T.StructField(c, types.get(c.lower(), T.StringType())) for c in named])
+    return spark.read.schema(found).options(**{"enforceSchema": False, **options}).csv(path).select(*(F.col(f"`{f.name}`").alias(f.name) for f in wanted))
 
 
 def scan_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -8,7 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -53,74 +52,20 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], order: list[str])
     df.repartitionByRange(*by, *order).write.partitionBy(*by).option("partitionOverwriteMode", "static").mode("overwrite").parquet(path)
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in ``order``."""
+    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The rows to append: the first per key in ``order``, of the keys that ``target`` does not have."""
-    first = new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-    return first.join(target.select(*keys), keys, "left_anti")
+    return first_per_key(new, keys, order).join(target.select(*keys), keys, "left_anti")
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``target`` with each key's row replaced by the first of ``new`` in ``order``, and new keys added."""
     both = target.withColumn("_new", F.lit(1)).unionByName(new.withColumn("_new", F.lit(0)))
-    return both.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_new", *order))).where("_n = 1").drop("_n", "_new")
-
-
-def _bucket(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
-
-
-def _touched(df: DataFrame) -> list[int]:
-    """The buckets of ``df``, no more than there are buckets."""
-    return [r[0] for r in df.select("_bucket").distinct().collect()]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
-def read_keyed(spark: SparkSession, path: str, schema, buckets: list[int] | None = None) -> DataFrame:
-    """The rows of a table kept by ``upsert_into`` or ``insert_into``; with ``buckets`` those folders alone are read."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField("_bucket", IntegerType())])).parquet(path)
-    if buckets is not None:
-        rows = rows.where(F.col("_bucket").isin(buckets))
-    return rows.drop("_bucket")
-
-
-def upsert_into(path: str, new: DataFrame, keys: list[str], order: list[Column], buckets: int = 64) -> None:
-    """Writes ``new`` into the table at ``path``, replacing rows of the same keys; of several the first in ``order`` counts.
-
-    The table lies in folders by hash of the keys, and only the folders that ``new`` touches are read and replaced, so a
-    write costs what its keys' folders hold. The merged rows are written aside first. A write that was broken off can
-    simply be repeated: the outcome is the same.
-    """
-    spark = new.sparkSession
-    names = new.columns
-    dealt = written(new.select("*", _bucket(keys, buckets)), "upsert")
-    touched = _touched(dealt)
-    if touched:
-        old = read_keyed(spark, path, new.schema, touched)
-        merged = written(upsert(old, dealt.drop("_bucket"), keys, order).select(*names, _bucket(keys, buckets)), "upsert")
-        merged.repartition("_bucket").write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-        drop_written(merged)
-    drop_written(dealt)
-
-
-def insert_into(path: str, new: DataFrame, keys: list[str], order: list[Column], buckets: int = 64) -> None:
-    """Appends to the table at ``path`` the first row in ``order`` of each key that it does not have; looks only into the folders
-    that ``new`` touches, and does nothing when repeated."""
-    dealt = written(new.select("*", _bucket(keys, buckets)), "insert")
-    touched = _touched(dealt)
-    if touched:
-        known = read_keyed(new.sparkSession, path, new.schema, touched)
-        fresh = insert_ignore(known, dealt.drop("_bucket"), keys, order).select(*new.columns, _bucket(keys, buckets))
-        # what is known is read before the first file is added
-        fresh = written(fresh, "insert")
-        fresh.repartition("_bucket").write.partitionBy("_bucket").mode("append").parquet(path)
-        drop_written(fresh)
-    drop_written(dealt)
+    return first_per_key(both, keys, [F.col("_new"), *order]).drop("_new")
 
 
 def export_days(df: DataFrame, path: str, day: str, order: list[str], observed: Column, vehicle: str) -> DataFrame:

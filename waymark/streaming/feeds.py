@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from waymark.sources.sinks import insert_into, read_keyed, shared_folder, upsert_into
+from waymark.sources.keyed import KeyedTable
+from waymark.sources.sinks import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", moment: str = "ts", **options: str) -> DataFrame:
@@ -37,15 +38,12 @@ def _batches(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 
 def newest_rows(df: DataFrame, mode: str, keys: list[str], folder: str | None = None) -> DataFrame:
-    """Runs an aggregated stream; of each key the row that the latest batch gave."""
+    """Runs an aggregated stream into a table by key: of each key the row that the latest batch gave."""
     spark = df.sparkSession
     folder = folder or shared_folder(spark, "stream")
-    _run(df, mode, folder, lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/rows/batch={i}"))
-    schema = StructType([*df.schema.fields, StructField("batch", LongType())])
-    rows = spark.read.schema(schema).parquet(f"{folder}/rows")
-    values = [c for c in df.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_r"))
-    return latest.select(*keys, "_r.*").select(*df.columns)
+    kept = KeyedTable(spark, f"{folder}/rows", df.schema, keys)
+    _run(df, mode, folder, lambda b, i: kept.upsert(b, [F.lit(0)]))
+    return kept.read()
 
 
 def tick_windows(stream: DataFrame, moment: str, keys: list[str], minutes: int, late: str, folder: str | None = None, **aggregates: Column) -> DataFrame:
@@ -73,15 +71,17 @@ def read_with_overlap(stream: DataFrame, moment: str, keys: list[str], overlap:
 def forecast_sink(stream: DataFrame, keys: list[str], order: list[Column], folder: str | None = None) -> DataFrame:
     """Appends each batch's first row per key unless the table has the key: repeated issues and batches change nothing."""
     folder = folder or shared_folder(stream.sparkSession, "stream")
-    _run(stream, "append", folder, lambda b, i: insert_into(f"{folder}/rows", b, keys, order))
-    return read_keyed(stream.sparkSession, f"{folder}/rows", stream.schema)
+    kept = KeyedTable(stream.sparkSession, f"{folder}/rows", stream.schema, keys)
+    _run(stream, "append", folder, lambda b, i: kept.insert(b, order))
+    return kept.read()
 
 
 def upsert_sink(stream: DataFrame, keys: list[str], order: list[Column], folder: str | None = None) -> DataFrame:
     """Each batch's first row per key replaces the table's row of that key."""
     folder = folder or shared_folder(stream.sparkSession, "stream")
-    _run(stream, "append", folder, lambda b, i: upsert_into(f"{folder}/rows", b, keys, order))
-    return read_keyed(stream.sparkSession, f"{folder}/rows", stream.schema)
+    kept = KeyedTable(stream.sparkSession, f"{folder}/rows", stream.schema, keys)
+    _run(stream, "append", folder, lambda b, i: kept.upsert(b, order))
+    return kept.read()
 
 
 def incremental_rebuild(cache: DataFrame, changed: DataFrame, history: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
@@ -101,15 +101,16 @@ def rebuild_sink(stream: DataFrame, history: Callable[[], DataFrame], build: Cal
     spark = stream.sparkSession
     folder = folder or shared_folder(spark, "stream")
     schema = build(history()).withColumn("_gone", F.lit(False)).schema
+    kept = KeyedTable(spark, f"{folder}/rows", schema, keys)
 
     def replace(batch: DataFrame, i: int) -> None:
         touched = batch.select(*keys).distinct()
         anew = build(history().join(touched, keys, "left_semi")).withColumn("_gone", F.lit(False))
         lost = touched.join(anew.select(*keys), keys, "left_anti").withColumn("_gone", F.lit(True))
-        upsert_into(f"{folder}/rows", anew.unionByName(lost, allowMissingColumns=True).select(*schema.names), keys, [F.col("_gone")])
+        kept.upsert(anew.unionByName(lost, allowMissingColumns=True), [F.col("_gone")])
 
     _run(stream.select(*keys), "append", folder, replace)
-    return read_keyed(spark, f"{folder}/rows", schema).where("NOT _gone").drop("_gone")
+    return kept.read().where("NOT _gone").drop("_gone")
 
 
 def late_corrections(stream: DataFrame, log: DataFrame, moment: str, keys: list[str], minutes: int, late: str, folder: str | None = None) -> DataFrame:
