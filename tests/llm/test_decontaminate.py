@@ -117,3 +117,25 @@ def test_repeated_passages_rows_and_clashing_columns(spark):
         assert got == sorted([(1, 1)] * 4 + [(1, 5)] * 2 + [(1, None)] * 2, key=str)
         left = d.without_passages(docs, bench, block_bytes=size)
         assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_many_blocks_and_rounds_of_passages(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 8)) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(rng, 20) + (" " + edited(rng, items[i % 60][1], 1) + " " + prose(rng, 5) if i % 3 == 0 else "") for i in range(200)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts * 2)], "doc_id long, text string, passage string")
+    size = sum(len(t) for _, t in items)
+    monkeypatch.setattr(d, "TEXT_BYTES", 4000)
+    want = d.find_passages(docs, bench)
+    hits, left = sorted(map(tuple, want.collect())), None
+    assert len(hits) >= 134
+    for options in ({"block_bytes": size // 20}, {"block_bytes": size // 20, "round_bytes": size // 3}):
+        found = d.find_passages(docs, bench, **options)
+        if "round_bytes" not in options:  # twenty blocks, and the rows are read once
+            assert found._jdf.queryExecution().toString().split("Physical Plan")[1].count("MapInArrow") == 1
+        assert sorted(map(tuple, found.collect())) == hits
+        kept = sorted(map(tuple, d.without_passages(docs, bench, **options).collect()))
+        assert left is None or kept == left
+        left = kept
+    assert {r[0] for r in left} == set(range(len(texts) * 2)) - {h[0] for h in hits}

@@ -17,10 +17,13 @@ as its formatted form need not fit in Spark's own strings.
 
 Rows are ordered by (turn, role, text); nulls first. Null texts and roles
 are empty, a null conversation id is a conversation of its own, repeated
-turns are kept. A conversation may exceed a batch: it then continues in
-further pieces, so that no conversation has to fit in memory; ``piece``
-numbers them and concatenating them gives the whole. Pieces of a
-conversation follow one another in one partition.
+turns are kept. Rows are dealt by ranges of that order, so a conversation
+that holds much of the table is assembled by many tasks, and one that
+exceeds a batch continues in further pieces: no conversation has to fit in
+memory or in a task. ``piece`` grows along a conversation, with gaps where
+it goes on in another task; concatenating the pieces in that order gives
+the whole. Only the digest of a conversation, which is one hash over all its
+texts, is taken in one task, from bytes that the others have prepared.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ from waymark.llm.common import small_batches
 #: Text bytes assembled at once, and the most that a turn may have.
 SLICE_BYTES, TURN_BYTES = 128 << 20, 1 << 30
 START, END = "<|im_start|>", "<|im_end|>"
-FORMATTED = "conv_id long, piece int, n_turns int, formatted string, loss_starts array<long>, loss_ends array<long>"
+FORMATTED = "conv_id long, piece long, n_turns int, formatted string, loss_starts array<long>, loss_ends array<long>"
 _CLOSED = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
 
@@ -95,14 +99,19 @@ def format_conversations(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant"
 ) -> DataFrame:
     """(conv_id, piece, n_turns, formatted, loss_starts, loss_ends), spans in bytes of ``formatted``."""
+    spark = turns.sparkSession
     slim = turns.select(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    ordered = slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    small_batches(turns.sparkSession)
+    # the last part of the range deals rows that are alike; their order is all the same
+    order = ("conv_id", "turn", "role", "text")
+    dealt = slim.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order, F.monotonically_increasing_id())
+    ordered = dealt.sortWithinPartitions(*order).select("conv_id", "role", "text")
+    small_batches(spark)
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, piece = object(), 0
+        base_piece = TaskContext.get().partitionId() << 32
+        last, piece = object(), base_piece
         for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0)
             keys, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
@@ -113,9 +122,9 @@ def format_conversations(
             lost = np.flatnonzero(pc.equal(batch.column(1), loss_role).to_numpy(zero_copy_only=False))
             base = np.repeat(at[first], stop - first)
             spans = pa.array(np.searchsorted(lost, np.append(first, len(keys))), pa.int32())
-            pieces = np.zeros(len(first), np.int32)
+            pieces = np.full(len(first), base_piece, np.int64)
             head = (int(keys[0]), bool(known[0]))
-            pieces[0] = piece + 1 if head == last else 0
+            pieces[0] = piece + 1 if head == last else base_piece
             last, piece = (int(keys[-1]), bool(known[-1])), int(pieces[-1])
             offsets = pa.py_buffer(np.append(at[first], at[-1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -152,23 +161,31 @@ def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
         yield unescape_role(m[1]), unescape(m[2])
 
 
+_PARSED = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("n_turns", pa.int64()), ("told", pa.binary()), ("loss_chars", pa.int64()), ("lost", pa.binary()), ("chars", pa.int64())])
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(formatted: DataFrame, as_dealt: bool = False) -> DataFrame:
+def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation as read from the output of ``format_conversations``; see ``DIGESTS``.
 
-    The pieces of a conversation are brought together in order and hashed one after another. ``as_dealt`` takes the very
-    output of ``format_conversations``, in which they are so already, without dealing it again.
+    Each piece is parsed and unescaped where it lies. The bytes to be hashed are then brought together by conversation, in
+    the order of its pieces, and hashed one after another.
     """
     small_batches(formatted.sparkSession)
-    if not as_dealt:
-        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                turns = list(parse_turns(r["formatted"]))
+                data = r["formatted"].encode()
+                lost = "".join(unescape(data[a:b].decode()) for a, b in zip(r["loss_starts"], r["loss_ends"], strict=True))
+                told = "".join(f"{role}\n{text}\n" for role, text in turns).encode()
+                row = ([r["conv_id"]], [r["piece"]], [len(turns)], [told], [len(lost)], [lost.encode()], [len(r["formatted"])])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PARSED, strict=True)], schema=_PARSED)
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DIGESTS.split(", ")]
         open_id, state = object(), None
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         close = lambda: (open_id, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
         for batch in batches:
             done = []
@@ -177,18 +194,15 @@ def read_back(formatted: DataFrame, as_dealt: bool = False) -> DataFrame:
                     if state:
                         done.append(close())
                     open_id, state = r["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse_turns(r["formatted"]):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                data = r["formatted"].encode()
-                for a, b in zip(r["loss_starts"], r["loss_ends"], strict=True):
-                    text = unescape(data[a:b].decode())
-                    state[2] += len(text)
-                    state[3].update(text.encode())
-                state[4] += len(r["formatted"])
+                state[0] += r["n_turns"]
+                state[1].update(r["told"])
+                state[2] += r["loss_chars"]
+                state[3].update(r["lost"])
+                state[4] += r["chars"]
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done), schema, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), _DIGESTS, strict=True)], schema=_DIGESTS)
         if state:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(close(), schema, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(close(), _DIGESTS, strict=True)], schema=_DIGESTS)
 
-    return formatted.mapInArrow(digested, DIGESTS)
+    pieces = formatted.mapInArrow(parsed, "conv_id long, piece long, n_turns long, told binary, loss_chars long, lost binary, chars long")
+    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(digested, DIGESTS)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,29 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/waymark/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPE: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("written tables of the open scope", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the ``written`` tables made inside, but for those given to the function that it yields."""
+    tables: list[DataFrame] = []
+    kept: set[str] = set()
+    before = _SCOPE.set(tables)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._waymark_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(before)
+        for t in tables:
+            if t._waymark_path not in kept:
+                discard(t)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -62,6 +88,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._waymark_path = path
+    if (open_scope := _SCOPE.get()) is not None:
+        open_scope.append(out)
     return out
 
 

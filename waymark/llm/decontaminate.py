@@ -16,27 +16,31 @@ smaller q, so that the bound stays positive; passages without a letter or
 digit are never found. Null and empty texts have no match. Whole texts
 are searched. Repeated passages and rows are reported each on its own.
 
-The passages are the stated query set: they go out in blocks of bounded
-bytes, each against all rows. Extra columns are ignored, whatever their
-names, and kept by ``without_passages``.
+The passages are the stated query set: they are sent out in rounds of
+bounded bytes, and the rows are read once a round. Inside a round they
+are indexed in blocks, one after another for the texts at hand, which
+bounds a worker's memory. Extra columns are ignored, whatever their names,
+and kept by ``without_passages``.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import discard, small_batches, written
+from waymark.llm.common import discard, free_name, small_batches, written
 
 MAX_Q, MAX_ERROR = 8, 0.1
-#: Bytes of passages that are sent out at once, and characters of a text that are searched at once.
-BLOCK_BYTES, SEGMENT = 4 << 20, 1 << 14
+#: Bytes of passages that are indexed and that are sent out at once, and characters of a text that are searched at once.
+BLOCK_BYTES, ROUND_BYTES, SEGMENT = 4 << 20, 64 << 20, 1 << 14
+#: Bytes of rows that are searched for one block after another.
+TEXT_BYTES = 32 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 22
 _ITEM = 1 << 40  # more than any place in a text
@@ -194,49 +198,87 @@ def _different(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return benchmark.select(F.md5(text).alias("passage"), F.col(item).cast("long").alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
 
 
-def _blocks(named: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], int]]:
-    """The different texts of ``named`` in blocks of about ``block_bytes``, dealt by their key; one block is in the driver at a time.
+def _rounds(named: DataFrame, block_bytes: int, round_bytes: int) -> Iterator[tuple[list[list[tuple[str, str]]], int]]:
+    """The different texts of ``named`` in rounds of about ``round_bytes``, dealt by their key, each as blocks of ``block_bytes``.
 
-    Gives each block with the number of blocks.
+    One round is in the driver at a time. Gives each round with the number of rounds.
     """
     texts = named.groupBy("passage").agg(F.first("text").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-2 * size // block_bytes) if size > block_bytes else 1
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-2 * size // round_bytes) if size > round_bytes else 1
+    if n > 1:
+        texts = written(texts, "passages")
     for i in range(n):
-        block = texts.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == i) if n > 1 else texts
-        yield [(r.passage, r.text) for r in block.collect()], n
+        blocks, held = [[]], 0
+        for r in (texts.where(F.pmod(F.xxhash64("passage"), F.lit(n)) == i) if n > 1 else texts).collect():
+            own = len(r.text.encode("utf-8", "surrogatepass"))
+            if held and held + own > block_bytes:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((r.passage, r.text))
+            held += own
+        yield blocks, n
+    if n > 1:
+        discard(texts)
 
 
 @functools.lru_cache(maxsize=1)
-def _index(broadcasted) -> Passages:
-    return Passages(*broadcasted.value)
+def _only(broadcasted) -> Passages:
+    """The index of a round of one block, kept for the worker's next tasks."""
+    return Passages(broadcasted.value[0][0], broadcasted.value[1])
+
+
+def _found(shared, texts: list[str | None]) -> list[list[tuple]]:
+    """The occurrences in each text of the passages of all blocks of a round."""
+    blocks, max_error = shared.value
+    out: list[list[tuple]] = [[] for _ in texts]
+    for block in blocks:
+        passages = _only(shared) if len(blocks) == 1 else Passages(block, max_error)
+        for i, t in enumerate(texts):
+            if t is not None:
+                out[i] += occurrences(passages, t)
+    return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Table]:
+    """Batches as they come, or with several blocks about ``TEXT_BYTES`` of them at once, as each block is indexed anew for them."""
+    many, held, size = len(shared.value[0]) > 1, [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if not many or size >= TEXT_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def find_passages(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES,
+    max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, edits, end_char): each passage that occurs in each row with at most ``max_error`` edits a character.
 
-    Passages above one block are searched block by block, each against all rows; a block's hits are written and its
-    broadcast is taken back before the next one.
+    The rows are read once for each round of passages; a round's hits are written and its broadcast is taken back before
+    the next one.
     """
     spark = df.sparkSession
     small_batches(spark)
-    slim = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
     named = _different(benchmark, item, item_text)
+    schema = pa.schema([("doc_id", pa.int64()), ("passage", pa.string()), ("edits", pa.int64()), ("end_char", pa.int64())])
     hits = None
-    for block, n in _blocks(named, block_bytes):
-        shared = spark.sparkContext.broadcast((block, max_error))
+    for blocks, n in _rounds(named, block_bytes, round_bytes):
+        shared = spark.sparkContext.broadcast((blocks, max_error))
 
-        def searched(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            passages = _index(shared)
-            for b in batches:
-                rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in occurrences(passages, t)]
-                got = pd.DataFrame(rows, columns=["doc_id", "passage", "edits", "end_char"])
-                yield got.astype({"doc_id": "Int64", "passage": "object", "edits": "int64", "end_char": "int64"})
+        def searched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for t in _gathered(batches, shared):
+                ids, found = t.column(0).to_pylist(), _found(shared, t.column(1).to_pylist())
+                rows = [(d, *hit) for d, own in zip(ids, found, strict=True) for hit in own]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        part = slim.mapInPandas(searched, "doc_id long, passage string, edits long, end_char long")
+        part = slim.mapInArrow(searched, "doc_id long, passage string, edits long, end_char long")
         if n > 1:
             part = written(part, "passages")
             shared.unpersist(blocking=True)
@@ -251,28 +293,38 @@ def contaminated_ids(df: DataFrame, benchmark: DataFrame, **options) -> DataFram
 
 def without_passages(
     df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-    max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES,
+    max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """The rows of ``df``, with all their columns, in which no passage occurs.
 
-    Each row is decided by its own text, also rows that share an id or have none; null texts stay. What one block of
-    passages leaves is written before the next one.
+    Each row is decided by its own text, also rows that share an id or have none; null texts stay. One round of passages
+    filters the rows as they are read. With more, each round only finds texts in which passages occur, by their keys,
+    and the rows are dropped once at the end.
     """
-    spark, place, kept, before = df.sparkSession, df.columns.index(text), df, None
+    spark, place = df.sparkSession, df.columns.index(text)
     small_batches(spark)
-    for block, n in _blocks(_different(benchmark, item, item_text), block_bytes):
-        shared = spark.sparkContext.broadcast((block, max_error))
+    bad = None
+    for blocks, n in _rounds(_different(benchmark, item, item_text), block_bytes, round_bytes):
+        shared = spark.sparkContext.broadcast((blocks, max_error))
 
         def cleaned(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = _index(shared)
-            for b in batches:
-                yield b.filter(pa.array([t is None or not occurrences(passages, t) for t in b.column(place).to_pylist()], pa.bool_()))
-
-        kept = kept.mapInArrow(cleaned, df.schema)
-        if n > 1:
-            kept = written(kept, "clean")
-            shared.unpersist(blocking=True)
-            if before is not None:
-                discard(before)
-            before = kept
-    return kept
+            for t in _gathered(batches, shared):
+                clean = pa.array([not own for own in _found(shared, t.column(place).to_pylist())], pa.bool_())
+                yield from t.filter(clean).to_batches()
+
+        def hit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for t in _gathered(batches, shared):
+                texts = t.column(0).to_pylist()
+                keys = {hashlib.md5(x.encode("utf-8", "surrogatepass")).digest() for x, own in zip(texts, _found(shared, texts), strict=True) if own}
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.binary())], names=["key"])
+
+        if n == 1:
+            return df.mapInArrow(cleaned, df.schema)
+        part = written(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(hit, "key binary").distinct(), "passages")
+        shared.unpersist(blocking=True)
+        bad = part if bad is None else bad.unionByName(part)
+    key = free_name(df, "text_key")
+    found = written(bad.distinct().select(F.col("key").alias(key)), "passages")
+    # a hot text is on the side of the rows, whose partitions AQE splits; the other side has each key once
+    return df.withColumn(key, F.unhex(F.md5(text))).join(found, key, "left_anti").select(*df.columns)
