@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, language, mixing, neardup, sharding
-from waymark.llm.common import table, written
+from waymark.llm.common import discard, scratch, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SEED, SHARDS = 17, 24
@@ -64,8 +64,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _through(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """The documents after these stages. What a stage has written on its way is deleted with its input once its output is written."""
+    with scratch() as keep:
+        docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+        for name, stage in stages:
+            with scratch() as keep_stage:
+                after = keep_stage(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+            discard(docs)
+            docs = after
+        return keep(docs) if stages else docs
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """The place of each row that the stages leave."""
+    return _through(spark, sf_dir, STAGES)
+
+
+def write_training_shards(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The end of the pipeline with the texts: a folder of Parquet files per shard below ``path``, rows in the order of their slots."""
+    with scratch():
+        mixed = _through(spark, sf_dir, STAGES[:-1])
+        out = sharding.write_shards(mixed, path, n_shards=SHARDS)
+        discard(mixed)
+        return out
