@@ -186,3 +186,37 @@ def test_very_long_text():
     got = shingles.shingle_sets(pa.array([text, "a b", text.upper()]), 2)
     assert [len(s) for s in got] == [3, 1, 3]
     assert (got[0] == got[2]).all()
+
+
+def sections(rng, n, n_sections, common=200, shared=60, own=60):
+    """Texts with one text in common, one for each section, and one of their own, whose lengths vary a little."""
+    base, parts = [f"c{i}" for i in range(common)], [[f"s{s}x{i}" for i in range(shared)] for s in range(n_sections)]
+    return {i: " ".join(base + parts[i % n_sections] + [f"o{i}x{j}" for j in range(own + rng.randrange(-9, 10))]) for i in range(n)}
+
+
+def test_pages_of_sections_do_not_meet_at_their_sections_text(spark, monkeypatch):
+    met, pairs = [], neardup.met_pairs
+    monkeypatch.setattr(neardup, "met_pairs", lambda *a: met.append(out := neardup.written(pairs(*a), "met")) or out)
+    rows = {}
+    for n in (500, 2000):
+        docs = sections(random.Random(n), n, 20)
+        found = neardup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), k=2).collect()
+        assert all(r.kept for r in found)  # no two are linked
+        rows[n] = sum(m.count() for m in met)
+        met.clear()
+    assert rows[2000] <= 4 * rows[500] + 2000  # in proportion to the texts, not to their square
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairs_near_the_limit_inside_sections_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = sections(rng, 150, 3, 60, 20, 8)
+    for i in range(150, 420):  # changed copies of them, of which about half are still linked
+        words = docs[rng.randrange(150)].split()
+        for _ in range(rng.randrange(0, 14)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(3)] = [f"n{rng.randrange(40)}" for _ in range(rng.randrange(3))]
+        docs[i] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    check(neardup.near_duplicates(df, k=1, bands=64, rows=2).collect(), docs, 1)
+    check(neardup.near_duplicates(df, k=2, bands=64, rows=2).collect(), docs, 2)

@@ -32,7 +32,10 @@ and meet the size bound
     |c| - max(|dels x|, |dels y|) + (shared additions, where there are
     any) >= the intersection that sets of these sizes need.
 
-They are confirmed from their differences, which give the intersection of
+A member enters only the buckets of its rarest differences, as far as what
+comes after them could still make a link, and there only meets sizes that
+could (``meeting_prefixes``). So pages of a section that share the
+section's text but else have their own do not meet at it. They are confirmed from their differences, which give the intersection of
 the full sets exactly. Copies with changes of their own share few
 differences from what most of them have, so a large group of near copies
 gives few pairs; what is paired is exact for all pairs that share a
@@ -52,12 +55,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.llm.common import discard, free_name, small_batches, written
 from waymark.llm.shingles import mix, shingle_sets, sliced_sets
 
 BANDS, ROWS = 32, 5
+#: Ratio of neighbouring bands of sizes among members that share a difference.
+BAND_STEP = 1.1
 #: Members that are dealt to one task together with a copy of their pivot's text.
 MEMBERS_AT_ONCE = 500
 #: Shingles sketched at a time, which bounds a worker's memory.
@@ -274,6 +280,42 @@ def centred(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def meeting_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``tokens`` (p, x, n_c, n_x, d, stray, x_comp, added, shingle) at which a pair can meet first.
+
+    Of each member additions come before deletions, in either the differences that it can share with nobody first and then the
+    rarest. If a pair's first shared difference is the i-th of x, then x has only those from there on to share, ``avail``
+    of them, and the pair has at most ``n_c - d_x - d_y + avail`` shingles in common. So it is linked only if
+    ``u_y = percent n_y + (100 + percent) d_y`` is at most ``cap_x``, and the other way round. Rows whose ``cap`` is under
+    what the smallest possible partner has are left out.
+    """
+    at = ["p", "added", "shingle"]
+    meeting = tokens.groupBy(*at).agg(F.min("x_comp").alias("low"), F.max("x_comp").alias("high"), F.max("stray").alias("any"), F.count("*").alias("n_has"))
+    meet = tokens.join(meeting.where("low < high and any").select(*at, "n_has"), at)
+    own = W.partitionBy("p", "x", "added")  # one member's differences
+    m, nth = F.count("*").over(own), F.row_number().over(own.orderBy("n_has", "shingle"))
+    meet = meet.withColumn("n_added", F.when(F.col("added"), m).otherwise(0)).withColumn("avail", m - nth + 1 + F.when(F.col("added"), F.col("d")).otherwise(0))
+    full = 100 + percent
+    meet = meet.withColumn("u", percent * F.col("n_x") + full * F.col("d")).withColumn("cap", full * (F.col("n_c") - F.col("d") + F.col("avail")) - percent * F.col("n_x"))
+    meet = meet.withColumn("floor", F.floor(percent * percent * F.col("n_x") / 100))
+    return meet.where("cap >= floor").drop("n_has", "avail")
+
+
+def met_pairs(meet: DataFrame, percent: int) -> DataFrame:
+    """(p, x, y), with repeats: pairs with a stray that share a difference at which their sizes still allow a link.
+
+    A bucket is a difference and a band of ``u`` (a step of ``BAND_STEP``). A stray goes to the bands that its ``cap`` allows, the
+    others wait in their own, so that members too different in all the rest do not meet, however many share a difference.
+    """
+    at = ["p", "added", "shingle", "band"]
+    band = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(0)) + 1) / float(np.log(BAND_STEP)))
+    left = meet.where("stray").withColumn("band", F.explode(F.sequence(band("floor"), band("cap"))))
+    right = meet.withColumn("band", band("u")).select(*at, *(F.col(c).alias(f"y_{c}") for c in ("x", "n_x", "d", "stray", "x_comp", "n_added", "u", "cap")))
+    bound = F.col("n_c") - F.greatest("d", "y_d") + F.least("n_added", "y_n_added")
+    allowed = (F.col("y_u") <= F.col("cap")) & (F.col("u") <= F.col("y_cap")) & (F.col("x_comp") != F.col("y_x_comp")) & (~F.col("y_stray") | (F.col("x") < F.col("y_x")))
+    return left.join(right, at).where(allowed & _linked(bound, F.col("n_x"), F.col("y_n_x"), percent)).select("p", "x", F.col("y_x").alias("y"))
+
+
 def further_links(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of strays that ``found`` has not connected; ``members`` is what ``centred`` gives."""
     members = _labels(members.drop("x_comp", "hub", "hub_comp"), found, "x")
@@ -292,20 +334,9 @@ def further_links(members: DataFrame, found: DataFrame, percent: int) -> DataFra
         .unionByName(members.where(may_share_dels).select(*facts, F.lit(False).alias("added"), F.explode("dels").alias("shingle"))),
         "differences",
     )
-    at = ["p", "added", "shingle"]
-    meeting = tokens.groupBy(*at).agg(F.min("x_comp").alias("low"), F.max("x_comp").alias("high"), F.max("stray").alias("any")).where("low < high and any").select(*at)
-    meet = written(tokens.join(meeting, at, "left_semi"), "meeting")
+    meet = written(meeting_prefixes(tokens, percent), "meeting")
     discard(tokens)
-    shared = meet.where("added").groupBy("p", "x").agg(F.count("*").alias("n_added"))
-    tokens = meet.join(shared, ["p", "x"], "left").withColumn("n_added", F.when(F.col("added"), F.col("n_added")).otherwise(0))
-    left = tokens.where("stray")
-    right = tokens.select(*at, *(F.col(c).alias(f"y_{c}") for c in ("x", "n_x", "d", "stray", "x_comp", "n_added")))
-    bound = F.col("n_c") - F.greatest("d", "y_d") + F.least("n_added", "y_n_added")
-    candidates = (
-        left.join(right, at)
-        .where((F.col("x_comp") != F.col("y_x_comp")) & (~F.col("y_stray") | (F.col("x") < F.col("y_x"))) & _linked(bound, F.col("n_x"), F.col("y_n_x"), percent))
-        .select("p", "x", F.col("y_x").alias("y")).distinct()
-    )
+    candidates = met_pairs(meet, percent).select("p", "x", "y").distinct()
     candidates = written(candidates, "candidates")
     discard(meet)
     slim = members.select("p", "x", "n_c", "n_x", "d", "dels", "adds")
