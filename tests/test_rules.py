@@ -281,3 +281,102 @@ def test_memory_goes_on_over_ticks_at_which_nothing_runs(spark):
     at = {r["tick"]: (r["congestion"], r["since_critical"]) for r in kept.collect()}
     # one empty tick before the first trip; five between the two, at which load and count go on
     assert [at[t] for t in range(0, 31, 3)] == [(0.0, 0), (0.0, 1), (1.0, 0), (0.0, 1), (0.0, 2), (0.0, 3), (0.0, 4), (0.0, 5), (0.0, 6), (0.0, 7), (0.0, 8)]
+
+
+def plain_conflicts(rows, window, queue, levels_of):
+    """All pairs at one station and tick, by counting."""
+    out = {}
+    for a in rows:
+        others = [b for b in rows if b[0] != a[0]]
+        near = [b for b in others if abs(b[1] - a[1]) <= window]
+        ahead = [a[1] - b[1] for b in others if b[1] < a[1]]
+        behind = [b[1] - a[1] for b in others if b[1] >= a[1]]
+        higher = [b for b in near if levels_of(b) > levels_of(a)]
+        out[a[0]] = (
+            len(near), sum(b[2] == a[2] for b in near), len(higher), sum(0 <= b[1] - a[1] <= queue for b in others),
+            min(75, *ahead, 75), min(75, *behind, 75), min(75, a[1]) if higher else 75,
+        )
+    return out
+
+
+CONFLICT_COLUMNS = ["overlaps", "same_group", "higher_priority", "queue", "headway_ahead", "headway_behind", "precedence_eta"]
+
+
+def test_conflicts_at_a_station_equal_a_plain_count(spark):
+    rng = random.Random(4)
+    rows = [(f"t{i}", rng.choice([rng.randrange(0, 600), 40, 41, 119]), rng.choice([None, 1, 2]), rng.randrange(4)) for i in range(300)]
+    etas = spark.createDataFrame(rows, "instance_id string, eta long, g long, l long").selectExpr("*", "0L AS blk", "0L AS tick", "7L AS station_id")
+    found = traffic.path_conflicts(etas, F.col("g"), F.col("l"), 4, (7,), window=30, queue=15)
+    assert {r["instance_id"]: tuple(r[c] for c in CONFLICT_COLUMNS) for r in found.collect()} == plain_conflicts(rows, 30, 15, lambda r: r[3])
+
+
+def test_a_hot_station_is_counted_in_bands(spark):
+    n = 50_000
+    etas = spark.range(n).selectExpr("concat('t', id) AS instance_id", "CASE WHEN id % 2 = 0 THEN 60 ELSE id % 1440 END AS eta", "id % 3 AS g", "id % 10 AS l", "0L AS blk", "0L AS tick", "7L AS station_id")
+    found = traffic.path_conflicts(etas, F.col("g"), F.col("l"), 10, (7,), window=20, queue=15)
+    assert "_band" in found._jdf.queryExecution().toString().split("Optimized Logical Plan")[1].split("Window")[1]
+    rows = [(60 if i % 2 == 0 else i % 1440, i % 3, i % 10) for i in range(n)]
+    counts = {}
+    for r in rows:
+        counts[r] = counts.get(r, 0) + 1
+    by_id = {r["instance_id"]: r for r in found.where("instance_id IN ('t0', 't61', 't777')").collect()}
+    for i in (0, 61, 777):
+        eta, g, l = rows[i]
+        near = {k: c for k, c in counts.items() if abs(k[0] - eta) <= 20}
+        assert by_id[f"t{i}"]["overlaps"] == sum(near.values()) - 1
+        assert by_id[f"t{i}"]["same_group"] == sum(c for k, c in near.items() if k[1] == g) - 1
+        assert by_id[f"t{i}"]["higher_priority"] == sum(c for k, c in near.items() if k[2] > l)
+        assert by_id[f"t{i}"]["queue"] == sum(c for k, c in counts.items() if 0 <= k[0] - eta <= 15) - 1
+
+
+def test_positions_at_chosen_instants_are_those_of_all_ticks(spark):
+    rng = random.Random(9)
+    trips = None
+    for n in range(12):
+        at, stops_of = rng.randrange(60), []
+        for _ in range(6):
+            dwell, late = rng.randrange(0, 9), rng.randrange(-3, 20)
+            stops_of.append((rng.randrange(9), at, at + dwell, rng.choice([None, at + late]), rng.choice([None, at + dwell + late])))
+            at += dwell + rng.randrange(1, 30)
+        part = trip(spark, *stops_of, name=f"t{n}")
+        trips = part if trips is None else trips.unionByName(part)
+    timed = seq.trips_in_time(trips)
+    keep = ["instance_id", "stop_idx", "tick", "mode"]
+    wanted = [r for r in got(seq.position_at(timed, 1).select(*keep)) if r[2] in (30, 77, 120)]
+    assert got(seq.position_at_instants(timed, [77, 30, 120, 77]).select(*keep)) == wanted
+    when = spark.createDataFrame([(0, t) for t in (30, 77, 77, 120, None)] + [(1, 50)], "blk long, at long")
+    assert got(seq.position_when(timed, when, "at", bucket=10.0).select(*keep)) == wanted
+
+
+def test_ranks_of_continuous_scores_are_exact(spark):
+    rng = random.Random(1)
+    rows = [(rng.random(), rng.random() < 0.3, rng.choice([None, "a", "b"])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "s double, y boolean, g string")
+    pos, neg = [r[0] for r in rows if r[1]], [r[0] for r in rows if not r[1]]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert scoring.auc_single(df, ["s"], F.col("y")).first()["auc"] == pytest.approx(max(auc, 1 - auc), abs=1e-12)
+    down = sorted(rows, reverse=True)
+    want = {}
+    for recall in (0.25, 0.5):
+        hits = 0
+        for n, r in enumerate(down, 1):
+            hits += r[1]
+            if hits >= recall * len(pos):
+                want[recall] = (r[0], hits / n)
+                break
+    found = scoring.precision_at_recall(df, "s", F.col("y"), [0.25, 0.5]).collect()
+    assert {r["recall"]: (r["threshold"], pytest.approx(r["precision"])) for r in found} == want
+    quantiles = {r["g"]: (r["median"], r["p90"]) for r in scoring.ranked_quantiles(df, ["g"], "s", median=0.5, p90=0.9).collect()}
+    for g in (None, "a", "b"):
+        own = sorted(r[0] for r in rows if r[2] == g)
+        assert quantiles[g] == (own[int(len(own) * 0.5)], own[int(len(own) * 0.9)])
+
+
+def test_services_are_numbered_the_same_in_every_run(spark):
+    df = spark.range(20_000).selectExpr("concat('s', lpad(cast(pmod(xxhash64(id), 7000) AS string), 5, '0')) AS service", "id AS at", "id % 5 AS kind").repartition(13)
+    numbered = profiles.register_services(df, "service", ["at"], ["kind"], parts=16)
+    first = got(numbered)
+    names = sorted({r["service"] for r in df.select("service").distinct().collect()})
+    assert {r[0]: r[-1] for r in first} == {n: i for i, n in enumerate(names)}
+    assert got(numbered) == first == got(profiles.register_services(df.repartition(5), "service", ["at"], ["kind"], parts=3))
+    assert "rangepartitioning" not in numbered._jdf.queryExecution().toString().lower()  # the ranges are written, none is drawn again

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import with_running_totals
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than one row, and how many they have."""
@@ -119,19 +121,14 @@ def drop_partial_days(df: DataFrame, day: str, trip: str, least: int) -> DataFra
     return df.join(full, day, "left_semi")
 
 
-def register_services(df: DataFrame, service: str, order: list[str], keep: list[str], parts: int = 64) -> DataFrame:
+def register_services(df: DataFrame, service: str, order: list[str], keep: list[str], parts: int | None = None) -> DataFrame:
     """The first record of each service with its position among the sorted services.
 
-    Services are dealt to ranges, numbered inside them and moved up by the services of the ranges before, so only a row
-    per range is ordered without a key.
+    Services are dealt to ranges once, numbered inside them and moved up by the services of the ranges before.
     """
     first = df.groupBy(service).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("_f")).select(service, "_f.*")
-    ranged = first.repartitionByRange(parts, service).withColumn("_part", F.spark_partition_id())
-    inside = W.partitionBy("_part").orderBy(service)
-    numbered = ranged.withColumn("_nth", F.row_number().over(inside))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(before, "_part").withColumn("index", (F.col("_before") + F.col("_nth") - 1).cast("long")).drop("_part", "_nth", "_before")
+    numbered = with_running_totals(first, [], service, parts=parts, n=F.lit(1).cast("long"))
+    return numbered.withColumn("index", F.col("before_n")).drop("before_n", "all_n")
 
 
 def status_counts(df: DataFrame, **counted: Column) -> DataFrame:

@@ -9,17 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.ranks import with_running_totals
+
 
 def ranked_quantiles(df: DataFrame, group: list[str], value: str, **shares: float) -> DataFrame:
     """The value of rank floor(n * share) + 1 for each group and named share.
 
-    Rows are first counted by distinct value, so a window holds the distinct values of a group and never its rows. Put
-    continuous values on a grid before.
+    Rows are first counted by distinct value, and the counts summed up by range, so that no task holds all values of a group.
     """
     hist = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    whole = W.partitionBy(*group)
-    hist = hist.withColumn("_n", F.sum("_c").over(whole)).withColumn("_cum", F.sum("_c").over(whole.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-    pick = lambda q: F.min(F.when(F.col("_cum") >= F.least(F.floor(F.col("_n") * F.lit(float(q))) + 1, F.col("_n")), F.col(value)))
+    hist = with_running_totals(hist, group, value, c=F.col("_c"))
+    upto, n = F.col("before_c") + F.col("_c"), F.col("all_c")
+    pick = lambda q: F.min(F.when(upto >= F.least(F.floor(n * F.lit(float(q))) + 1, n), F.col(value)))
     return hist.groupBy(*group).agg(*(pick(q).alias(name) for name, q in shares.items()))
 
 
@@ -145,15 +146,14 @@ def lift_table(events: DataFrame, flag: Column, size: Column, hold: Column, thre
 def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12, digits: int | None = None) -> DataFrame:
     """The ``top`` features by rank AUC, ties at their average rank, whichever direction is better; constant ones are left out.
 
-    All features are counted by distinct value in one pass, so a window holds a feature's distinct values, not its rows;
-    ``digits`` puts continuous ones on a grid of that many decimals.
+    All features are counted by distinct value in one pass, and the counts summed up by range; ``digits`` puts continuous
+    ones on a grid of that many decimals, which needs fewer rows but is not needed for exact ranks.
     """
     value = lambda c: F.col(c).cast("double") if digits is None else F.round(F.col(c).cast("double"), digits)
     cells = F.array(*(F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in features))
     h = df.select(label.alias("y"), F.inline(cells)).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("m"))
-    w = W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    h = h.withColumn("_below", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("_below") + F.col("m") / 2))
+    h = with_running_totals(h, ["feature"], "value", m=F.col("m"))
+    won = F.sum(F.col("p") * (F.col("before_m") + F.col("m") / 2))
     a = won / F.nullif((F.sum("p") * F.sum("m")).cast("double"), F.lit(0.0))
     found = h.groupBy("feature").agg(F.count("*").alias("_n"), F.greatest(a, 1 - a).alias("auc"), F.sum("p").alias("positives"), F.sum("m").alias("negatives"))
     return found.where("_n > 1").drop("_n").orderBy(F.desc("auc"), "feature").limit(top)
@@ -162,13 +162,14 @@ def auc_single(df: DataFrame, features: list[str], label: Column, top: int = 12,
 def precision_at_recall(df: DataFrame, score: str, label: Column, recalls: list[float], digits: int | None = None) -> DataFrame:
     """The highest threshold that reaches each recall, and the precision there.
 
-    One window holds the distinct scores; ``digits`` puts continuous ones on a grid of that many decimals.
+    Rows are counted by distinct score, and the counts summed up by range; ``digits`` puts continuous scores on a grid of
+    that many decimals.
     """
     if digits is not None:
         df = df.withColumn(score, F.round(score, digits))
     h = df.groupBy(score).agg(F.count_if(label).alias("p"), F.count("*").alias("c"))
-    down = W.partitionBy(F.lit(1)).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    h = h.withColumn("tp", F.sum("p").over(down)).withColumn("told", F.sum("c").over(down)).withColumn("all_p", F.sum("p").over(W.partitionBy(F.lit(1))))
+    h = with_running_totals(h, [], score, descending=True, p=F.col("p"), c=F.col("c"))
+    h = h.withColumn("tp", F.col("before_p") + F.col("p")).withColumn("told", F.col("before_c") + F.col("c"))
     h = h.withColumn("recall", F.explode(F.array(*map(F.lit, recalls)))).where(F.col("tp") >= F.col("recall") * F.col("all_p"))
     return h.groupBy("recall").agg(F.max(score).alias("threshold"), F.max_by(F.col("tp") / F.col("told"), score).alias("precision"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.operators.ranges import range_join
+
 TRIP, ORDER = "instance_id", "stop_idx"
 _ALL = (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -57,14 +59,12 @@ def trips_in_time(stops: DataFrame) -> DataFrame:
     return clamp_monotone(carry_forward(stops))
 
 
-def position_at(timed: DataFrame, tick: int) -> DataFrame:
-    """A row per trip and tick while under way: standing in (arr, dep] at a stop, in transit in (dep, next arr] from it.
+def _pieces(timed: DataFrame) -> DataFrame:
+    """A row per trip and piece of its time, in (lo, hi]: standing at a stop, or in transit from it.
 
-    The ticks of each piece are generated, so no join with a tick table is needed. The very arrival at the first stop
-    counts as in transit at it.
+    The very arrival at the first stop counts as in transit at it.
     """
-    nxt = F.lead("arr").over(along())
-    d = timed.withColumn("_next_arr", nxt)
+    d = timed.withColumn("_next_arr", F.lead("arr").over(along()))
     piece = lambda mode, lo, hi, ok: F.when(ok, F.struct(F.lit(mode).alias("mode"), lo.alias("lo"), hi.alias("hi")))
     pieces = F.array_compact(
         F.array(
@@ -73,10 +73,34 @@ def position_at(timed: DataFrame, tick: int) -> DataFrame:
             piece("in_transit", F.col("dep"), F.col("_next_arr"), F.col("_next_arr") > F.col("dep")),
         )
     )
-    d = d.withColumn("_p", F.explode(pieces))
+    return d.withColumn("_p", F.explode(pieces)).drop("_next_arr")
+
+
+def position_at(timed: DataFrame, tick: int) -> DataFrame:
+    """A row per trip and tick while under way: standing in (arr, dep] at a stop, in transit in (dep, next arr] from it.
+
+    The ticks of each piece are generated, so no join with a tick table is needed. For chosen instants there are
+    ``position_at_instants`` and ``position_when``.
+    """
+    d = _pieces(timed)
     first, last = (F.floor(F.col("_p.lo") / tick) + 1) * tick, F.floor(F.col("_p.hi") / tick) * tick
     d = d.where(first <= last).withColumn("tick", F.explode(F.sequence(first, last, F.lit(tick).cast("long")))).withColumn("mode", F.col("_p.mode"))
-    return d.drop("_p", "_next_arr")
+    return d.drop("_p")
+
+
+def position_at_instants(timed: DataFrame, instants: list[int]) -> DataFrame:
+    """As ``position_at``, at the few given ``instants`` only: a piece gives a row for each of them in it and none else."""
+    inside = F.filter(F.array(*(F.lit(t).cast("long") for t in sorted(set(instants)))), lambda t: (t > F.col("_p.lo")) & (t <= F.col("_p.hi")))
+    return _pieces(timed).withColumn("tick", F.explode(inside)).withColumn("mode", F.col("_p.mode")).drop("_p")
+
+
+def position_when(timed: DataFrame, instants: DataFrame, at: str, keys: tuple[str, ...] = ("blk",), bucket: float = 60.0) -> DataFrame:
+    """As ``position_at``, at a table of ``instants`` (keys, ``at``): a range join of instants with pieces by bucket, so that
+    only instants in a piece's buckets meet it. Choose ``bucket`` near the usual length of a piece."""
+    d = _pieces(timed).withColumn("_first", F.col("_p.lo") + 1).withColumn("_last", F.col("_p.hi"))
+    when = instants.select(*keys, F.col(at).cast("long").alias("tick")).distinct()
+    hit = range_join(when, d, list(keys), "tick", "_first", "_last", bucket)
+    return hit.withColumn("mode", F.col("_p.mode")).select(*timed.columns, "tick", "mode")
 
 
 def delay_now(at: DataFrame, hold: bool = False) -> DataFrame:

@@ -226,7 +226,7 @@ RAW_T0, PAIRS = 2880, ((1, 4), (3, 11), (17, 53), (137, 991))
 
 def raw_shifted(df, by):
     """Every time that a trip has not reached at ``RAW_T0`` is later by ``by``; where it is, is told from the unshifted records."""
-    at = seq.position_at(seq.trips_in_time(df), RAW_T0).where(F.col("tick") == RAW_T0).select("instance_id", F.col("stop_idx").alias("_i"), "mode")
+    at = seq.position_at_instants(seq.trips_in_time(df), [RAW_T0]).select("instance_id", F.col("stop_idx").alias("_i"), "mode")
     d = df.join(at, "instance_id", "left")
     later, pending = F.col("stop_idx") > F.col("_i"), (F.col("stop_idx") == F.col("_i")) & (F.col("mode") == "at_station")
     move = lambda c, when: F.when(when, F.col(c) + by).otherwise(F.col(c)).alias(c)
@@ -237,7 +237,7 @@ def raw_shifted(df, by):
 def raw_features(df):
     t = seq.look_ahead(seq.trips_in_time(df)).withColumn("target", F.lead("arr_delay").over(seq.along()))
     told = seq.with_history(t, F.col("sched_dep") > F.col("sched_arr"), 5)
-    at = seq.journey_history(seq.eta_next(seq.delay_now(seq.position_at(told, RAW_T0).where(F.col("tick") == RAW_T0), hold=True)))
+    at = seq.journey_history(seq.eta_next(seq.delay_now(seq.position_at_instants(told, [RAW_T0]), hold=True)))
     past = F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s * 31 + x["delay"] + 7 * x["at_stop"] + 11 * x["dwell"])
     return at.select("instance_id", "delay", "eta_next", F.col("stop_idx").alias("place"), past.alias("past"), seq.departure_delay().alias("leaves"), "target")
 

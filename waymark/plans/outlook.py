@@ -8,7 +8,7 @@ from waymark.operators import outlook as o
 from waymark.operators import sequence as seq
 from waymark.plans.book import query
 from waymark.plans.scores import SCORED_SQL, rounded, scored
-from waymark.plans.trips import TICK, positions_sql, seen, timed
+from waymark.plans.trips import TICK, positions_sql, seen, seen_at, timed
 from waymark.sources.fixtures import BLOCK_DAYS, FIRST_DAY, stops
 
 T0, HORIZON = 2880, 2880
@@ -44,7 +44,7 @@ projected AS (SELECT instance_id, k, k - k0 AS hop, arr, arr - sched_arr AS dela
 
 
 def projected(spark, d):
-    return o.booked_projection(seen(spark, d).where(F.col("tick") == T0), stops(spark, d), T0, HORIZON)
+    return o.booked_projection(seen_at(spark, d, T0), stops(spark, d), T0, HORIZON)
 
 
 @query("E34_booked_projection", f"{PROJECTED_SQL} SELECT instance_id, k, hop, arr, delay, lead_min FROM projected")

@@ -44,6 +44,10 @@ def seen(spark, d, tick=TICK):
     return seq.delay_now(seq.position_at(seq.look_ahead(timed(spark, d)), tick))
 
 
+def seen_at(spark, d, *instants):
+    return seq.delay_now(seq.position_at_instants(seq.look_ahead(timed(spark, d)), list(instants)))
+
+
 def etas(spark, d):
     at = seen(spark, d)
     return seq.path_etas(at, stops(spark, d), HORIZON)
