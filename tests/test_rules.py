@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import fills, journeys, network, outlook, profiles, ranges, scoring, traffic
+from waymark.operators import contracts, fills, journeys, leaks, learned, network, outlook, profiles, ranges, scoring, traffic
 from waymark.operators import sequence as seq
 from waymark.streaming import feeds
 
@@ -380,3 +380,59 @@ def test_services_are_numbered_the_same_in_every_run(spark):
     assert {r[0]: r[-1] for r in first} == {n: i for i, n in enumerate(names)}
     assert got(numbered) == first == got(profiles.register_services(df.repartition(5), "service", ["at"], ["kind"], parts=3))
     assert "rangepartitioning" not in numbered._jdf.queryExecution().toString().lower()  # the ranges are written, none is drawn again
+
+
+def test_the_audit_tells_leaks_and_mutants_that_go_unnoticed(spark):
+    world = spark.createDataFrame([(i, 10 * i, 10 * i + 5) for i in range(20)], "k long, past long, future long")
+    shift = lambda df, by: df.withColumn("future", F.col("future") + by)
+    build = lambda *places: lambda df: df.select("k", *(c for p in places for c in p))
+    good = leaks.place("good", F.col("past"), F.col("future"))
+    leaky = leaks.place("leaky", F.col("past") + F.when(F.col("k") == 7, F.col("future")).otherwise(0), F.col("future"))
+    blind = leaks.place("blind", F.col("past"), F.col("past") + 1)
+    audit = leaks.leak_audit(build(good, leaky, blind), world, shift, (1, 5), ["k"])
+    assert got(leaks.verdict(audit)) == [("blind", True, False), ("good", True, True), ("leaky", False, True)]
+    assert got(audit.where("feature = 'leaky'").select("reading", "n", "differing")) == [("opened", 20, 20), ("sealed", 20, 1)]
+    leaks.assert_no_leak(leaks.leak_audit(build(good), world, shift, (1, 5), ["k"]))
+    with pytest.raises(ValueError, match=r"blind \(its mutant was not caught\), leaky \(leaks\)|leaky \(leaks\), blind"):
+        leaks.assert_no_leak(audit)
+
+
+def test_contracts_of_a_catalog(spark):
+    good = spark.createDataFrame([("1", 1), ("2", 2)], "n string, k long")
+    bad = spark.createDataFrame([("x", 1), ("2", 1), (None, None), ("1e3", None)], "n string, k long")
+    asked = contracts.Contract(required=("n", "k"), key=("k",), numeric=("n",))
+    tables = {"good": lambda: good, "bad": lambda: bad, "short": lambda: bad.select("n"), "empty": lambda: good.limit(0)}
+    found = contracts.check_catalog(tables, dict.fromkeys(["good", "bad", "short", "empty", "absent"], asked))
+    assert got(contracts.broken(found)) == [
+        ("absent", "present", "", 0), ("bad", "not_numeric", "n", 1), ("bad", "null_keys", "", 2), ("bad", "repeated_keys", "", 2),
+        ("short", "missing_column", "k", 1), ("short", "not_numeric", "n", 1),
+    ]
+    with pytest.raises(ValueError):
+        contracts.check_catalog(tables, {})
+
+
+def test_a_planted_rise_is_learnt_and_noise_is_not(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        trip_name, x, z = f"t{i // 5}", rng.random(), rng.random()
+        rise = (60.0 if x + 0.3 * z > 0.8 else 5.0) + rng.gauss(0, 3) + 80 * x
+        rows.append((trip_name, x, z, rng.random(), rise, rng.choice([5.0, 70.0])))
+    df = learned.grouped_split(spark.createDataFrame(rows, "trip string, x double, z double, w double, rise double, noise double"), "trip", 0.4)
+    assert df.groupBy("trip").agg(F.countDistinct("held_out").alias("n")).where("n > 1").count() == 0
+    told = learned.rise_classifier(df, ["x", "z", "w"], "rise", 30.0, rounds=8)
+    assert told.first()["auc"] > 0.97 and told.where("recall = 0.9").first()["precision"] > 0.9
+    blind = learned.rise_classifier(df, ["x", "z", "w"], "noise", 30.0, rounds=8).first()["auc"]
+    assert 0.4 < blind < 0.6
+    size = learned.rise_regressor(df, ["x", "z", "w"], "rise", 30.0, rounds=8).first()
+    assert size["mae"] < 0.8 * size["median_mae"] and size["r2"] > 0.3
+    assert learned.rise_regressor(df, ["w"], "rise", 30.0, rounds=8).first()["r2"] < 0.1
+
+
+def test_only_targets_of_eligible_trips_are_scored(spark):
+    s = trip(spark, (1, 0, 5, 0, 5), (2, 20, 25, 30, 35), (3, 40, 45, 50, 55), (4, 60, 65, None, None), (None, 80, 85, 99, None))
+    timed = seq.trips_in_time(s.unionByName(s.withColumn("instance_id", F.lit("u"))))
+    seen = seq.delay_now(seq.position_at(timed, 10))
+    rows = got(outlook.persistence(seen, timed, 10, F.col("station_id") != 2, F.col("instance_id") == "t").select("instance_id", "k", "persist", "hop", "actual"))
+    assert rows == [("t", 2, 0, 2, 10)]
+    assert outlook.persistence(seen, timed, 10).count() == 6

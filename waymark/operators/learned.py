@@ -23,15 +23,15 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 def rise_classifier(df: DataFrame, features: list[str], rise: str, size: float, rounds: int = 60, depth: int = 5, seed: int = 0) -> DataFrame:
     """Whether a rise over ``size`` can be told from the features: a row per recall with the AUC on the held-out groups and the
-    precision there. ``df`` has ``held_out``; scores are put on a grid of 1/10000 before they are ranked."""
+    precision there. ``df`` has ``held_out``."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
     d = _assembled(df, features).withColumn("label", (F.col(rise) > size).cast("double"))
     model = GBTClassifier(featuresCol="_features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(d.where("NOT held_out"))
     told = model.transform(d.where("held_out")).select((F.col("label") > 0).alias("y"), vector_to_array("probability")[1].alias("score"))
-    auc = auc_single(told, ["score"], F.col("y"), digits=4).select("auc", "positives", "negatives")
-    return precision_at_recall(told, "score", F.col("y"), [0.5, 0.7, 0.8, 0.9], digits=4).join(auc, how="left")  # one row
+    auc = auc_single(told, ["score"], F.col("y")).select("auc", "positives", "negatives")
+    return precision_at_recall(told, "score", F.col("y"), [0.5, 0.7, 0.8, 0.9]).join(auc, how="left")  # one row
 
 
 def rise_regressor(df: DataFrame, features: list[str], rise: str, size: float, rounds: int = 60, depth: int = 5, seed: int = 0) -> DataFrame:

@@ -11,13 +11,17 @@ from waymark.operators.sequence import ORDER, TRIP, along
 CLASSES = ("SPIKE", "RECOVERY", "MODERATE", "STEADY")
 
 
-def persistence(seen: DataFrame, stops: DataFrame, t0: int) -> DataFrame:
+def persistence(seen: DataFrame, stops: DataFrame, t0: int, target: Column | None = None, eligible: Column | None = None) -> DataFrame:
     """Per trip seen at or after ``t0`` and later stop with a known delay: the first delay seen then, held flat, and the hops since.
 
-    A trip first seen after ``t0`` is taken over where it appears. ``seen`` has (trip, tick, stop, delay).
+    A trip first seen after ``t0`` is taken over where it appears. ``seen`` has (trip, tick, stop, delay). Of ``stops`` only
+    those count for which ``target`` holds, and of trips only those for which ``eligible`` does; an unknown one does not.
     """
+    scored = F.lit(True)
+    for asked in (target, eligible):
+        scored &= F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
     first = seen.where(F.col("tick") >= t0).groupBy(TRIP).agg(F.min_by(F.struct("delay", ORDER), F.struct("tick", ORDER)).alias("f"))
-    later = stops.where("arr_delay IS NOT NULL").select(TRIP, F.col(ORDER).alias("k"), F.col("arr_delay").alias("actual"))
+    later = stops.where(F.col("arr_delay").isNotNull() & scored).select(TRIP, F.col(ORDER).alias("k"), F.col("arr_delay").alias("actual"))
     d = first.select(TRIP, F.col("f.delay").alias("persist"), F.col(f"f.{ORDER}").alias("takeover")).join(later, TRIP).where("k > takeover")
     return d.withColumn("hop", F.col("k") - F.col("takeover"))
 

@@ -13,6 +13,7 @@ from waymark.sources import sinks
 from waymark.sources.fixtures import STOPS_SQL, table
 
 NOW, AHEAD, CARRY = 4000, 240, 37
+# The pairs of shifts, in minutes, by which two worlds differ.
 PAIRS = [(1, 4), (3, 11), (17, 53), (137, 991)]
 
 
@@ -78,6 +79,43 @@ def _(spark, d):
     return contracts.contract_check(e, "events", ["event_id", "user_id", "arrival_time"], ["user_id", "event_type"], "event_type", F.expr(fx.micros("ts")))
 
 
+# what is asked of each table: required columns, key, columns that must hold numbers; two contracts that no table meets are among them
+CATALOG = {
+    "region": (("r_regionkey", "r_name"), ("r_regionkey",), ("r_name",)),
+    "nation": (("n_nationkey", "n_name", "n_regionkey"), ("n_nationkey",), ("n_regionkey",)),
+    "supplier": (("s_suppkey", "s_name"), ("s_suppkey",), ()),
+    "customer": (("c_custkey", "c_mktsegment"), ("c_custkey",), ("c_mktsegment",)),
+    "part": (("p_partkey", "p_name", "p_size", "p_weight"), ("p_partkey",), ("p_size", "p_name")),
+    "orders": (("o_orderkey", "o_custkey"), ("o_custkey",), ("o_orderkey",)),
+    "lineitem": (("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber"), ("l_quantity", "l_returnflag")),
+    "events": (("event_id", "user_id", "ts", "arrival_time"), ("user_id", "event_type"), ("event_type", "value")),
+    "stations": (("code",), ("code",), ()),
+}
+
+
+def _catalog_sql():
+    parts = []
+    for name, (_, key, numeric) in CATALOG.items():
+        if name == "stations":
+            parts.append("SELECT 'stations', 'present', '', 0::BIGINT")
+            continue
+        keys, text = ", ".join(key), " || '|' || ".join(f"{k}::VARCHAR" for k in key)
+        parts.append(f"SELECT '{name}', 'present', '', 1::BIGINT UNION ALL SELECT '{name}', 'rows', '', count(*) FROM {name}")
+        parts += [f"SELECT '{name}', 'not_numeric', '{c}', count(*) FILTER (TRY_CAST({c} AS DOUBLE) IS NULL AND {c} IS NOT NULL) FROM {name}" for c in numeric]
+        parts.append(f"SELECT '{name}', 'repeated_keys', '', count(*) FROM (SELECT 1 FROM {name} GROUP BY {keys} HAVING count(*) > 1)")
+        parts.append(f"SELECT '{name}', 'null_keys', '', count(*) FILTER ({' OR '.join(f'{k} IS NULL' for k in key)}) FROM {name} UNION ALL SELECT '{name}', 'longest_key', '', max(length({text})) FROM {name}")
+    parts.append("SELECT 'part', 'missing_column', 'p_weight', 1::BIGINT UNION ALL SELECT 'events', 'missing_column', 'arrival_time', 1::BIGINT")
+    parts.append("SELECT 'events', 'newest_write', '', max(epoch_us(ts)) FROM events")
+    return 'SELECT * FROM (' + " UNION ALL ".join(parts) + ') v("table", "check", "column", value)'
+
+
+@query("Q3_contract_catalog", _catalog_sql())
+def _(spark, d):
+    tables = {name: (lambda name=name: table(spark, d, name)) for name in CATALOG if name != "stations"}
+    written = {"events": F.expr(fx.micros("ts"))}
+    return contracts.check_catalog(tables, {name: contracts.Contract(*c, written=written.get(name)) for name, c in CATALOG.items()})
+
+
 @query("F1_order_latest", f"SELECT * FROM ({FORECAST_SQL} WHERE issued_at = (SELECT max(issued_at) FROM fc)) ORDER BY predicted_arr, instance_id, code")
 def _(spark, d):
     return sinks.view_forecast(forecasts(spark, d), codes(spark), latest=True).orderBy("predicted_arr", "instance_id", "code")

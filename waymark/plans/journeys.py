@@ -11,6 +11,7 @@ from waymark.operators import contracts, learned
 from waymark.operators import journeys as j
 from waymark.operators import sequence as seq
 from waymark.plans.book import query
+from waymark.plans.checks import PAIRS
 from waymark.plans.lines import EVENTS_SQL, junction_event_features
 from waymark.plans.scores import CONFLICTS_SQL, D7_SQL, D10_SQL, E15_SQL, conflicts, occupied, remembered, rounded, section_states, stands
 from waymark.plans.trips import ETAS_SQL, FILLED_SQL, TICK, etas, positions_sql, seen, timed
@@ -66,12 +67,12 @@ def _(spark, d):
     return j.attach_causes(trips, causes(spark, d), ["user_id", "blk"])
 
 
-def entered(spark, d):
-    """Per trip that comes into the region (stations 5 to 9): delay and trend observed before, and whether anything was."""
-    far = seq.carry_forward(stops(spark, d)).withColumn("km", F.lit(0.0))
-    first = seq.region_slice(stops(spark, d), F.col("station_id").between(5, 9)).groupBy("instance_id").agg(F.min("stop_idx").alias("stop_idx"))
+def entry_features(trips):
+    """Per trip that comes into the region (stations 5 to 9): its first stop there, delay and trend observed before, and whether anything was."""
+    far = seq.carry_forward(trips).withColumn("km", F.lit(0.0))
+    first = seq.region_slice(trips, F.col("station_id").between(5, 9)).groupBy("instance_id").agg(F.min("stop_idx").alias("stop_idx"))
     f = seq.prefix_features(far).join(first, ["instance_id", "stop_idx"])
-    return f.select("instance_id", F.col("last_delay").alias("entry_delay"), F.col("trend").alias("entry_trend"), (F.col("n_prior") > 0).cast("int").alias("has_upstream"))
+    return f.select("instance_id", F.col("stop_idx").alias("entry_stop"), F.col("last_delay").alias("entry_delay"), F.col("trend").alias("entry_trend"), (F.col("n_prior") > 0).cast("int").alias("has_upstream"))
 
 
 def beside(spark, d, at):
@@ -98,7 +99,7 @@ def nodes(spark, d):
     beside_it = beside(spark, d, at)
     sizes = stops(spark, d).groupBy("instance_id").agg(F.count("*").alias("n_stops"))
     at = at.join(sizes, "instance_id").select(
-        *key, "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
+        *key, "stop_idx", "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
         (F.col("user_id") % 10 / 10).alias("priority"), moving.cast("int").alias("in_transit"), F.when(moving, zero).otherwise(F.col("tick") - F.col("arr")).alias("at_stop"),
         F.when(moving, since).otherwise(zero).alias("since_departure"),
         F.coalesce(F.when(moving, F.greatest(zero, since - F.greatest(zero, F.col("next_sched_arr") - F.col("sched_dep")))), zero).alias("over_run"),
@@ -112,7 +113,11 @@ def nodes(spark, d):
     near = seq.junction_etas(etas(spark, d), JUNCTIONS).select(*key, F.col("nearest").alias("eta_nearest"), F.col("second").alias("eta_second"), F.col("n_junctions").alias("junctions_ahead"))
     met = conflicts(spark, d).drop("headway_ahead", "headway_behind")
     events = junction_event_features(spark, d).select(*key, *(f"f{i}" for i in range(8)))
-    return at.join(near, key, "left").join(met, key, "left").join(beside_it, key, "left").join(events, key, "left").join(entered(spark, d), "instance_id", "left")
+    joined = at.join(near, key, "left").join(met, key, "left").join(beside_it, key, "left").join(events, key, "left")
+    # before a trip has entered the region, nobody knows with what delay it will
+    entry = entry_features(stops(spark, d))
+    late = {c: F.when(F.col("stop_idx") >= F.col("entry_stop"), F.col(c)) for c in ("entry_delay", "entry_trend", "has_upstream")}
+    return joined.join(entry, "instance_id", "left").withColumns(late)
 
 
 def _eta(c):
@@ -134,8 +139,8 @@ NODES_SQL = f"""{D7_SQL}{CONFLICTS_SQL.removeprefix(ETAS_SQL)}{EVENTS_SQL.remove
 fx AS (SELECT blk AS fb, tick AS ft, station_id AS fs, freight, freight_due, worst FROM fr),
 sz AS (SELECT instance_id, count(*) AS n_stops FROM stops GROUP BY 1),
 en5 AS (SELECT instance_id, min(stop_idx) AS k FROM stops WHERE station_id BETWEEN 5 AND 9 GROUP BY 1),
-en6 AS (SELECT instance_id, list(arr_delay ORDER BY stop_idx) FILTER (stop_idx < k AND arr_delay IS NOT NULL) AS l FROM filled JOIN en5 USING (instance_id) GROUP BY 1),
-ent AS (SELECT instance_id, coalesce(len(l), 0) AS n_prior, coalesce(l[-1], 0) AS entry_delay, coalesce(l[-1] - l[greatest(1, len(l) - 3)], 0) AS entry_trend FROM en6),
+en6 AS (SELECT instance_id, k, list(arr_delay ORDER BY stop_idx) FILTER (stop_idx < k AND arr_delay IS NOT NULL) AS l FROM filled JOIN en5 USING (instance_id) GROUP BY instance_id, k),
+ent AS (SELECT instance_id, k AS entry_stop, coalesce(len(l), 0) AS n_prior, coalesce(l[-1], 0) AS entry_delay, coalesce(l[-1] - l[greatest(1, len(l) - 3)], 0) AS entry_trend FROM en6),
 la AS (SELECT instance_id AS i, stop_idx AS s, coalesce(lead(sched_dep - sched_arr) OVER t, 0) AS next_slack,
   coalesce(sum(sched_dep - sched_arr) OVER (PARTITION BY instance_id ORDER BY stop_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS slack_ahead
     FROM stops WINDOW t AS (PARTITION BY instance_id ORDER BY stop_idx)),
@@ -147,7 +152,7 @@ ve AS (SELECT s.*, next_slack, slack_ahead, coalesce(delay - lag(delay) OVER (PA
     next_sched_arr - sched_dep) - tick) END AS eta_next
   , CASE WHEN mode = 'in_transit' AND next_sched_arr IS NOT NULL THEN tick - next_sched_arr ELSE 0 END AS least_next,
   lf.freight AS leg_freight, lf.worst AS leg_worst, ow.freight AS own_freight, nf.freight_due AS due_next, n_stops, entry_delay, entry_trend, n_prior
-  FROM seen s JOIN la ON i = instance_id AND s.stop_idx = la.s JOIN sz USING (instance_id) LEFT JOIN ent USING (instance_id)
+  FROM seen s JOIN la ON i = instance_id AND s.stop_idx = la.s JOIN sz USING (instance_id) LEFT JOIN ent ON ent.instance_id = s.instance_id AND s.stop_idx >= entry_stop
   LEFT JOIN fx lf ON lf.fb = s.blk AND lf.ft = s.tick AND s.next_station <> s.station_id AND lf.fs = least(s.station_id, s.next_station)
   LEFT JOIN fx ow ON ow.fb = s.blk AND ow.ft = s.tick AND ow.fs = s.station_id LEFT JOIN fx nf ON nf.fb = s.blk AND nf.ft = s.tick AND nf.fs = s.next_station),
 vn AS (SELECT v.*, CASE WHEN moving = 1 AND next_sched_arr IS NOT NULL THEN greatest(0, since - greatest(0, next_sched_arr - sched_dep)) ELSE 0 END AS over_run,
@@ -221,7 +226,7 @@ def _(spark, d):
     return j.integrity_check(at.unionByName(at.where("user_id % 7 = 0 AND tick = 1440")), "blk", "tick", "instance_id", manifest)
 
 
-RAW_T0, PAIRS = 2880, ((1, 4), (3, 11), (17, 53), (137, 991))
+RAW_T0 = 2880
 
 
 def raw_shifted(df, by):

@@ -16,11 +16,12 @@ T0, HORIZON = 2880, 2880
 PERSIST_SQL = f"""{positions_sql(TICK)},
 f1 AS (SELECT instance_id, arg_min(delay, tick * 1000 + stop_idx) AS persist, arg_min(stop_idx, tick * 1000 + stop_idx) AS takeover FROM seen WHERE tick >= {T0} GROUP BY instance_id),
 held AS (SELECT f1.instance_id, t.stop_idx AS k, persist, takeover, t.stop_idx - takeover AS hop, arr_delay AS actual FROM f1
-  JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL)"""
+  JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL AND t.station_id >= 2 AND t.user_id % 10 <> 0)"""
 
 
 def persisted(spark, d):
-    return o.persistence(seen(spark, d), timed(spark, d), T0)
+    # stations 0 and 1 are no targets, every tenth user's trips are not scored
+    return o.persistence(seen(spark, d), timed(spark, d), T0, F.col("station_id") >= 2, F.col("user_id") % 10 != 0)
 
 
 @query("E33_persistence", f"{PERSIST_SQL} SELECT instance_id, k, persist, hop, actual FROM held")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import audits, book, checks, cleaning, feeds, gaps, journeys, keyed, known, lines, outlook, scores, storage, trips  # noqa: F401
+from waymark.plans import audits, book, checks, cleaning, feeds, gaps, journeys, keyed, known, leaks, lines, outlook, scores, storage, trips  # noqa: F401
 
 
 def queries():
