@@ -4,10 +4,13 @@ A SentencePiece BPE model whose pieces hold the word mark only at their
 start never merges across a word boundary, so a text's token count is the
 sum over its pre-tokens (a run of word marks with what follows up to the
 next one). Tier one is a compact table, broadcast once, with the lengths
-of the pre-tokens that the model itself lists as pieces: its merges were
-learnt in order of frequency, so these are the frequent ones, and the
-vocabulary bounds the table. Tier two encodes misses in the worker, behind
-a bounded cache. No pre-token is ever shuffled. Models without that
+of the pre-tokens that are frequent in the texts themselves. To find them
+every task counts the pre-tokens of its texts in a bounded table, from
+which the rarest go when it is full, and hands on those that make up a
+share of at least 1 / ``SHARE``; these summaries are added up, and the
+``FREQUENT`` most frequent are encoded. Tier two encodes misses in the
+worker, behind a bounded cache. Pre-tokens themselves are never shuffled,
+and counts are exact whichever tier gives them. Models without that
 property are encoded whole.
 
 Null texts count as empty (0 tokens). Texts are never cut. Rows keep their
@@ -17,10 +20,12 @@ order, ties and repeated rows are counted each on its own.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,8 @@ from waymark.llm.common import small_batches
 MARK = "▁"
 #: A model file above this is refused, as it is broadcast whole.
 MAX_MODEL_BYTES = 64 << 20
+#: Pre-tokens in the broadcast table, at most; a task's table, and the share of its pre-tokens from which on it hands one on.
+FREQUENT, COUNTED, SHARE = 32_768, 200_000, 1 << 17
 #: Bounds of the worker's cache of misses; a longer pre-token is encoded each time.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 _PRE_TOKEN = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -92,21 +99,44 @@ class PreTokenLengths:
         return total
 
 
-def frequent_lengths(model: bytes) -> dict[str, int]:
-    """Lengths of the pre-tokens that the model lists as pieces; at most as many as its vocabulary."""
+def counted_in_task(batches: Iterator[list[str | None]]) -> list[tuple[str, int]]:
+    """The pre-tokens that make up a share of at least 1 / ``SHARE`` of a task's, with their counts.
+
+    When the table is full the rarer half goes, so counts may be too low, but never for one that is frequent all along.
+    """
+    table: Counter[str] = Counter()
+    total = 0
+    for texts in batches:
+        for t in texts:
+            if t:
+                found = _PRE_TOKEN.findall(" " + t)
+                total += len(found)
+                table.update(p for p in found if len(p) <= CACHE_CHARS)
+        if len(table) > COUNTED:
+            table = Counter(dict(table.most_common(COUNTED // 2)))
+    return [(p, n) for p, n in table.items() if n * SHARE >= total]
+
+
+def frequent_lengths(texts: DataFrame, text: str, model: bytes) -> dict[str, int]:
+    """The lengths of the at most ``FREQUENT`` pre-tokens that are most frequent in ``texts``, from bounded summaries of its tasks."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = counted_in_task(b.column(0).to_pylist() for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["pre", "n"])
+
+    summaries = texts.select(F.col(text).alias("text")).mapInArrow(summed, "pre string, n long")
+    best = summaries.groupBy("pre").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre").limit(FREQUENT).collect()
     lengths = PreTokenLengths(model, {})
-    sp = lengths.sp
-    pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return {(pre := p.replace(MARK, " ")): lengths.encode(pre) for p in pieces if p.startswith(MARK)}
+    return {r["pre"]: lengths.encode(r["pre"]) for r in best}
 
 
-def token_count(spark: SparkSession, text: Column, model_path: str) -> Column:
-    """The number of tokens of ``text`` under the model, without begin, end or added special tokens."""
-    model = Path(model_path).read_bytes()
-    if len(model) > MAX_MODEL_BYTES:
-        raise ValueError(f"{model_path} has {len(model)} bytes; at most {MAX_MODEL_BYTES} are broadcast")
+def token_count(spark: SparkSession, text: Column, model: bytes, frequent: dict[str, int] | None) -> Column:
+    """The number of tokens of ``text`` under the model, without begin, end or added special tokens.
+
+    ``frequent`` has the lengths of some pre-tokens, or is None for a model that is not counted by pre-tokens.
+    """
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model, frequent_lengths(model) if splits_at_marks(model) else None))
+    shared = spark.sparkContext.broadcast((model, frequent))
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -120,6 +150,14 @@ def token_count(spark: SparkSession, text: Column, model_path: str) -> Column:
 def with_token_counts(
     df: DataFrame, model_path: str, limit: int = 4096, text: str = "text", n_tokens: str = "n_tokens", over: str = "over_limit"
 ) -> DataFrame:
-    """``df`` with its token count and whether that exceeds ``limit``; columns of those names are replaced."""
-    counted = df.withColumn(n_tokens, token_count(df.sparkSession, F.col(text), model_path))
+    """``df`` with its token count and whether that exceeds ``limit``; columns of those names are replaced.
+
+    The texts are read twice, once for the frequent pre-tokens and once to be counted.
+    """
+    model = Path(model_path).read_bytes()
+    if len(model) > MAX_MODEL_BYTES:
+        raise ValueError(f"{model_path} has {len(model)} bytes; at most {MAX_MODEL_BYTES} are broadcast")
+    small_batches(df.sparkSession)
+    frequent = frequent_lengths(df, text, model) if splits_at_marks(model) else None
+    counted = df.withColumn(n_tokens, token_count(df.sparkSession, F.col(text), model, frequent))
     return counted.withColumn(over, F.col(n_tokens) > F.lit(limit))
