@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import contracts, fills, journeys, leaks, learned, network, outlook, profiles, ranges, scoring, traffic
+from waymark.operators import contracts, fills, journeys, leaks, learned, linked, network, outlook, profiles, ranges, scoring, traffic
 from waymark.operators import sequence as seq
 from waymark.streaming import feeds
 
@@ -186,13 +186,13 @@ def test_projection_holds_and_never_runs_backwards(spark):
 def test_components_and_lone_places(spark):
     nodes = spark.range(8).withColumnRenamed("id", "node")
     edges = spark.createDataFrame([(5, 1), (1, 0), (2, 3), (3, 3), (None, 4)], "a long, b long")
-    found = network.components(nodes, edges)
+    found = linked.components(nodes, edges)
     assert got(found) == [(0, 0, False), (1, 0, False), (2, 2, False), (3, 2, False), (4, 4, True), (5, 0, False), (6, 6, True), (7, 7, True)]
     with pytest.raises(ValueError):
         network.assert_connected(found)
-    network.assert_connected(network.components(nodes.where("node < 2"), edges))
+    network.assert_connected(linked.components(nodes.where("node < 2"), edges))
     chain = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
-    assert network.components(spark.range(61).withColumnRenamed("id", "node"), chain).select("component").distinct().collect()[0][0] == 0
+    assert linked.components(spark.range(61).withColumnRenamed("id", "node"), chain).select("component").distinct().collect()[0][0] == 0
 
 
 def test_next_junction_on_the_route(spark):
