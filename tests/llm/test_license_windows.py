@@ -65,3 +65,53 @@ def test_windows_hold_all_that_the_units_hold(spark):
     units = {(r.doc_id, r.license_id): r.dice for r in licenses.scan_licenses(docs).collect()}
     windows = {(r.doc_id, r.license_id): r.dice for r in licenses.scan_license_windows(docs).collect()}
     assert units and all(windows[k] >= d for k, d in units.items())
+
+
+def notice(name, beginning):
+    return next(t for n, t in licenses.TEMPLATES + licenses.NEAR_TEMPLATES if n == name and t.startswith(beginning))
+
+
+def test_nearly_alike_wordings_are_told_apart(spark):
+    code = " ".join(f"value{i}" for i in range(300))
+    gpl3, gpl2, agpl = (notice(n, "This program is free") for n in ("GPL-3.0", "GPL-2.0", "AGPL-3.0"))
+    lgpl, bsd2 = notice("LGPL-3.0", "This library"), notice("BSD-2-Clause", "Redistribution")
+    bsd3 = dict(licenses.full_wordings())["BSD-3-Clause"]
+    by, nc = notice("CC-BY-4.0", "This work"), notice("CC-BY-NC-4.0", "This work")
+    apache = dict(licenses.full_wordings())["Apache-2.0"]
+    half = len(apache) // 2
+    rows = [
+        (1, gpl3, {"GPL-3.0": 1}), (2, gpl2, {"GPL-2.0": 1}), (3, agpl, {"AGPL-3.0": 1}), (4, lgpl, {"LGPL-3.0": 1}), (5, bsd2, {"BSD-2-Clause": 1}),
+        (6, bsd3, {"BSD-3-Clause": 1}), (7, f"{by} {code} {nc}", {"CC-BY-4.0": 1, "CC-BY-NC-4.0": 1}), (8, f"{lgpl} {code} {gpl3} {code} {lgpl}", {"LGPL-3.0": 2, "GPL-3.0": 1}),
+        # a short notice inside a long text leaves the long one standing
+        (9, f"{apache[:half]} Released under the MIT License. {apache[half:]}", {"Apache-2.0": 1, "MIT": 1}),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan_license_windows(df).where("n_own > 0").collect():
+        got.setdefault(r.doc_id, {})[r.license_id] = r.n_own
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def test_places_told_apart_against_all_pairs():
+    rng = random.Random(8)
+    gave_way = 0
+    for _ in range(500):
+        places = list({(rng.choice([0.8, 0.9, 1.0]), a, a + rng.randint(0, 9), rng.choice("ABC")) for a in (rng.randrange(30) for _ in range(rng.randint(0, 12)))})
+        want = []
+        for p in sorted(places, key=lambda p: (-p[0], -(p[2] - p[1]), p[1], p[3])):
+            mine = set(range(p[1], p[2] + 1))
+            rivals = [(mine & set(range(q[1], q[2] + 1)), max(len(mine), q[2] - q[1] + 1)) for q in want if q[3] != p[3]]
+            if not any(2 * len(both) > longer for both, longer in rivals):
+                want.append(p)
+        assert licenses.told_apart(places) == want
+        gave_way += len(places) - len(want)
+    assert gave_way > 100
+
+
+def test_a_very_long_text_and_clashing_names(spark):
+    body = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, f"{body} {mit()} {body}", "x", 5), (1, "Released under the MIT License.", "y", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_id string, dice int")
+    found = sorted((r.doc_id, r.license_id, r.n_places, r.n_own) for r in licenses.scan_license_windows(df).collect())
+    assert found == [(1, "MIT", 1, 1), (1, "MIT", 1, 1)]  # rows of one id are scanned each on its own
+    assert [(r.doc_id, r.license_id) for r in licenses.scan_licenses(df).collect()] == [(1, "MIT")]

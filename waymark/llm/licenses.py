@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import small_batches
+
 # The wording of common licences and of their usual notices.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -55,6 +57,13 @@ TEMPLATES = [
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
+# Wordings that differ little from others, for the scanner that tells them apart by the better coefficient.
+NEAR_TEMPLATES = [
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("LGPL-3.0", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+]
 THRESHOLD = 0.8
 _NOT_WORD, _BLANK_LINES = re.compile(r"[\W_]+"), re.compile(r"\n[ \t]*\n")
 
@@ -107,6 +116,7 @@ def scan_licenses(
     df: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(doc_id, license_id, dice, n_units): each licence found in each row, its best coefficient and how many units match."""
+    small_batches(df.sparkSession)
     slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,20 +179,16 @@ class WindowScanner:
                     out.append((float(dice[best]), i, int(first_at[best])))
         return out
 
-    def scan(self, text: str) -> list[tuple[str, float, int]]:
-        """(licence, best coefficient, number of places) of one text.
-
-        Of the windows of a template, those that overlap a better or an equal earlier one are no place of their own;
-        places of several templates of a licence that overlap are one.
-        """
+    def places(self, text: str) -> list[tuple[float, int, int, str]]:
+        """(coefficient, first bigram, last bigram, licence) of one text: of each template's windows, those that overlap a
+        better or an equal earlier one are no place of their own."""
         words = _NOT_WORD.sub(" ", text.lower()).split()
         seq = list(zip(words, words[1:], strict=False))
         count: dict[int, int] = {}
         for g in self.by_gram.keys() & set(seq):
             for n in self.by_gram[g]:
                 count[n] = count.get(n, 0) + 1
-        best: dict[str, float] = {}
-        places: dict[str, list[tuple[int, int]]] = {}
+        found = []
         for n in sorted(count):
             name, _, low, _ = self.templates[n]
             if count[n] < low:
@@ -191,9 +197,43 @@ class WindowScanner:
             for dice, a, b in sorted(self.windows(seq, n), key=lambda w: (-w[0], w[1])):
                 if not taken[a] and not taken[b] and not taken[a : b + 1].any():
                     taken[a : b + 1] = True
-                    best[name] = max(dice, best.get(name, 0.0))
-                    places.setdefault(name, []).append((a, b))
-        return [(name, best[name], groups(found)) for name, found in sorted(places.items())]
+                    found.append((dice, a, b, name))
+        return found
+
+    def scan(self, text: str) -> list[tuple[str, float, int]]:
+        """(licence, best coefficient, number of places) of one text; places of a licence that overlap are one."""
+        return [(name, dice, n) for name, dice, n, _ in self.scan_apart(text)]
+
+    def scan_apart(self, text: str) -> list[tuple[str, float, int, int]]:
+        """As ``scan``, with the number of places that are not better explained by another licence."""
+        found = self.places(text)
+        own = told_apart(found)
+        out = []
+        for name in sorted({p[3] for p in found}):
+            n, n_own = (groups([(a, b) for _, a, b, who in places if who == name]) for places in (found, own))
+            out.append((name, max(p[0] for p in found if p[3] == name), n, n_own))
+        return out
+
+
+def told_apart(places: list[tuple[float, int, int, str]]) -> list[tuple[float, int, int, str]]:
+    """The ``places`` but for those of which a better one of another licence covers more than half of the longer of both.
+
+    Better is the higher coefficient, then the longer, the earlier, the lower name; a place that gave way covers none. Two
+    such places hold each other's middle, so only places with their middle inside one are looked at.
+    """
+    kept: list[tuple[float, int, int, str]] = []
+    middles: list[tuple[int, int]] = []  # (middle, number in kept), in order
+    for place in sorted(places, key=lambda p: (-p[0], p[1] - p[2], p[1], p[3])):
+        _, a, b, name = place
+        inside = middles[bisect.bisect_left(middles, (a, 0)) : bisect.bisect_right(middles, (b, len(kept)))]
+        for _, k in inside:
+            _, c, d, other = kept[k]
+            if other != name and 2 * (min(b, d) - max(a, c) + 1) > max(b - a, d - c) + 1:
+                break
+        else:
+            bisect.insort(middles, ((a + b) // 2, len(kept)))
+            kept.append(place)
+    return kept
 
 
 def groups(spans: list[tuple[int, int]]) -> int:
@@ -207,18 +247,24 @@ def groups(spans: list[tuple[int, int]]) -> int:
 def scan_license_windows(
     df: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc_id, license_id, dice, n_places): each licence of which a window of words of a row matches a wording."""
-    wordings = TEMPLATES + full_wordings() if templates is None else templates
+    """(doc_id, license_id, dice, n_places, n_own): each licence of which a window of words of a row matches a wording.
+
+    ``n_own`` counts the places that are the licence's own: at the others a better match of another licence covers more
+    than half. Of licences whose wordings are nearly alike (GPL, LGPL and AGPL; CC BY and CC BY-NC; BSD with two and with
+    three clauses) a notice is thus one's own; take the rows with ``n_own > 0`` for one licence a notice.
+    """
+    wordings = TEMPLATES + NEAR_TEMPLATES + full_wordings() if templates is None else templates
+    small_batches(df.sparkSession)
     slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(text).isNotNull())
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = WindowScanner(wordings, threshold)
         for b in batches:
-            rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in scanner.scan(t)]
-            got = pd.DataFrame(rows, columns=["doc_id", "license_id", "dice", "n_places"])
-            yield got.astype({"doc_id": "Int64", "license_id": "object", "dice": "float64", "n_places": "int64"})
+            rows = [(d, *hit) for d, t in zip(b["doc_id"], b["text"], strict=True) for hit in scanner.scan_apart(t)]
+            got = pd.DataFrame(rows, columns=["doc_id", "license_id", "dice", "n_places", "n_own"])
+            yield got.astype({"doc_id": "Int64", "license_id": "object", "dice": "float64", "n_places": "int64", "n_own": "int64"})
 
-    return slim.mapInPandas(scanned, "doc_id long, license_id string, dice double, n_places long")
+    return slim.mapInPandas(scanned, "doc_id long, license_id string, dice double, n_places long, n_own long")
 
 
 def oracle_sql() -> str:

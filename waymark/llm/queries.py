@@ -93,7 +93,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences found in all documents by any window of words, also inside lines and across paragraphs."""
     found = licenses.scan_license_windows(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "license_id", F.round("dice", 6).alias("dice"), "n_places")
+    return found.select("doc_id", "license_id", F.round("dice", 6).alias("dice"), "n_places", "n_own")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
