@@ -124,7 +124,7 @@ def position_in_stand(at: DataFrame, keys: list[str], tick: str, error: Column,
     ``shortest`` ticks, ticks from ``cap`` on together; and of their first tick, all later ones, and all rows of any stand."""
     w = W.partitionBy(*keys)
     k = lambda order: F.row_number().over(w.orderBy(order)).cast("long") - 1
-    d = at.withColumn("_e", error).withColumn("_s", k(F.col(tick))).withColumn("_t", k(F.desc(tick))).withColumn("_long", F.col("_s") + F.col("_t") + 1 >= shortest)
+    d = at.withColumn("_e", error).withColumn("_s", k(F.col(tick))).withColumn("_t", k(F.desc(tick))).withColumn("_long", F.count("*").over(w) >= shortest)
     top = lambda c: F.least(F.col(c), F.lit(cap).cast("long"))
     row = lambda side, k: F.struct(F.lit(side).alias("side"), k.cast("long").alias("k"))
     none = F.lit(None)
