@@ -20,3 +20,14 @@ def test_a_stand_is_as_long_as_its_rows(spark):
     assert got(three.select("side", "k", "n")) == [("all", None, 3)]  # three rows are no stand of four, whichever of two comes first
     four = scoring.position_in_stand(twice, ["instance_id", "stop_idx", "mode"], "tick", F.col("tick"))
     assert sorted(got(four.where("side = 'end'").select("k", "n"))) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def marked_twice(spark):
+    marked = seq.next_targets(seq.trips_in_time(early(spark)), 2, F.lit(True), F.lit(True))
+    return seq.with_fresh(seq.position_at(marked, 10)).where("tick = 10")
+
+
+def test_both_rows_of_a_tick_have_their_targets(spark):
+    rows = seq.horizon_targets(marked_twice(spark), 2).select("stop_idx", "targets", "mask").collect()
+    assert [tuple(r) for r in rows] == [(0, [0, 3], [1, 1])] * 2
+    assert seq.first_per_stage(seq.position_at(seq.trips_in_time(early(spark)), 10)).where("tick = 10").count() == 1
