@@ -1,10 +1,13 @@
 """A trip whose first departure is known to lie before its estimated arrival is there twice at that arrival."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import same
 from tests.test_rules import got, trip
 from waymark.operators import scoring
 from waymark.operators import sequence as seq
+from waymark.plans import registry
 
 
 def early(spark):
@@ -31,3 +34,17 @@ def test_both_rows_of_a_tick_have_their_targets(spark):
     rows = seq.horizon_targets(marked_twice(spark), 2).select("stop_idx", "targets", "mask").collect()
     assert [tuple(r) for r in rows] == [(0, [0, 3], [1, 1])] * 2
     assert seq.first_per_stage(seq.position_at(seq.trips_in_time(early(spark)), 10)).where("tick = 10").count() == 1
+
+
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """Events of three users, one of whom (1323) is on a trip that is at one tick twice."""
+    folder = tmp_path_factory.mktemp("few")
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id IN (1321, 1323, 1324)").coalesce(1).write.parquet(f"{folder}/all")
+    next(folder.joinpath("all").glob("*.parquet")).rename(folder / "events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["E14_departure_targets", "E32_assemble_vectors"])
+def test_query_equals_its_twin_on_such_a_trip(spark, few, name):
+    same(registry.queries()[name](spark, few), registry.oracle_sql()[name], few)

@@ -76,15 +76,17 @@ def entry_features(trips):
 
 
 def beside(spark, d, at):
-    """What stands beside each trip at its tick: in its section, at its station, and due at its next one."""
+    """``at`` with what stands beside each of its rows: in its section, at its station, and due at its next one."""
     here = stands(spark, d, at)
     leg = F.when(F.col("next_station") != F.col("station_id"), F.least("station_id", "next_station"))
-    d2 = at.select("instance_id", "blk", "tick", "station_id", "next_station", leg.alias("leg"))
     on = here.where("freight > 0").select("blk", "tick", F.col("station_id").alias("leg"), F.col("freight").alias("freight_in_section"), severity(F.col("freight")).alias("section_disrupted"), speed_multiplier(F.col("worst")).alias("section_multiplier"))
     there = here.select("blk", "tick", F.col("station_id").alias("next_station"), F.col("freight_due").alias("freight_due_next"))
     own = here.select("blk", "tick", "station_id", F.col("freight").alias("freight_at_station"))
-    d2 = d2.join(on, ["blk", "tick", "leg"], "left").join(own, ["blk", "tick", "station_id"], "left").join(there, ["blk", "tick", "next_station"], "left")
-    return d2.drop("station_id", "next_station", "leg")
+    d2 = at.withColumn("leg", leg).join(on, ["blk", "tick", "leg"], "left").join(own, ["blk", "tick", "station_id"], "left")
+    return d2.join(there, ["blk", "tick", "next_station"], "left").drop("leg")
+
+
+BESIDE = ("freight_in_section", "section_disrupted", "section_multiplier", "freight_at_station", "freight_due_next")
 
 
 def nodes(spark, d):
@@ -96,10 +98,10 @@ def nodes(spark, d):
     under_way = moving & F.col("next_sched_arr").isNotNull()
     turn = F.col("tick") % 1440 * (2 * math.pi / 1440)
     key = ["instance_id", "blk", "tick"]
-    beside_it = beside(spark, d, at)
     sizes = stops(spark, d).groupBy("instance_id").agg(F.count("*").alias("n_stops"))
-    at = at.join(sizes, "instance_id").select(
-        *key, "stop_idx", "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
+    # a trip may be twice at one tick, so what stands beside it is told row by row, not by trip and tick
+    at = beside(spark, d, at).join(sizes, "instance_id").select(
+        *key, *BESIDE, "stop_idx", "delay", F.coalesce(F.col("delay") - F.lag("delay").over(w), zero).alias("delay_velocity"), F.coalesce("eta_next", zero).alias("eta_next"),
         (F.col("user_id") % 10 / 10).alias("priority"), moving.cast("int").alias("in_transit"), F.when(moving, zero).otherwise(F.col("tick") - F.col("arr")).alias("at_stop"),
         F.when(moving, since).otherwise(zero).alias("since_departure"),
         F.coalesce(F.when(moving, F.greatest(zero, since - F.greatest(zero, F.col("next_sched_arr") - F.col("sched_dep")))), zero).alias("over_run"),
@@ -113,7 +115,7 @@ def nodes(spark, d):
     near = seq.junction_etas(etas(spark, d), JUNCTIONS).select(*key, F.col("nearest").alias("eta_nearest"), F.col("second").alias("eta_second"), F.col("n_junctions").alias("junctions_ahead"))
     met = conflicts(spark, d).drop("headway_ahead", "headway_behind")
     events = junction_event_features(spark, d).select(*key, *(f"f{i}" for i in range(8)))
-    joined = at.join(near, key, "left").join(met, key, "left").join(beside_it, key, "left").join(events, key, "left")
+    joined = at.join(near, key, "left").join(met, key, "left").join(events, key, "left")
     # before a trip has entered the region, nobody knows with what delay it will
     entry = entry_features(stops(spark, d))
     late = {c: F.when(F.col("stop_idx") >= F.col("entry_stop"), F.col(c)) for c in ("entry_delay", "entry_trend", "has_upstream")}
