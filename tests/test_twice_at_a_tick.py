@@ -36,6 +36,15 @@ def test_both_rows_of_a_tick_have_their_targets(spark):
     assert seq.first_per_stage(seq.position_at(seq.trips_in_time(early(spark)), 10)).where("tick = 10").count() == 1
 
 
+def test_etas_end_for_both_places_where_they_end_for_either(spark):
+    s = trip(spark, (1, 10, 10, None, 4), (2, 20, 90, 6, 30), (3, 100, 100, None, None), (4, 110, 110, None, None))
+    at = seq.position_at(seq.trips_in_time(s), 10).where("tick = 10")
+    assert got(at.select("stop_idx", "mode")) == [(0, "in_transit"), (1, "at_station")]
+    # from the first stop the third is 84 minutes ahead, from the second 4 less than none
+    assert got(seq.path_etas(at, s, 75).select("station_id", "eta")) == [(2, 0)]
+    assert got(seq.path_etas(at, s, 95).select("station_id", "eta")) == [(2, 0), (3, -4), (4, 6)]
+
+
 @pytest.fixture(scope="module")
 def few(spark, tmp_path_factory):
     """Events of three users, one of whom (1323) is on a trip that is at one tick twice."""
