@@ -13,15 +13,19 @@ from waymark.sources.fixtures import BLOCK_DAYS, FIRST_DAY, stops
 
 T0, HORIZON = 2880, 2880
 
-PERSIST_SQL = f"""{positions_sql(TICK)},
+
+def persist_sql(scored: str = "") -> str:
+    return f"""{positions_sql(TICK)},
 f1 AS (SELECT instance_id, arg_min(delay, tick * 1000 + stop_idx) AS persist, arg_min(stop_idx, tick * 1000 + stop_idx) AS takeover FROM seen WHERE tick >= {T0} GROUP BY instance_id),
 held AS (SELECT f1.instance_id, t.stop_idx AS k, persist, takeover, t.stop_idx - takeover AS hop, arr_delay AS actual FROM f1
-  JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL AND t.station_id >= 2 AND t.user_id % 10 <> 0)"""
+  JOIN timed t ON t.instance_id = f1.instance_id AND t.stop_idx > takeover WHERE arr_delay IS NOT NULL{scored})"""
+
+
+PERSIST_SQL = persist_sql()
 
 
 def persisted(spark, d):
-    # stations 0 and 1 are no targets, every tenth user's trips are not scored
-    return o.persistence(seen(spark, d), timed(spark, d), T0, F.col("station_id") >= 2, F.col("user_id") % 10 != 0)
+    return o.persistence(seen(spark, d), timed(spark, d), T0)
 
 
 @query("E33_persistence", f"{PERSIST_SQL} SELECT instance_id, k, persist, hop, actual FROM held")
@@ -30,7 +34,8 @@ def _(spark, d):
 
 
 # arrivals from a list of all that lies before them
-PROJECTED_SQL = f"""{PERSIST_SQL},
+def projected_sql(persist: str) -> str:
+    return f"""{persist},
 p0 AS (SELECT *, greatest(arr + greatest(0, sched_dep - sched_arr), {T0}) AS leaves FROM seen WHERE tick = {T0}),
 w0 AS (SELECT instance_id, stop_idx AS k0, CASE WHEN mode = 'at_station' THEN leaves - sched_dep ELSE delay END AS held,
   CASE WHEN mode = 'at_station' THEN leaves ELSE dep END AS gone
@@ -44,6 +49,10 @@ pc AS (SELECT *, NOT EXISTS (SELECT 1 FROM pa b WHERE b.instance_id = pa.instanc
 projected AS (SELECT instance_id, k, k - k0 AS hop, arr, arr - sched_arr AS delay, arr - {T0} AS lead_min, prev_station, station_id, sched_arr FROM pc WHERE keep)"""
 
 
+# E34 and B24 read nothing of the persistence
+PROJECTED_SQL = projected_sql(persist_sql(" AND t.station_id >= 2 AND t.user_id % 10 <> 0"))
+
+
 def projected(spark, d):
     return o.booked_projection(seen_at(spark, d, T0), stops(spark, d), T0, HORIZON)
 
@@ -80,7 +89,7 @@ def _(spark, d):
     return o.scenario_class(scored(spark, d), 12)
 
 
-REPORT_SQL = f"""{PROJECTED_SQL}, js AS (SELECT p.instance_id, p.k, h.hop, p.delay AS pred, h.actual, h.persist FROM projected p JOIN held h ON h.instance_id = p.instance_id AND h.k = p.k)"""
+REPORT_SQL = f"""{projected_sql(PERSIST_SQL)}, js AS (SELECT p.instance_id, p.k, h.hop, p.delay AS pred, h.actual, h.persist FROM projected p JOIN held h ON h.instance_id = p.instance_id AND h.k = p.k)"""
 
 
 def compared(spark, d):
