@@ -108,3 +108,38 @@ def test_empty_tables_and_batches(spark, tmp_path):
     table = made(spark, tmp_path)
     assert got(table.read()) == [] and table.vacuum() == 0
     assert table.upsert(rows(spark, []), [F.col("v")]) == table.insert(rows(spark, []), [F.col("v")]) == 0
+
+
+def shuffled(spark, action):
+    """Records that ``action`` writes to shuffles, over all its stages."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    action()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_a_write_deals_each_row_once(spark, tmp_path):
+    table, size = made(spark, tmp_path, bucket_rows=5000), 40_000
+    new = spark.range(size).selectExpr("id AS k", "'a' AS s", "id AS v")
+    table.upsert(new, [F.col("v")])
+    few = 1000  # records that are no rows: counts by task and bucket
+    # the old and the new rows once, and the hashes of the new ones
+    assert shuffled(spark, lambda: table.upsert(new, [F.desc("v")])) <= 3 * size + few
+    assert shuffled(spark, lambda: table.insert(new, [F.col("v")])) <= 3 * size + few
+    other = KeyedTable(spark, str(tmp_path / "other"), StructType.fromDDL(SCHEMA), ["k", "s"], bucket_rows=5000)
+    assert shuffled(spark, lambda: other.insert(new, [F.col("v")])) <= 2 * size + few
+    assert got(other.read()) == got(table.read()) and other.state()["n"] == 8
+
+
+def test_inserts_into_buckets_that_split_or_were_empty(spark, tmp_path):
+    table = made(spark, tmp_path, bucket_rows=10)
+    table.insert(rows(spark, [(k, "a", k) for k in range(35)]), [F.col("v")])
+    version = table.insert(rows(spark, [(k, "a", -k) for k in range(20, 300)] + [(299, "a", -1000)]), [F.col("v")])
+    assert table.insert(rows(spark, [(k, "a", 7) for k in range(300)]), [F.col("v")]) == version
+    assert got(table.read()) == got(rows(spark, [(k, "a", k if k < 35 else -1000 if k == 299 else -k) for k in range(300)]))
+    assert table.state()["n"] == 30 and sum(e["rows"] for e in table.state()["buckets"].values()) == 300

@@ -17,6 +17,7 @@ import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -124,17 +125,36 @@ class KeyedTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._files(list(self.state(version)["buckets"].values()))
 
-    def _dealt(self, new: DataFrame, order: list[Column]) -> DataFrame:
-        """The first row of each key of ``new`` in ``order``, with its hash, written once."""
-        first = sinks.first_per_key(new.select(*self.names), self.keys, order)
-        return sinks.written(first.withColumn("_hash", F.xxhash64(*self.keys)), "keyed")
+    def _arrived(self, new: DataFrame) -> DataFrame:
+        """The rows of ``new`` with the hashes of their keys, written once as they come."""
+        return sinks.written(new.select(*self.names).withColumn("_hash", F.xxhash64(*self.keys)), "keyed")
 
-    def _write(self, rows: DataFrame, n: int, buckets: int) -> dict[int, dict]:
-        """Writes ``rows`` by bucket; gives the folder and rows of each."""
+    def _arrivals(self, arrived: DataFrame, n: int) -> dict[int, int]:
+        """How many keys arrived for each bucket of ``n``; only hashes are dealt."""
+        found = arrived.groupBy(addressed(F.col("_hash"), n).alias("bucket")).agg(F.count_distinct("_hash").alias("keys"))
+        return {r["bucket"]: r["keys"] for r in found.collect()}  # no more than buckets
+
+    def _placed(self, rows: DataFrame, n: int, buckets: int) -> DataFrame:
+        """``rows`` dealt to their buckets among ``n``, a bucket to one task."""
+        placed = rows.withColumn("_bucket", addressed(F.xxhash64(*self.keys), n))
+        return placed.repartition(max(1, min(buckets, 100_000)), "_bucket")
+
+    def _first(self, old: DataFrame, arrived: DataFrame, newer: bool, order: list[Column], n: int, buckets: int) -> DataFrame:
+        """The first row of each key by bucket, arrived ones (in ``order``) before those of the table if ``newer``, else after them.
+
+        All rows are dealt by bucket alone, once, and sorted once: a key's rows meet in its bucket, whose task also writes it.
+        ``_old`` tells the table's rows.
+        """
+        both = old.withColumn("_old", F.lit(True)).unionByName(arrived.drop("_hash").withColumn("_old", F.lit(False)))
+        rank = F.col("_old").asc() if newer else F.col("_old").desc()
+        w = W.partitionBy("_bucket", *self.keys).orderBy(rank, *order)
+        return self._placed(both, n, buckets).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+    def _write(self, placed: DataFrame) -> dict[int, dict]:
+        """Writes ``placed`` rows by bucket; gives the folder and rows of each."""
         folder = uuid.uuid4().hex
-        placed = rows.withColumn("_bucket", addressed(F.col("_hash"), n)).drop("_hash")
         target = f"{self.path}/data/{folder}"
-        placed.repartition(max(1, min(buckets, 100_000)), "_bucket").write.partitionBy("_bucket").parquet(target)
+        placed.select(*self.names, "_bucket").write.partitionBy("_bucket").parquet(target)
         schema = StructType([*self.schema.fields, StructField("_bucket", IntegerType())])
         counts = self.spark.read.schema(schema).parquet(target).groupBy("_bucket").count().collect()  # a row per bucket
         return {r["_bucket"]: {"folders": [f"{folder}/_bucket={r['_bucket']}"], "rows": r["count"]} for r in counts}
@@ -145,50 +165,58 @@ class KeyedTable:
         n = max(state["n"], -(-rows // self.bucket_rows))
         return n, {parent(b, state["n"]) for b in range(state["n"], n)}
 
-    def _touched(self, dealt: DataFrame, n: int) -> set[int]:
-        return {r[0] for r in dealt.select(addressed(F.col("_hash"), n)).distinct().collect()}  # no more than buckets
+    def _entries(self, buckets: dict[int, dict], which: set[int]) -> list[dict]:
+        return [buckets[b] for b in sorted(which & set(buckets))]
 
     def upsert(self, new: DataFrame, order: list[Column]) -> int:
         """Replaces the rows of the keys in ``new`` and adds new keys; gives the version. Repeating it leaves the same table."""
-        state, dealt = self.state(), self._dealt(new, order)
-        count = dealt.count()
-        if not count:
-            sinks.drop_written(dealt)
-            return state["version"]
-        n, split = self._grown(state, count)
-        sources = (self._touched(dealt, state["n"]) | split) & set(state["buckets"])
-        old = self._files([state["buckets"][b] for b in sorted(sources)])
-        same = [old[k].eqNullSafe(dealt[k]) for k in self.keys]
-        kept = old.join(dealt.select(*self.keys), same, "left_anti").withColumn("_hash", F.xxhash64(*self.keys))
-        found = self._write(kept.unionByName(dealt.select(*kept.columns)), n, len(sources) + max(1, n - state["n"]))
-        gone = {b: {"folders": [], "rows": 0} for b in sources if b not in found}
-        version = self._commit(state, n, found | gone)
-        sinks.drop_written(dealt)
+        state, arrived = self.state(), self._arrived(new)
+        arrivals = self._arrivals(arrived, state["n"])
+        version = state["version"]
+        if arrivals:
+            n, split = self._grown(state, sum(arrivals.values()))
+            sources = (set(arrivals) | split) & set(state["buckets"])
+            old = self._files(self._entries(state["buckets"], sources))
+            found = self._write(self._first(old, arrived, True, order, n, len(set(arrivals) | sources) + n - state["n"]))
+            gone = {b: {"folders": [], "rows": 0} for b in sources if b not in found}
+            version = self._commit(state, n, found | gone)
+        sinks.drop_written(arrived)
         return version
 
     def insert(self, new: DataFrame, order: list[Column]) -> int:
-        """Adds the rows of ``new`` whose keys the table lacks; only keys of their buckets are read. Repeating it adds nothing."""
-        state, dealt = self.state(), self._dealt(new, order)
-        touched = self._touched(dealt, state["n"])
-        known = self._files([state["buckets"][b] for b in sorted(touched & set(state["buckets"]))], self.keys)
-        same = [dealt[k].eqNullSafe(known[k]) for k in self.keys]
-        fresh = sinks.written(dealt.join(known, same, "left_anti"), "keyed")
-        count = fresh.count()
-        version = state["version"]
+        """Adds the rows of ``new`` whose keys the table lacks; only keys of their buckets are read. Repeating it adds nothing.
+
+        The rows are written by the buckets that there are; those of buckets that split, or have got too many folders, are
+        dealt once more.
+        """
+        state, arrived = self.state(), self._arrived(new)
+        arrivals = self._arrivals(arrived, state["n"])
+        touched, version = set(arrivals), state["version"]
+        if arrivals and not state["buckets"]:  # every key is new, so the growth is known before
+            n, _ = self._grown(state, sum(arrivals.values()))
+            version = self._commit(state, n, self._write(self._first(self._files([]), arrived, False, order, n, n)))
+            touched = set()
+        if not touched:
+            sinks.drop_written(arrived)
+            return version
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name not in self.keys]
+        known = self._files(self._entries(state["buckets"], touched), self.keys).select(*self.keys, *rest)
+        fresh = self._write(self._first(known, arrived, False, order, state["n"], len(touched)).where("NOT _old"))
+        count = sum(e["rows"] for e in fresh.values())
         if count:
             n, split = self._grown(state, count)
-            full = {b for b in touched & set(state["buckets"]) if len(state["buckets"][b]["folders"]) >= MOST_FOLDERS}
-            anew = (split | full) & set(state["buckets"])
-            moved = self._files([state["buckets"][b] for b in sorted(anew)]).withColumn("_hash", F.xxhash64(*self.keys))
-            found = self._write(moved.unionByName(fresh.select(*moved.columns)), n, len(touched | anew) + n - state["n"])
-            for b, entry in found.items():
-                if b in state["buckets"] and b not in anew:
-                    old = state["buckets"][b]
-                    found[b] = {"folders": [*old["folders"], *entry["folders"]], "rows": old["rows"] + entry["rows"]}
-            gone = {b: {"folders": [], "rows": 0} for b in anew if b not in found}
+            full = {b for b in fresh if len(state["buckets"].get(b, {"folders": []})["folders"]) >= MOST_FOLDERS}
+            anew = split | full
+            found = {}
+            for b in set(fresh) - anew:
+                old = state["buckets"].get(b, {"folders": [], "rows": 0})
+                found[b] = {"folders": [*old["folders"], *fresh[b]["folders"]], "rows": old["rows"] + fresh[b]["rows"]}
+            if anew:
+                moved = self._files([*self._entries(state["buckets"], anew), *self._entries(fresh, anew)])
+                found |= self._write(self._placed(moved, n, len(anew) + n - state["n"]))
+            gone = {b: {"folders": [], "rows": 0} for b in anew & set(state["buckets"]) if b not in found}
             version = self._commit(state, n, found | gone)
-        sinks.drop_written(fresh)
-        sinks.drop_written(dealt)
+        sinks.drop_written(arrived)
         return version
 
     def vacuum(self, keep: int = 2) -> int:
