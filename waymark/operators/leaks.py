@@ -27,7 +27,7 @@ def opened(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c}{OPEN}" for c in df.columns if c not in keys})
 
 
-def leak_audit(build: Callable[[DataFrame], DataFrame], world: DataFrame, shift: Callable[[DataFrame, int], DataFrame], pair: tuple[int, int], keys: list[str]) -> DataFrame:
+def leak_audit[World, Shifted](build: Callable[[Shifted], DataFrame], world: World, shift: Callable[[World, int], Shifted], pair: tuple[int, int], keys: list[str]) -> DataFrame:
     """(feature, reading, n, differing) of every place that ``build`` gives: rows that differ between the worlds shifted by either of ``pair``."""
     a, b = (build(shift(world, by)) for by in pair)
     found = two_worlds(a, b, keys, [c for c in a.columns if c not in keys])

@@ -21,8 +21,9 @@ def path_conflicts(
     """Counts and gaps between a trip and the others that head for the same stations at the same tick.
 
     ``etas`` has a row per trip, tick and station with whole minutes in ``eta``; ``level`` is the priority as 0 to
-    ``levels`` - 1. Trips at a station are first counted by eta, group and level, which are few however many trips there are.
-    Range frames over these counts tell the neighbours, so no pair of trips is ever a row. Frames reach no further than the
+    ``levels`` - 1. Trips at a station are first counted by eta and group, with a count for each level beside it, which are
+    few however many trips there are. Range frames over these counts tell the neighbours, so no pair of trips is ever a row,
+    and a frame has a row per minute and group, not per level. Frames reach no further than the
     windows and caps (a gap beyond its cap counts as the cap), so etas are dealt to bands with a halo of the widest frame
     on both sides: a window's partition is one band of one station at one tick, and only rows of the band itself are kept.
     """
@@ -30,7 +31,8 @@ def path_conflicts(
     widest = max(window, queue, gap_cap, headway_cap)
     band = BAND * widest
     d = etas.withColumn("_g", group).withColumn("_l", level)
-    h = d.groupBy(*place, "eta", "_g", "_l").agg(F.count("*").alias("_n"))
+    at_level = {k: f"_at_{k}" for k in range(1, levels)}
+    h = d.groupBy(*place, "eta", "_g").agg(F.count("*").alias("_n"), *(F.count_if(F.col("_l") == k).alias(c) for k, c in at_level.items()))
     bands = F.sequence(F.floor((F.col("eta") - widest) / band), F.floor((F.col("eta") + widest) / band))
     h = h.withColumn("_band", F.explode(bands))
     by_eta = W.partitionBy(*place, "_band").orderBy("eta")
@@ -38,19 +40,19 @@ def path_conflicts(
     reach = max(gap_cap, headway_cap)
     among = W.partitionBy(*place, "_band", "_g").orderBy("eta").rangeBetween(-window, window)
     tied = F.sum("_n").over(by_eta.rangeBetween(0, 0)) > 1
-    above = [F.when(F.lit(k) > F.col("_l"), F.coalesce(F.sum(F.when(F.col("_l") == k, F.col("_n"))).over(near), _zero())).otherwise(_zero()) for k in range(1, levels)]
     h = h.withColumns({
         "_overlap": F.sum("_n").over(near) - 1, "_same": F.sum("_n").over(among) - 1, "_queue": F.sum("_n").over(behind) - 1,
         "_ahead": F.col("eta") - F.max("eta").over(by_eta.rangeBetween(-reach, -1)),
         "_behind": F.when(tied, _zero()).otherwise(F.min("eta").over(by_eta.rangeBetween(1, reach)) - F.col("eta")),
-        "_higher": sum(above, _zero()),
+        **{c: F.sum(c).over(near) for c in at_level.values()},
     }).where(F.col("_band") == F.floor(F.col("eta") / band))
-    cell = [*place, "eta", "_g", "_l"]
+    cell = [*place, "eta", "_g"]
     h = h.drop("_n", "_band").withColumnsRenamed({c: f"_of_{c}" for c in cell})
     match = F.lit(True)
     for c in cell:
         match &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    d = d.select(trip, *cell).join(h, match)
+    above = (F.when(F.lit(k) > F.col("_l"), F.col(c)).otherwise(_zero()) for k, c in at_level.items())
+    d = d.select(trip, *cell, "_l").join(h, match).withColumn("_higher", sum(above, _zero()))
     gap = F.when(F.col("station_id").isin(*junctions), F.least("_ahead", "_behind"))
     capped = lambda c, cap: F.least(F.coalesce(F.min(c), F.lit(cap).cast("long")), F.lit(cap).cast("long"))
     return d.groupBy(trip, *keys).agg(

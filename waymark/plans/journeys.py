@@ -231,16 +231,25 @@ def _(spark, d):
 RAW_T0 = 2880
 
 
-def raw_shifted(df, by):
-    """Every time that a trip has not reached at ``RAW_T0`` is later by ``by``; where it is, is told from the unshifted records."""
-    at = seq.position_at_instants(seq.trips_in_time(df), [RAW_T0]).select("instance_id", F.col("stop_idx").alias("_i"), "mode")
-    d = df.join(at, "instance_id", "left")
-    later, pending = F.col("stop_idx") > F.col("_i"), (F.col("stop_idx") == F.col("_i")) & (F.col("mode") == "at_station")
+def reached(df):
+    """Adds where each trip is at ``RAW_T0``, as ``_i`` and ``_mode``."""
+    at = seq.position_at_instants(seq.trips_in_time(df), [RAW_T0]).select("instance_id", F.col("stop_idx").alias("_i"), F.col("mode").alias("_mode"))
+    return df.join(at, "instance_id", "left")
+
+
+def moved(d, by):
+    """Rows of ``reached`` with every time that a trip has not reached at ``RAW_T0`` later by ``by``."""
+    later, pending = F.col("stop_idx") > F.col("_i"), (F.col("stop_idx") == F.col("_i")) & (F.col("_mode") == "at_station")
     move = lambda c, when: F.when(when, F.col(c) + by).otherwise(F.col(c)).alias(c)
-    rest = [c for c in df.columns if c not in ("actual_arr", "actual_dep")]
+    rest = [c for c in d.columns if c not in ("actual_arr", "actual_dep", "_i", "_mode")]
     return d.select(*rest, move("actual_arr", later), move("actual_dep", later | pending))
 
 
+def raw_shifted(df, by):
+    """Every time that a trip has not reached at ``RAW_T0`` is later by ``by``; where it is, is told from the unshifted records."""
+    return moved(reached(df), by)
+
+
 def raw_features(df):
     t = seq.look_ahead(seq.trips_in_time(df)).withColumn("target", F.lead("arr_delay").over(seq.along()))
     told = seq.with_history(t, F.col("sched_dep") > F.col("sched_arr"), 5)

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import leaks, traffic
 from waymark.operators import sequence as seq
 from waymark.plans.book import query
 from waymark.plans.journeys import RAW_T0 as T0
-from waymark.plans.journeys import entry_features, raw_shifted
+from waymark.plans.journeys import entry_features, moved, reached
 from waymark.plans.trips import HORIZON, TICK
 from waymark.sources import fixtures as fx
+from waymark.sources import sinks
 from waymark.sources.fixtures import JUNCTIONS, stops
 
 KEY = ["instance_id", "blk", "tick"]
+NEAR = [T0 - 2 * TICK, T0 - TICK, T0, T0 + TICK]
+
+
+class Sight(NamedTuple):
+    """A world at the instants ``NEAR``, each table written once: positions with all that trips' stops tell of them, minutes to
+    later stations as told, and as seen ahead."""
+
+    at: DataFrame
+    etas: DataFrame
+    ahead: DataFrame
 
 
 def _histories_digest(c):
@@ -26,12 +40,21 @@ def _timed(world):
     return seq.with_history(t, F.col("sched_dep") > F.col("sched_arr"), 5)
 
 
-def _etas_seen_ahead(at, timed):
+def _etas_seen_ahead(at):
     """Minutes to later stations by when they will really be reached."""
-    later = timed.select("instance_id", F.col("stop_idx").alias("k"), F.col("station_id").alias("s"), F.col("arr").alias("reached"))
-    d = at.select(*KEY, "stop_idx").join(later, "instance_id").where("k > stop_idx")
+    later = F.filter("_whole", lambda x: x["k"] > F.col("stop_idx"))
+    d = at.select(*KEY, F.inline(F.transform(later, lambda x: F.struct(x["k"].alias("k"), x["station_id"].alias("station_id"), x["arr"].alias("reached")))))
     d = d.withColumn("eta", F.greatest(F.lit(0).cast("long"), F.col("reached") - F.col("tick"))).where(F.col("eta") <= HORIZON)
-    return d.groupBy(*KEY, F.col("s").alias("station_id")).agg(F.max_by("eta", "k").alias("eta"))
+    return d.groupBy(*KEY, "station_id").agg(F.max_by("eta", "k").alias("eta"))
+
+
+def sighted(world):
+    """The ``Sight`` of a world: its stops are windowed here, and features read no more than a few rows of each trip."""
+    timed = _timed(world)
+    at = seq.journey_history(seq.eta_next(seq.delay_now(seq.position_at_instants(timed, NEAR))))
+    whole = seq.listed_stops(seq.trips_in_time(world), "station_id", "sched_arr", "arr")
+    at = sinks.written(at.join(whole, "instance_id").join(entry_features(world), "instance_id", "left"), "sight")
+    return Sight(at, sinks.written(seq.listed_etas(at, HORIZON), "etas"), sinks.written(_etas_seen_ahead(at), "ahead"))
 
 
 def _conflicts(etas):
@@ -41,16 +64,13 @@ def _conflicts(etas):
     return near.join(found, KEY, "full")
 
 
-def trip_features(world):
+def trip_features(sight):
     """What a trip's vector is made of at ``T0``, each with its mutant."""
-    timed = _timed(world)
-    at = seq.eta_next(seq.delay_now(seq.position_at_instants(timed, [T0])))
-    told = seq.journey_history(at)
+    now = lambda df: df.where(F.col("tick") == T0)
     standing, zero = F.col("mode") == "at_station", F.lit(0).cast("long")
     leg = F.greatest(zero, F.col("next_sched_arr") - F.col("sched_dep"))
     moving = ~standing & F.col("next_sched_arr").isNotNull()
-    entry = entry_features(world)
-    own = told.join(entry, "instance_id", "left").select(
+    own = now(sight.at).select(
         *KEY,
         *leaks.place("delay", F.col("delay"), F.coalesce("dep_delay", "arr_delay", "est")),
         *leaks.place("leaves_late", seq.departure_delay(), F.coalesce("dep_delay", zero)),
@@ -64,16 +84,14 @@ def trip_features(world):
         *leaks.place("entry_delay", F.when(F.col("stop_idx") >= F.col("entry_stop"), F.col("entry_delay")), F.col("entry_delay")),
         *leaks.place("entry_trend", F.when(F.col("stop_idx") >= F.col("entry_stop"), F.col("entry_trend")), F.col("entry_trend")),
     )
-    sealed = _conflicts(seq.path_etas(at, world, HORIZON))
-    ahead = leaks.opened(_conflicts(_etas_seen_ahead(at, timed)), KEY)
+    sealed = _conflicts(now(sight.etas))
+    ahead = leaks.opened(_conflicts(now(sight.ahead)), KEY)
     return own.join(sealed, KEY, "left").join(ahead, KEY, "left").drop("blk", "tick")
 
 
-def station_features(world):
+def station_features(sight):
     """State and memory of the stations at ``T0``, each with its mutant."""
-    timed = _timed(world)
-    near = [T0 - 2 * TICK, T0 - TICK, T0, T0 + TICK]
-    at = seq.eta_next(seq.delay_now(seq.position_at_instants(timed, near)))
+    at = sight.at
     halt = F.col("sched_dep") > F.col("sched_arr")
     place = ["blk", "tick", "station_id"]
 
@@ -81,10 +99,10 @@ def station_features(world):
         occ = traffic.occupancy(at, halt)
         dim = at.sparkSession.range(fx.STATIONS).selectExpr("id AS station_id", "id % 4 AS platforms", "1 + id % 3 AS capacity")
         none = occ.select(*place).limit(0).selectExpr("*", "0L AS freight", "0L AS freight_due")
-        spine = at.select("blk").distinct().select("blk", F.explode(F.array(*(F.lit(t).cast("long") for t in near))).alias("tick"))
+        spine = at.select("blk").distinct().select("blk", F.explode(F.array(*(F.lit(t).cast("long") for t in NEAR))).alias("tick"))
         return traffic.station_state_rows(occ, dim, traffic.decay_pressure(etas, JUNCTIONS, 350.0, 1000.0), none, spine)
 
-    dense = states(at, seq.path_etas(at, world, HORIZON)).withColumn("load", F.col("capacity_ratio") * 0.5 + F.col("incoming") * 0.5)
+    dense = states(at, sight.etas).withColumn("load", F.col("capacity_ratio") * 0.5 + F.col("incoming") * 0.5)
     kept = seq.station_memory(dense, ["blk", "station_id"], "tick", "load", "delayed_density", "critical")
     ahead = F.lead("load").over(seq.W.partitionBy("blk", "station_id").orderBy("tick"))
     kept = kept.withColumn("_ahead", ahead).where(F.col("tick") == T0)
@@ -93,7 +111,7 @@ def station_features(world):
     late = at.withColumn("delay", F.coalesce("next_arr_delay", "delay")).withColumn("eta_next", F.col("next_arr") - F.col("tick"))
     # a station's occupants a tick later are what a builder that reads one tick too far would see
     shifted = lambda df: df.withColumn("tick", F.col("tick") - TICK)
-    mutant = states(shifted(late), shifted(_etas_seen_ahead(at, timed)))
+    mutant = states(shifted(late), shifted(sight.ahead))
     mutant = seq.station_memory(mutant.withColumn("load", F.col("capacity_ratio")), ["blk", "station_id"], "tick", "load", "delayed_density", "critical").where(F.col("tick") == T0)
     return own.join(leaks.opened(mutant.select(*place, *names), place), place, "left").drop("tick")
 
@@ -106,8 +124,11 @@ STATION_PLACES = ["congestion", "mixed", "platform_ratio", "capacity_ratio", "in
 
 
 def audits(world):
-    trips = leaks.leak_audit(trip_features, world, raw_shifted, (3, 991), ["instance_id"])
-    places = leaks.leak_audit(station_features, world, raw_shifted, (3, 991), ["blk", "station_id"])
+    told, pair = sinks.written(reached(world), "told"), (3, 991)
+    sights = {by: sighted(moved(told, by)) for by in pair}
+    sinks.drop_written(told)
+    trips = leaks.leak_audit(trip_features, sights, dict.__getitem__, pair, ["instance_id"])
+    places = leaks.leak_audit(station_features, sights, dict.__getitem__, pair, ["blk", "station_id"])
     return trips.select(F.lit("trip").alias("of"), "*").unionByName(places.select(F.lit("station").alias("of"), "*"))
 
 
