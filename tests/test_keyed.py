@@ -143,3 +143,14 @@ def test_inserts_into_buckets_that_split_or_were_empty(spark, tmp_path):
     assert table.insert(rows(spark, [(k, "a", 7) for k in range(300)]), [F.col("v")]) == version
     assert got(table.read()) == got(rows(spark, [(k, "a", k if k < 35 else -1000 if k == 299 else -k) for k in range(300)]))
     assert table.state()["n"] == 30 and sum(e["rows"] for e in table.state()["buckets"].values()) == 300
+
+
+def test_no_hash_is_dealt_and_no_row_of_a_split(spark, tmp_path):
+    table, few = made(spark, tmp_path, bucket_rows=5000), 1000
+    new = spark.range(120_000).selectExpr("id AS k", "'a' AS s", "id AS v")
+    assert shuffled(spark, lambda: table.insert(new.where("k < 40000"), [F.col("v")])) <= 40_000 + few
+    # the keys of the table and the new rows; all eight buckets split
+    assert shuffled(spark, lambda: table.insert(new.where("k >= 40000"), [F.col("v")])) <= 120_000 + few
+    assert table.state()["n"] == 24 and set(table.state()["buckets"]) == set(range(24))
+    assert got(table.read()) == got(new)
+    assert shuffled(spark, lambda: table.upsert(new, [F.desc("v")])) <= 240_000 + few

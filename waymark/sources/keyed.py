@@ -26,6 +26,8 @@ from waymark.sources import sinks
 FULL_EVERY = 16
 #: Folders of a bucket above which an insert writes it anew.
 MOST_FOLDERS = 8
+#: Rows that one task of a write takes where there are enough for all cores; it has whole buckets.
+TASK_ROWS = 1_000_000
 
 
 class ConcurrentWrite(RuntimeError):
@@ -126,18 +128,26 @@ class KeyedTable:
         return self._files(list(self.state(version)["buckets"].values()))
 
     def _arrived(self, new: DataFrame) -> DataFrame:
-        """The rows of ``new`` with the hashes of their keys, written once as they come."""
-        return sinks.written(new.select(*self.names).withColumn("_hash", F.xxhash64(*self.keys)), "keyed")
+        """The rows of ``new``, written once as they come."""
+        return sinks.written(new.select(*self.names), "keyed")
 
     def _arrivals(self, arrived: DataFrame, n: int) -> dict[int, int]:
-        """How many keys arrived for each bucket of ``n``; only hashes are dealt."""
-        found = arrived.groupBy(addressed(F.col("_hash"), n).alias("bucket")).agg(F.count_distinct("_hash").alias("keys"))
-        return {r["bucket"]: r["keys"] for r in found.collect()}  # no more than buckets
+        """How many rows arrived for each bucket of ``n``; no row is dealt for it."""
+        found = arrived.groupBy(addressed(F.xxhash64(*self.keys), n).alias("bucket")).agg(F.count("*").alias("rows"))
+        return {r["bucket"]: r["rows"] for r in found.collect()}  # no more than buckets
+
+    def _keys(self, arrived: DataFrame, rows: int) -> int:
+        """About how many keys the ``rows`` that arrived have, by a sketch; it tells only how many buckets they call for."""
+        return min(rows, arrived.agg(F.approx_count_distinct(F.xxhash64(*self.keys), 0.01).alias("n")).first()["n"])
 
     def _placed(self, rows: DataFrame, n: int, buckets: int) -> DataFrame:
-        """``rows`` dealt to their buckets among ``n``, a bucket to one task."""
+        """``rows`` dealt to their buckets among ``n``, a bucket to one task, and as many to each as make ``TASK_ROWS``.
+
+        The more buckets a task takes, the larger are the blocks of the shuffle, which are compressed one by one.
+        """
         placed = rows.withColumn("_bucket", addressed(F.xxhash64(*self.keys), n))
-        return placed.repartition(max(1, min(buckets, 100_000)), "_bucket")
+        tasks = max(self.spark.sparkContext.defaultParallelism * 2, -(-buckets * self.bucket_rows // TASK_ROWS))
+        return placed.repartition(max(1, min(buckets, tasks)), "_bucket")
 
     def _first(self, old: DataFrame, arrived: DataFrame, newer: bool, order: list[Column], n: int, buckets: int) -> DataFrame:
         """The first row of each key by bucket, arrived ones (in ``order``) before those of the table if ``newer``, else after them.
@@ -145,7 +155,7 @@ class KeyedTable:
         All rows are dealt by bucket alone, once, and sorted once: a key's rows meet in its bucket, whose task also writes it.
         ``_old`` tells the table's rows.
         """
-        both = old.withColumn("_old", F.lit(True)).unionByName(arrived.drop("_hash").withColumn("_old", F.lit(False)))
+        both = old.withColumn("_old", F.lit(True)).unionByName(arrived.withColumn("_old", F.lit(False)))
         rank = F.col("_old").asc() if newer else F.col("_old").desc()
         w = W.partitionBy("_bucket", *self.keys).orderBy(rank, *order)
         return self._placed(both, n, buckets).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -174,7 +184,7 @@ class KeyedTable:
         arrivals = self._arrivals(arrived, state["n"])
         version = state["version"]
         if arrivals:
-            n, split = self._grown(state, sum(arrivals.values()))
+            n, split = self._grown(state, self._keys(arrived, sum(arrivals.values())))
             sources = (set(arrivals) | split) & set(state["buckets"])
             old = self._files(self._entries(state["buckets"], sources))
             found = self._write(self._first(old, arrived, True, order, n, len(set(arrivals) | sources) + n - state["n"]))
@@ -187,13 +197,13 @@ class KeyedTable:
         """Adds the rows of ``new`` whose keys the table lacks; only keys of their buckets are read. Repeating it adds nothing.
 
         The rows are written by the buckets that there are; those of buckets that split, or have got too many folders, are
-        dealt once more.
+        written once more, each by the task that reads it.
         """
         state, arrived = self.state(), self._arrived(new)
         arrivals = self._arrivals(arrived, state["n"])
         touched, version = set(arrivals), state["version"]
         if arrivals and not state["buckets"]:  # every key is new, so the growth is known before
-            n, _ = self._grown(state, sum(arrivals.values()))
+            n, _ = self._grown(state, self._keys(arrived, sum(arrivals.values())))
             version = self._commit(state, n, self._write(self._first(self._files([]), arrived, False, order, n, n)))
             touched = set()
         if not touched:
@@ -213,7 +223,7 @@ class KeyedTable:
                 found[b] = {"folders": [*old["folders"], *fresh[b]["folders"]], "rows": old["rows"] + fresh[b]["rows"]}
             if anew:
                 moved = self._files([*self._entries(state["buckets"], anew), *self._entries(fresh, anew)])
-                found |= self._write(self._placed(moved, n, len(anew) + n - state["n"]))
+                found |= self._write(moved.withColumn("_bucket", addressed(F.xxhash64(*self.keys), n)))
             gone = {b: {"folders": [], "rows": 0} for b in anew & set(state["buckets"]) if b not in found}
             version = self._commit(state, n, found | gone)
         sinks.drop_written(arrived)
